@@ -59,7 +59,10 @@ def contrastive_rows(
     own = F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
     left = rows.select("batch", "id", "s", own.alias("i"), others.alias("j"))
-    right = rows.select("batch", "id", "t", own.alias("j"), others.alias("i"))
+    # New names: both sides come from the same rows.
+    right = rows.select(
+        F.col("batch").alias("t_batch"), F.col("id").alias("t_id"), "t", own.alias("t_j"), others.alias("t_i")
+    )
     id_type = pairs.schema[id_col].dataType.simpleString()
     batch_type = pairs.schema[batch_col].dataType.simpleString()
     schema = f"batch {batch_type}, id {id_type}, total double, expected array<double>, own double"
@@ -70,7 +73,7 @@ def contrastive_rows(
         y = unit_rows(y[:, : x.shape[1]]) if len(y) else np.zeros((0, x.shape[1]))
         sim = x @ y.T / tau
         weight = np.exp(sim - 1 / tau)
-        at = {v: n for n, v in enumerate(teachers.column("id").to_pylist())}
+        at = {v: n for n, v in enumerate(teachers.column("t_id").to_pylist())}
         partner = [at.get(v) for v in students.column("id").to_pylist()]
         own_sim = [None if p is None else float(sim[n, p]) for n, p in enumerate(partner)]
         return pa.table(
@@ -83,7 +86,9 @@ def contrastive_rows(
             }
         )
 
-    parts = left.groupBy("batch", "i", "j").cogroup(right.groupBy("batch", "i", "j")).applyInArrow(cell, schema)
+    parts = (
+        left.groupBy("batch", "i", "j").cogroup(right.groupBy("t_batch", "t_i", "t_j")).applyInArrow(cell, schema)
+    )
     merged = parts.groupBy("batch", "id").agg(
         F.sum("total").alias("total"),
         vector_to_array(Summarizer.sum(array_to_vector("expected"))).alias("expected"),

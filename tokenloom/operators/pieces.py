@@ -41,55 +41,70 @@ def _vocabulary_facts(vocab: DataFrame) -> tuple[int, int]:
     return int(facts["unknown"]), min(int(facts["longest"]), MAX_WORD_CHARS)
 
 
-def wordpiece(words: DataFrame, vocab: DataFrame, carry: Sequence[str] = (), lengths: bool = False) -> DataFrame:
+def wordpiece(
+    words: DataFrame,
+    vocab: DataFrame,
+    carry: Sequence[str] = (),
+    lengths: bool = False,
+    cluster: Sequence[str] | None = ("word",),
+) -> DataFrame:
     """T4: split each word greedily into the longest pieces of the vocabulary.
 
     ``words`` holds ``word`` and the ``carry`` columns, which together identify a
     row; the result adds ``ids``. A word with a gap, or of more than 100
     characters, becomes the single unknown piece. ``lengths`` also adds the
     number of characters each piece covers.
+
+    The words are shuffled once, by ``cluster``, while they are still short
+    (``None``: they already are); spans and their groupings then stay in place.
     """
     unknown, longest = _vocabulary_facts(vocab)
     pieces = broadcast_if_small(vocab.select("piece", F.col("id").cast("int").alias("id")), PIECE_BYTES)
     whole = pieces.select(F.col("piece").alias("word"), F.col("id").alias("__whole"))
     keys = [*carry, "word"]
-    base = words.select(*keys).join(whole, "word", "left")
+    base = words.select(*keys)
+    if cluster is not None:
+        # A fixed number of partitions: spans multiply the rows, so size alone says too little.
+        n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        base = base.repartition(n, *cluster)
+    base = base.join(whole, "word", "left")
 
     size = F.length("word")
-
-    def spans_from(start: Column) -> Column:
-        last = F.least(size - start + 1, F.lit(longest))
-        return F.transform(F.sequence(F.lit(1), last), lambda n: F.struct(start.alias("start"), n.alias("n")))
-
     # Most words are pieces themselves; only the others are cut into spans.
     needs_spans = F.col("__whole").isNull() & (size >= 1) & (size <= MAX_WORD_CHARS)
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), spans_from))
-    cut = base.withColumn("__span", F.explode_outer(F.when(needs_spans, spans)))
-    text = F.substring(F.col("word"), F.col("__span.start"), F.col("__span.n"))
-    prefix = F.when(F.col("__span.start") > 1, CONTINUATION).otherwise("")
-    candidates = cut.withColumn("piece", F.concat(prefix, text)).join(pieces, "piece", "left")
-    match = F.when(F.col("id").isNotNull(), F.struct("__span.start", "__span.n", "id"))
-    matched = candidates.groupBy(*keys, "__whole").agg(F.collect_list(match).alias("__matches"))
-
-    def advance(state: Column, start: Column) -> Column:
-        here = F.filter("__matches", lambda m: m["start"] == start)
-        best = F.array_max(F.transform(here, lambda m: F.struct(m["n"], m["id"])))
-        stepped = F.struct(
-            (start + F.coalesce(best["n"], F.lit(MAX_WORD_CHARS + 1))).alias("at"),
-            F.when(best.isNull(), F.lit(None)).otherwise(F.concat(state["ids"], F.array(best["id"]))).alias("ids"),
-            F.when(best.isNull(), F.lit(None)).otherwise(F.concat(state["lens"], F.array(best["n"]))).alias("lens"),
+    starts = F.explode_outer(F.when(needs_spans, F.sequence(F.lit(1), size)))
+    cut = base.select(*keys, "__whole", starts.alias("start"))
+    span_lengths = F.sequence(F.lit(1), F.least(size - F.col("start") + 1, F.lit(longest)))
+    cut = cut.select(*keys, "__whole", "start", F.explode_outer(span_lengths).alias("n"))
+    prefix = F.when(F.col("start") > 1, CONTINUATION).otherwise("")
+    candidates = cut.withColumn("piece", F.concat(prefix, F.substring("word", F.col("start"), F.col("n"))))
+    matched = candidates.join(pieces, "piece", "left")
+    # Length and id in one number: the longest match is a plain maximum.
+    packed = F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("id")
+    best = matched.groupBy(*keys, "__whole", "start").agg(F.max(packed).alias("best"))
+    by_start = F.sort_array(F.collect_list(F.struct("start", "best")))
+    per_word = best.groupBy(*keys, "__whole").agg(by_start.alias("__best"))
+
+    def advance(state: Column, m: Column) -> Column:
+        n = F.shiftright(m["best"], 32).cast("int")
+        piece = m["best"].bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        moved = F.struct(
+            (state["at"] + n).alias("at"),
+            F.concat(state["ids"], F.array(piece)).alias("ids"),
+            F.concat(state["lens"], F.array(n)).alias("lens"),
         )
-        return F.when(state["at"] == start, stepped).otherwise(state)
+        return F.when((state["at"] == m["start"]) & m["best"].isNotNull(), moved).otherwise(state)
 
     no_ints = F.array().cast("array<int>")
     begin = F.struct(F.lit(1).alias("at"), no_ints.alias("ids"), no_ints.alias("lens"))
-    walk = F.aggregate(F.sequence(F.lit(1), size), begin, advance)
-    too_long = size > MAX_WORD_CHARS
-    walked = matched.withColumn("__walk", F.when(F.col("__whole").isNull() & ~too_long & (size >= 1), walk))
+    walk = F.when(F.col("__best")[0]["start"].isNotNull(), F.aggregate("__best", begin, advance))
+    walked = per_word.withColumn("__walk", walk)
+    # A gap leaves the walk short of the end.
+    complete = F.col("__walk.at") == size + 1
     single = F.coalesce(F.col("__whole"), F.lit(unknown))
-    out = [F.coalesce(F.col("__walk.ids"), F.array(single)).alias("ids")]
+    out = [F.when(complete, F.col("__walk.ids")).otherwise(F.array(single)).alias("ids")]
     if lengths:
-        out.append(F.coalesce(F.col("__walk.lens"), F.array(size)).alias("lens"))
+        out.append(F.when(complete, F.col("__walk.lens")).otherwise(F.array(size)).alias("lens"))
     return walked.select(*keys, *out)
 
 
@@ -145,9 +160,10 @@ def _word_pieces(df: DataFrame, words: Column, vocab: DataFrame, id_col: str, st
     if _choose(vocab, strategy) == "lookup":
         return df.withColumn("__words", words).withColumn("__pieces", _lookup(F.col("__words"), vocab, part))
     # One shuffle by row key up front: every later grouping finds its rows in place.
-    keyed = df.select(id_col, words.alias("__words")).repartition(id_col)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.select(id_col, words.alias("__words")).repartition(n, id_col)
     tokens = keyed.select(id_col, F.posexplode("__words").alias("pos", "word"))
-    split = wordpiece(tokens, vocab, carry=(id_col, "pos"), lengths=part == 1)
+    split = wordpiece(tokens, vocab, carry=(id_col, "pos"), lengths=part == 1, cluster=None)
     value = F.col("lens" if part == 1 else "ids")
     ordered = F.sort_array(F.collect_list(F.struct("pos", value.alias("v"))))
     per_row = split.groupBy(id_col).agg(F.transform(ordered, lambda s: s["v"]).alias("__pieces"))

@@ -57,8 +57,11 @@ def merge_vocabularies(dfs: Sequence[DataFrame]) -> DataFrame:
 
 def piece_usage(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """V4: how often each piece would be used when encoding the counted tokens."""
-    totals = counts.groupBy("token").agg(F.sum("frequency").alias("frequency"))
-    ids = wordpiece(totals.select(F.col("token").alias("word"), "frequency"), vocab, carry=("frequency",))
+    # One shuffle by token serves the sum and the splitting.
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = counts.select(F.col("token").alias("word"), "frequency").repartition(n, "word")
+    totals = words.groupBy("word").agg(F.sum("frequency").alias("frequency"))
+    ids = wordpiece(totals, vocab, carry=("frequency",), cluster=None)
     used = (
         ids.select(F.explode("ids").alias("id"), "frequency").groupBy("id").agg(F.sum("frequency").alias("usage"))
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import names, text, vectors
 from tokenloom.operators import corpus, distill, embed, evaluate, pieces, search, vocab
-from tokenloom.session import materialize, scratch_path
+from tokenloom.session import materialize, scratch_path, spread_small
 from tokenloom.sources import shards
 from tokenloom.sources.catalog import Catalog
 from tokenloom.streaming import streams
@@ -48,7 +48,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread_small(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,7 +392,7 @@ def _letter_teacher() -> embed.EmbedFn:
 
 @query
 def embed_corpus_e3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    rows = spread_small(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     out = embed.embed_corpus(rows, _letter_teacher, 4, piece_table(spark, sf_dir), BATCH, CUT_PIECES)
     parts = [F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(4)]
     return out.select("doc_id", "lang", "text", *parts)

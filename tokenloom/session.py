@@ -56,3 +56,20 @@ def fits_broadcast(df: DataFrame, row_bytes: int, limit: int | None = None) -> b
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataFrame:
     """Broadcast hint behind a size check; without it the join shuffles both sides."""
     return F.broadcast(df) if fits_broadcast(df, row_bytes, limit) else df
+
+
+#: Inputs below this size are spread over the cores even if they sit in one file.
+SMALL_INPUT_BYTES = 128 * 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores.
+
+    A file with one row group is read by one task, whatever the cluster. Past
+    the bound there are enough row groups, and a shuffle of the text would cost
+    more than it brings: the rows then stay where they were read.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
