@@ -18,8 +18,6 @@ from tokenloom.operators.corpus import limit_batches as first_batches
 from tokenloom.operators.pieces import CONTINUATION, encode_ids, truncate_pieces, wordpiece
 from tokenloom.session import MAX_BROADCAST_BYTES, fits_broadcast
 
-#: Vector elements gathered at once; bounds the memory of a Python worker.
-GATHER_ELEMENTS = 4_000_000
 #: Copies of the weight table in the shuffled route; a hot id is spread over this many tasks.
 SALTS = 32
 
@@ -91,20 +89,19 @@ def init_weights(aligned: DataFrame, old_weights: DataFrame) -> DataFrame:
 def _mean_rows(ids: pa.Array, keys: np.ndarray, matrix: np.ndarray) -> pa.Array:
     """Per list of ids the mean of their rows; ids without a row do not count."""
     offsets = ids.offsets.to_numpy()
+    offsets = offsets - offsets[0]
     flat = ids.flatten().to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
     at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
     known = keys[at] == flat
-    owner, at = owner[known], at[known]
+    if not known.all():
+        offsets = np.concatenate([[0], np.cumsum(known)])[offsets]
+        at = at[known]
     out = np.zeros((len(ids), matrix.shape[1]))
-    step = max(1, GATHER_ELEMENTS // matrix.shape[1])
-    for begin in range(0, len(at), step):
-        part = owner[begin : begin + step]
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        sums = np.add.reduceat(matrix[at[begin : begin + step]].astype(np.float64), first, axis=0)
-        out[part[first]] += sums
-    counts = np.bincount(owner, minlength=len(ids))
-    return as_lists(out / np.maximum(counts, 1)[:, None])
+    # Row by row: one gather of at most ``max_len`` table rows at a time.
+    for row, (begin, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        if end > begin:
+            out[row] = matrix[at[begin:end]].mean(axis=0, dtype=np.float64)
+    return as_lists(out)
 
 
 def _lookup_means(ids: Column, weights: DataFrame) -> Column:
@@ -115,11 +112,11 @@ def _lookup_means(ids: Column, weights: DataFrame) -> Column:
     matrix = as_matrix(table.column("vec").combine_chunks()).astype(np.float32)
     shared = weights.sparkSession.sparkContext.broadcast((keys[order], matrix[order]))
 
-    @F.arrow_udf("array<double>")
     def mean(batch: pa.Array) -> pa.Array:
         return _mean_rows(batch, *shared.value)
 
-    return mean(ids)
+    # Declared non-deterministic so that the planner never evaluates it twice.
+    return F.arrow_udf(mean, "array<double>").asNondeterministic()(ids)
 
 
 def pool_ids(df: DataFrame, weights: DataFrame, id_col: str = "doc_id", strategy: str = "auto") -> DataFrame:

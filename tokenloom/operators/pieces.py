@@ -28,6 +28,8 @@ MAX_WORD_CHARS = 100
 
 #: Bytes one vocabulary entry takes as a hash-table entry in a Python worker.
 PIECE_BYTES = 256
+#: Split words a task remembers.
+SEEN_WORDS = 1_000_000
 
 
 def _vocabulary_facts(vocab: DataFrame) -> tuple[int, int]:
@@ -127,24 +129,52 @@ def split_word(word: str, pieces: dict[str, int], unknown: int, longest: int) ->
     return found or [(unknown, len(word))]
 
 
-def _lookup(words: Column, vocab: DataFrame, part: int) -> Column:
-    """Per word the ids (part 0) or piece lengths (part 1), by a size-checked broadcast."""
+def _lookup(words: Column, vocab: DataFrame, part: int, max_len: int | None = None) -> Column:
+    """Pieces of a row's words, from a size-checked broadcast of the vocabulary.
+
+    Part 0 gives one list of at most ``max_len`` ids per row; part 1 one list of
+    piece lengths per word.
+    """
     unknown, longest = _vocabulary_facts(vocab)
     rows = vocab.select("piece", F.col("id").cast("int")).collect()
     shared = vocab.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows})
-
-    @F.arrow_udf("array<array<int>>")
-    def encode(batch: pa.Array) -> pa.Array:
+    seen: dict[str, list[int]] = {}
+
+    def known(word: str) -> list[int]:
+        found = seen.get(word)
+        if found is None:
+            if len(seen) >= SEEN_WORDS:
+                seen.clear()
+            found = seen[word] = [piece[part] for piece in split_word(word, shared.value, unknown, longest)]
+        return found
+
+    def per_word(batch: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """One list per word, and where each row's words begin."""
         coded = batch.flatten().dictionary_encode()
-        split = [split_word(w, shared.value, unknown, longest) for w in coded.dictionary.to_pylist()]
-        sizes = np.fromiter((len(s) for s in split), dtype=np.int32, count=len(split))
-        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        values = pa.array([piece[part] for s in split for piece in s], type=pa.int32())
-        per_word = pa.ListArray.from_arrays(pa.array(bounds), values).take(coded.indices)
+        split = [known(w) for w in coded.dictionary.to_pylist()]
+        bounds = np.cumsum([0, *map(len, split)], dtype=np.int32)
+        values = pa.array([v for s in split for v in s], type=pa.int32())
         offsets = batch.offsets.to_numpy()
-        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), per_word)
+        return pa.ListArray.from_arrays(pa.array(bounds), values).take(coded.indices), offsets - offsets[0]
+
+    def ids(batch: pa.Array) -> pa.Array:
+        lists, rows_at = per_word(batch)
+        starts = lists.offsets.to_numpy()[rows_at]
+        sizes = np.diff(starts)
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        place = np.arange(len(flat)) - np.repeat(starts[:-1], sizes)
+        flat, sizes = flat[place < max_len], np.minimum(sizes, max_len)
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, type=pa.int32()))
+
+    def lengths(batch: pa.Array) -> pa.Array:
+        lists, rows_at = per_word(batch)
+        return pa.ListArray.from_arrays(pa.array(rows_at), lists)
 
-    return encode(words)
+    # Declared non-deterministic so that the planner never evaluates it twice.
+    if part == 0:
+        return F.arrow_udf(ids, "array<int>").asNondeterministic()(words)
+    return F.arrow_udf(lengths, "array<array<int>>").asNondeterministic()(words)
 
 
 def _choose(vocab: DataFrame, strategy: str) -> str:
@@ -155,21 +185,24 @@ def _choose(vocab: DataFrame, strategy: str) -> str:
     return strategy
 
 
-def _word_pieces(df: DataFrame, words: Column, vocab: DataFrame, id_col: str, strategy: str, part: int) -> DataFrame:
-    """Add ``__pieces``: one array per word of the row."""
-    if _choose(vocab, strategy) == "lookup":
-        return df.withColumn("__words", words).withColumn("__pieces", _lookup(F.col("__words"), vocab, part))
+def _joined_pieces(df: DataFrame, words: Column, vocab: DataFrame, id_col: str, part: int) -> DataFrame:
+    """Add ``__pieces``, one list per word of the row, by joins."""
     # One shuffle by row key up front: every later grouping finds its rows in place.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.select(id_col, words.alias("__words")).repartition(n, id_col)
-    tokens = keyed.select(id_col, F.posexplode("__words").alias("pos", "word"))
+    # Outer, or the planner would add a filter on the words and compute them twice.
+    tokens = keyed.select(id_col, F.posexplode_outer("__words").alias("pos", "word"))
     split = wordpiece(tokens, vocab, carry=(id_col, "pos"), lengths=part == 1, cluster=None)
-    value = F.col("lens" if part == 1 else "ids")
-    ordered = F.sort_array(F.collect_list(F.struct("pos", value.alias("v"))))
+    value = F.when(F.col("pos").isNotNull(), F.struct("pos", F.col("lens" if part == 1 else "ids").alias("v")))
+    ordered = F.sort_array(F.collect_list(value))
     per_row = split.groupBy(id_col).agg(F.transform(ordered, lambda s: s["v"]).alias("__pieces"))
     none = F.array().cast("array<array<int>>")
-    joined = df.withColumn("__words", words).join(per_row, id_col, "left")
-    return joined.withColumn("__pieces", F.coalesce("__pieces", none))
+    return df.join(per_row, id_col, "left").withColumn("__pieces", F.coalesce("__pieces", none))
+
+
+def _head(text: Column, n: int) -> Column:
+    """A cut that keeps the first ``n`` pre-tokens whole; only long texts are worth cutting."""
+    return F.when(F.length(text) > 8 * n, truncate_words(text, n)).otherwise(F.coalesce(text, F.lit("")))
 
 
 def encode_ids(
@@ -184,9 +217,12 @@ def encode_ids(
 
     Every word gives at least one id, so words past ``max_len`` are never looked at.
     """
-    words = F.slice(pretokenize(truncate_words(F.col(text_col), max_len)), 1, max_len)
-    pieces = _word_pieces(df, words, vocab, id_col, strategy, part=0)
-    return pieces.withColumn("ids", F.slice(F.flatten("__pieces"), 1, max_len)).drop("__words", "__pieces")
+    headed = df.withColumn("__head", _head(F.col(text_col), max_len))
+    words = F.slice(pretokenize(F.col("__head")), 1, max_len)
+    if _choose(vocab, strategy) == "lookup":
+        return headed.withColumn("ids", _lookup(words, vocab, 0, max_len)).drop("__head")
+    pieces = _joined_pieces(headed, words, vocab, id_col, part=0)
+    return pieces.withColumn("ids", F.slice(F.flatten("__pieces"), 1, max_len)).drop("__head", "__pieces")
 
 
 def truncate_pieces(
@@ -206,8 +242,13 @@ def truncate_pieces(
     room = max_length - n_special
     if room < 1:
         raise ValueError("max_length leaves no room for text")
-    head = truncate_words(F.col(text_col), room)
-    pieces = _word_pieces(df, pretokenize(head), vocab, id_col, strategy, part=1)
+    head = F.col("__head")
+    headed = df.withColumn("__head", truncate_words(F.col(text_col), room))
+    headed = headed.withColumn("__words", pretokenize(head))
+    if _choose(vocab, strategy) == "lookup":
+        pieces = headed.withColumn("__pieces", _lookup(F.col("__words"), vocab, 1))
+    else:
+        pieces = _joined_pieces(headed, F.col("__words"), vocab, id_col, part=1)
     words = F.arrays_zip(
         raw_tokens(head).alias("raw"), F.col("__words").alias("word"), F.col("__pieces").alias("lens")
     )
@@ -232,5 +273,5 @@ def truncate_pieces(
         pieces.withColumn("__zipped", words)
         .withColumn("__end", end)
         .withColumn(text_col, F.coalesce(cut, F.lit("")))
-        .drop("__words", "__pieces", "__zipped", "__end")
+        .drop("__head", "__words", "__pieces", "__zipped", "__end")
     )
