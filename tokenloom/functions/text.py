@@ -32,8 +32,8 @@ _CJK = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in CJK_BLOCKS)
 _SPACE = "\\t\\n\\r\\p{Z}"
 # Characters past ASCII that are a token of their own.
 _SINGLE = f"\\p{{P}}{_CJK}"
-# Characters that normalisation deletes (tab, newline and return become blanks instead).
-_DROPPED = "\\p{Cc}\\p{Cf}\\p{Co}\\p{Mn}\\x{FFFD}"
+# Deleted by normalisation, but too many to list one by one.
+_PRIVATE = "\\x{E000}-\\x{F8FF}\\x{F0000}-\\x{10FFFF}"
 
 
 def _beyond_ascii(inside: str) -> str:
@@ -81,6 +81,30 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
     return "".join(source) + "Σ", "".join(target) + "σ", longer
 
 
+@cache
+def _deleted() -> str:
+    """The characters that normalisation deletes, from the Unicode tables (private use aside)."""
+    kinds = {"Cc", "Cf", "Mn"}
+    found = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in kinds]
+    return "".join(c for c in found if c not in "\t\n\r") + "�"
+
+
+@cache
+def _dropped() -> str:
+    """The deleted characters past ASCII as ranges of a regex class.
+
+    The same table as the folding uses: the regex engine knows another Unicode version.
+    """
+    codes = sorted(ord(c) for c in _deleted() if ord(c) > 0x7F)
+    ranges: list[list[int]] = []
+    for code in codes:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return _PRIVATE + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges)
+
+
 @cache
 def _symbol_lookalikes() -> str:
     """Characters that decompose into an ASCII symbol and so become punctuation."""
@@ -94,7 +118,7 @@ def _raw_token_pattern() -> str:
     Deleted characters may follow inside a word but cannot make up a word alone.
     """
     single = _SINGLE + _symbol_lookalikes()
-    first = _beyond_ascii(f"^{_SPACE}{single}{_DROPPED}")
+    first = _beyond_ascii(f"^{_SPACE}{single}{_dropped()}")
     later = _beyond_ascii(f"^{_SPACE}{single}")
     ascii_controls = "\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F"
     letters = _ASCII_WORD + _ASCII_WORD[:26].upper()
@@ -103,7 +127,8 @@ def _raw_token_pattern() -> str:
 
 def _lead_pattern() -> str:
     """Whatever may stand in front of a raw token: white space and deleted characters."""
-    return f"[\\p{{Z}}{_DROPPED}]*+"
+    inside = "\\p{Z}" + _dropped()
+    return f"[\\x00-\\x20\\x7F{_beyond_ascii(inside)}]*+"
 
 
 def strip_space(col: Column) -> Column:
@@ -138,7 +163,7 @@ def _rare_ranges() -> str:
 
 
 def _take_apart(col: Column) -> Column:
-    """Hangul syllables and other one-to-many decompositions, for the texts that have any."""
+    """Hangul syllables, other one-to-many decompositions and private use, for the texts that have any."""
     longer = _decompositions()[2]
     table = F.create_map(*[F.lit(part) for pair in longer.items() for part in pair])
 
@@ -146,15 +171,17 @@ def _take_apart(col: Column) -> Column:
         several = F.coalesce(F.try_element_at(table, ch), ch)
         return F.when(ch.rlike("[\\x{AC00}-\\x{D7A3}]"), _hangul(ch)).otherwise(several)
 
-    parts = F.array_join(F.transform(F.split(col, ""), one), "")
-    return F.when(col.rlike(_beyond_ascii(_rare_ranges())), parts).otherwise(col)
+    parts = F.array_join(F.transform(F.split(F.regexp_replace(col, f"[{_PRIVATE}]", ""), ""), one), "")
+    return F.when(col.rlike(_beyond_ascii(_rare_ranges() + _PRIVATE)), parts).otherwise(col)
 
 
 def _fold(text: Column) -> Column:
-    """Deleted characters removed, accents stripped, lower case. White space is left as it is."""
+    """Deleted characters removed, accents stripped, lower case. White space is left as it is.
+
+    One character table does both: characters without a counterpart vanish.
+    """
     source, target, _ = _decompositions()
-    dropped = f"[[^\\x20-\\x7E\\t\\n\\r]&&[{_DROPPED}]]"
-    return F.lower(F.translate(F.regexp_replace(_take_apart(text), dropped, ""), source, target))
+    return F.lower(F.translate(_take_apart(text), source + _deleted(), target))
 
 
 def bert_normalize(col: Column) -> Column:
