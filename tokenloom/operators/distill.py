@@ -57,23 +57,32 @@ def contrastive_rows(
         F.col(batch_col).alias("batch"), F.col(id_col).alias("id"), F.col(student).alias("s"), F.col(teacher).alias("t")
     ).join(blocks.withColumnRenamed(batch_col, "batch"), "batch")
     own = F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
-    left = rows.select("batch", "id", "s", own.alias("i"), others.alias("j"))
-    # New names: both sides come from the same rows.
-    right = rows.select(
-        F.col("batch").alias("t_batch"), F.col("id").alias("t_id"), "t", own.alias("t_j"), others.alias("t_i")
+    every = F.sequence(F.lit(0), F.col("__blocks") - 1)
+
+    # A row is a student in row ``own`` of the grid of blocks and a teacher in
+    # column ``own``. Where they cross it is both: one block costs one copy.
+    def cells(k: Column) -> Column:
+        as_student = F.struct(own.alias("i"), k.alias("j"), F.lit(True).alias("learns"), (k == own).alias("teaches"))
+        as_teacher = F.struct(k.alias("i"), own.alias("j"), F.lit(False).alias("learns"), F.lit(True).alias("teaches"))
+        return F.when(k == own, F.array(as_student)).otherwise(F.array(as_student, as_teacher))
+
+    placed = rows.select("batch", "id", "s", "t", F.inline(F.flatten(F.transform(every, cells))))
+    sent = placed.select(
+        "batch", "i", "j", "id", F.when(F.col("learns"), F.col("s")).alias("s"), F.when(F.col("teaches"), F.col("t")).alias("t")
     )
     id_type = pairs.schema[id_col].dataType.simpleString()
     batch_type = pairs.schema[batch_col].dataType.simpleString()
     schema = f"batch {batch_type}, id {id_type}, total double, expected array<double>, own double"
 
-    def cell(students: pa.Table, teachers: pa.Table) -> pa.Table:
+    def cell(table: pa.Table) -> pa.Table:
+        students = table.filter(table.column("s").is_valid())
+        teachers = table.filter(table.column("t").is_valid())
         x = unit_rows(as_matrix(students.column("s").combine_chunks()))
         y = as_matrix(teachers.column("t").combine_chunks())
         y = unit_rows(y[:, : x.shape[1]]) if len(y) else np.zeros((0, x.shape[1]))
         sim = x @ y.T / tau
         weight = np.exp(sim - 1 / tau)
-        at = {v: n for n, v in enumerate(teachers.column("t_id").to_pylist())}
+        at = {v: n for n, v in enumerate(teachers.column("id").to_pylist())}
         partner = [at.get(v) for v in students.column("id").to_pylist()]
         own_sim = [None if p is None else float(sim[n, p]) for n, p in enumerate(partner)]
         return pa.table(
@@ -86,9 +95,7 @@ def contrastive_rows(
             }
         )
 
-    parts = (
-        left.groupBy("batch", "i", "j").cogroup(right.groupBy("t_batch", "t_i", "t_j")).applyInArrow(cell, schema)
-    )
+    parts = sent.groupBy("batch", "i", "j").applyInArrow(cell, schema)
     merged = parts.groupBy("batch", "id").agg(
         F.sum("total").alias("total"),
         vector_to_array(Summarizer.sum(array_to_vector("expected"))).alias("expected"),

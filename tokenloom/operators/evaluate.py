@@ -10,28 +10,32 @@ from pyspark.sql import functions as F
 from tokenloom.functions.vectors import cosine
 from tokenloom.operators.ordering import running_position
 from tokenloom.operators.search import nearest_k
+from tokenloom.session import materialize
 
 
-def _average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Add the average rank of each value.
+def _average_ranks(compact: DataFrame, column: str, name: str) -> DataFrame:
+    """The average rank of each value of ``column``, for rows that stand for ``__w`` rows each.
 
-    Ranks the distinct values, each weighted by its count: repeated scores are
-    one row, and the values are numbered range by range, not in one task.
+    Ranks the distinct values, each weighted by its count: the values are
+    numbered range by range, not in one task.
     """
-    counts = df.groupBy(column).agg(F.count("*").alias("__n"))
+    counts = compact.groupBy(column).agg(F.sum("__w").alias("__n"))
     placed = running_position(counts, column, weight="__n", name="__before")
     rank = F.col("__before") + (F.col("__n") + 1) / 2
     return placed.select(column, rank.alias(name))
 
 
 def sts_correlation(pairs: DataFrame, score_col: str = "score", gold_col: str = "gold") -> DataFrame:
-    """M1: Pearson and Spearman correlation of two columns, in one row."""
-    compact = pairs.groupBy(score_col, gold_col).agg(F.count("*").alias("__w"))
-    # Correlations of weighted rows from sums: a repeated pair is one row.
+    """M1: Pearson and Spearman correlation of two columns, in one row.
+
+    Equal pairs are counted first, so a value that most rows share is a few
+    rows in the joins. The counts are stored: ranking reads them several times,
+    and the scores behind them may be costly.
+    """
+    compact = materialize(pairs.groupBy(score_col, gold_col).agg(F.count("*").alias("__w")), "scores")
     ranked = compact
     for column, name in ((score_col, "__rank_score"), (gold_col, "__rank_gold")):
-        ranks = _average_ranks(pairs, column, name)
-        ranked = ranked.join(ranks, column)
+        ranked = ranked.join(_average_ranks(compact, column, name), column)
 
     def weighted_corr(x: str, y: str, mean_x: float, mean_y: float):
         dx, dy = F.col(x).cast("double") - mean_x, F.col(y).cast("double") - mean_y

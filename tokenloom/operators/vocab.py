@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import pretokenize
-from tokenloom.operators.pieces import UNKNOWN, wordpiece
+from tokenloom.operators.pieces import wordpiece
+from tokenloom.session import materialize
 
 #: Pieces that pruning keeps.
 SPECIAL_PIECES = ("[UNK]", "[PAD]")
@@ -57,11 +58,8 @@ def merge_vocabularies(dfs: Sequence[DataFrame]) -> DataFrame:
 
 def piece_usage(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """V4: how often each piece would be used when encoding the counted tokens."""
-    # One shuffle by token serves the sum and the splitting.
-    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = counts.select(F.col("token").alias("word"), "frequency").repartition(n, "word")
-    totals = words.groupBy("word").agg(F.sum("frequency").alias("frequency"))
-    ids = wordpiece(totals, vocab, carry=("frequency",), cluster=None)
+    totals = counts.groupBy(F.col("token").alias("word")).agg(F.sum("frequency").alias("frequency"))
+    ids = wordpiece(totals, vocab, carry=("frequency",))
     used = (
         ids.select(F.explode("ids").alias("id"), "frequency").groupBy("id").agg(F.sum("frequency").alias("usage"))
     )
@@ -123,7 +121,8 @@ def expand_vocab(
 ) -> DataFrame:
     """V7: prune rare pieces (only if ``min_freq`` is positive), then add frequent tokens."""
     if min_freq > 0:
-        vocab = prune_vocab(vocab, piece_usage(counts, vocab), min_freq)
+        # Stored: adding tokens looks at the pruned table several times.
+        vocab = materialize(prune_vocab(vocab, piece_usage(counts, vocab), min_freq), "pruned")
     return add_top_tokens(vocab, counts, new_size, filter_numbers)
 
 
@@ -136,7 +135,6 @@ def lowercase_vocab(vocab: DataFrame, specials: Sequence[str] = SPECIAL_PIECES)
 
 __all__ = [
     "SPECIAL_PIECES",
-    "UNKNOWN",
     "add_top_tokens",
     "document_frequency",
     "expand_vocab",

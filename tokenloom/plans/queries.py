@@ -84,7 +84,7 @@ def piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         chars = counts.select(F.explode(F.split("token", "")).alias("c")).filter(F.col("c") != LEFT_OUT).distinct()
         plain = chars.select(F.lit(1).alias("kind"), F.col("c").alias("piece"))
         inner = chars.select(F.lit(2).alias("kind"), F.concat(F.lit("##"), F.col("c")).alias("piece"))
-        unknown = counts.limit(1).select(F.lit(0).alias("kind"), F.lit("[UNK]").alias("piece"))
+        unknown = spark.range(1).select(F.lit(0).alias("kind"), F.lit("[UNK]").alias("piece"))
         # Two thousand words and the characters in use: a small table, numbered in one window.
         order = Window.orderBy("kind", "piece")
         every = unknown.union(plain).union(inner).union(top)
