@@ -80,7 +80,7 @@ def align_vocab(
 
 def init_weights(aligned: DataFrame, old_weights: DataFrame) -> DataFrame:
     """A vector per new piece: the mean of its old pieces' vectors."""
-    ids = aligned.select("id", F.explode("ids").alias("old_id"))
+    ids = aligned.select("id", F.explode_outer("ids").alias("old_id"))
     old = old_weights.select(F.col("id").alias("old_id"), array_to_vector("vec").alias("__vec"))
     mean = Summarizer.mean(F.col("__vec"))
     return ids.join(old, "old_id").groupBy("id").agg(vector_to_array(mean).alias("vec"))
@@ -136,7 +136,7 @@ def pool_ids(df: DataFrame, weights: DataFrame, id_col: str = "doc_id", strategy
     if strategy != "join":
         raise ValueError(f"unknown strategy {strategy!r}: use 'auto', 'lookup' or 'join'")
     counts = (
-        df.select(id_col, F.explode("ids").alias("id"))
+        df.select(id_col, F.explode_outer("ids").alias("id"))
         .groupBy(id_col, "id")
         .agg(F.count("*").cast("double").alias("n"))
         .withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))

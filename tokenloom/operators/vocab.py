@@ -37,7 +37,7 @@ def vocabulary_table(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     Sorting a row's tokens lets each one see whether it repeats its neighbour.
     """
-    rows = df.select(F.array_sort(pretokenize(F.col(text_col))).alias("__sorted"))
+    rows = df.select(F.sort_array(pretokenize(F.col(text_col))).alias("__sorted"))
 
     def flagged(token: Column, i: Column) -> Column:
         first = (i == 0) | (F.get("__sorted", i - 1) != token)
@@ -60,8 +60,9 @@ def piece_usage(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """V4: how often each piece would be used when encoding the counted tokens."""
     totals = counts.groupBy(F.col("token").alias("word")).agg(F.sum("frequency").alias("frequency"))
     ids = wordpiece(totals, vocab, carry=("frequency",))
+    # Outer: a plain explode adds a filter on the ids that would run the splitting again.
     used = (
-        ids.select(F.explode("ids").alias("id"), "frequency").groupBy("id").agg(F.sum("frequency").alias("usage"))
+        ids.select(F.explode_outer("ids").alias("id"), "frequency").groupBy("id").agg(F.sum("frequency").alias("usage"))
     )
     return vocab.select("piece", "id").join(used, "id", "left").select(
         "piece", "id", F.coalesce("usage", F.lit(0)).cast("bigint").alias("usage")

@@ -335,7 +335,8 @@ def document_frequency_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    others = [vocab.token_counts(_table(spark, sf_dir, t), ordered=False) for t in ("benchmark", "conversations")]
+    tables = [spread_small(_table(spark, sf_dir, t).select("text")) for t in ("benchmark", "conversations")]
+    others = [vocab.token_counts(t, ordered=False) for t in tables]
     return vocab.merge_vocabularies([counts_table(spark, sf_dir), *others])
 
 
