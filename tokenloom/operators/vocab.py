@@ -59,7 +59,9 @@ def merge_vocabularies(dfs: Sequence[DataFrame]) -> DataFrame:
 def piece_usage(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """V4: how often each piece would be used when encoding the counted tokens."""
     totals = counts.groupBy(F.col("token").alias("word")).agg(F.sum("frequency").alias("frequency"))
-    ids = wordpiece(totals, vocab, carry=("frequency",))
+    # Clustered by both columns: by the word alone the sum's own shuffle would do, and a
+    # small one is merged into few tasks although splitting multiplies its rows.
+    ids = wordpiece(totals, vocab, carry=("frequency",), cluster=("word", "frequency"))
     # Outer: a plain explode adds a filter on the ids that would run the splitting again.
     used = (
         ids.select(F.explode_outer("ids").alias("id"), "frequency").groupBy("id").agg(F.sum("frequency").alias("usage"))
