@@ -26,21 +26,21 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")
 
 
-def without(df: DataFrame, names: list[str]) -> list[str]:
-    """The columns of ``df`` that do not clash with ``names`` (case is ignored, as Spark does)."""
-    taken = {n.lower() for n in names}
-    return [c for c in df.columns if c.lower() not in taken]
+def inputs(n: int) -> list[str]:
+    """Internal names of packed input columns."""
+    return [f"in_{i}" for i in range(n)]
 
 
 def pack(df: DataFrame, **computed: Column) -> DataFrame:
-    """The whole input row as one struct ``row`` beside the computed columns: no name can clash."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[v.alias(k) for k, v in computed.items()])
+    """The input columns under internal names beside the computed ones: no name can clash, unused ones are pruned."""
+    own = [F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, inputs(len(df.columns)), strict=True)]
+    return df.select(*own, *[v.alias(k) for k, v in computed.items()])
 
 
 def unpack(df: DataFrame, names: list[str], **computed: Column) -> DataFrame:
-    """The packed row's columns, then the computed ones, which replace columns of the same name."""
+    """The packed columns under their names, then the computed ones, which replace columns of the same name."""
     taken = {n.lower() for n in computed}
-    kept = [F.col(f"row.`{c}`").alias(c) for c in names if c.lower() not in taken]
+    kept = [F.col(n).alias(c) for c, n in zip(names, inputs(len(names)), strict=True) if c.lower() not in taken]
     return df.select(*kept, *[v.alias(k) for k, v in computed.items()])
 
 

@@ -14,7 +14,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import ascii_lower, pack, unpack
+from tokenloom.llm.common import ascii_lower, inputs, pack, unpack
 from tokenloom.session import materialize
 
 WIDTH = 10
@@ -148,7 +148,7 @@ def find_benchmark(
             frame = materialize(frame, "scanned")
     places = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["i"], x["i"] + x["length"] - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
-    found = frame.select("row", "tokens", "hits", F.size(places).cast("long").alias("n_hit"), items.alias("items"))
+    found = frame.select(*inputs(len(names)), "tokens", "hits", F.size(places).cast("long").alias("n_hit"), items.alias("items"))
     return unpack(
         found,
         names,

@@ -55,7 +55,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sal
         shared = by_digest.where("texts > 1").select("digest")
         apart = materialize(groups.join(shared, "digest", "left_semi"), "shared-digests")
         again = joined.where("texts > 1").drop("texts", "keep_id", "group_size")
-        again = again.withColumn("norm", ascii_lower(F.col(f"row.`{text}`"))).join(apart, ["digest", "norm"]).drop("norm")
+        again = again.withColumn("norm", ascii_lower(F.col(f"in_{docs.columns.index(text)}"))).join(apart, ["digest", "norm"]).drop("norm")
         joined = joined.where("texts = 1").drop("texts").unionByName(again)
     return unpack(
         joined,
