@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import arc_warc, decontaminate, exact_dedup, mixing, parse_language, pii_semicrf, zstd_quality
+from tokenloom.llm import arc_warc, context_tree, decontaminate, exact_dedup, html_cut, mixing, parse_language, pii_semicrf, zstd_quality
 from tokenloom.llm.common import crc_mod
 
 
@@ -29,6 +29,18 @@ def op2_parse_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 5) == 1
+    scored = context_tree.score_texts(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op4_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_cut.extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
@@ -104,6 +116,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_semicrf": op1_pii_semicrf,
         "op2_parse_language": op2_parse_language,
+        "op3_context_tree": op3_context_tree,
+        "op4_html_cut": op4_html_cut,
         "op5_decontaminate": op5_decontaminate,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_mixing": op8_mixing,
