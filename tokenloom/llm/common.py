@@ -21,6 +21,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
+def once(value: Column) -> Column:
+    """``value``, marked as not to be copied: the planner then works it out in one place and pushes no filter through it."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")

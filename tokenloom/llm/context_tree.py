@@ -379,7 +379,7 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", keep: tuple[
             )
         return pa.concat_arrays(outs) if outs else pa.array([], result)
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], scored(F.col(text)).alias("__s")).withColumn("__row", F.monotonically_increasing_id())
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], scored.asNondeterministic()(F.col(text)).alias("__s")).withColumn("__row", F.monotonically_increasing_id())
     rows = materialize(rows, "scored")
     rare = rows.select("__row", F.explode("__s.rare").alias("key")).groupBy("__row", "key").agg(F.count(F.lit(1)).alias("times"))
     joined = rare.join(words.where(F.col("n") < least), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -14,7 +14,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import ascii_lower, inputs, pack, unpack
+from tokenloom.llm.common import ascii_lower, inputs, once, pack, unpack
 from tokenloom.session import materialize
 
 WIDTH = 10
@@ -137,13 +137,13 @@ def find_benchmark(
     )
     n = windows.count()
     blocks = max(1, -(-n // block_windows))
-    frame = pack(docs, tokens=words(F.col(text))).withColumn("hashes", F.transform("tokens", lambda x: F.xxhash64(x)))
+    frame = pack(docs, tokens=once(words(F.col(text)))).withColumn("hashes", once(F.transform("tokens", lambda x: F.xxhash64(x))))
     frame = frame.withColumn("hits", F.array().cast("array<struct<i:int,length:int,items:array<string>>>"))
     for k in range(blocks):
         rows = windows.where(F.pmod("h", F.lit(blocks)) == k).collect() if n else []
         for length in sorted({r["length"] for r in rows}):
             same = [r for r in rows if r["length"] == length]
-            frame = frame.withColumn("hits", F.concat("hits", hits_of(F.col("tokens"), F.col("hashes"), length, same)))
+            frame = frame.withColumn("hits", once(F.concat("hits", hits_of(F.col("tokens"), F.col("hashes"), length, same))))
         if blocks > 1:
             frame = materialize(frame, "scanned")
     places = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["i"], x["i"] + x["length"] - 1))))

@@ -332,7 +332,7 @@ def text_column(html: Column, weights: np.ndarray) -> Column:
     def extracted(column: pa.Array) -> pa.Array:
         return pa.array([main_text(p, weights) if p else "" for p in column.to_pylist()], pa.string())
 
-    return extracted(html)
+    return extracted.asNondeterministic()(html)
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", page_id: str = "page_id") -> DataFrame:

@@ -209,7 +209,7 @@ def predict_language(docs: DataFrame, usable: Column) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], fields=list(kind))
 
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    found = docs.select(*rest, has_letter.alias("__letter"), predicted(F.col("text")).alias("__found"))
+    found = docs.select(*rest, has_letter.alias("__letter"), predicted.asNondeterministic()(F.col("text")).alias("__found"))
     return found.select(
         *rest,
         F.when(F.col("__letter"), F.col("__found.lang")).otherwise(F.lit(UNDETERMINED)).alias("lang_pred"),

@@ -335,7 +335,7 @@ def span_column(text: Column, weights: dict[str, list[float]]) -> Column:
         ]
         return pa.array(rows, kind)
 
-    return spans(text)
+    return spans.asNondeterministic()(text)
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import arc_warc, context_tree, decontaminate, exact_dedup, html_cut, mixing, parse_language, pii_semicrf, zstd_quality
+from tokenloom.llm import arc_warc, context_tree, decontaminate, exact_dedup, html_cut, jaccard_join, mixing, parse_language, pii_semicrf, zstd_quality
 from tokenloom.llm.common import crc_mod
 
 
@@ -53,6 +53,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_groups(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -120,6 +125,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html_cut": op4_html_cut,
         "op5_decontaminate": op5_decontaminate,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_mixing": op8_mixing,
         "op9_arc_warc": op9_arc_warc,
         "op10_zstd_quality": op10_zstd_quality,

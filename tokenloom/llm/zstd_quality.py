@@ -125,7 +125,7 @@ def quality_score(text: Column, model: dict) -> Column:
         w = np.asarray(model["weights"])
         return pa.array(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))))
 
-    return score(text)
+    return score.asNondeterministic()(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, usable: Column, threshold: float = THRESHOLD) -> DataFrame:
