@@ -55,6 +55,8 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        # The test tables are single files of one row group, which one task would read.
+        .config("tokenloom.inputPartitions", cpus)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

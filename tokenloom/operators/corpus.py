@@ -9,10 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import strip_space
-from tokenloom.operators.ordering import running_position
-
-#: Up to this many rows a plain top-n is kept; beyond it rows are numbered range by range.
-TOP_N_ROWS = 1_000_000
+from tokenloom.operators.ordering import first_rows, running_position
 
 
 def text_field(df: DataFrame, column: str) -> DataFrame:
@@ -56,12 +53,11 @@ def rename_and_prune(df: DataFrame, mapping: Mapping[str, str], keep: Sequence[s
 
 
 def limit_batches(df: DataFrame, n: int, batch_size: int, order_col: str) -> DataFrame:
-    """The rows of the first ``n`` batches; at least one batch is always processed."""
-    rows = max(1, n) * batch_size
-    if rows <= TOP_N_ROWS:
-        return df.orderBy(order_col).limit(rows)
-    numbered = running_position(df, order_col, name="__position")
-    return numbered.filter(F.col("__position") < rows).drop("__position")
+    """The rows of the first ``n`` batches; at least one batch is always processed.
+
+    Counts per value range of the key say which range holds the last row; only that range is sorted.
+    """
+    return first_rows(df, max(1, n) * batch_size, order_col)
 
 
 def assign_batches(df: DataFrame, batch_size: int, order_col: str, name: str = "batch_id") -> DataFrame:

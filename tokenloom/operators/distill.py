@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.vectors import as_lists, as_matrix, cosine, slice_dims, unit_rows
-from tokenloom.operators.corpus import assign_batches
-from tokenloom.operators.embed import pool_ids, vector_length
-from tokenloom.session import materialize
+from tokenloom.operators.embed import pool_ids, release_table, vector_length
+from tokenloom.session import broadcast_if_small, materialize, remove, scratch_path
 
 # Loss names and the temperature of the contrastive loss.
 LOSSES = ("cosine", "distillation_cosine")
@@ -24,14 +23,14 @@ TEMPERATURE = 0.07
 
 #: Rows of one batch that meet in one task; larger batches are split.
 BLOCK_ROWS = 4_096
-#: Gradient rows a task holds before it passes its sums on.
-MAX_HELD_ROWS = 200_000
+#: Bytes of gradient sums a task holds before it passes them on.
+MAX_HELD_BYTES = 128 << 20
 
 
 def select_loss(name: str) -> str:
     """The loss name, or an error that lists the valid ones."""
     if name not in LOSSES:
-        raise ValueError(f"Unknown loss function: {name}, available options are: {list(LOSSES)}")
+        raise ValueError(f"no loss is called {name!r}; choose {' or '.join(LOSSES)}")
     return name
 
 
@@ -52,7 +51,9 @@ def contrastive_rows(
     """
     if 2 / tau > 700:
         raise ValueError(f"tau {tau} is too small for double precision")
+    # A batch may be one huge key: the counts go to the rows, not the rows to the counts, as long as they fit.
     blocks = pairs.groupBy(batch_col).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("__blocks"))
+    blocks = broadcast_if_small(materialize(blocks, "batch-sizes"), 64)
     rows = pairs.select(
         F.col(batch_col).alias("batch"), F.col(id_col).alias("id"), F.col(student).alias("s"), F.col(teacher).alias("t")
     ).join(blocks.withColumnRenamed(batch_col, "batch"), "batch")
@@ -124,12 +125,8 @@ def contrastive_loss(
 
 def matryoshka_dims(dim: int) -> list[int]:
     """Prefix lengths: 16 doubling below half the length, then the length. Up to 16: the length alone."""
-    if dim <= 16:
-        return [dim]
-    dims = [16]
-    while dims[-1] * 2 < dim:
-        dims.append(dims[-1] * 2)
-    return [*dims, dim]
+    # 16 * 2**k < dim for k below log2(dim / 16), which is the bit length of (dim - 1) // 16.
+    return [16 << k for k in range(((dim - 1) // 16).bit_length())] + [dim]
 
 
 def matryoshka_loss(
@@ -261,7 +258,7 @@ def _token_sums(rows: DataFrame) -> DataFrame:
                 sums = np.add.reduceat(grads[owner[part]] * share[owner[part]][:, None], first, axis=0)
                 for token, total in zip(tokens.tolist(), sums):
                     held[token] = held[token] + total if token in held else total
-                if len(held) > MAX_HELD_ROWS:
+                if len(held) * grads.shape[1] * 8 > MAX_HELD_BYTES:
                     yield flush()
         if held:
             yield flush()
@@ -299,12 +296,12 @@ def gradient_step(
 
 @dataclass(frozen=True)
 class FitSettings:
-    """How to fit; the defaults follow the published recipe."""
+    """How to fit. ``steps`` whole-data steps, each from a fixed share ``parts`` of the rows (1: all of them)."""
 
     loss: str = "cosine"
-    epochs: int = 5
-    batch_size: int = 128
-    lr: float = 0.01
+    steps: int = 20
+    parts: int = 1
+    lr: float = 1.0
     warmup: float = 0.1
     floor: float = 0.1
     matryoshka: bool = True
@@ -321,30 +318,35 @@ def fit_weights(
 ) -> DataFrame:
     """Fit the table so that pooled token vectors point the way the teacher's do.
 
-    ``tokens(id_col, ids)`` and ``teacher(id_col, vector_col)`` are joined and
-    put into seeded random batches once. Each step is one job that ends in a
-    written table: a fixed lineage, and a restart point if executors are lost.
-    Running it again from the result, at a lower rate, is the second stage.
+    A handful of large steps instead of many small ones: each reads its share of
+    all rows once, sums gradients inside its tasks and shuffles one row per token and
+    task. Rows are put into shares by a seeded hash of their id, so that no rows need
+    numbering. A step ends in a written table - a fixed lineage, and a restart point
+    if executors are lost - and the table before it is then removed.
     """
     select_loss(settings.loss)
+    spark = weights.sparkSession
     dim = vector_length(weights, "vec")
     dims = matryoshka_dims(dim) if settings.matryoshka else [dim]
     joined = tokens.select(id_col, "ids").join(teacher.select(id_col, F.col(vector_col).alias("teacher")), id_col)
-    keyed = joined.withColumn("__order", F.xxhash64(F.col(id_col), F.lit(settings.seed)))
-    batched = materialize(assign_batches(keyed, settings.batch_size, "__order", "__batch").drop("__order"), "fit-rows")
-    n_rows = batched.count()
-    size = settings.batch_size
-    total = n_rows // size * settings.epochs
-    if total == 0:
-        raise ValueError(f"{n_rows} rows do not fill one batch of {size}")
-    n_batches = -(-n_rows // size)
+    share = F.pmod(F.xxhash64(F.col(id_col), F.lit(settings.seed)), F.lit(settings.parts)).cast("int")
+    rows = materialize(joined.withColumn("__part", share), "fit-rows")
+    sizes = {r["__part"]: r["count"] for r in rows.groupBy("__part").count().collect()}  # a row per share
+    if not sizes:
+        raise ValueError("there are no rows to fit to")
     table = weights.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    for step in range(total):
-        rate = learning_rate(step + 1, total, settings.lr, settings.warmup, settings.floor)
-        batch = step % n_batches
-        rows = batched.filter(F.col("__batch") == batch).drop("__batch")
-        in_batch = min(size, n_rows - batch * size)
-        table = materialize(gradient_step(rows, table, rate, in_batch, settings.loss, dims, id_col), f"fit-step{step}")
+    previous: str | None = None
+    for step in range(settings.steps):
+        part = sorted(sizes)[step % len(sizes)]
+        rate = learning_rate(step + 1, settings.steps, settings.lr, settings.warmup, settings.floor)
+        mine = rows.filter(F.col("__part") == part).drop("__part") if settings.parts > 1 else rows.drop("__part")
+        path = scratch_path(spark, f"fit-step{step}")
+        moved = gradient_step(mine, table, rate, sizes[part], settings.loss, dims, id_col)
+        moved.write.parquet(path)
+        release_table(table)
+        if previous is not None:
+            remove(spark, previous)
+        table, previous = spark.read.schema("id bigint, vec array<double>").parquet(path), path
     return table
 
 
@@ -353,7 +355,7 @@ def fit_two_stages(
     queries: tuple[DataFrame, DataFrame],
     weights: DataFrame,
     first: FitSettings = FitSettings(),
-    second: FitSettings = FitSettings(lr=0.001),
+    second: FitSettings = FitSettings(lr=0.1),
     id_col: str = "doc_id",
     vector_col: str = "embedding",
 ) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -13,19 +15,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions.text import clean_cut
-from tokenloom.functions.vectors import as_lists, as_matrix
+from tokenloom.functions.vectors import as_lists, as_matrix, l2_normalize
 from tokenloom.operators.corpus import limit_batches as first_batches
-from tokenloom.operators.pieces import CONTINUATION, encode_ids, truncate_pieces, wordpiece
-from tokenloom.session import MAX_BROADCAST_BYTES, fits_broadcast
+from tokenloom.operators.pieces import CONTINUATION, encode_ids, split_distinct, truncate_pieces
+from tokenloom.session import MAX_BROADCAST_BYTES, fits_broadcast, require_broadcast
 
 #: Copies of the weight table in the shuffled route; a hot id is spread over this many tasks.
 SALTS = 32
 
 
+EmbedFn = Callable[[list[str]], np.ndarray]
+
+
 def vector_length(df: DataFrame, vector_col: str) -> int | None:
-    """The length of the first vector, ``None`` without rows."""
-    row = df.select(F.size(vector_col).alias("n")).first()
-    return None if row is None else int(row["n"])
+    """The length of the longest vector, ``None`` without rows or with null vectors only."""
+    found = df.agg(F.max(F.size(vector_col)).alias("n")).first()["n"]
+    return int(found) if found is not None and found >= 0 else None
 
 
 def check_dims(a: DataFrame, b: DataFrame, a_col: str = "embedding", b_col: str = "embedding") -> int | None:
@@ -47,12 +52,19 @@ def check_dims(a: DataFrame, b: DataFrame, a_col: str = "embedding", b_col: str
 
 
 def align_vocab(
-    new_vocab: DataFrame, old_vocab: DataFrame, word_prefix: str = "", subword_prefix: str = CONTINUATION
+    new_vocab: DataFrame,
+    old_vocab: DataFrame,
+    word_prefix: str = "",
+    subword_prefix: str = CONTINUATION,
+    special_ids: Sequence[int] = (),
+    special_ends: Sequence[int] = (),
 ) -> DataFrame:
     """For each new piece its ids in the old vocabulary.
 
     Tried in turn: the piece itself, the piece without its prefixes, the
-    encoding of what is left. Result: ``piece, id, ids, match_kind``.
+    encoding of what is left. ``special_ids`` and ``special_ends`` are put before
+    and after an encoding, as a tokeniser with special tokens does. Result:
+    ``piece, id, ids, match_kind``.
     """
 
     def without(col: Column, prefix: str) -> Column:
@@ -67,7 +79,10 @@ def align_vocab(
     matched = new.join(exact, "piece", "left").join(loose, "__stripped", "left")
     rest = matched.filter(F.col("__exact").isNull() & F.col("__loose").isNull())
     words = rest.select(F.col("__stripped").alias("word")).distinct()
-    split = wordpiece(words, old_vocab).withColumnsRenamed({"word": "__stripped", "ids": "__split"})
+    split = split_distinct(words, old_vocab).withColumnsRenamed({"word": "__stripped", "ids": "__split"})
+    if special_ids or special_ends:
+        begin, end = (F.array(*[F.lit(i) for i in x]).cast("array<int>") for x in (special_ids, special_ends))
+        split = split.withColumn("__split", F.concat(begin, F.col("__split"), end))
     single = F.coalesce("__exact", "__loose")
     kind = F.when(F.col("__exact").isNotNull(), "exact").when(F.col("__loose").isNotNull(), "stripped")
     return matched.join(split, "__stripped", "left").select(
@@ -80,10 +95,23 @@ def align_vocab(
 
 def init_weights(aligned: DataFrame, old_weights: DataFrame) -> DataFrame:
     """A vector per new piece: the mean of its old pieces' vectors."""
-    ids = aligned.select("id", F.explode_outer("ids").alias("old_id"))
-    old = old_weights.select(F.col("id").alias("old_id"), array_to_vector("vec").alias("__vec"))
+    # A few old ids (the unknown piece, single letters) stand in most lists: the table is salted.
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    ids = aligned.select("id", F.explode_outer("ids").alias("old_id"), salt.alias("salt"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
+    old = old_weights.select(F.col("id").alias("old_id"), array_to_vector("vec").alias("__vec"), every.alias("salt"))
     mean = Summarizer.mean(F.col("__vec"))
-    return ids.join(old, "old_id").groupBy("id").agg(vector_to_array(mean).alias("vec"))
+    return ids.join(old, ["old_id", "salt"]).groupBy("id").agg(vector_to_array(mean).alias("vec"))
+
+
+def init_from_teacher(
+    vocab: DataFrame, make_teacher: Callable[[], EmbedFn], dim: int, subword_prefix: str = CONTINUATION, batch_size: int = 512
+) -> DataFrame:
+    """A vector per new piece: the teacher's for the piece's text, without the prefix that marks a continuation."""
+    inner = F.startswith(F.col("piece"), F.lit(subword_prefix)) & F.lit(bool(subword_prefix))
+    bare = F.when(inner, F.substring("piece", len(subword_prefix) + 1, 2**31 - 1)).otherwise(F.col("piece"))
+    rows = apply_teacher(vocab.select("id", bare.alias("text")), make_teacher, dim, batch_size)
+    return rows.select("id", F.col("embedding").alias("vec"))
 
 
 def _mean_rows(ids: pa.Array, keys: np.ndarray, matrix: np.ndarray) -> pa.Array:
@@ -104,13 +132,35 @@ def _mean_rows(ids: pa.Array, keys: np.ndarray, matrix: np.ndarray) -> pa.Array:
     return as_lists(out)
 
 
+#: Weight tables already sent to the executors: a loop over batches that passes the same frame sends it once.
+_SHARED: WeakKeyDictionary[DataFrame, Broadcast] = WeakKeyDictionary()
+
+
+def shared_table(weights: DataFrame) -> Broadcast:
+    """Ids and vectors, in the table's own number type, on every executor, sent once per table."""
+    if weights not in _SHARED:
+        require_broadcast(weights, (vector_length(weights, "vec") or 0) * 8 + 8, MAX_BROADCAST_BYTES)
+        table = weights.select(F.col("id").cast("bigint"), "vec").toArrow()
+        keys = table.column("id").to_numpy()
+        order = np.argsort(keys)
+        vec = table.column("vec").combine_chunks()
+        matrix = as_matrix(vec)
+        if pa.types.is_float32(vec.type.value_type):
+            matrix = matrix.astype(np.float32)
+        _SHARED[weights] = weights.sparkSession.sparkContext.broadcast((keys[order], matrix[order]))
+    return _SHARED[weights]
+
+
+def release_table(weights: DataFrame) -> None:
+    """Take a table that is no longer needed off the executors."""
+    held = _SHARED.pop(weights, None)
+    if held is not None:
+        held.destroy()
+
+
 def _lookup_means(ids: Column, weights: DataFrame) -> Column:
     """Mean of table rows in place, from a size-checked broadcast of the table."""
-    table = weights.select(F.col("id").cast("bigint"), F.col("vec").cast("array<float>")).toArrow()
-    keys = table.column("id").to_numpy()
-    order = np.argsort(keys)
-    matrix = as_matrix(table.column("vec").combine_chunks()).astype(np.float32)
-    shared = weights.sparkSession.sparkContext.broadcast((keys[order], matrix[order]))
+    shared = shared_table(weights)
 
     def mean(batch: pa.Array) -> pa.Array:
         return _mean_rows(batch, *shared.value)
@@ -130,7 +180,7 @@ def pool_ids(df: DataFrame, weights: DataFrame, id_col: str = "doc_id", strategy
     if dim is None:
         raise ValueError("the weight table is empty")
     if strategy == "auto":
-        strategy = "lookup" if fits_broadcast(weights, dim * 4 + 8, MAX_BROADCAST_BYTES) else "join"
+        strategy = "lookup" if fits_broadcast(weights, dim * 8 + 8, MAX_BROADCAST_BYTES) else "join"
     if strategy == "lookup":
         return df.withColumn("embedding", _lookup_means(F.col("ids"), weights))
     if strategy != "join":
@@ -154,17 +204,20 @@ def static_encode(
     df: DataFrame,
     vocab: DataFrame,
     weights: DataFrame,
-    max_len: int = 512,
+    max_len: int | None = None,
     text_col: str = "text",
     id_col: str = "doc_id",
     strategy: str = "auto",
+    normalize: bool = False,
 ) -> DataFrame:
-    """Add ``embedding``, the mean of the text's token vectors (repeats count)."""
-    encoded = encode_ids(df, vocab, max_len, text_col, id_col, strategy)
-    return pool_ids(encoded, weights, id_col, strategy).drop("ids")
+    """Add ``embedding``, the mean of the whole text's token vectors (repeats count).
 
-
-EmbedFn = Callable[[list[str]], np.ndarray]
+    ``max_len`` cuts the text as training does; ``normalize`` gives vectors of length 1, as
+    the finished model does.
+    """
+    encoded = encode_ids(df, vocab, max_len, text_col, id_col, strategy)
+    pooled = pool_ids(encoded, weights, id_col, strategy).drop("ids")
+    return pooled.withColumn("embedding", l2_normalize(F.col("embedding"))) if normalize else pooled
 
 
 def apply_teacher(

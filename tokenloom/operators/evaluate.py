@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.vectors import cosine
 from tokenloom.operators.ordering import running_position
 from tokenloom.operators.search import nearest_k
-from tokenloom.session import materialize
+from tokenloom.session import broadcast_if_small, materialize
 
 
 def _average_ranks(compact: DataFrame, column: str, name: str) -> DataFrame:
@@ -35,7 +35,9 @@ def sts_correlation(pairs: DataFrame, score_col: str = "score", gold_col: str =
     compact = materialize(pairs.groupBy(score_col, gold_col).agg(F.count("*").alias("__w")), "scores")
     ranked = compact
     for column, name in ((score_col, "__rank_score"), (gold_col, "__rank_gold")):
-        ranked = ranked.join(_average_ranks(compact, column, name), column)
+        ranks = _average_ranks(compact, column, name)
+        # One of the columns may have a handful of values: its ranks go to the rows as long as they fit.
+        ranked = ranked.join(broadcast_if_small(ranks, 64), column)
 
     def weighted_corr(x: str, y: str, mean_x: float, mean_y: float):
         dx, dy = F.col(x).cast("double") - mean_x, F.col(y).cast("double") - mean_y
@@ -114,13 +116,15 @@ def mean_agreement(student: DataFrame, teacher: DataFrame, id_col: str = "doc_id
 
 
 def list_overlap(a_hits: DataFrame, b_hits: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
-    """M4: per query, the share of the top ``k`` that two rankings have in common."""
-    both = a_hits.select(query_id, doc_id).join(b_hits.select(query_id, doc_id), [query_id, doc_id])
-    shared = both.groupBy(query_id).agg(F.count("*").alias("__n"))
-    queries = a_hits.select(query_id).distinct()
-    return queries.join(shared, query_id, "left").select(
-        query_id, (F.coalesce("__n", F.lit(0)) / k).alias("overlap")
-    )
+    """M4: per query of either ranking, the share that their lists have in common: of ``k``, or of the shorter list if it has fewer."""
+
+    def side(hits: DataFrame, name: str) -> DataFrame:
+        return hits.select(query_id, doc_id, F.lit(1).alias(name))
+
+    both = side(a_hits, "__a").join(side(b_hits, "__b"), [query_id, doc_id], "full")
+    counts = both.groupBy(query_id).agg(F.count("__a").alias("__na"), F.count("__b").alias("__nb"), F.count(F.col("__a") + F.col("__b")).alias("__n"))
+    room = F.greatest(F.least("__na", "__nb", F.lit(k)), F.lit(1))
+    return counts.select(query_id, (F.col("__n") / room).alias("overlap"))
 
 
 def teacher_agreement(

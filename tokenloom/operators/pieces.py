@@ -12,14 +12,16 @@ Two routes give the same answer:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import lead_length, pretokenize, raw_tokens, truncate_words
-from tokenloom.session import broadcast_if_small, fits_broadcast
+from tokenloom.session import broadcast_if_small, fits_broadcast, require_broadcast
 
 # Fixed values of the sub-word model.
 UNKNOWN = "[UNK]"
@@ -129,6 +131,32 @@ def split_word(word: str, pieces: dict[str, int], unknown: int, longest: int) ->
     return found or [(unknown, len(word))]
 
 
+#: Vocabularies already sent to the executors: a loop over batches that passes the same frame sends it once.
+_SHARED: WeakKeyDictionary[DataFrame, Broadcast] = WeakKeyDictionary()
+
+
+def shared_pieces(vocab: DataFrame) -> Broadcast:
+    """The vocabulary on every executor, sent once per table; an error past the bound."""
+    if vocab not in _SHARED:
+        require_broadcast(vocab, PIECE_BYTES)
+        rows = vocab.select("piece", F.col("id").cast("int")).collect()
+        _SHARED[vocab] = vocab.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows})
+    return _SHARED[vocab]
+
+
+def split_distinct(words: DataFrame, vocab: DataFrame, carry: Sequence[str] = (), strategy: str = "auto") -> DataFrame:
+    """T4 for a table of distinct words, where they stand: ``carry``, ``word`` and ``ids``.
+
+    Past the broadcast bound of the vocabulary it is the join of ``wordpiece``, which
+    shuffles by word *and* row; distinct words are one row each, so no word is hot.
+    """
+    if _choose(vocab, strategy) == "join":
+        return wordpiece(words, vocab, carry, cluster=["word", *carry])
+    # A word that is null or empty has no piece; it is the unknown one, as in the join.
+    found = words.select(*carry, "word", _lookup(F.array("word"), vocab, 0).alias("ids"))
+    return found
+
+
 def _lookup(words: Column, vocab: DataFrame, part: int, max_len: int | None = None) -> Column:
     """Pieces of a row's words, from a size-checked broadcast of the vocabulary.
 
@@ -136,8 +164,7 @@ def _lookup(words: Column, vocab: DataFrame, part: int, max_len: int | None = No
     piece lengths per word.
     """
     unknown, longest = _vocabulary_facts(vocab)
-    rows = vocab.select("piece", F.col("id").cast("int")).collect()
-    shared = vocab.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows})
+    shared = shared_pieces(vocab)
     seen: dict[str, list[int]] = {}
 
     def known(word: str) -> list[int]:
@@ -163,7 +190,8 @@ def _lookup(words: Column, vocab: DataFrame, part: int, max_len: int | None = No
         sizes = np.diff(starts)
         flat = lists.flatten().to_numpy(zero_copy_only=False)
         place = np.arange(len(flat)) - np.repeat(starts[:-1], sizes)
-        flat, sizes = flat[place < max_len], np.minimum(sizes, max_len)
+        if max_len is not None:
+            flat, sizes = flat[place < max_len], np.minimum(sizes, max_len)
         bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, type=pa.int32()))
 
@@ -208,21 +236,26 @@ def _head(text: Column, n: int) -> Column:
 def encode_ids(
     df: DataFrame,
     vocab: DataFrame,
-    max_len: int = 512,
+    max_len: int | None = None,
     text_col: str = "text",
     id_col: str = "doc_id",
     strategy: str = "auto",
 ) -> DataFrame:
-    """Add ``ids``, the piece ids of the text without special tokens, cut to ``max_len``.
+    """Add ``ids``, the piece ids of the whole text without special tokens, or the first ``max_len`` of them.
 
     Every word gives at least one id, so words past ``max_len`` are never looked at.
     """
-    headed = df.withColumn("__head", _head(F.col(text_col), max_len))
-    words = F.slice(pretokenize(F.col("__head")), 1, max_len)
+    if max_len is None:
+        headed = df.withColumn("__head", F.coalesce(F.col(text_col), F.lit("")))
+        words = pretokenize(F.col("__head"))
+    else:
+        headed = df.withColumn("__head", _head(F.col(text_col), max_len))
+        words = F.slice(pretokenize(F.col("__head")), 1, max_len)
     if _choose(vocab, strategy) == "lookup":
         return headed.withColumn("ids", _lookup(words, vocab, 0, max_len)).drop("__head")
     pieces = _joined_pieces(headed, words, vocab, id_col, part=0)
-    return pieces.withColumn("ids", F.slice(F.flatten("__pieces"), 1, max_len)).drop("__head", "__pieces")
+    every = F.flatten("__pieces")
+    return pieces.withColumn("ids", every if max_len is None else F.slice(every, 1, max_len)).drop("__head", "__pieces")
 
 
 def truncate_pieces(

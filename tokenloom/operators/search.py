@@ -8,21 +8,23 @@ top-k only k candidates per query leave a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.functions.vectors import as_matrix, unit_rows
-from tokenloom.session import MAX_BROADCAST_BYTES, fits_broadcast
+from tokenloom.functions.vectors import as_matrix, cosine, unit_rows
+from tokenloom.operators.embed import vector_length
+from tokenloom.session import broadcast_if_small, materialize
 
 #: Scores are compared at this precision, so that ties break by id on every run.
 SCORE_DIGITS = 6
-#: Bytes of a query block and of a document block once the queries are too many to broadcast.
-QUERY_BLOCK_BYTES = 32 * 1024 * 1024
-DOCUMENT_BLOCK_BYTES = 128 * 1024 * 1024
+#: Bytes of the queries broadcast at once.
+QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 #: Document rows multiplied at once.
 CHUNK_ROWS = 1_024
 QUERY_CHUNK = 4_096
@@ -90,79 +92,86 @@ class _TopK:
         return _emit(names, np.repeat(self.query_ids, self.ids.shape[1]), self.ids.ravel(), self.scores.ravel())
 
 
-def _pair_up(q_df: DataFrame, d_df: DataFrame, names: list[str], k: int | None) -> DataFrame:
-    """Score rows, all of them or the task-local best k per query."""
-    spark = q_df.sparkSession
-    schema = _score_schema(*names)
-    first = q_df.select(F.size("vec").alias("n")).first()
-    if first is None:
-        return spark.createDataFrame([], schema)
-
-    def score_all(query_ids: np.ndarray, queries: np.ndarray, chunks: Iterator) -> Iterator[pa.RecordBatch]:
-        for doc_ids, documents in chunks:
+def _score(documents: DataFrame, names: list[str], shared: Broadcast, k: int | None, min_score: float | None) -> DataFrame:
+    """Documents where they stand against one broadcast block of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, queries = shared.value
+        chunks = (c for b in batches for c in _chunks(b.column("id").to_numpy(), b.column("vec")))
+        if k is not None:
+            best = _TopK(query_ids, queries, k)
+            for doc_ids, vectors in chunks:
+                best.add(doc_ids, vectors)
+            if best.ids.shape[1]:
+                yield best.rows(names)
+            return
+        for doc_ids, vectors in chunks:
             for begin in range(0, len(query_ids), QUERY_CHUNK):
-                part = query_ids[begin : begin + QUERY_CHUNK]
-                scores = _scores(queries[begin : begin + QUERY_CHUNK], documents)
-                yield _emit(names, np.repeat(part, len(doc_ids)), np.tile(doc_ids, len(part)), scores.ravel())
-
-    def score_best(query_ids: np.ndarray, queries: np.ndarray, chunks: Iterator) -> Iterator[pa.RecordBatch]:
-        best = _TopK(query_ids, queries, k)
-        for doc_ids, documents in chunks:
-            best.add(doc_ids, documents)
-        if best.ids.shape[1]:
-            yield best.rows(names)
-
-    score = score_all if k is None else score_best
-
-    if fits_broadcast(q_df, first["n"] * 8 + 8, MAX_BROADCAST_BYTES // 4):
-        table = q_df.toArrow().combine_chunks()
-        query_ids = table.column("id").to_numpy()
-        queries = unit_rows(as_matrix(table.column("vec").combine_chunks()))
-        shared = spark.sparkContext.broadcast((query_ids, queries))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            chunks = (c for b in batches for c in _chunks(b.column("id").to_numpy(), b.column("vec")))
-            yield from score(*shared.value, chunks)
-
-        return d_df.mapInArrow(run, schema)
-
-    # Past the bound: a grid of blocks. Each query block meets each document
-    # block in one task, so memory per task is fixed by the block size.
-    row_bytes = first["n"] * 8 + 8
-    q_blocks = -(-q_df.count() * row_bytes // QUERY_BLOCK_BYTES)
-    d_blocks = max(1, -(-d_df.count() * row_bytes // DOCUMENT_BLOCK_BYTES))
-
-    def spread(df: DataFrame, own: int, other: int, own_name: str, other_name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")
-        return df.withColumn(own_name, block).withColumn(
-            other_name, F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-        )
-
-    left = spread(q_df, q_blocks, d_blocks, "qb", "db")
-    right = spread(d_df, d_blocks, q_blocks, "db", "qb")
-
-    def cell(queries: pa.Table, documents: pa.Table) -> pa.Table:
-        out = []
-        if queries.num_rows and documents.num_rows:
-            query_ids = queries.column("id").to_numpy()
-            matrix = unit_rows(as_matrix(queries.column("vec").combine_chunks()))
-            doc_ids = documents.column("id").to_numpy()
-            out = list(score(query_ids, matrix, _chunks(doc_ids, documents.column("vec").combine_chunks())))
-        empty = pa.schema([(names[0], pa.int64()), (names[1], pa.int64()), ("score", pa.float64())])
-        return pa.Table.from_batches(out) if out else empty.empty_table()
-
-    return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(cell, schema)
+                scores = _scores(queries[begin : begin + QUERY_CHUNK], vectors)
+                i, j = np.nonzero(scores >= min_score)
+                yield _emit(names, query_ids[begin + i], doc_ids[j], scores[i, j])
+
+    return documents.mapInArrow(run, _score_schema(*names))
+
+
+def _pair_up(q_df: DataFrame, d_df: DataFrame, names: list[str], k: int | None, min_score: float | None = None) -> DataFrame:
+    """Scores of each task's best ``k`` documents per query, or all of at least ``min_score``.
+
+    The documents never move. Queries go to them in blocks of QUERY_BLOCK_BYTES, one
+    broadcast at a time; with several blocks each block's result is stored and its broadcast
+    dropped before the next.
+    """
+    spark = q_df.sparkSession
+    dim = q_df.agg(F.max(F.size("vec")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    if not dim["rows"]:
+        return spark.createDataFrame([], _score_schema(*names))
+    n_blocks = max(1, -(-dim["rows"] * (dim["n"] * 8 + 8) // QUERY_BLOCK_BYTES))
+    parts = []
+    for block in range(n_blocks):
+        own = q_df if n_blocks == 1 else q_df.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block)
+        table = own.toArrow().combine_chunks()  # about QUERY_BLOCK_BYTES
+        if not table.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((table.column("id").to_numpy(), unit_rows(as_matrix(table.column("vec").combine_chunks()))))
+        found = _score(d_df, names, shared, k, min_score)
+        if n_blocks > 1:
+            found = materialize(found if k is None else _ranked(found, names, k).drop("rank"), "scores")
+            shared.destroy()
+        parts.append(found)
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _ranked(scores: DataFrame, names: list[str], k: int) -> DataFrame:
+    order = Window.partitionBy(names[0]).orderBy(F.desc("score"), F.asc(names[1]))
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def pair_scores(
+    pairs: DataFrame,
+    q_df: DataFrame,
+    d_df: DataFrame,
+    query_id: str = "query_id",
+    doc_id: str = "doc_id",
+    vector_col: str = "embedding",
+) -> DataFrame:
+    """The cosine of given (query, document) pairs, rounded to 6 digits. As many rows as pairs."""
+    q = q_df.select(F.col(query_id), F.col(vector_col).alias("__q"))
+    dim = vector_length(q, "__q") or 0
+    d = d_df.select(F.col(doc_id), F.col(vector_col).alias("__d"))
+    both = pairs.select(query_id, doc_id).join(broadcast_if_small(q, dim * 8 + 8), query_id).join(d, doc_id)
+    return both.select(query_id, doc_id, (F.round(cosine(F.col("__q"), F.col("__d")), SCORE_DIGITS) + F.lit(0.0)).alias("score"))
 
 
 def cosine_scores(
     q_df: DataFrame,
     d_df: DataFrame,
+    min_score: float,
     query_id: str = "query_id",
     doc_id: str = "doc_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
-    """The cosine of every query with every document, in long form, rounded to 6 digits."""
-    return _pair_up(_prepare(q_df, query_id, vector_col), _prepare(d_df, doc_id, vector_col), [query_id, doc_id], None)
+    """Every query with every document that reaches ``min_score``, rounded to 6 digits."""
+    return _pair_up(_prepare(q_df, query_id, vector_col), _prepare(d_df, doc_id, vector_col), [query_id, doc_id], None, min_score)
 
 
 def nearest_k(
@@ -176,6 +185,5 @@ def nearest_k(
     """The best ``k`` documents per query, ties by document id, with their ``rank``."""
     if k < 1:
         raise ValueError("k must be positive")
-    local = _pair_up(_prepare(q_df, query_id, vector_col), _prepare(d_df, doc_id, vector_col), [query_id, doc_id], k)
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(doc_id))
-    return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    names = [query_id, doc_id]
+    return _ranked(_pair_up(_prepare(q_df, query_id, vector_col), _prepare(d_df, doc_id, vector_col), names, k), names, k)

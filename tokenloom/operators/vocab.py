@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import pretokenize
-from tokenloom.operators.pieces import wordpiece
+from tokenloom.operators.ordering import running_position
+from tokenloom.operators.pieces import split_distinct
 from tokenloom.session import materialize
 
 #: Pieces that pruning keeps.
@@ -59,9 +60,8 @@ def merge_vocabularies(dfs: Sequence[DataFrame]) -> DataFrame:
 def piece_usage(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """V4: how often each piece would be used when encoding the counted tokens."""
     totals = counts.groupBy(F.col("token").alias("word")).agg(F.sum("frequency").alias("frequency"))
-    # Clustered by both columns: by the word alone the sum's own shuffle would do, and a
-    # small one is merged into few tasks although splitting multiplies its rows.
-    ids = wordpiece(totals, vocab, carry=("frequency",), cluster=("word", "frequency"))
+    # The words are distinct by now: each is split where it stands.
+    ids = split_distinct(totals, vocab, carry=("frequency",))
     # Outer: a plain explode adds a filter on the ids that would run the splitting again.
     used = (
         ids.select(F.explode_outer("ids").alias("id"), "frequency").groupBy("id").agg(F.sum("frequency").alias("usage"))
@@ -72,9 +72,9 @@ def piece_usage(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def renumber(vocab: DataFrame) -> DataFrame:
-    """Dense ids in the old order. A vocabulary is small (its size is a parameter), so one window will do."""
-    new_id = (F.row_number().over(Window.orderBy("id")) - 1).cast("int")
-    return vocab.select("piece", new_id.alias("id"))
+    """Dense ids in the old order, numbered range by range."""
+    placed = running_position(vocab.select("piece", "id"), "id", name="__new")
+    return placed.select("piece", F.col("__new").cast("int").alias("id"))
 
 
 def prune_vocab(
@@ -83,16 +83,8 @@ def prune_vocab(
     """V5: drop pieces used less than ``min_freq`` times; one piece always survives."""
     rated = vocab.select("piece", "id").join(usage.select("id", "usage"), "id")
     kept = (F.col("usage") >= min_freq) | F.col("piece").isin(list(protect))
-    everything = Window.partitionBy()
-    marked = rated.withColumn("__kept", kept).select(
-        "piece",
-        "id",
-        "__kept",
-        F.max("__kept").over(everything).alias("__any"),
-        F.max("id").over(everything).alias("__last"),
-    )
-    survives = F.col("__kept") | (~F.col("__any") & (F.col("id") == F.col("__last")))
-    return renumber(marked.filter(survives))
+    found = rated.agg(F.max(kept).alias("any"), F.max("id").alias("last")).first()
+    return renumber(rated.filter(kept if found["any"] else F.col("id") == found["last"]))
 
 
 def add_top_tokens(vocab: DataFrame, counts: DataFrame, new_size: int, filter_numbers: bool = True) -> DataFrame:
@@ -110,13 +102,18 @@ def add_top_tokens(vocab: DataFrame, counts: DataFrame, new_size: int, filter_nu
         .groupBy("token")
         .agg(F.max("frequency").alias("frequency"))
     )
-    order = [F.desc("frequency"), F.asc("token")]
-    top = best.orderBy(*order).limit(missing)
-    # The window sees at most ``missing`` rows.
-    rank = F.row_number().over(Window.orderBy(*order))
+    # How many tokens each frequency has says which frequencies are in, and the ids each of them gets: most tokens
+    # are rare, so this table of frequencies is far smaller than that of the tokens.
+    best = materialize(best, "new-tokens")
+    sizes = materialize(best.groupBy("frequency").agg(F.count("*").alias("__n")).withColumn("__down", -F.col("frequency")), "frequencies")
+    placed = running_position(sizes, "__down", weight="__n", name="__before").filter(F.col("__before") < missing)
+    ranked = best.join(placed.select("frequency", "__before"), "frequency")
+    # Only the tokens of one frequency are ordered together; the rarest that is in may have many, of which the first are kept.
+    rank = F.row_number().over(Window.partitionBy("frequency").orderBy("token"))
+    ranked = ranked.withColumn("__rank", rank).filter(F.col("__before") + F.col("__rank") <= missing)
     first_id = 0 if base["last"] is None else base["last"] + 1
-    added = top.select(F.col("token").alias("piece"), (rank + (first_id - 1)).cast("int").alias("id"))
-    return pieces.unionByName(added)
+    new_id = (F.col("__before") + F.col("__rank") + (first_id - 1)).cast("int")
+    return pieces.unionByName(ranked.select(F.col("token").alias("piece"), new_id.alias("id")))
 
 
 def expand_vocab(

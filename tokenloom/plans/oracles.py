@@ -12,6 +12,7 @@ from tokenloom.plans.queries import (
     DROPPED_PIECES,
     LEFT_OUT,
     MAX_IDS,
+    MIN_SCORE,
     MIN_USAGE,
     NEW_SIZE,
     STEP_RATE,
@@ -66,11 +67,12 @@ CTE: dict[str, str] = {
         WHERE word NOT IN (SELECT word FROM done)""",
     "tok": f"""SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (
         SELECT doc_id, regexp_extract_all({_norm()}, '{TOKEN}') AS t FROM documents)""",
-    "ids": f"""SELECT doc_id, rn, id FROM (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) AS rn
-        FROM tok JOIN split USING (word) WHERE pos <= {MAX_IDS}) WHERE rn <= {MAX_IDS}""",
+    "ids": """SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) AS rn
+        FROM tok JOIN split USING (word)""",
     "used": "SELECT doc_id, id, count(*)::DOUBLE AS n FROM ids GROUP BY doc_id, id",
     "encoded": """SELECT doc_id, pos, sum(n * w) / sum(n) AS value FROM used JOIN weights USING (id) GROUP BY doc_id, pos""",
-    "teacher": """SELECT vec_id AS doc_id, i AS pos, (embedding[i + 1])::DOUBLE AS t FROM embeddings, range(0, 64) r(i)""",
+    "teacher": """SELECT d.doc_id, i AS pos, (e.embedding[i + 1])::DOUBLE AS t FROM documents d
+        JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings), range(0, 64) r(i)""",
     "pair": "SELECT doc_id, pos, value AS s, t FROM encoded JOIN teacher USING (doc_id, pos)",
     "student": "SELECT doc_id, list(s ORDER BY pos) AS s, list(t ORDER BY pos) AS t FROM pair GROUP BY doc_id",
     "batches": f"SELECT *, ((row_number() OVER (ORDER BY doc_id) - 1) // {BATCH})::BIGINT AS batch_id FROM student",
@@ -163,7 +165,7 @@ def _contrastive(batches: str, group: str, s: str, t: str) -> str:
 
 
 def all_oracles() -> dict[str, str]:
-    embedded = "documents d JOIN embeddings e ON e.vec_id = d.doc_id"
+    embedded = "documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)"
     turn_pairs = """(SELECT a.conv_id, a.turn, unnest([0, 1])::BIGINT AS pos, unnest([a.text, b.text]) AS text
         FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"""
     strip = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
@@ -189,11 +191,11 @@ def all_oracles() -> dict[str, str]:
     cut_documents = f"(SELECT doc_id, lang, substring({strip}, 1, 10000) AS text FROM documents)"
     clean_tok = CTE["tok"].replace("FROM documents", f"FROM {cut_documents}")
     out: dict[str, str] = {
-        "read_shards_s1": f"SELECT text, 64::BIGINT AS dim, {_r('(embedding[1])::DOUBLE')} AS head FROM {embedded}",
+        "read_shards_s1": long("doc_id::VARCHAR AS doc_id, sha256(text) AS text", "embedding", embedded),
         "shard_row_count_s2": f"SELECT count(*)::BIGINT AS n_rows, true AS within_limit FROM {embedded}",
-        "training_view_s3": f"SELECT text AS sentence, len(embedding)::BIGINT AS dim, {_r('(embedding[2])::DOUBLE')} AS second FROM {embedded}",
+        "training_view_s3": long("sha256(text) AS sentence", "embedding", embedded),
         "write_shards_s4": long("doc_id::VARCHAR AS doc_id, lang", "embedding", embedded),
-        "pair_by_position_s5": f"SELECT lang AS shard, doc_id AS row, text, {_r('(embedding[1])::DOUBLE')} AS head FROM {embedded}",
+        "pair_by_position_s5": long("lang AS shard, doc_id AS row, sha256(text) AS text", "embedding", embedded),
         "stream_shards_s6": "SELECT doc_id, text, lang FROM documents",
         "dataset_model_name_s7": f"SELECT 'stored-vectors' AS model_name, (2 * count(*))::BIGINT AS n_rows FROM {embedded}",
         "dataset_profile_s8": "SELECT count(*)::BIGINT AS n_rows, min(len(embedding))::BIGINT AS min_dim, max(len(embedding))::BIGINT AS max_dim FROM embeddings",
@@ -230,7 +232,9 @@ def all_oracles() -> dict[str, str]:
         "truncate_pieces_t6": tokens_in_text + ", " + truncated("documents")
         + " SELECT doc_id, substring(text, 1, coalesce(stop, 0)::BIGINT) AS text FROM documents LEFT JOIN stops USING (doc_id)",
         "encode_ids_t7": _with(
-            "SELECT doc_id, count(*)::BIGINT AS n, string_agg(id::VARCHAR, ' ' ORDER BY rn) AS ids FROM ids GROUP BY doc_id", "ids"
+            f"""SELECT doc_id, count(*)::BIGINT AS n, string_agg(id::VARCHAR, ' ' ORDER BY rn) AS ids FROM ids
+            WHERE rn <= {MAX_IDS} GROUP BY doc_id""",
+            "ids",
         ),
         "lowercase_vocab_t8": """SELECT lower(piece) AS piece, min(doc_id) AS id FROM (
             SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS piece FROM documents) GROUP BY 1""",
@@ -288,8 +292,10 @@ def all_oracles() -> dict[str, str]:
     out["l2_normalize_e5"] = f"""SELECT vec_id, i::BIGINT AS pos, {_r('(embedding[i + 1])::DOUBLE / norm')} AS value FROM (
         SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding[1:16], lambda x: x::DOUBLE * x::DOUBLE))) AS norm
         FROM embeddings), range(0, 16) r(i)"""
-    out["cosine_scores_e6"] = f"""WITH c AS ({CTE['centre']}) SELECT c.label::BIGINT AS query_id, e.vec_id AS doc_id,
+    scored = f"""WITH c AS ({CTE['centre']}) SELECT c.label::BIGINT AS query_id, e.vec_id AS doc_id,
         {_r(_cos('c.v', 'e.embedding'))} AS score FROM c, embeddings e"""
+    out["cosine_scores_e6"] = f"{scored} WHERE c.label = e.label OR c.label = (e.label + 1) % 10"
+    out["similar_scores_e6"] = f"SELECT * FROM ({scored}) WHERE score >= {MIN_SCORE}"
     out["nearest_k_e7"] = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT
         AS rank FROM (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {_r(_cos('q.embedding', 'd.embedding'))} AS score
         FROM embeddings q, embeddings d)) WHERE rank <= 10"""
@@ -304,6 +310,57 @@ def all_oracles() -> dict[str, str]:
         "encoded",
         tok=turn_tok,
     )
+    every_turn = turn_tok.replace(" WHERE role = 'user'", "")
+    out["exported_encode_e4"] = _with(
+        f""", lens AS (SELECT doc_id, sqrt(sum(value * value)) AS m FROM encoded GROUP BY doc_id)
+        SELECT c.conv_id, c.turn, i::BIGINT AS pos, {_r('coalesce(e.value / l.m, 0)')} AS value FROM conversations c
+        CROSS JOIN range(0, 64) r(i) LEFT JOIN encoded e ON e.doc_id = c.conv_id || '-' || c.turn AND e.pos = i
+        LEFT JOIN lens l ON l.doc_id = e.doc_id""",
+        "encoded",
+        tok=every_turn,
+    )
+    routed = f""", q AS (SELECT c.conv_id, c.turn, list(coalesce(e.value, 0) ORDER BY i) AS v FROM conversations c
+          CROSS JOIN range(0, 64) r(i) LEFT JOIN encoded e ON e.doc_id = c.conv_id || '-' || c.turn AND e.pos = i
+          WHERE role = 'user' GROUP BY c.conv_id, c.turn),
+        s AS (SELECT q.conv_id, q.turn, e.vec_id, {_r(_cos('q.v', 'e.embedding'))} AS score FROM q, embeddings e),
+        hits AS (SELECT conv_id, turn, doc_id, score,
+            row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, doc_id)::BIGINT AS rank
+          FROM s JOIN documents d ON d.doc_id % (SELECT count(*) FROM embeddings) = s.vec_id QUALIFY rank <= 10)"""
+    out["routed_search"] = _with(routed + " SELECT conv_id, turn, doc_id, score, rank FROM hits", "encoded", tok=turn_tok)
+    out["routed_ndcg"] = _with(
+        routed
+        + f""", n AS (SELECT count(*) AS n FROM embeddings),
+        dcg AS (SELECT conv_id, turn, sum(CASE WHEN doc_id % n = conv_id % n THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg
+          FROM hits, n GROUP BY conv_id, turn),
+        sizes AS (SELECT doc_id % n AS vec_id, count(*) AS c FROM documents, n GROUP BY 1),
+        ideal AS (SELECT vec_id, (SELECT sum(1 / log2(i + 1)) FROM range(1, least(c, 10)::INT + 1) r(i)) AS idcg FROM sizes)
+        SELECT 'turn ' || least(turn, 3) AS dataset, {_r('avg(dcg / idcg)')} AS ndcg, count(*)::BIGINT AS n_queries
+        FROM dcg, n JOIN ideal ON vec_id = conv_id % n GROUP BY 1""",
+        "encoded",
+        tok=turn_tok,
+    )
+    letters = """length({c})::DOUBLE {v0}, (length({c}) - length(replace({c}, 'a', '')))::DOUBLE {v1},
+        (length({c}) - length(replace({c}, 'e', '')))::DOUBLE {v2}, (length({c}) - length(replace({c}, ' ', '')))::DOUBLE {v3}"""
+    bare = letters.format(c="bare", v0="", v1="", v2="", v3="")
+    out["init_from_teacher_e2"] = _with(
+        f"""SELECT id, i::BIGINT AS pos, {_r('v[i + 1]')} AS value FROM (SELECT id, [{bare}] AS v FROM (
+        SELECT id, CASE WHEN starts_with(piece, '##') THEN substring(piece, 3) ELSE piece END AS bare FROM pieces)), range(0, 4) r(i)""",
+        "pieces",
+    )
+    out["align_special_e1"] = (
+        _with("", "pieces", "added", "split", **align) + ", "
+        + aligned.replace("ELSE s.ids END", "ELSE list_concat([0], s.ids, [0, 1]) END")
+        + " SELECT piece, id, array_to_string(ids, ' ') AS ids, match_kind FROM aligned"
+    )
+    sources = """(SELECT 'benchmark' AS source, item_id * 1000000 AS doc_id, text FROM benchmark
+        UNION ALL SELECT 'conversations', -(conv_id * 1000 + turn) - 1, text FROM conversations)"""
+    cut_sources = f"(SELECT source, doc_id, substring({strip}, 1, 10000) AS text FROM {sources})"
+    out["embed_sources_e3_s4"] = (
+        _with("", "tok", "split", tok=CTE["tok"].replace("FROM documents", f"FROM {cut_sources}")) + ", "
+        + truncated(cut_sources).replace(f"rn <= {cut_to}", f"rn <= {510}")
+        + f""", cut AS (SELECT source, substring(text, 1, coalesce(stop, 0)::BIGINT) AS text FROM {cut_sources} LEFT JOIN stops USING (doc_id))
+        SELECT source, text, {letters.format(c='text', v0='AS v0', v1='AS v1', v2='AS v2', v3='AS v3')} FROM cut"""
+    )
     out["check_dims_e9"] = "SELECT 64::BIGINT AS dim, count(*)::BIGINT AS n_rows FROM documents"
     out["slice_dims_e10"] = long("vec_id", "embedding", "embeddings", 16)
 
@@ -336,6 +393,25 @@ def all_oracles() -> dict[str, str]:
         "weights",
     )
 
+    fit, source = [], "weights"
+    for k in (1, 2):
+        fit.append(f"""enc{k} AS (SELECT doc_id, pos, sum(n * w) / sum(n) AS s FROM used JOIN {source} USING (id) GROUP BY doc_id, pos),
+          pair{k} AS (SELECT doc_id, pos, s, t FROM enc{k} JOIN teacher USING (doc_id, pos)),
+          norms{k} AS (SELECT doc_id, sqrt(sum(s * s)) AS m, sqrt(sum(t * t)) AS y, sum(s * t) AS st FROM pair{k} GROUP BY doc_id),
+          grad{k} AS (SELECT doc_id, pos, -(t / y - st / (m * y) * s / m) / m AS g FROM pair{k} JOIN norms{k} USING (doc_id)),
+          steps{k} AS (SELECT u.id, g.pos, sum(g.g * u.n / z.total) AS step FROM grad{k} g JOIN used u USING (doc_id)
+            JOIN sizes z USING (doc_id) GROUP BY u.id, g.pos),
+          w{k} AS (SELECT id, pos, w - {STEP_RATE} * coalesce(step, 0) / (SELECT count(*) FROM documents) AS w
+            FROM {source} LEFT JOIN steps{k} USING (id, pos))""")
+        source = f"w{k}"
+    out["fit_weights_d4"] = _with(
+        ", sizes AS (SELECT doc_id, sum(n) AS total FROM used GROUP BY doc_id), " + ", ".join(fit)
+        + f" SELECT id, pos::BIGINT AS pos, {_r('w')} AS value FROM w2",
+        "teacher",
+        "used",
+        "weights",
+    )
+
     ranked = """SELECT score, gold, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rs,
         rank() OVER (ORDER BY gold) + (count(*) OVER (PARTITION BY gold) - 1) / 2.0 AS rg FROM p"""
     out["sts_correlation_m1"] = f"""WITH p AS (SELECT round({_cos('a.embedding', 'b.embedding')}, 6) AS score,
@@ -362,15 +438,16 @@ def all_oracles() -> dict[str, str]:
     out["stream_encode_x2"] = encoded
     out["stream_write_shards_x3"] = long("vec_id::VARCHAR AS vec_id", "embedding", "embeddings")
     out["stream_first_seen_x4"] = "SELECT DISTINCT text FROM documents"
-    asked = """(SELECT text, min(conv_id * 100000 + turn) AS query_id FROM conversations WHERE role = 'user' GROUP BY text)"""
+    asked = """(SELECT text, row_number() OVER (ORDER BY text) AS query_id, f[1] AS conv_id, f[2] AS turn FROM (
+        SELECT text, min([conv_id, turn]) AS f FROM conversations WHERE role = 'user' GROUP BY text))"""
     ask_tok = f"""SELECT -query_id - 1 AS doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (
         SELECT query_id, regexp_extract_all({_norm()}, '{TOKEN}') AS t FROM {asked}) UNION ALL {CTE['tok']}"""
     out["nearest_documents"] = _with(
         f""", v AS (SELECT doc_id, list(value ORDER BY pos) AS v FROM encoded GROUP BY doc_id),
         scored AS (SELECT -q.doc_id - 1 AS query_id, d.doc_id, {_r(_cos('q.v', 'd.v'))} AS score FROM v q, v d
           WHERE q.doc_id < 0 AND d.doc_id >= 0)
-        SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS rank
-        FROM scored QUALIFY rank <= 10""",
+        SELECT a.conv_id, a.turn, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS rank
+        FROM scored JOIN {asked} a USING (query_id) QUALIFY rank <= 10""",
         "encoded",
         tok=ask_tok,
     )

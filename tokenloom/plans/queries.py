@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import names, text, vectors
 from tokenloom.operators import corpus, distill, embed, evaluate, pieces, search, vocab
-from tokenloom.session import materialize, scratch_path, spread_small
-from tokenloom.sources import shards
+from tokenloom.session import materialize, scratch_path, spread
+from tokenloom.sources import embed_run, shards
 from tokenloom.sources.catalog import Catalog
 from tokenloom.streaming import streams
 
@@ -28,10 +28,13 @@ MIN_USAGE = 50
 NEW_SIZE = 5_000
 BATCH = 64
 STEP_RATE = 0.5
+MIN_SCORE = 0.25
+STREAM_FILES = 4
 DROPPED_PIECES = ("##a", "##e")
 
 _QUERIES: dict[str, Query] = {}
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
+_PATHS: dict[tuple[str, str, str], str] = {}
 
 
 def query(fn: Query) -> Query:
@@ -48,7 +51,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,14 +122,21 @@ def _joined_ids(col: str = "ids") -> Column:
     return F.array_join(F.transform(col, lambda i: i.cast("string")), " ")
 
 
+def _teacher_of(spark: SparkSession, sf_dir: str, rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every row with a stored vector: the vectors are repeated when there are fewer of them."""
+    stored = _embeddings(spark, sf_dir)
+    n = stored.count()
+    keyed = rows.withColumn("vec_id", F.pmod(F.col(key), F.lit(n)))
+    return keyed.join(stored.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+
+
 def _embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding")
-    return _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(rows, "doc_id")
+    return _teacher_of(spark, sf_dir, _table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
     out = scratch_path(spark, "shards")
-    shards.write_shards(_embedded_documents(spark, sf_dir), out, 300, "stored-vectors", "documents")
+    shards.write_shards(_embedded_documents(spark, sf_dir), out, 300, model_name="stored-vectors", dataset_name="documents")
     return out
 
 
@@ -135,8 +145,8 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
 
 @query
 def read_shards_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = shards.read_shards(spark, [_written(spark, sf_dir)])
-    return rows.select("text", F.size("embedding").cast("bigint").alias("dim"), _rounded(F.col("embedding")[0].cast("double")).alias("head"))
+    rows = shards.read_shards(spark, [_written(spark, sf_dir)], columns=("doc_id", "text", "embedding"))
+    return _long(rows.select("doc_id", F.sha2("text", 256).alias("text"), "embedding"), ["doc_id", "text"])
 
 
 @query
@@ -148,7 +158,7 @@ def shard_row_count_s2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def training_view_s3(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = shards.training_view(_embedded_documents(spark, sf_dir))
-    return view.select("sentence", F.size("label").cast("bigint").alias("dim"), _rounded(F.col("label")[1].cast("double")).alias("second"))
+    return _long(view.select(F.sha2("sentence", 256).alias("sentence"), "label"), ["sentence"], "label")
 
 
 @query
@@ -160,19 +170,14 @@ def write_shards_s4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pair_by_position_s5(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("shard"))
-    stored = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding").join(
-        documents.select("doc_id", "shard"), "doc_id"
-    )
-    texts = documents.join(stored.select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "row")
-    paired = shards.pair_by_position(texts, stored.withColumnRenamed("doc_id", "row"))
-    return paired.select("shard", "row", "text", _rounded(F.col("embedding")[0].cast("double")).alias("head"))
+    stored = _teacher_of(spark, sf_dir, documents.select("doc_id", "shard")).withColumnRenamed("doc_id", "row")
+    paired = shards.pair_by_position(documents.withColumnRenamed("doc_id", "row"), stored)
+    return _long(paired.select("shard", "row", F.sha2("text", 256).alias("text"), "embedding"), ["shard", "row", "text"])
 
 
 @query
 def stream_shards_s6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents")
-    stream = streams.stream_shards(spark, sf_dir, documents.schema, pattern="documents.parquet")
-    out = streams.drain(stream.select("doc_id", "text", "lang"))
+    out = streams.drain(_streamed(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return spark.read.schema("doc_id bigint, text string, lang string").parquet(out).select("doc_id", "text", "lang")
 
 
@@ -294,7 +299,7 @@ def pretokenize_t3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def wordpiece_t4(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = counts_table(spark, sf_dir).select(F.col("token").alias("word"))
-    return pieces.wordpiece(words, piece_table(spark, sf_dir)).select("word", _joined_ids().alias("ids"))
+    return pieces.split_distinct(words, piece_table(spark, sf_dir)).select("word", _joined_ids().alias("ids"))
 
 
 @query
@@ -335,7 +340,7 @@ def document_frequency_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = [spread_small(_table(spark, sf_dir, t).select("text")) for t in ("benchmark", "conversations")]
+    tables = [spread(_table(spark, sf_dir, t).select("text")) for t in ("benchmark", "conversations")]
     others = [vocab.token_counts(t, ordered=False) for t in tables]
     return vocab.merge_vocabularies([counts_table(spark, sf_dir), *others])
 
@@ -370,10 +375,15 @@ def expand_vocab_v7(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Embeddings
 
 
-def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vocabularies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     old = piece_table(spark, sf_dir)
-    new = vocab.add_top_tokens(old, counts_table(spark, sf_dir), NEW_SIZE)
-    return embed.align_vocab(new, old.filter(~F.col("piece").isin(*DROPPED_PIECES)))
+    # Stored: the new vocabulary is read several times.
+    new = _stored(spark, sf_dir, "new-pieces", lambda: vocab.add_top_tokens(old, counts_table(spark, sf_dir), NEW_SIZE))
+    return new, old.filter(~F.col("piece").isin(*DROPPED_PIECES))
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.align_vocab(*_vocabularies(spark, sf_dir))
 
 
 @query
@@ -393,16 +403,14 @@ def _letter_teacher() -> embed.EmbedFn:
 
 @query
 def embed_corpus_e3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread_small(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    rows = spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     out = embed.embed_corpus(rows, _letter_teacher, 4, piece_table(spark, sf_dir), BATCH, CUT_PIECES)
     parts = [F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(4)]
     return out.select("doc_id", "lang", "text", *parts)
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.static_encode(
-        _documents(spark, sf_dir), piece_table(spark, sf_dir), weight_table(spark, sf_dir), MAX_IDS
-    ).drop("text")
+    return embed.static_encode(_documents(spark, sf_dir), piece_table(spark, sf_dir), weight_table(spark, sf_dir)).drop("text")
 
 
 @query
@@ -410,6 +418,16 @@ def static_encode_e4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(_encoded(spark, sf_dir), ["doc_id"])
 
 
+@query
+def exported_encode_e4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finished model: mean over the whole text, then length 1; over the short conversation turns."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.concat_ws("-", "conv_id", "turn").alias("key"))
+    rows = embed.static_encode(
+        turns, piece_table(spark, sf_dir), weight_table(spark, sf_dir), id_col="key", normalize=True
+    )
+    return _long(rows, ["conv_id", "turn"])
+
+
 @query
 def l2_normalize_e5(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = vectors.slice_dims(F.col("embedding"), 16)
@@ -432,7 +450,17 @@ def _as_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cosine_scores_e6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.cosine_scores(_centroids(spark, sf_dir), _as_documents(spark, sf_dir))
+    """Each vector with the centre of its own label and of the next one."""
+    label = F.col("label").cast("bigint")
+    both = F.explode(F.array(label, F.pmod(label + 1, F.lit(10))))
+    pairs = _embeddings(spark, sf_dir).select(both.alias("query_id"), F.col("vec_id").alias("doc_id"))
+    return search.pair_scores(pairs, _centroids(spark, sf_dir), _as_documents(spark, sf_dir))
+
+
+@query
+def similar_scores_e6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a label's centre and a vector that reaches a cosine."""
+    return search.cosine_scores(_centroids(spark, sf_dir), _as_documents(spark, sf_dir), MIN_SCORE)
 
 
 @query
@@ -443,18 +471,15 @@ def nearest_k_e7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def route_encode_e8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = _embeddings(spark, sf_dir)
-    n = stored.count()
     turns = _table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", "role", "text", F.concat_ws("-", "conv_id", "turn").alias("key")
     )
 
     def student(rows: DataFrame) -> DataFrame:
-        return embed.static_encode(rows, piece_table(spark, sf_dir), weight_table(spark, sf_dir), MAX_IDS, id_col="key")
+        return embed.static_encode(rows, piece_table(spark, sf_dir), weight_table(spark, sf_dir), id_col="key")
 
     def teacher(rows: DataFrame) -> DataFrame:
-        keyed = rows.withColumn("vec_id", F.pmod("conv_id", F.lit(n)))
-        return keyed.join(stored.select("vec_id", "embedding"), "vec_id")
+        return _teacher_of(spark, sf_dir, rows, "conv_id")
 
     return _long(embed.route_encode(turns, "role", "user", student, teacher), ["conv_id", "turn", "role"])
 
@@ -476,8 +501,8 @@ def slice_dims_e10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    teacher = _as_documents(spark, sf_dir).withColumnRenamed("embedding", "teacher")
-    return _encoded(spark, sf_dir).withColumnRenamed("embedding", "student").join(teacher, "doc_id")
+    student = _encoded(spark, sf_dir).withColumnRenamed("embedding", "student")
+    return _teacher_of(spark, sf_dir, student).withColumnRenamed("embedding", "teacher")
 
 
 @query
@@ -508,33 +533,25 @@ def matryoshka_contrastive_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode_ids(_documents(spark, sf_dir), piece_table(spark, sf_dir), MAX_IDS).drop("text")
-    teacher = _as_documents(spark, sf_dir).withColumnRenamed("embedding", "teacher")
-    return encoded.join(teacher, "doc_id")
+    encoded = pieces.encode_ids(_documents(spark, sf_dir), piece_table(spark, sf_dir)).drop("text")
+    return _teacher_of(spark, sf_dir, encoded).withColumnRenamed("embedding", "teacher")
 
 
 @query
 def gradient_step_d4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(_training_rows(spark, sf_dir), "step-rows")
-    moved = distill.gradient_step(rows, weight_table(spark, sf_dir), STEP_RATE, rows.count())
+    n_rows = _table(spark, sf_dir, "documents").count()
+    moved = distill.gradient_step(_training_rows(spark, sf_dir), weight_table(spark, sf_dir), STEP_RATE, n_rows)
     return _long(moved, ["id"], "vec")
 
 
 @query
 def fit_weights_d4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two epochs over the documents, then the loss before and after."""
-    rows = materialize(_training_rows(spark, sf_dir), "fit-tokens")
-    start = weight_table(spark, sf_dir)
-    size = max(1, rows.count() // 2)
-    settings = distill.FitSettings(epochs=2, batch_size=size, lr=5.0)
-    teacher = rows.select("doc_id", F.col("teacher").alias("embedding"))
-    fitted = distill.fit_weights(rows.select("doc_id", "ids"), teacher, start, settings)
-
-    def loss(stage: str, table: DataFrame) -> DataFrame:
-        pooled = embed.pool_ids(rows, table).withColumnRenamed("embedding", "student")
-        return distill.cosine_loss(pooled).select(F.lit(stage).alias("stage"), _rounded("loss").alias("loss"))
-
-    return loss("before", start).union(loss("after", fitted))
+    """Two whole-data steps at a constant rate over all documents."""
+    tokens = pieces.encode_ids(_documents(spark, sf_dir), piece_table(spark, sf_dir)).drop("text")
+    teacher = _teacher_of(spark, sf_dir, _table(spark, sf_dir, "documents").select("doc_id"))
+    settings = distill.FitSettings(steps=2, lr=STEP_RATE, warmup=0.0, floor=1.0, matryoshka=False)
+    fitted = distill.fit_weights(tokens, teacher, weight_table(spark, sf_dir), settings)
+    return _long(fitted, ["id"], "vec")
 
 
 # Evaluation
@@ -587,7 +604,8 @@ def compare_models_m3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mean_agreement_m4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evaluate.mean_agreement(_encoded(spark, sf_dir), _as_documents(spark, sf_dir))
+    teacher = _teacher_of(spark, sf_dir, _table(spark, sf_dir, "documents").select("doc_id"))
+    found = evaluate.mean_agreement(_encoded(spark, sf_dir), teacher)
     return found.select(_rounded("mean_cosine").alias("mean_cosine"), "n")
 
 
@@ -603,9 +621,17 @@ def list_overlap_m4(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streaming
 
 
+def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of several files, one in each micro-batch."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"{name}-files")
+    if key not in _PATHS:
+        _PATHS[key] = scratch_path(spark, f"{name}-files")
+        _table(spark, sf_dir, name).repartition(STREAM_FILES).write.parquet(_PATHS[key])
+    return streams.stream_shards(spark, _PATHS[key], _table(spark, sf_dir, name).schema, max_files=1)
+
+
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = _table(spark, sf_dir, "documents").schema
-    return streams.stream_shards(spark, sf_dir, schema, pattern="documents.parquet").select("doc_id", "text")
+    return _streamed(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 @query
@@ -617,7 +643,7 @@ def stream_token_counts_x1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_encode_x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "encoded")
     known, weights = piece_table(spark, sf_dir), weight_table(spark, sf_dir)
-    streams.stream_encode(_document_stream(spark, sf_dir), known, weights, out, max_len=MAX_IDS).awaitTermination()
+    streams.stream_encode(_document_stream(spark, sf_dir), known, weights, out).awaitTermination()
     rows = spark.read.schema("doc_id bigint, embedding array<double>").parquet(out)
     return _long(rows, ["doc_id"])
 
@@ -625,9 +651,8 @@ def stream_encode_x2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_write_shards_x3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "stream-shards")
-    schema = _embeddings(spark, sf_dir).schema
-    stream = streams.stream_shards(spark, sf_dir, schema, pattern="embeddings.parquet")
-    streams.stream_write_shards(stream, out, 300).awaitTermination()
+    stream = _streamed(spark, sf_dir, "embeddings")
+    streams.stream_write_shards(stream, out, 300, model_name="stored-vectors", dataset_name="embeddings").awaitTermination()
     return _long(shards.read_shards(spark, [out], columns=("vec_id", "embedding")), ["vec_id"])
 
 
@@ -642,11 +667,82 @@ def stream_first_seen_x4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def nearest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents nearest to each conversation turn of the user, by static embedding."""
+    """Documents nearest to each distinct text of the users' turns, both by static embedding."""
     known, weights = piece_table(spark, sf_dir), weight_table(spark, sf_dir)
     turns = _table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    asked = turns.groupBy("text").agg(F.min(F.col("conv_id") * 100_000 + F.col("turn")).alias("query_id"))
-    queries = embed.static_encode(asked, known, weights, MAX_IDS, id_col="query_id")
-    documents = _encoded(spark, sf_dir)
-    found = search.nearest_k(queries, documents, 10)
-    return found.select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    asked = materialize(turns.groupBy("text").agg(F.min(F.struct("conv_id", "turn")).alias("first")).withColumn("query_id", F.monotonically_increasing_id()), "asked")
+    queries = embed.static_encode(asked, known, weights, id_col="query_id")
+    found = search.nearest_k(queries, _encoded(spark, sf_dir), 10)
+    named = found.join(asked.select("query_id", "first.conv_id", "first.turn"), "query_id")
+    return named.select("conv_id", "turn", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The users' turns by the student (the finished model), the documents by the teacher's stored vectors."""
+    # A turn's number within its conversation is below the factor, which is taken from the table itself.
+    conversations = _table(spark, sf_dir, "conversations")
+    factor = conversations.agg(F.max("turn")).first()[0] + 1
+    turns = conversations.select((F.col("conv_id") * factor + F.col("turn")).alias("key"), "role", "text", "conv_id", "turn")
+    documents = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.lit("document").alias("role"), "text")
+    rows = turns.filter(F.col("role") == "user").unionByName(documents, allowMissingColumns=True)
+
+    def student(part: DataFrame) -> DataFrame:
+        return embed.static_encode(part, piece_table(spark, sf_dir), weight_table(spark, sf_dir), id_col="key", normalize=True)
+
+    encoded = embed.route_encode(rows, "role", "user", student, lambda part: _teacher_of(spark, sf_dir, part, "key"))
+    queries = encoded.filter(F.col("role") == "user").withColumnRenamed("key", "query_id")
+    return queries, encoded.filter(F.col("role") == "document").select(F.col("key").alias("doc_id"), "embedding")
+
+
+def _routed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, documents = _routed(spark, sf_dir)
+    names = queries.select("query_id", "conv_id", "turn")
+    return search.nearest_k(queries.select("query_id", "embedding"), documents, 10).join(names, "query_id")
+
+
+@query
+def routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search as the finished model does it: student queries over documents that the teacher embedded."""
+    hits = _routed_hits(spark, sf_dir)
+    return hits.select("conv_id", "turn", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def routed_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NDCG of that search; a document that shares its stored vector with the conversation is relevant."""
+    hits = _routed_hits(spark, sf_dir).withColumn("dataset", F.concat(F.lit("turn "), F.least("turn", F.lit(3)).cast("string")))
+    n = _embeddings(spark, sf_dir).count()
+    vec = F.pmod(F.col("doc_id"), F.lit(n)).alias("vec_id")
+    documents = _table(spark, sf_dir, "documents").select("doc_id", vec)
+    asked = hits.select("dataset", "query_id", F.pmod("conv_id", F.lit(n)).alias("vec_id")).distinct()
+    qrels = asked.join(documents, "vec_id").select("dataset", "query_id", "doc_id", F.lit(1).alias("rel"))
+    scores = evaluate.ndcg_at_k(hits, qrels)
+    return scores.select("dataset", _rounded("ndcg").alias("ndcg"), "n_queries")
+
+
+@query
+def init_from_teacher_e2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embed.init_from_teacher(piece_table(spark, sf_dir), _letter_teacher, 4)
+    return _long(found, ["id"], "vec")
+
+
+@query
+def align_special_e1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 with special tokens around each encoding."""
+    new, old = _vocabularies(spark, sf_dir)
+    found = embed.align_vocab(new, old, special_ids=(0,), special_ends=(0, 1))
+    return found.select("piece", "id", _joined_ids().alias("ids"), "match_kind")
+
+
+@query
+def embed_sources_e3_s4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources embedded and written as data sets, then read back."""
+    catalog = Catalog()
+    for name in ("benchmark", "conversations"):
+        catalog.register(name, lambda s, name=name: corpus.text_field(_table(s, sf_dir, name), "text"))
+    folders = embed_run.embed_sources(
+        spark, catalog, ["benchmark", "conversations"], _letter_teacher, 4, piece_table(spark, sf_dir), scratch_path(spark, "embedded"), "letter/teacher", 300
+    )
+    parts = [F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(4)]
+    found = [shards.read_shards(spark, [folder]).select(F.lit(name).alias("source"), "text", *parts) for name, folder in folders.items()]
+    return corpus.union_subsets(found)

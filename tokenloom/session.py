@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +12,14 @@ MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, one below the session's warehouse.
 
-    Only a local master may fall back to a folder of its own: on a cluster a
-    machine-local folder is invisible to the other executors.
+    Both are folders that every executor sees; a machine-local one would not be.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tokenloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tokenloom-scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -58,18 +52,23 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int | None = None)
     return F.broadcast(df) if fits_broadcast(df, row_bytes, limit) else df
 
 
-#: Inputs below this size are spread over the cores even if they sit in one file.
-SMALL_INPUT_BYTES = 128 * 1024 * 1024
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this module's own, once nothing reads it any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores.
+def require_broadcast(df: DataFrame, row_bytes: int, limit: int | None = None) -> None:
+    """An error for a table past the broadcast bound: a caller may ask for a broadcast, not for an unbounded one."""
+    if not fits_broadcast(df, row_bytes, limit):
+        raise ValueError(f"the table is past the broadcast bound of {MAX_BROADCAST_BYTES if limit is None else limit} bytes")
 
-    A file with one row group is read by one task, whatever the cluster. Past
-    the bound there are enough row groups, and a shuffle of the text would cost
-    more than it brings: the rows then stay where they were read.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+#: The number of tasks small test files are spread over, if the caller sets it; by default rows stay where they are read.
+INPUT_PARTITIONS = "tokenloom.inputPartitions"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over the number of tasks the caller named in ``tokenloom.inputPartitions``, whatever the input's size."""
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df

@@ -32,9 +32,16 @@ SINGLE_FIELD = {
 }
 # Subsets that make up one source.
 LOTTE_SUBSETS = [
-    f"{topic}_{kind}-queries"
-    for topic in ("lifestyle", "recreation", "science", "technology", "writing")
-    for kind in ("forum", "search")
+    "lifestyle_forum-queries",
+    "lifestyle_search-queries",
+    "recreation_forum-queries",
+    "recreation_search-queries",
+    "science_forum-queries",
+    "science_search-queries",
+    "technology_forum-queries",
+    "technology_search-queries",
+    "writing_forum-queries",
+    "writing_search-queries",
 ]
 PUBMED_SUBSETS = ["pqa_artificial", "pqa_unlabeled"]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
@@ -94,29 +95,34 @@ def write_shards(
     df: DataFrame,
     out: str,
     rows_per_shard: int = ROWS_PER_SHARD,
-    model_name: str = "unknown-model",
-    dataset_name: str = "unknown-dataset",
+    *,
+    model_name: str,
+    dataset_name: str,
     vector_col: str = "embedding",
     mode: str = "errorifexists",
 ) -> dict[str, int]:
     """Write files of at most ``rows_per_shard`` rows below ``out/train`` and the two sidecars.
 
-    Vectors are stored as floats, every other column as a string. Row count and
-    vector length are observed while writing: the input is read once.
+    Vectors are stored as floats, every other column as a string. A vector that is
+    missing or of another length than the first fails the job that writes, so that no
+    file becomes visible; the row count is observed on the way.
     """
     if rows_per_shard < 1:
         raise ValueError("rows_per_shard must be positive")
     spark = df.sparkSession
+    first = df.select(F.size(vector_col).alias("n")).first()
+    if first is None:
+        raise ValueError("no rows to write")
+    dim = first["n"]
     others = [F.col(c).cast("string").alias(c) for c in df.columns if c != vector_col]
-    rows = df.select(*others, F.col(vector_col).cast("array<float>").alias(vector_col))
+    length = F.coalesce(F.size(vector_col), F.lit(-1))
+    ragged = F.raise_error(F.concat(F.lit(f"ragged vectors: lengths {dim} and "), length.cast("string")))
+    whole = F.when((length == dim) & (length >= 0), F.col(vector_col).cast("array<float>")).otherwise(ragged)
+    rows = df.select(*others, whole.alias(vector_col))
     seen = Observation()
     observed = rows.observe(seen, *_profile_columns(vector_col))
     observed.write.mode(mode).option("maxRecordsPerFile", rows_per_shard).parquet(f"{out}/train")
     facts = seen.get
-    if not facts["n_rows"]:
-        raise ValueError("no rows to write")
-    if facts["min_dim"] != facts["max_dim"]:
-        raise ValueError(f"ragged vectors: lengths from {facts['min_dim']} to {facts['max_dim']}")
     names = {"model_name": model_name, "dataset_name": dataset_name}
     _write_text(spark, f"{out}/{METADATA}", json.dumps(names, indent=2, ensure_ascii=False))
     card = [
@@ -151,11 +157,16 @@ def pair_by_position(
 
 
 def dataset_model_name(spark: SparkSession, paths: Sequence[str]) -> str | None:
-    """The teacher named by the data sets' metadata; ``None`` if no one names it, an error if they differ."""
+    """The teacher named by the data sets' metadata; ``None`` if no one names it, an error if they differ.
+
+    A data set without metadata beside one that has it gives a warning.
+    """
     files = [f"{p.rstrip('/')}/{METADATA}" for p in paths]
     present = [f for f in files if _exists(spark, f)]
     if not present:
         return None
+    if len(present) < len(files):
+        warnings.warn(f"no metadata: {sorted(set(files) - set(present))}", stacklevel=2)
     schema = "model_name string, dataset_name string"
     found = spark.read.schema(schema).option("multiLine", True).json(present)
     names = found.filter(F.col("model_name") != "").select("model_name").distinct().limit(len(present)).collect()

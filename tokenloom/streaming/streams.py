@@ -17,6 +17,8 @@ from tokenloom.sources.shards import ROWS_PER_SHARD, write_shards
 
 #: Files per micro-batch unless the caller says otherwise.
 FILES_PER_TRIGGER = 100
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_shards(
@@ -38,8 +40,9 @@ def stream_token_counts(stream: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def stream_first_seen(stream: DataFrame, key: str = "text") -> DataFrame:
-    """Each key once. The state keeps every key, since the source has no event time."""
-    return stream.dropDuplicates([key])
+    """Each key once. The state keeps a 256-bit hash of every key, since the source has no event time."""
+    hashed = stream.withColumn("__key", F.unhex(F.sha2(F.col(key).cast("string"), 256)))
+    return hashed.dropDuplicates(["__key"]).drop("__key")
 
 
 def per_batch(
@@ -51,15 +54,23 @@ def per_batch(
 ) -> StreamingQuery:
     """Run ``write(batch, folder)`` for each micro-batch, with a folder per batch.
 
-    A retried batch writes the same folder again, so nothing is stored twice.
+    A retried batch writes the same folder again, and the state lives below ``out``
+    unless the caller keeps it elsewhere: a second run goes on where the first ended,
+    so nothing is stored twice. State of large streams is kept by RocksDB.
     """
-    checkpoint = checkpoint or scratch_path(stream.sparkSession, "stream-state")
+    spark = stream.sparkSession
+    checkpoint = checkpoint or f"{out}/_state"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         write(batch, f"{out}/batch_id={batch_id}")
 
     writer = stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).foreachBatch(sink).start()
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return writer.trigger(availableNow=True).foreachBatch(sink).start()
+    finally:  # a query keeps the settings it started with
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
 
 
 def _overwrite(batch: DataFrame, folder: str) -> None:
@@ -101,15 +112,16 @@ def stream_write_shards(
     stream: DataFrame,
     out: str,
     rows_per_shard: int = ROWS_PER_SHARD,
-    model_name: str = "unknown-model",
-    dataset_name: str = "unknown-dataset",
+    *,
+    model_name: str,
+    dataset_name: str,
     checkpoint: str | None = None,
 ) -> StreamingQuery:
     """Write shards as they come, one folder with its own sidecars per micro-batch."""
 
     def shards(batch: DataFrame, folder: str) -> None:
         if not batch.isEmpty():
-            write_shards(batch, folder, rows_per_shard, model_name, dataset_name, mode="overwrite")
+            write_shards(batch, folder, rows_per_shard, model_name=model_name, dataset_name=dataset_name, mode="overwrite")
 
     return per_batch(stream, out, shards, checkpoint)
 
