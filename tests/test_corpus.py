@@ -52,13 +52,21 @@ def test_batches_with_a_lopsided_key(spark):
     assert all(a.high < b.low for a, b in zip(found, found[1:]))
 
 
-def test_limit_batches(spark, monkeypatch):
+def test_limit_batches(spark):
     df = spark.range(50).select(F.col("id").alias("n"))
-    for bound in (1_000_000, 0):
-        monkeypatch.setattr(corpus, "TOP_N_ROWS", bound)
-        assert sorted(r.n for r in corpus.limit_batches(df, 3, 4, "n").collect()) == list(range(12))
-        # A limit of nothing still processes one batch.
-        assert corpus.limit_batches(df, 0, 4, "n").count() == 4
+    assert sorted(r.n for r in corpus.limit_batches(df, 3, 4, "n").collect()) == list(range(12))
+    # A limit of nothing still processes one batch.
+    assert corpus.limit_batches(df, 0, 4, "n").count() == 4
+    assert corpus.limit_batches(df, 30, 4, "n").count() == 50
+    assert corpus.limit_batches(df.limit(0), 3, 4, "n").count() == 0
+
+
+def test_text_keys_order_too(spark):
+    names = [f"key-{i:04d}é" for i in range(500)]
+    df = spark.createDataFrame([(n,) for n in reversed(names)], "n string").repartition(4)
+    rows = corpus.assign_batches(df, 50, "n").collect()
+    assert all(r.batch_id == names.index(r.n) // 50 for r in rows)
+    assert sorted(r.n for r in corpus.limit_batches(df, 2, 9, "n").collect()) == names[:18]
 
 
 def test_shuffle_is_repeatable(spark):

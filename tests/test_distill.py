@@ -109,7 +109,7 @@ def test_gradient_equals_finite_differences(spark, loss):
 @pytest.mark.parametrize("loss", distill.LOSSES)
 def test_fitting_lowers_the_loss(spark, loss):
     ids, table, teacher, rows, weights = training(spark, n=16)
-    settings = distill.FitSettings(loss=loss, epochs=2, batch_size=6, lr=0.5, matryoshka=False)
+    settings = distill.FitSettings(loss=loss, steps=4, parts=2, lr=0.5, matryoshka=False)
     vectors = rows.selectExpr("doc_id", "teacher AS embedding")
     fitted = distill.fit_weights(rows.select("doc_id", "ids"), vectors, weights, settings)
 
@@ -120,12 +120,12 @@ def test_fitting_lowers_the_loss(spark, loss):
 
     assert fitted.count() == len(table)
     assert loss_of(fitted) < loss_of(weights)
-    with pytest.raises(ValueError, match="fill one batch"):
-        distill.fit_weights(rows, vectors, weights, distill.FitSettings(batch_size=100))
+    with pytest.raises(ValueError, match="no rows"):
+        distill.fit_weights(rows.select("doc_id", "ids").limit(0), vectors, weights)
 
 
 def test_two_stages(spark):
     *_, rows, weights = training(spark)
     data = (rows.select("doc_id", "ids"), rows.selectExpr("doc_id", "teacher AS embedding"))
-    quick = distill.FitSettings(epochs=1, batch_size=12)
+    quick = distill.FitSettings(steps=1)
     assert distill.fit_two_stages(data, data, weights, quick, quick).count() == weights.count()

@@ -111,17 +111,23 @@ def test_nearest_k_equals_brute_force(spark, monkeypatch, grid):
     documents[100:200] = documents[0]
     documents[299] = 0
     if grid:
-        monkeypatch.setattr(search, "MAX_BROADCAST_BYTES", 100)
         monkeypatch.setattr(search, "QUERY_BLOCK_BYTES", 600)
-        monkeypatch.setattr(search, "DOCUMENT_BLOCK_BYTES", 3_000)
     q, d = vector_table(spark, queries, "query_id"), vector_table(spark, documents).repartition(3)
     expected = brute_force(queries, documents, 7)
     found = search.nearest_k(q, d, 7).collect()
     assert len(found) == 40 * 7
     for row in found:
         assert (-row.score, row.doc_id) == expected[row.query_id][row["rank"] - 1]
-    scores = search.cosine_scores(q, d)
+    scores = search.cosine_scores(q, d, -1.0)
     assert scores.count() == 40 * 300
+    high = {(r.query_id, r.doc_id): r.score for r in search.cosine_scores(q, d, 0.3).collect()}
+    assert high == {(r.query_id, r.doc_id): r.score for r in scores.collect() if r.score >= 0.3}
+    pairs = scores.where("(query_id + doc_id) % 7 = 0").select("query_id", "doc_id")
+    assert all(r.score == pytest.approx(dict((d, -s) for s, d in brute_force(queries, documents, 300)[r.query_id])[r.doc_id], abs=2e-6) for r in search.pair_scores(pairs.where("query_id < 3"), q, d).collect())
+    if not grid:
+        # Documents stay where they are: the only exchange ranks the tasks' candidates.
+        plan = search.nearest_k(q, d, 7)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(query_id") == 1 and plan.count("Exchange") <= 2
     assert search.nearest_k(q, d.limit(2), 7).count() == 80
     assert search.nearest_k(q.limit(0), d, 7).count() == 0
 
@@ -159,3 +165,25 @@ def test_compare_and_agree(spark):
     q = same.withColumnRenamed("doc_id", "query_id")
     overlap = evaluate.teacher_agreement(q, same, q, same, 2)
     assert {r.overlap for r in overlap.collect()} == {1.0}
+
+
+def test_both_routes_agree_on_doubles(spark):
+    """Neither route rounds a table of doubles to floats: sums of these numbers are exact, so the results are equal bit by bit."""
+    weights = spark.createDataFrame([(i, [1 + i * 2.0**-40, i * 2.0**-30]) for i in range(8)], "id int, vec array<double>")
+    rows = spark.createDataFrame([(0, [1, 3]), (1, [0, 2, 5, 7]), (2, [4])], "doc_id long, ids array<int>")
+    a, b = ({r.doc_id: r.embedding for r in embed.pool_ids(rows, weights, strategy=s).collect()} for s in ("lookup", "join"))
+    assert a == b and a[2] == [1 + 4 * 2.0**-40, 4 * 2.0**-30]
+
+
+def test_lookup_past_the_bound_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(embed, "MAX_BROADCAST_BYTES", 10)
+    weights = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(8)], "id int, vec array<double>")
+    with pytest.raises(ValueError, match="bound"):
+        embed.pool_ids(spark.createDataFrame([(0, [1])], "doc_id long, ids array<int>"), weights, strategy="lookup")
+
+
+def test_overlap_of_short_lists(spark):
+    hits = spark.createDataFrame([(1, 5), (1, 6)], "query_id long, doc_id long")
+    assert evaluate.list_overlap(hits, hits, 10).first().overlap == 1.0
+    other = spark.createDataFrame([(2, 5)], "query_id long, doc_id long")
+    assert {r.query_id: r.overlap for r in evaluate.list_overlap(hits, other, 10).collect()} == {1: 0.0, 2: 0.0}

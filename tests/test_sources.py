@@ -15,7 +15,7 @@ def rows(spark):
 
 def test_round_trip(spark, rows, tmp_path):
     out = str(tmp_path / "set")
-    facts = shards.write_shards(rows.coalesce(1), out, 3, "teacher", "made up")
+    facts = shards.write_shards(rows.coalesce(1), out, 3, model_name="teacher", dataset_name="made up")
     assert facts == {"n_rows": 10, "dim": 4}
     back = shards.read_shards(spark, [out], columns=("text", "meta", "embedding"))
     assert back.schema["embedding"].dataType.simpleString() == "array<float>"
@@ -29,7 +29,7 @@ def test_round_trip(spark, rows, tmp_path):
 def test_shard_limit_counts_per_path(spark, rows, tmp_path):
     paths = [str(tmp_path / name) for name in ("one", "two")]
     for path in paths:
-        shards.write_shards(rows.coalesce(1), path, 3)
+        shards.write_shards(rows.coalesce(1), path, 3, model_name="m", dataset_name="d")
     assert shards.read_shards(spark, paths, limit_shards=2).count() == 12
     assert shards.read_shards(spark, paths).columns == ["text", "embedding"]
     files = shards.list_shards(spark, paths, 2)
@@ -43,12 +43,14 @@ def test_no_shards_is_an_error(spark, tmp_path):
 
 def test_bad_writes(spark, rows, tmp_path):
     with pytest.raises(ValueError, match="no rows"):
-        shards.write_shards(rows.limit(0), str(tmp_path / "a"))
+        shards.write_shards(rows.limit(0), str(tmp_path / "a"), model_name="m", dataset_name="d")
     ragged = rows.withColumn("embedding", F.slice("embedding", 1, F.when(F.col("meta") == 3, 2).otherwise(4)))
-    with pytest.raises(ValueError, match="ragged"):
-        shards.write_shards(ragged, str(tmp_path / "b"))
+    with pytest.raises(Exception, match="ragged"):
+        shards.write_shards(ragged, str(tmp_path / "b"), model_name="m", dataset_name="d")
+    # Nothing became visible.
+    assert not list((tmp_path / "b").rglob("*.parquet")) or not [p for p in (tmp_path / "b").rglob("*.parquet") if "_temporary" not in str(p)]
     with pytest.raises(ValueError, match="positive"):
-        shards.write_shards(rows, str(tmp_path / "c"), 0)
+        shards.write_shards(rows, str(tmp_path / "c"), 0, model_name="m", dataset_name="d")
 
 
 def test_training_view(rows):
@@ -70,7 +72,7 @@ def test_pairs(spark):
 
 def test_model_name(spark, rows, tmp_path):
     for name, model in [("a", "m"), ("b", "m"), ("c", "other")]:
-        shards.write_shards(rows, str(tmp_path / name), model_name=model)
+        shards.write_shards(rows, str(tmp_path / name), model_name=model, dataset_name=name)
     path = lambda n: str(tmp_path / n)
     assert shards.dataset_model_name(spark, [path("a"), path("b")]) == "m"
     assert shards.dataset_model_name(spark, [path("nothing")]) is None
@@ -107,5 +109,20 @@ def test_a_restarted_stream_stores_nothing_twice(spark, rows, tmp_path):
     schema = rows.schema
     for _ in range(2):
         stream = streams.stream_shards(spark, source, schema, 1)
-        streams.stream_write_shards(stream, out, 4, checkpoint=state).awaitTermination()
+        streams.stream_write_shards(stream, out, 4, model_name="m", dataset_name="d", checkpoint=state).awaitTermination()
     assert shards.read_shards(spark, [out]).count() == 10
+
+
+def test_a_second_run_into_the_same_folder_goes_on(spark, tmp_path):
+    """State lives below the output: draining again, in other batches, adds nothing."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(10).select(F.col("id").cast("string").alias("text")).repartition(10).write.parquet(source)
+    for files in (1, 100):
+        streams.drain(streams.stream_shards(spark, source, "text string", files), out)
+    assert spark.read.parquet(out).count() == 10
+
+
+def test_metadata_missing_beside_named_sets(spark, rows, tmp_path):
+    shards.write_shards(rows, str(tmp_path / "named"), model_name="m", dataset_name="d")
+    with pytest.warns(UserWarning, match="no metadata"):
+        assert shards.dataset_model_name(spark, [str(tmp_path / "named"), str(tmp_path / "bare")]) == "m"
