@@ -6,11 +6,12 @@ prefixes, so only prefixes are joined. Length, positional and suffix filters dro
 candidates before the two whole sets meet, once per pair.
 
 Equal sets are one class from the start, so copies are never paired. Large groups
-of near copies are not expanded into all pairs either: the join runs in rounds
-over ever more numerous *leaders* (a fixed pseudo-random level of each class), and
-a pair is left out when earlier links have already put both into one group. Every
-pair that could still connect two groups is joined in some round, so the groups
-are exactly those of all links.
+of near copies are not expanded into all pairs either: the join runs in rounds,
+first of one leader per bucket of classes that share a prefix n-gram, then of ever
+more leaders, and a pair is left out when earlier links have already put both
+into one group. The last round joins every pair that could still connect two
+groups, so the groups are exactly those of all links. A parity bitmap of each set
+stands beside its prefix, so that most false candidates never leave the join.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import inputs, join_groups, pack, slices, unpack
@@ -31,10 +33,14 @@ WIDTH = 3
 #: Similarity as a fraction of whole numbers: 100 * shared >= 90 * union.
 SHARE, OF = 90, 100
 #: Counters of the n-gram frequency sketch, and the parts it is summed in.
-COUNTERS, PARTS, SALTS = 1 << 21, 32, 32
-#: Leaders of a bucket in round r, relative to its size: GROWTH ** r.
-GROWTH = 8
+COUNTERS, PARTS, SALTS = 1 << 24, 64, 32
+#: Rounds in which one leader meets its whole bucket; then the leaders of a bucket grow by this factor per round.
+STARS, GROWTH = 3, 8
+#: Until the last round, which looks at everything left, a class shows up in its largest buckets only.
+PICKED = 3
 SUFFIX_DEPTH = 2
+#: Words of the parity bitmap that bounds how much two sets can share.
+BITMAP = 4
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -80,28 +86,31 @@ def frequency_sketch(texts: DataFrame, width: int, counters: int = COUNTERS) ->
     step = counters // PARTS
     kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
 
+    def squeezed(counts: np.ndarray) -> dict:
+        wide = next(w for w in kinds if counts.max() < 1 << (8 * w - (w == 8)))
+        return {"wide": [wide], "counts": [zstandard.ZstdCompressor(level=1).compress(counts.astype(kinds[wide]).tobytes())]}
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(counters, dtype=np.int64)
+        total = np.zeros(counters, dtype=np.uint32)
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 values, _ = shingle_sets(batch.column(0).slice(a, b - a), width)
-                total += np.bincount((values & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
+                np.add.at(total, (values & np.uint64(counters - 1)).astype(np.int64), np.uint32(1))
         salt = TaskContext.get().partitionId() % SALTS
         for p in range(PARTS):
             own = total[p * step : (p + 1) * step]
             if own.any():
-                wide = next(w for w in kinds if own.max() < 1 << (8 * w - (w == 8)))
-                yield pa.RecordBatch.from_pydict({"part": [p], "salt": [salt], "wide": [wide], "counts": [own.astype(kinds[wide]).tobytes()]})
+                yield pa.RecordBatch.from_pydict({"part": [p], "salt": [salt]} | squeezed(own))
 
     def added(group: pa.Table) -> np.ndarray:
         total = np.zeros(step, dtype=np.int64)
         for wide, counts in zip(group["wide"], group["counts"], strict=True):
-            total += np.frombuffer(counts.as_py(), dtype=kinds[wide.as_py()])
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(counts.as_py()), dtype=kinds[wide.as_py()])
         return total
 
     def add(group: pa.Table) -> pa.Table:
-        counts = added(group).tobytes()
-        return pa.table({"part": group["part"][:1], "wide": pa.array([8], pa.int64()), "counts": pa.array([counts], pa.binary())})
+        sums = squeezed(added(group))
+        return pa.table({"part": group["part"][:1], "wide": pa.array(sums["wide"], pa.int64()), "counts": pa.array(sums["counts"], pa.binary())})
 
     def level(group: pa.Table) -> pa.Table:
         total = added(group)
@@ -117,11 +126,23 @@ def frequency_sketch(texts: DataFrame, width: int, counters: int = COUNTERS) ->
     return out
 
 
+def bitmaps(values: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """Per set 64 * BITMAP bits, each the parity of the n-grams that hash there.
+
+    Two bitmaps differ in no more bits than their sets differ in n-grams.
+    """
+    width = 64 * BITMAP
+    place = (mix64(values ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(width - 1)).astype(np.int64)
+    parity = np.bincount(owner * width + place, minlength=texts * width) & 1
+    return np.packbits(parity.astype(np.uint8).reshape(texts, width), axis=1).view(np.int64)
+
+
 def set_column(text: Column, width: int, levels: Broadcast | None = None) -> Column:
-    """struct<n, high, low[, prefix]>: size and 128-bit digest of a text's set, and the rarest n-grams in order."""
-    kind = [("n", pa.int32()), ("high", pa.int64()), ("low", pa.int64())] + ([("prefix", pa.binary())] if levels else [])
+    """struct<n, high, low[, prefix, bits]>: size and 128-bit digest of a text's set, its rarest n-grams in order, its bitmap."""
+    kind = [("n", pa.int32()), ("high", pa.int64()), ("low", pa.int64())]
+    kind += [("prefix", pa.binary()), ("bits", pa.list_(pa.int64()))] if levels else []
 
-    @F.arrow_udf("struct<n:int,high:bigint,low:bigint" + (",prefix:binary>" if levels else ">"))
+    @F.arrow_udf("struct<n:int,high:bigint,low:bigint" + (",prefix:binary,bits:array<bigint>>" if levels else ">"))
     def made(column: pa.Array) -> pa.Array:
         outs = []
         for a, b in slices(column):
@@ -138,6 +159,9 @@ def set_column(text: Column, width: int, levels: Broadcast | None = None) -> Col
                 ends = at[:-1] + np.where(sizes > 0, prefix_length(sizes), 0)
                 raw = ordered.tobytes()
                 fields.append(pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1], ends, strict=True)], pa.binary()))
+                bits = bitmaps(values, owner, len(sizes))
+                starts = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BITMAP)
+                fields.append(pa.ListArray.from_arrays(starts, pa.array(bits.ravel())))
             outs.append(pa.StructArray.from_arrays(fields, names=[k for k, _ in kind]))
         return pa.concat_arrays(outs) if outs else pa.array([], pa.struct(kind))
 
@@ -229,11 +253,18 @@ def merge_groups(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def class_groups(classes: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
-    """(rep, group) of every class that may be linked with another; ``classes`` has rep, high, low, n, prefix."""
+    """(rep, group) of every class that may be linked with another; ``classes`` has rep, high, low, n, prefix, bits."""
     prefix = prefix_rows(classes)
     sizes = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     # Only n-grams in two prefixes or more can make a pair; most are in one.
-    rows = materialize(prefix.join(sizes, "gram").select("gram", "rep", "n", "pos", F.xxhash64("rep").alias("h")), "prefixes")
+    shared = prefix.join(sizes, "gram").join(classes.select("rep", "bits"), "rep")
+    mine = Window.partitionBy("rep")
+    largest_first = F.row_number().over(mine.orderBy(F.desc("size"), "gram"))
+    # A class whose n-grams are mostly shared stands in the middle of its group: it comes first as a leader.
+    rows = shared.select(
+        "gram", "rep", "n", "pos", "bits", F.xxhash64("rep").alias("h"), (largest_first <= PICKED).alias("picked"), (-F.count(F.lit(1)).over(mine)).alias("own")
+    )
+    rows = materialize(rows, "prefixes")
     members = rows.select("rep").distinct()
     wanted = classes.select("high", "low", "rep").join(members, "rep")
     made = docs.select(set_column(F.col(text), width).alias("s"), F.col(text).alias("text")).where("s.n > 0")
@@ -241,41 +272,67 @@ def class_groups(classes: DataFrame, docs: DataFrame, text: str, width: int) ->
     texts = materialize(one.join(wanted, ["high", "low"]).select("rep", "text"), "texts")
     labels = materialize(members.select("rep", F.col("rep").alias("group")), "groups")
     tried: DataFrame | None = None
+    spread, last = 0, False  # spread: how far the number of leaders has grown
     turn = 0
     while True:
-        placed = rows.join(labels, "rep") if turn else rows.withColumn("group", F.col("rep"))
-        lead = F.min(F.struct("h", "rep", "n", "pos", "group")).alias("lead")
-        state = placed.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("size"), lead)
+        own_rows = rows if last else rows.where("picked")
+        placed = own_rows.join(labels, "rep") if turn else own_rows.withColumn("group", F.col("rep"))
+        fields = ("rep", "n", "pos", "bits", "group")
+        first = F.struct("own", "h", *fields)
+        state = placed.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("size"), F.min(first).alias("lead"))
         # A bucket whose members are all in one group is done.
         state = state.where("low <> high").select("gram", "size", "lead")
-        rows = materialize(placed.join(state, "gram").select("gram", "rep", "n", "pos", "h", "group", "size", "lead"), "round")
-        largest = rows.agg(F.max("size")).first()[0]
+        open_ = placed.join(state, "gram").select("gram", *fields, "own", "h", "size", "lead")
+        open_ = materialize(open_.withColumn("outside", F.col("group") != F.col("lead.group")), "round")
+        largest = open_.agg(F.max("size")).first()[0] or 0
         if not largest:
-            return labels
+            if last:
+                return labels
+            last, turn = True, max(turn, STARS)
+            continue
+
+        def led(lead: str) -> list[Column]:
+            return [F.col(f"{lead}.{c}").alias(f"l_{c}") for c in fields]  # noqa: B023
+
         if turn == 0:  # each bucket against its first member
-            met = rows.select("rep", "n", "pos", "group", *[F.col(f"lead.{c}").alias(f"l_{c}") for c in ("rep", "n", "pos", "group")])
+            met = open_.select(*fields, *led("lead"))
+        elif turn < STARS:  # and against the first one outside that member's group
+            second = open_.where("outside").groupBy("gram").agg(F.min(first).alias("second"))
+            met = open_.join(second, "gram").select(*fields, *led("second"))
         else:
             unit = F.col("h").cast("double") / F.lit(2.0**64) + 0.5
-            chosen = (unit < F.lit(float(GROWTH**turn)) / F.col("size")) | (F.col("rep") == F.col("lead.rep"))
-            sides = rows.withColumn("outside", F.col("group") != F.col("lead.group"))
-            leaders = sides.where(chosen).select("gram", *[F.col(c).alias(f"l_{c}") for c in ("rep", "n", "pos", "group", "outside")])
+            chosen = F.lit(True) if last else unit < F.lit(float(GROWTH**spread)) / F.col("size")
+            leaders = open_.where(chosen).select("gram", *[F.col(c).alias(f"l_{c}") for c in (*fields, "outside")])
             # The group of a bucket's first member may be large; it is never joined with itself.
-            met = leaders.where("l_outside").join(sides, "gram").unionByName(leaders.where("not l_outside").join(sides.where("outside"), "gram"))
-        small, big = F.least("n", "l_n").cast("long"), F.greatest("n", "l_n").cast("long")
-        need = F.expr(f"({SHARE} * (cast(n as bigint) + l_n) + {OF + SHARE - 1}) div {OF + SHARE}")
-        # At this shared n-gram: what both may share before it, itself, and what either has behind it.
-        most = F.least("pos", "l_pos") + F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos"))
-        fits = (F.col("group") != F.col("l_group")) & (small * OF >= big * SHARE) & (most >= need)
-        pairs = met.where(fits).select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
+            met = leaders.where("l_outside").join(open_, "gram").where(may_link()).select(*fields, *[f"l_{c}" for c in fields])
+            met = met.unionByName(
+                leaders.where("not l_outside").join(open_.where("outside"), "gram").where(may_link()).select(*fields, *[f"l_{c}" for c in fields])
+            )
+        pairs = met.where(may_link()).select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = merge_groups(labels, materialize(verify(pairs, texts, width), "links"))
-        if GROWTH**turn >= largest:
+        if not pairs.isEmpty():
+            labels = merge_groups(labels, materialize(verify(pairs, texts, width), "links"))
+        if last:
             return labels
-        rows = rows.select("gram", "rep", "n", "pos", "h")
         turn += 1
+        if turn >= STARS:
+            spread += 1
+            # Once all members of the picked buckets have led, or none is left open, the last round looks at all buckets.
+            last = GROWTH**spread >= largest
+
+
+def may_link() -> Column:
+    """The length, positional and bitmap filters for two classes that meet at an n-gram of both prefixes."""
+    n, m = F.col("n").cast("long"), F.col("l_n").cast("long")
+    long_enough = F.least(n, m) * OF >= F.greatest(n, m) * SHARE
+    need = F.expr(f"({SHARE} * (cast(n as bigint) + l_n) + {OF + SHARE - 1}) div {OF + SHARE}")
+    # At this shared n-gram: what both may share before it, itself, and what either has behind it.
+    most = F.least("pos", "l_pos") + F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos"))
+    apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("l_bits", F.lit(i)))) for i in range(BITMAP)), F.lit(0))
+    return (F.col("group") != F.col("l_group")) & long_enough & (most >= need) & (n + m - apart >= 2 * need)
 
 
 def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
@@ -291,7 +348,7 @@ def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     levels = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs.select(text), width))  # COUNTERS bytes
     made = docs.select(F.col(doc_id).cast("long").alias("id"), set_column(F.col(text), width, levels).alias("s")).where("s.n > 0")
     classes = made.groupBy(F.col("s.high").alias("high"), F.col("s.low").alias("low")).agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("s.n").alias("n"), F.first("s.prefix").alias("prefix")
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("s.n").alias("n"), F.first("s.prefix").alias("prefix"), F.first("s.bits").alias("bits")
     )
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     groups = class_groups(classes, docs, text, width)
