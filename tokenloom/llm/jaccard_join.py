@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import inputs, join_groups, pack, slices, unpack
 from tokenloom.llm.tokens import hashed_words, mix64
-from tokenloom.session import materialize
+from tokenloom.session import materialize, scratch_path
 
 WIDTH = 3
 #: Similarity as a fraction of whole numbers: 100 * shared >= 90 * union.
@@ -252,6 +252,16 @@ def merge_groups(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(moved, "group", "left").select("rep", F.coalesce("low", "group").alias("group")), "groups")
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` stored in buckets of ``key`` in the shared folder: later joins on the key do not move it again."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def class_groups(classes: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
     """(rep, group) of every class that may be linked with another; ``classes`` has rep, high, low, n, prefix, bits."""
     prefix = prefix_rows(classes)
@@ -269,7 +279,7 @@ def class_groups(classes: DataFrame, docs: DataFrame, text: str, width: int) ->
     wanted = classes.select("high", "low", "rep").join(members, "rep")
     made = docs.select(set_column(F.col(text), width).alias("s"), F.col(text).alias("text")).where("s.n > 0")
     one = made.groupBy(F.col("s.high").alias("high"), F.col("s.low").alias("low")).agg(F.first("text").alias("text"))
-    texts = materialize(one.join(wanted, ["high", "low"]).select("rep", "text"), "texts")
+    texts = bucketed(one.join(wanted, ["high", "low"]).select("rep", "text"), "rep", "texts")
     labels = materialize(members.select("rep", F.col("rep").alias("group")), "groups")
     tried: DataFrame | None = None
     spread, last = 0, False  # spread: how far the number of leaders has grown
