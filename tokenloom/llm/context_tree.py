@@ -25,7 +25,9 @@ from tokenloom.session import materialize
 DEPTH = 4
 #: Byte strings in the tree and words in the broadcast table, at most; the rarest stay out of the tree,
 #: the other words are looked up by a join.
-MAX_STRINGS, MAX_WORDS = 1_000_000, 1 << 20
+MAX_STRINGS, MAX_WORDS = 600_000, 1 << 19
+#: Text scored or counted at once inside a task.
+CHUNK = 1 << 20
 #: 0xFF is in no UTF-8 text: it stands before a text and ends it.
 EDGE = 0xFF
 #: The key of the token that ends a text.
@@ -65,7 +67,7 @@ class Counter:
         part = np.unique(keys, return_counts=True)
         self.parts.append(part)
         self.pending += len(part[0])
-        if self.pending > 2_000_000 and len(self.parts) > 4:
+        if self.pending > 1_000_000 and len(self.parts) > 4:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +96,7 @@ def count_corpus(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
         for batch in batches:
             column = batch.column(0)
             texts += len(column)
-            for a, b in slices(column):
+            for a, b in slices(column, CHUNK):
                 data, offsets = folded(column.slice(a, b - a))
                 first, last, _ = word_bounds(data, offsets)
                 counters[WORD].add(word_hashes(data, first, last))
@@ -173,7 +175,8 @@ def subtree(strings: dict[int, tuple[np.ndarray, np.ndarray]], top: int, depth:
             deeper = np.bincount(parent, weights=child["weighted"], minlength=len(key))
             left_zeros = zeros - np.bincount(parent, weights=child["zeros"], minlength=len(key))
             left_ones = ones - np.bincount(parent, weights=child["ones"], minlength=len(key))
-            deeper += kt_block(np.maximum(left_zeros, 0), np.maximum(left_ones, 0))  # contexts left out of the tree
+            # Contexts left out of the tree count as one leaf.
+            deeper = deeper + kt_block(np.maximum(left_zeros, 0), np.maximum(left_ones, 0))
             weighted = np.logaddexp(stop, deeper) - np.log(2)
         out[d] = {
             "key": key,
@@ -289,10 +292,11 @@ def build_tree(counts: DataFrame, depth: int = DEPTH, max_strings: int = MAX_STR
         rows.append((depth + 1, known.tobytes(), log10_of(known, path).astype(np.float32).tobytes(), b""))
         return pd.DataFrame(rows, columns=["d", "key", "one", "stop"])
 
-    rows = grouped.applyInPandas(packed, "d int, key binary, one binary, stop binary").collect()  # bounded by max_strings
+    # Stored, and fetched depth by depth, so that the driver never holds it twice; max_strings bounds it.
+    tables = materialize(grouped.applyInPandas(packed, "d int, key binary, one binary, stop binary"), "tree")
     model = [{"key": root["key"], "one": root["one"].astype(np.float32), "stop": root["stop"].astype(np.float32)}]
     for d in range(1, depth + 2):
-        own = [r for r in rows if r["d"] == d]
+        own = tables.where(F.col("d") == d).collect()
         key = np.frombuffer(b"".join(r["key"] for r in own), dtype=np.uint64)
         order = np.argsort(key)
         entry = {"key": key[order], "one": np.frombuffer(b"".join(r["one"] for r in own), dtype=np.float32)[order]}
@@ -342,7 +346,7 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", keep: tuple[
             state["words"] = Lookup(*parts["words"])
             state["known"] = Lookup(*parts["known"])
         outs = []
-        for a, b in slices(column):
+        for a, b in slices(column, CHUNK):
             data, offsets = folded(column.slice(a, b - a))
             texts = b - a
             keys, at = byte_strings(data, offsets, depth)
