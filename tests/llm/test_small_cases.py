@@ -312,6 +312,33 @@ def test_context_tree(docs, none):
     assert untrained["base_score"] == 0 and abs(untrained["score"] - 32 * math.log10(0.5)) < 1e-6
 
 
+def test_scores_are_of_the_whole_tree(docs, monkeypatch):
+    """However few strings the cache holds, every counted string is in the tree that scores."""
+    import numpy as np
+    import pyarrow as pa
+
+    train = crc_mod(F.col("doc_id"), 5) != 1
+
+    def strings_of(texts):
+        return context_tree.byte_strings(*context_tree.folded(pa.array(texts, pa.string())))
+
+    learned = [r[1] for r in ROWS if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 != 1]
+    found, n = np.unique(strings_of(learned)[0], return_counts=True)
+    strings = {}
+    for d in range(context_tree.DEPTH, -1, -1):
+        u, at = np.unique(found & context_tree.mask(d), return_inverse=True)
+        strings[d] = (u, np.bincount(at, weights=n).astype(np.int64))
+    tree = context_tree.subtree(strings, 0, context_tree.DEPTH)
+    nodes = [(tree[d]["key"], tree[d]["one"], tree[d]["stop"]) for d in range(context_tree.DEPTH + 1)]
+    for most in (20, 600_000):
+        monkeypatch.setattr(context_tree.build_tree, "__defaults__", (context_tree.DEPTH, most))
+        rows = context_tree.score_texts(docs, train, keep=("text",)).collect()
+        assert len(rows) == len(ROWS)
+        for r in rows:
+            wanted = context_tree.log10_of(strings_of([r["text"]])[0], nodes).sum()
+            assert abs(r["score"] - wanted) < 1e-6 * max(1, abs(wanted))
+
+
 def test_weighted_tree_is_the_sequential_one():
     """Counts in a batch give the probability that sequential context-tree weighting gives, bit by bit."""
     import math

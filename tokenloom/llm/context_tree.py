@@ -5,7 +5,9 @@ over the preceding bytes, whose nodes hold Krichevsky-Trofimov estimates. The
 weighted probability of the training text at a node gives the weight of stopping
 there against going deeper, and a byte's code length mixes the estimates of all
 depths by these weights. The counts of byte strings and of words come from the
-whole training corpus, combined inside tasks first.
+whole training corpus, combined inside tasks first. The tree is whole and stays
+in stored tables; only the values of the strings used most are broadcast, as a
+cache, and the others are joined.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from tokenloom.llm.tokens import LOWERED, word_bounds, word_hashes
 from tokenloom.session import materialize
 
 DEPTH = 4
-#: Byte strings in the tree and words in the broadcast table, at most; the rarest stay out of the tree,
-#: the other words are looked up by a join.
+#: Byte strings and words in the broadcast tables, at most; all others are looked up by joins.
 MAX_STRINGS, MAX_WORDS = 600_000, 1 << 19
+#: Rows of the tree worked out at once inside a task. Strings that differ in two bytes only are never
+#: apart: there are 2^16 of them at most.
+TREE_ROWS = 1 << 18
 #: Text scored or counted at once inside a task.
 CHUNK = 1 << 20
 #: 0xFF is in no UTF-8 text: it stands before a text and ends it.
@@ -87,29 +91,41 @@ def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_corpus(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """kind (WORD or STRING), key, n over all rows of a one-column table of texts."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+    """kind (WORD or STRING), key, n and uses over all rows of a table of texts.
+
+    A second column, if there is one, says which rows are learned from: only these
+    count for ``n``. Strings of the other rows are listed too, and ``uses`` counts
+    all rows.
+    """
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("uses", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = {WORD: Counter(), STRING: Counter()}
+        counters = {(WORD, True): Counter(), (STRING, True): Counter(), (STRING, False): Counter()}
         texts = 0
         for batch in batches:
             column = batch.column(0)
-            texts += len(column)
-            for a, b in slices(column, CHUNK):
-                data, offsets = folded(column.slice(a, b - a))
-                first, last, _ = word_bounds(data, offsets)
-                counters[WORD].add(word_hashes(data, first, last))
-                counters[STRING].add(byte_strings(data, offsets, depth)[0])
-        for kind, counter in counters.items():
+            learned = np.ones(len(column), dtype=bool)
+            if batch.num_columns > 1:
+                learned = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+            texts += int(learned.sum())
+            for own in (True, False):
+                chosen = column.filter(pa.array(learned == own))
+                for a, b in slices(chosen, CHUNK):
+                    data, offsets = folded(chosen.slice(a, b - a))
+                    if own:
+                        first, last, _ = word_bounds(data, offsets)
+                        counters[WORD, True].add(word_hashes(data, first, last))
+                    counters[STRING, own].add(byte_strings(data, offsets, depth)[0])
+        for (kind, own), counter in counters.items():
             keys, counts = counter.merge()
             for i in range(0, len(keys), 1 << 18):
-                k = keys[i : i + (1 << 18)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(counts[i : i + (1 << 18)])], schema=schema)
+                k, c = keys[i : i + (1 << 18)].view(np.int64), counts[i : i + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(c * own), pa.array(c)], schema=schema)
         if texts:
-            yield pa.RecordBatch.from_pylist([{"kind": WORD, "key": int(END_TOKEN), "n": texts}], schema)
+            yield pa.RecordBatch.from_pylist([{"kind": WORD, "key": int(END_TOKEN), "n": texts, "uses": texts}], schema)
 
-    return texts.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(count, "kind int, key long, n long, uses long")
+    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
 
 
 def least_count(counts: DataFrame, most: int) -> int:
@@ -120,7 +136,7 @@ def least_count(counts: DataFrame, most: int) -> int:
         total += r["rows"]
         if total > most:
             return int(r["n"]) + 1
-    return 1
+    return 0
 
 
 def log_gamma_half(n: np.ndarray) -> np.ndarray:
@@ -173,10 +189,6 @@ def subtree(strings: dict[int, tuple[np.ndarray, np.ndarray]], top: int, depth:
             child = out[d + 1]
             parent = np.searchsorted(key, child["key"] & mask(d))
             deeper = np.bincount(parent, weights=child["weighted"], minlength=len(key))
-            left_zeros = zeros - np.bincount(parent, weights=child["zeros"], minlength=len(key))
-            left_ones = ones - np.bincount(parent, weights=child["ones"], minlength=len(key))
-            # Contexts left out of the tree count as one leaf.
-            deeper = deeper + kt_block(np.maximum(left_zeros, 0), np.maximum(left_ones, 0))
             weighted = np.logaddexp(stop, deeper) - np.log(2)
         out[d] = {
             "key": key,
@@ -242,68 +254,117 @@ class Lookup:
         return out, found
 
 
-def build_tree(counts: DataFrame, depth: int = DEPTH, max_strings: int = MAX_STRINGS) -> list[dict[str, np.ndarray]]:
-    """Nodes by depth (key, one, stop), and last the known strings with their log10 probabilities.
+def lowest_nodes(keys: np.ndarray, n: np.ndarray, depth: int) -> dict[int, dict[str, np.ndarray]]:
+    """The nodes of the two deepest levels for strings whose contexts are whole but for the last byte."""
+    shorter, at = np.unique(keys & mask(depth - 1), return_inverse=True)
+    return subtree({depth - 1: (shorter, np.bincount(at, weights=n, minlength=len(shorter))), depth: (keys, n)}, depth - 1, depth)
+
+
+def whole_places(batches: Iterator[pa.RecordBatch], rows: int = TREE_ROWS) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of some ``rows`` rows at once, of batches sorted by ``place``; rows of one place are never apart."""
+    waiting: list[pa.RecordBatch] = []
+
+    def columns(table: pa.Table) -> dict[str, np.ndarray]:
+        return {c: table[c].to_numpy() for c in table.column_names}
 
-    Subtrees below different preceding bytes are independent, so each is worked out
-    in a task of its own; only the 255 nodes of the root are combined here.
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) < rows:
+            continue
+        table = pa.Table.from_batches(waiting)
+        place = table["place"].to_numpy()
+        cut = int(np.searchsorted(place, place[-1]))
+        waiting = table.slice(cut).combine_chunks().to_batches()
+        if cut:
+            yield columns(table.slice(0, cut))
+    if sum(b.num_rows for b in waiting):
+        yield columns(pa.Table.from_batches(waiting))
+
+
+def build_tree(counts: DataFrame, depth: int = DEPTH, max_strings: int = MAX_STRINGS) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """Every counted string with its log10 probability (string, uses, value), and the most used ones as a cache (key, value).
+
+    The whole tree is worked out, whatever its size: the two deepest levels where the
+    strings stand, spread by the context but for its last two bytes (strings that
+    share all but one byte of it are 2^16 at most and met together), the levels above
+    by sums over the nodes below. A string that was not learned from has zero counts:
+    its nodes say one half and weigh nothing. ``depth`` is 2 at least.
     """
-    deepest = counts.where(F.col("kind") == STRING).select(F.col("key").alias("string"), "n")
-    tables = [deepest.withColumn("d", F.lit(depth))]
-    for d in range(depth - 1, -1, -1):
-        shorter = F.col("string").bitwiseAND(F.lit(int(mask(d))))
-        tables.append(deepest.groupBy(shorter.alias("string")).agg(F.sum("n").alias("n")).withColumn("d", F.lit(d)))
-    everything = tables[0]
-    for t in tables[1:]:
-        everything = everything.unionByName(t)
-    least = least_count(deepest, max_strings)
-    strings = materialize(everything.where(F.col("n") >= least), "strings")
-    previous = F.shiftrightunsigned("string", 8).bitwiseAND(F.lit(255)).alias("previous")
-    grouped = strings.where("d > 0").select("d", "string", "n", previous).groupBy("previous")
-    root_rows = strings.where("d = 0").select("string", "n").collect()  # 256 at most
-
-    def parts(pdf: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        held = {}
-        for d in range(1, depth + 1):
-            own = pdf[pdf["d"] == d]
-            held[d] = own["string"].to_numpy().astype(np.int64).view(np.uint64), own["n"].to_numpy()
-        return held
-
-    def tops(pdf: pd.DataFrame) -> pd.DataFrame:
-        top = subtree(parts(pdf), 1, depth)[1]
-        return pd.DataFrame({"node": (top["key"] & np.uint64(255)).astype(np.int64), "weighted": top["weighted"], "zeros": top["zeros"], "ones": top["ones"]})
-
-    summed = grouped.applyInPandas(tops, "node long, weighted double, zeros double, ones double")
-    summed = summed.groupBy("node").agg(F.sum("weighted").alias("weighted"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).collect()
-    root_strings = np.asarray([r["string"] for r in root_rows], dtype=np.uint64)
-    root = subtree({0: (root_strings, np.asarray([r["n"] for r in root_rows], dtype=np.int64))}, 0, 0)[0]
-    below = {r["node"]: r for r in summed}
-    deeper = np.asarray([below[int(k)]["weighted"] if int(k) in below else 0.0 for k in root["key"]])
-    stop = root["weighted"]
-    root["stop"] = np.exp(stop - np.logaddexp(stop, deeper)) if len(stop) else stop
-    root_nodes = (root["key"], root["one"], root["stop"])
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = parts(pdf)
-        nodes = subtree(own, 1, depth)
-        path = [root_nodes, *[(nodes[d]["key"], nodes[d]["one"], nodes[d]["stop"]) for d in range(1, depth + 1)]]
-        rows = [(d, nodes[d]["key"].tobytes(), nodes[d]["one"].astype(np.float32).tobytes(), nodes[d]["stop"].astype(np.float32).tobytes()) for d in range(1, depth + 1)]
-        known = own[depth][0]
-        rows.append((depth + 1, known.tobytes(), log10_of(known, path).astype(np.float32).tobytes(), b""))
-        return pd.DataFrame(rows, columns=["d", "key", "one", "stop"])
-
-    # Stored, and fetched depth by depth, so that the driver never holds it twice; max_strings bounds it.
-    tables = materialize(grouped.applyInPandas(packed, "d int, key binary, one binary, stop binary"), "tree")
-    model = [{"key": root["key"], "one": root["one"].astype(np.float32), "stop": root["stop"].astype(np.float32)}]
-    for d in range(1, depth + 2):
-        own = tables.where(F.col("d") == d).collect()
-        key = np.frombuffer(b"".join(r["key"] for r in own), dtype=np.uint64)
-        order = np.argsort(key)
-        entry = {"key": key[order], "one": np.frombuffer(b"".join(r["one"] for r in own), dtype=np.float32)[order]}
-        if d <= depth:
-            entry["stop"] = np.frombuffer(b"".join(r["stop"] for r in own), dtype=np.float32)[order]
-        model.append(entry)
-    return model
+    if depth < 2:
+        raise ValueError("the depth is 2 at least")
+    strings = counts.where(F.col("kind") == STRING).select(F.col("key").alias("string"), "n", "uses")
+
+    def context(string: str) -> Column:
+        return F.shiftrightunsigned(string, 8).bitwiseAND(F.lit(int(mask(depth - 3))))
+
+    byte = F.shiftrightunsigned("string", 8 * (depth - 1)).bitwiseAND(F.lit(255))
+    placed = strings.select((F.shiftleft(context("string"), 9) + 1 + byte).alias("place"), "string", "n", "uses")
+
+    def spread_out(rows: DataFrame) -> DataFrame:
+        return rows.repartition(F.shiftrightunsigned("place", 9)).sortWithinPartitions("place")
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in whole_places(batches):
+            top = lowest_nodes(held["string"].view(np.uint64), held["n"], depth)[depth - 1]
+            node, at = np.unique(top["key"] & mask(depth - 2), return_inverse=True)
+            sums = [np.bincount(at, weights=top[c], minlength=len(node)) for c in ("zeros", "ones", "weighted")]
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *map(pa.array, sums)], names=["node", "zeros", "ones", "deeper"])
+
+    def weighed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            zeros, ones = f["zeros"].to_numpy(), f["ones"].to_numpy()
+            own = kt_block(zeros, ones)
+            weighted = np.logaddexp(own, f["deeper"].to_numpy()) - np.log(2)
+            one, stop = (ones + 0.5) / (zeros + ones + 1), np.exp(own - np.log(2) - weighted)
+            yield pd.DataFrame({"node": f["node"], "zeros": zeros, "ones": ones, "one": one, "stop": stop, "weighted": weighted})
+
+    sums = spread_out(placed.select("place", "string", "n")).mapInArrow(tops, "node long, zeros double, ones double, deeper double")
+    levels: dict[int, DataFrame] = {}
+    for d in range(depth - 2, -1, -1):
+        sums = sums.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "deeper")])
+        levels[d] = materialize(sums.mapInPandas(weighed, "node long, zeros double, ones double, one double, stop double, weighted double"), "nodes")
+        if d:
+            sums = levels[d].select(F.col("node").bitwiseAND(F.lit(int(mask(d - 1)))).alias("node"), "zeros", "ones", F.col("weighted").alias("deeper"))
+    # What a node and those above it say of a one, and the weight that is left for the nodes below.
+    path = levels[0].select("node", (F.col("stop") * F.col("one")).alias("said"), (1 - F.col("stop")).alias("left"))
+    for d in range(1, depth - 1):
+        own = levels[d].withColumn("above", F.col("node").bitwiseAND(F.lit(int(mask(d - 1)))))
+        path = own.join(path.withColumnRenamed("node", "above"), "above").select(
+            "node", (F.col("said") + F.col("left") * F.col("stop") * F.col("one")).alias("said"), (F.col("left") * (1 - F.col("stop"))).alias("left")
+        )
+    upper = path.select(
+        F.shiftleft(context("node"), 9).alias("place"),
+        F.col("node").alias("string"),
+        F.lit(0).cast("long").alias("n"),
+        F.lit(0).cast("long").alias("uses"),
+        F.when(F.col("left") < 1, F.col("said") / (1 - F.col("left"))).otherwise(0.5).alias("one"),
+        (1 - F.col("left")).alias("stop"),
+    )
+    # In each context its upper nodes stand first.
+    met = spread_out(upper.unionByName(placed.withColumn("one", F.lit(0.0)).withColumn("stop", F.lit(0.0))))
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+        above = none
+        for held in whole_places(batches):
+            keys, is_node = held["string"].view(np.uint64), held["place"] & 511 == 0
+            above = tuple(np.concatenate([x, y[is_node]]) for x, y in zip(above, (keys, held["one"], held["stop"]), strict=True))
+            order = np.argsort(above[0])
+            above = tuple(x[order] for x in above)
+            own = keys[~is_node]
+            if len(own):
+                nodes = lowest_nodes(own, held["n"][~is_node], depth)
+                whole = [none] * (depth - 2) + [above] + [(nodes[d]["key"], nodes[d]["one"], nodes[d]["stop"]) for d in (depth - 1, depth)]
+                columns = own.view(np.int64), held["uses"][~is_node], log10_of(own, whole)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["string", "uses", "value"])
+            last = np.uint64(held["place"][-1] >> 9)
+            same = (above[0] >> np.uint64(8)) & mask(depth - 3) == last
+            above = tuple(x[same] for x in above)
+
+    values = materialize(met.mapInArrow(valued, "string long, uses long, value double"), "values")
+    least = least_count(values.select(F.col("uses").alias("n")), max_strings)
+    common = values.where(F.col("uses") >= least).select("string", "value").toArrow()  # max_strings rows at most
+    return values.where(F.col("uses") < least), {"key": common.column(0).to_numpy().view(np.uint64), "value": common.column(1).to_numpy()}
 
 
 def score_texts(docs: DataFrame, train: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), depth: int = DEPTH) -> DataFrame:
@@ -313,33 +374,32 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", keep: tuple[
     probability of the lower-cased text's bytes and its end; ``base_score`` sums
     smoothed word frequencies. A null text is empty: one token, the end. With
     nothing to learn from every bit has probability one half and the base score is
-    0. Repeated rows are scored each; columns of the computed names in ``keep`` are
+    0. The tree is whole: values of strings outside the broadcast cache are joined.
+    Repeated rows are scored each; columns of the computed names in ``keep`` are
     not allowed to clash and are dropped.
     """
     spark = docs.sparkSession
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     keep = tuple(c for c in keep if c.lower() not in new)
-    counts = materialize(count_corpus(docs.where(train).select(text), depth), "counts")
+    counts = materialize(count_corpus(docs.select(text, F.coalesce(train, F.lit(False)).alias("learned")), depth), "counts")
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     totals = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = int(totals["n"] or 0), int(totals["v"])
     least = least_count(words, MAX_WORDS)
     common = words.where(F.col("n") >= least).toArrow()  # MAX_WORDS rows at most
-    model = build_tree(counts, depth)
-    known = model.pop()
+    far_values, known = build_tree(counts, depth)
     shared = spark.sparkContext.broadcast(
         {
             "words": (common.column(0).to_numpy().view(np.uint64), common.column(1).to_numpy()),
-            "nodes": [(m["key"], m["one"], m["stop"]) for m in model],
-            "known": (known["key"], known["one"]),
+            "known": (known["key"], known["value"]),
         }
     )
     state: dict = {}
     result = pa.struct(
-        [("n_tokens", pa.int64()), ("common_sum", pa.float64()), ("common_known", pa.int64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))]
+        [("n_tokens", pa.int64()), ("common_sum", pa.float64()), ("common_known", pa.int64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("far", pa.list_(pa.int64()))]
     )
 
-    @F.arrow_udf("struct<n_tokens:bigint,common_sum:double,common_known:bigint,score:double,rare:array<bigint>>")
+    @F.arrow_udf("struct<n_tokens:bigint,common_sum:double,common_known:bigint,score:double,rare:array<bigint>,far:array<bigint>>")
     def scored(column: pa.Array) -> pa.Array:
         if not state:
             parts = shared.value
@@ -351,10 +411,8 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", keep: tuple[
             texts = b - a
             keys, at = byte_strings(data, offsets, depth)
             value, seen = state["known"](keys)
-            value = value.astype(np.float64)
-            if not seen.all():
-                rest, where = np.unique(keys[~seen], return_inverse=True)
-                value[~seen] = log10_of(rest, shared.value["nodes"])[where]
+            far = np.flatnonzero(~seen)
+            far_cuts = np.searchsorted(far, at).astype(np.int32)
             tree = np.add.reduceat(value, at[:-1])
             first, last, begin = word_bounds(data, offsets)
             hashes = word_hashes(data, first, last)
@@ -377,6 +435,7 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", keep: tuple[
                         pa.array(np.add.reduceat(there.astype(np.int64), starts[:-1])),
                         pa.array(tree),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(every[rare].view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(far_cuts), pa.array(keys[far].view(np.int64))),
                     ],
                     fields=list(result),
                 )
@@ -390,12 +449,15 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", keep: tuple[
     sums = joined.groupBy("__row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("rare_sum"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known")
     )
+    # Each far string is used less than the cached ones: none is a large key.
+    far = rows.select("__row", F.explode("__s.far").alias("string")).join(far_values.select("string", "value"), "string")
+    far_sums = far.groupBy("__row").agg(F.sum("value").alias("far_sum"))
     size = float(np.log10(tokens + 0.5 * (types + 1)))
-    return rows.join(sums, "__row", "left").select(
+    return rows.join(sums, "__row", "left").join(far_sums, "__row", "left").select(
         *[F.col(f"`{c}`") for c in keep],
         F.col("__s.n_tokens").alias("n_tokens"),
         (F.col("__s.common_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("__s.common_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("__s.n_tokens") * F.lit(size)).alias("base_score"),
-        F.col("__s.score").alias("score"),
+        (F.col("__s.score") + F.coalesce("far_sum", F.lit(0.0))).alias("score"),
     )
