@@ -9,6 +9,9 @@ from tokenloom.llm import decontaminate, exact_dedup, jaccard_join, mixing, zstd
 from tokenloom.llm.common import crc_mod
 from tokenloom.session import materialize
 
+#: Near copies share 80 % of their runs of five words; op7's three words and 90 % are that query's own.
+NEAR_WIDTH, NEAR_SHARE = 5, 80
+
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts; it learns as op10 does."""
@@ -23,7 +26,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
-    return jaccard_join.keep_one_of_each(docs)
+    return jaccard_join.keep_one_of_each(docs, width=NEAR_WIDTH, share=NEAR_SHARE)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

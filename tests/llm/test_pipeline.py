@@ -88,3 +88,15 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
     assert corpus_pipeline.run(spark, sf_dir).count() == 0
+
+
+def test_near_copies_by_five_words(spark):
+    """Copies of 80 % by five words that are below 90 % by three."""
+    first = [f"a{i}" for i in range(500)]
+    second = [f"b{i}" for i in range(1000)]
+    spread = [f"new{i}" if i % 50 == 25 else w for i, w in enumerate(first)]
+    block = [f"new{i}" if 300 <= i < 390 else w for i, w in enumerate(second)]
+    far = [f"far{i}" if i % 40 == 25 else w for i, w in enumerate(first)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([first, spread, second, block, far])]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4]

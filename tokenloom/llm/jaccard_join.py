@@ -30,7 +30,7 @@ from tokenloom.llm.tokens import hashed_words, mix64
 from tokenloom.session import materialize, scratch_path
 
 WIDTH = 3
-#: Similarity as a fraction of whole numbers: 100 * shared >= 90 * union.
+#: Least similarity as a fraction of whole numbers: 100 * shared >= 90 * union. Width and share are defaults, which callers may change.
 SHARE, OF = 90, 100
 #: Counters of the n-gram frequency sketch, and the parts it is summed in.
 COUNTERS, PARTS, SALTS = 1 << 24, 64, 32
@@ -67,14 +67,14 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.n
     return value, np.searchsorted(owner, np.arange(texts + 1))
 
 
-def least_overlap(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray:
+def least_overlap(n: np.ndarray | int, m: np.ndarray | int, share: int = SHARE) -> np.ndarray:
     """The least number of shared n-grams that links sets of these sizes."""
-    return -(-SHARE * (n + m) // (OF + SHARE))
+    return -(-share * (n + m) // (OF + share))
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
+def prefix_length(n: np.ndarray, share: int = SHARE) -> np.ndarray:
     """How many of the rarest n-grams must be looked at: a linked set shares at least one of them."""
-    return n - -(-SHARE * n // OF) + 1
+    return n - -(-share * n // OF) + 1
 
 
 def frequency_sketch(texts: DataFrame, width: int, counters: int = COUNTERS) -> np.ndarray:
@@ -137,7 +137,7 @@ def bitmaps(values: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8).reshape(texts, width), axis=1).view(np.int64)
 
 
-def set_column(text: Column, width: int, levels: Broadcast | None = None) -> Column:
+def set_column(text: Column, width: int, levels: Broadcast | None = None, share: int = SHARE) -> Column:
     """struct<n, high, low[, prefix, bits]>: size and 128-bit digest of a text's set, its rarest n-grams in order, its bitmap."""
     kind = [("n", pa.int32()), ("high", pa.int64()), ("low", pa.int64())]
     kind += [("prefix", pa.binary()), ("bits", pa.list_(pa.int64()))] if levels else []
@@ -156,7 +156,7 @@ def set_column(text: Column, width: int, levels: Broadcast | None = None) -> Col
             if levels:
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 ordered = values[rare_first(values, owner, levels.value)]
-                ends = at[:-1] + np.where(sizes > 0, prefix_length(sizes), 0)
+                ends = at[:-1] + np.where(sizes > 0, prefix_length(sizes, share), 0)
                 raw = ordered.tobytes()
                 fields.append(pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1], ends, strict=True)], pa.binary()))
                 bits = bitmaps(values, owner, len(sizes))
@@ -195,16 +195,16 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
     return suffix_bound(x[:i], y[:j], depth - 1) + suffix_bound(x[i:], y[j:], depth - 1)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
     """Whether two whole sets (sorted) are similar enough."""
-    need = int(least_overlap(len(a), len(b)))
+    need = int(least_overlap(len(a), len(b), share))
     if suffix_bound(a, b, SUFFIX_DEPTH) < need:
         return False
     both = np.sort(np.concatenate([a, b]), kind="stable")
     return int((both[1:] == both[:-1]).sum()) >= need
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, width: int, share: int = SHARE) -> DataFrame:
     """The pairs (a, b) that are links, from both whole texts."""
 
     @F.arrow_udf("boolean")
@@ -213,7 +213,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         for a, b in slices(x, 1 << 20):
             u, at = shingle_sets(x.slice(a, b - a), width)
             v, bt = shingle_sets(y.slice(a, b - a), width)
-            out[a:b] = [linked(u[at[i] : at[i + 1]], v[bt[i] : bt[i + 1]]) for i in range(b - a)]
+            out[a:b] = [linked(u[at[i] : at[i + 1]], v[bt[i] : bt[i + 1]], share) for i in range(b - a)]
         return pa.array(out)
 
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("x"))
@@ -262,7 +262,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(table)
 
 
-def class_groups(classes: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
+def class_groups(classes: DataFrame, docs: DataFrame, text: str, width: int, share: int = SHARE) -> DataFrame:
     """(rep, group) of every class that may be linked with another; ``classes`` has rep, high, low, n, prefix, bits."""
     prefix = prefix_rows(classes)
     sizes = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -314,17 +314,17 @@ def class_groups(classes: DataFrame, docs: DataFrame, text: str, width: int) ->
             chosen = F.lit(True) if last else unit < F.lit(float(GROWTH**spread)) / F.col("size")
             leaders = open_.where(chosen).select("gram", *[F.col(c).alias(f"l_{c}") for c in (*fields, "outside")])
             # The group of a bucket's first member may be large; it is never joined with itself.
-            met = leaders.where("l_outside").join(open_, "gram").where(may_link()).select(*fields, *[f"l_{c}" for c in fields])
+            met = leaders.where("l_outside").join(open_, "gram").where(may_link(share)).select(*fields, *[f"l_{c}" for c in fields])
             met = met.unionByName(
-                leaders.where("not l_outside").join(open_.where("outside"), "gram").where(may_link()).select(*fields, *[f"l_{c}" for c in fields])
+                leaders.where("not l_outside").join(open_.where("outside"), "gram").where(may_link(share)).select(*fields, *[f"l_{c}" for c in fields])
             )
-        pairs = met.where(may_link()).select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
+        pairs = met.where(may_link(share)).select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not pairs.isEmpty():
-            labels = merge_groups(labels, materialize(verify(pairs, texts, width), "links"))
+            labels = merge_groups(labels, materialize(verify(pairs, texts, width, share), "links"))
         if last:
             return labels
         turn += 1
@@ -334,19 +334,19 @@ def class_groups(classes: DataFrame, docs: DataFrame, text: str, width: int) ->
             last = GROWTH**spread >= largest
 
 
-def may_link() -> Column:
+def may_link(share: int = SHARE) -> Column:
     """The length, positional and bitmap filters for two classes that meet at an n-gram of both prefixes."""
     n, m = F.col("n").cast("long"), F.col("l_n").cast("long")
-    long_enough = F.least(n, m) * OF >= F.greatest(n, m) * SHARE
-    need = F.expr(f"({SHARE} * (cast(n as bigint) + l_n) + {OF + SHARE - 1}) div {OF + SHARE}")
+    long_enough = F.least(n, m) * OF >= F.greatest(n, m) * share
+    need = F.expr(f"({share} * (cast(n as bigint) + l_n) + {OF + share - 1}) div {OF + share}")
     # At this shared n-gram: what both may share before it, itself, and what either has behind it.
     most = F.least("pos", "l_pos") + F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos"))
     apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("l_bits", F.lit(i)))) for i in range(BITMAP)), F.lit(0))
     return (F.col("group") != F.col("l_group")) & long_enough & (most >= need) & (n + m - apart >= 2 * need)
 
 
-def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """Every input row with n_shingles (its set's size) and component_id.
+def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, share: int = SHARE) -> DataFrame:
+    """Every input row with n_shingles (its set's size) and component_id; sets of n-grams of ``width`` words link from ``share`` percent on.
 
     ``component_id`` is the smallest doc_id that links reach, the row's own included.
     Texts without words, null ones among them, have an empty set and link with
@@ -356,12 +356,12 @@ def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     of these names are replaced, all others pass through.
     """
     levels = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs.select(text), width))  # COUNTERS bytes
-    made = docs.select(F.col(doc_id).cast("long").alias("id"), set_column(F.col(text), width, levels).alias("s")).where("s.n > 0")
+    made = docs.select(F.col(doc_id).cast("long").alias("id"), set_column(F.col(text), width, levels, share).alias("s")).where("s.n > 0")
     classes = made.groupBy(F.col("s.high").alias("high"), F.col("s.low").alias("low")).agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("s.n").alias("n"), F.first("s.prefix").alias("prefix"), F.first("s.bits").alias("bits")
     )
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    groups = class_groups(classes, docs, text, width)
+    groups = class_groups(classes, docs, text, width, share)
     named = classes.select("high", "low", "id", "rows", "rep").join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
     ids = named.groupBy("group").agg(F.min("id").alias("component"))
     key = F.format_string("%016x%016x", "high", "low")
@@ -377,9 +377,9 @@ def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return unpack(found, docs.columns, n_shingles=F.col("n").cast("long"), component_id=component)
 
 
-def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """The document with the smallest id of each group, with the columns it came with."""
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("grouped_row"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
-    found = jaccard_groups(packed).where(F.col("doc_id").cast("long").eqNullSafe(F.col("component_id")))
+    found = jaccard_groups(packed, width=width, share=share).where(F.col("doc_id").cast("long").eqNullSafe(F.col("component_id")))
     return found.select(*[F.col(f"grouped_row.`{c}`").alias(c) for c in names])
