@@ -289,6 +289,15 @@ def test_quality(spark, docs, none):
     assert zstd_quality.keep_good(docs, labels, F.lit(True)).columns == docs.columns
 
 
+def test_a_very_long_text_does_not_end_the_quality_sample(spark):
+    ids = spark.range(40).withColumnRenamed("id", "doc_id")
+    long_id = ids.orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    long_text = F.repeat(F.lit("word "), 2_000_000)
+    docs = ids.withColumn("text", F.when(F.col("doc_id") == long_id, long_text).otherwise(F.concat(F.lit("text of document "), "doc_id")))
+    labels = ids.withColumn("quality", F.lit(1))
+    assert len(zstd_quality.labelled_sample(docs, labels, F.lit(True), 1)) == 40
+
+
 def test_context_tree(docs, none):
     train = crc_mod(F.col("doc_id"), 5) != 1
     rows = context_tree.score_texts(docs, train, keep=("doc_id", "text", "score")).collect()

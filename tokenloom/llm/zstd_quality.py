@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: The fit reads at most so many labelled rows, and so many bytes, of each class.
 SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 8 << 20
+#: A longer labelled text is learned from by its first so many characters, so that no single one fills the sample. It is scored whole.
+SAMPLE_CHARS = 1 << 15
 DICTIONARY_BYTES = 112 << 10
 BLOCK = 1024
 LEVEL = 3
@@ -77,10 +79,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, value: int) -> list[bytes]:
-    """Whole texts of one class in hash order of the id, up to the sample's rows and bytes."""
+    """Texts of one class, their first SAMPLE_CHARS characters, in hash order of the id, up to the sample's rows and bytes."""
     ids = labels.where((F.col("quality") == value) & F.col("doc_id").isNotNull() & usable).select("doc_id").distinct()
     first = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)  # bounded: SAMPLE_ROWS ids
     rows = docs.join(F.broadcast(first), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) > 0)
+    rows = rows.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     upto = F.sum("bytes").over(_hash_order())
     sized = rows.select("doc_id", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("h"))
     inside = sized.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id").distinct()
