@@ -76,6 +76,20 @@ def test_exact_dedup(docs, none):
     assert {r["doc_id"] for r in kept.collect()} == {2, 4, 5, 6, 7, 8, 9}
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows that repeat an id, and rows without one, are copies like any others."""
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([*base[:59], last]) for last in ("x", "y", "z")]
+    other = ["other " + t.replace("w", "v") for t in near]
+    rows = [(5, near[0]), (5, near[0]), (5, near[1]), (7, near[2]), (None, other[0]), (None, other[0]), (None, other[1]), (None, other[2])]
+    frame = spark.createDataFrame(rows + [(8, ""), (8, ""), (None, None)], "doc_id long, text string").repartition(3)
+    exact = exact_dedup.drop_copies(frame).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in exact) == sorted([(5, near[0]), (5, near[1]), (7, near[2]), *[(0, t) for t in other], (8, "")])
+    kept = jaccard_join.keep_one_of_each(frame.where("length(text) > 0")).collect()
+    assert sorted(r["doc_id"] or 0 for r in kept) == [0, 5]
+    assert jaccard_join.keep_one_of_each(frame).count() == 5
+
+
 def test_equal_digests_of_different_texts_stay_apart(docs, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda col, bits: F.lit("same"))
     rows = exact_dedup.exact_dedup(docs).collect()

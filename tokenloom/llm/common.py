@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.session import materialize
+
 #: A group is hot when it holds more than one in HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot groups.
 HOT_SHARE = 1_000
 #: Text handled at once inside a task; a longer single text is handled alone, and whole.
@@ -49,6 +51,13 @@ def unpack(df: DataFrame, names: list[str], **computed: Column) -> DataFrame:
     return df.select(*kept, *[v.alias(k) for k, v in computed.items()])
 
 
+def numbered(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """whole_row (the columns of ``docs``), text, doc_id and row_number, a number of each row; stored, so that no row's number changes."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row")
+    stored = materialize(docs.select(whole).withColumn("row_number", F.monotonically_increasing_id()), "numbered")
+    return stored.select("whole_row", F.col(f"whole_row.`{text}`").alias("text"), F.col(f"whole_row.`{doc_id}`").alias("doc_id"), "row_number")
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Left-join each row with its group (one row per ``key`` in ``groups``), whatever the largest group holds.
 

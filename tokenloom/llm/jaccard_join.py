@@ -25,7 +25,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import inputs, join_groups, pack, slices, unpack
+from tokenloom.llm.common import inputs, join_groups, numbered, pack, slices, unpack
 from tokenloom.llm.tokens import hashed_words, mix64
 from tokenloom.session import materialize, scratch_path
 
@@ -345,7 +345,9 @@ def may_link(share: int = SHARE) -> Column:
     return (F.col("group") != F.col("l_group")) & long_enough & (most >= need) & (n + m - apart >= 2 * need)
 
 
-def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, share: int = SHARE) -> DataFrame:
+def jaccard_groups(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, share: int = SHARE, row: str | None = None
+) -> DataFrame:
     """Every input row with n_shingles (its set's size) and component_id; sets of n-grams of ``width`` words link from ``share`` percent on.
 
     ``component_id`` is the smallest doc_id that links reach, the row's own included.
@@ -353,33 +355,35 @@ def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     nothing. Rows without an id take part, but give no name: a group of such rows
     only has the id null. Rows that repeat an id go each by their own text. N-grams
     are compared by 64-bit hashes, whole sets by 128-bit digests of those. Columns
-    of these names are replaced, all others pass through.
+    of these names are replaced, all others pass through. With ``row``, a column of
+    stored row numbers, there is also ``kept``: true for each empty set and for one row
+    of each group, of its smallest id (null ids come last).
     """
+    number = F.col(row) if row else F.lit(0).cast("long")
     levels = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs.select(text), width))  # COUNTERS bytes
-    made = docs.select(F.col(doc_id).cast("long").alias("id"), set_column(F.col(text), width, levels, share).alias("s")).where("s.n > 0")
+    made = docs.select(F.col(doc_id).cast("long").alias("id"), number.alias("row"), set_column(F.col(text), width, levels, share).alias("s")).where("s.n > 0")
     classes = made.groupBy(F.col("s.high").alias("high"), F.col("s.low").alias("low")).agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("s.n").alias("n"), F.first("s.prefix").alias("prefix"), F.first("s.bits").alias("bits")
+        F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("s.n").alias("n"), F.first("s.prefix").alias("prefix"), F.first("s.bits").alias("bits")
     )
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     groups = class_groups(classes, docs, text, width, share)
-    named = classes.select("high", "low", "id", "rows", "rep").join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
-    ids = named.groupBy("group").agg(F.min("id").alias("component"))
+    named = classes.select("high", "low", "least", "rows", "rep").join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+    ids = named.groupBy("group").agg(F.min("least").alias("least")).select("group", F.col("least.id").alias("component"), F.col("least.row").alias("keep_row"))
     key = F.format_string("%016x%016x", "high", "low")
-    named = materialize(named.join(ids, "group").select(key.alias("key"), "component", "rows"), "named-classes")
-    packed = pack(docs, id=F.col(doc_id).cast("long"), s=set_column(F.col(text), width))
+    named = materialize(named.join(ids, "group").select(key.alias("key"), "component", "keep_row", "rows"), "named-classes")
+    packed = pack(docs, id=F.col(doc_id).cast("long"), row=number, s=set_column(F.col(text), width))
     packed = packed.select(
-        *inputs(len(docs.columns)), "id", F.col("s.n").alias("n"), F.format_string("%016x%016x", "s.high", "s.low").alias("key")
+        *inputs(len(docs.columns)), "id", "row", F.col("s.n").alias("n"), F.format_string("%016x%016x", "s.high", "s.low").alias("key")
     )
     # Empty sets are in no class: each gets a key of its own.
     packed = packed.withColumn("key", F.when(F.col("n") > 0, F.col("key")).otherwise(F.concat(F.lit("empty "), F.monotonically_increasing_id())))
     found = join_groups(packed, named, "key", "rows")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return unpack(found, docs.columns, n_shingles=F.col("n").cast("long"), component_id=component)
+    kept = {"kept": (F.col("n") == 0) | (F.col("row") == F.col("keep_row"))} if row else {}
+    return unpack(found, docs.columns, n_shingles=F.col("n").cast("long"), component_id=component, **kept)
 
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, share: int = SHARE) -> DataFrame:
-    """The document with the smallest id of each group, with the columns it came with."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("grouped_row"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
-    found = jaccard_groups(packed, width=width, share=share).where(F.col("doc_id").cast("long").eqNullSafe(F.col("component_id")))
-    return found.select(*[F.col(f"grouped_row.`{c}`").alias(c) for c in names])
+    """One row of each group, with the columns it came with: of the smallest id, and of rows that repeat that id any one."""
+    found = jaccard_groups(numbered(docs, text, doc_id), width=width, share=share, row="row_number")
+    return found.where("kept").select(*[F.col(f"whole_row.`{c}`").alias(c) for c in docs.columns])
