@@ -271,6 +271,16 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in parse_language.predict_language(docs, F.lit(False)).collect()} == {"und"}
 
 
+def test_a_language_of_long_texts_only_is_learned(spark):
+    short = [(i, "the quick brown fox jumps over the lazy dog and runs away", "en") for i in range(8)]
+    long_text = "123 " * 6_000 + "zażółć gęślą jaźń pchnąć w tę łódź jeża lub ośm skrzyń fig " * 400
+    docs = spark.createDataFrame([*short, (20, long_text, "pl"), (21, "the same fox " * 3_000, "en")], "doc_id long, text string, lang string")
+    model = {lang: n for lang, n, _ in parse_language.learn(docs, F.lit(True))}
+    assert set(model) == {"en", "pl"} and 0 < model["pl"] <= parse_language.SAMPLE_DOC_BYTES
+    assert model["en"] == 8 * len(short[0][1])
+    assert parse_language.predict_language(docs, F.lit(True)).where("doc_id = 20").first()["lang_pred"] == "pl"
+
+
 def test_suffix_automaton_accepts_exactly_the_substrings():
     texts = [b"abracadabra", b"banana", b"bandana"]
     edges = defaultdict(dict)

@@ -21,6 +21,8 @@ from tokenloom.llm.common import flat_bytes, slices
 
 #: Each language learns from at most so many whole texts, of at most so many bytes each and together.
 SAMPLE_DOCS, SAMPLE_DOC_BYTES, SAMPLE_BYTES = 64, 1 << 14, 48 << 10
+#: Where all its texts are longer, from so many characters of each, from the first letter on.
+PIECE_CHARS = SAMPLE_DOC_BYTES // 4
 #: Greedy parsing starts anew after so many symbols, so that long texts are parsed in parallel.
 SEGMENT = 1024
 UNDETERMINED = "und"
@@ -159,18 +161,22 @@ def learn(docs: DataFrame, usable: Column) -> list[tuple[str, int, bytes]]:
     """(language, symbols, packed transitions) from a bounded sample of rows for which ``usable`` holds.
 
     Of each language the first SAMPLE_DOCS rows by a hash of the id are eligible, and
-    whole texts are taken in that order up to SAMPLE_BYTES.
+    whole texts are taken in that order up to SAMPLE_BYTES; where none has
+    SAMPLE_DOC_BYTES or less, a piece of each.
     """
-    eligible = docs.where(
-        usable & F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_DOC_BYTES) & F.col("text").rlike(r"\p{L}")
-    ).select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    too_long = (F.octet_length("text") > SAMPLE_DOC_BYTES).alias("too_long")
+    eligible = docs.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
+        "lang", "doc_id", too_long, F.xxhash64(F.col("doc_id").cast("string")).alias("h")
+    )
     # A rank limit is applied within each task before the shuffle, so that a common language sends few rows.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = eligible.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).select("lang", "doc_id", "rank")
-    texts = docs.where(F.octet_length("text") <= SAMPLE_DOC_BYTES).join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "rank", "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("too_long", "h", "doc_id"))
+    chosen = eligible.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).select("lang", "doc_id", "too_long", "rank")
+    found = docs.select("lang", "doc_id", too_long, "text").join(F.broadcast(chosen), ["lang", "doc_id", "too_long"])
+    piece = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{PIECE_CHARS - 1}}}", 0)
+    texts = found.select("lang", "rank", "too_long", F.when(F.col("too_long"), piece).otherwise(F.col("text")).alias("text"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "text"]).drop_duplicates("rank")
+        pdf = pdf[pdf["too_long"] == pdf["too_long"].min()].sort_values(["rank", "text"]).drop_duplicates("rank")
         symbols, offsets = symbols_of(pa.array(pdf["text"].tolist(), pa.string()))
         taken = max(1, int(np.searchsorted(offsets[1:], SAMPLE_BYTES, side="right")))
         parts = [symbols[offsets[i] : offsets[i + 1]].tobytes() for i in range(taken)]
