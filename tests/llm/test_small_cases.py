@@ -322,6 +322,20 @@ def test_a_very_long_text_does_not_end_the_quality_sample(spark):
     assert len(zstd_quality.labelled_sample(docs, labels, F.lit(True), 1)) == 40
 
 
+def test_samples_have_one_row_of_an_id(spark, monkeypatch):
+    rows = [(i % 3, f"call +1 (017) 555-771{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(3)], "doc_id long, quality int")
+    assert len(zstd_quality.labelled_sample(docs, labels, F.lit(True), 1)) == 3
+    seen = []
+    monkeypatch.setattr(pii_semicrf, "training_examples", lambda texts: seen.extend(texts) or [])
+    pii_semicrf.fit(docs)
+    assert len(seen) == 3
+    monkeypatch.setattr(html_cut, "parse", lambda page: seen.append(page) or [])
+    html_cut.fit(docs, "text", "doc_id")
+    assert len(seen) == 6
+
+
 def test_context_tree(docs, none):
     train = crc_mod(F.col("doc_id"), 5) != 1
     rows = context_tree.score_texts(docs, train, keep=("doc_id", "text", "score")).collect()

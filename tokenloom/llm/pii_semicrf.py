@@ -323,7 +323,8 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> dict[str
     """Weights of the field from a bounded sample: the SAMPLE_DOCS first ids, by hash, whose text has digits or an at-sign."""
     likely = docs.where(F.col(text).rlike("[0-9]|@") & F.col(doc_id).isNotNull())
     first = likely.select(doc_id).distinct().orderBy(F.xxhash64(doc_id), doc_id).limit(SAMPLE_DOCS)
-    rows = docs.where(F.octet_length(text) <= 1 << 16).join(F.broadcast(first), doc_id).select(doc_id, text).collect()
+    # Of rows that repeat an id the least text, so that the bound holds for rows as well.
+    rows = likely.where(F.octet_length(text) <= 1 << 16).join(F.broadcast(first), doc_id).groupBy(doc_id).agg(F.min(text)).collect()
     return fit_weights(training_examples([r[1] for r in sorted(rows, key=lambda r: (r[0], r[1] or "")) if r[1]]))
 
 

@@ -83,7 +83,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, value: i
     ids = labels.where((F.col("quality") == value) & F.col("doc_id").isNotNull() & usable).select("doc_id").distinct()
     first = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)  # bounded: SAMPLE_ROWS ids
     rows = docs.join(F.broadcast(first), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) > 0)
-    rows = rows.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    # Of rows that repeat an id the least text, so that the bound holds for rows as well.
+    rows = rows.groupBy("doc_id").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
     upto = F.sum("bytes").over(_hash_order())
     sized = rows.select("doc_id", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("h"))
     inside = sized.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id").distinct()
