@@ -29,15 +29,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the number of words before each text (n + 1 values).
 
-    A word is a maximal run of bytes other than space and 0x09-0x0D, inside one text.
+    A word is a maximal run of bytes other than those flagged in ``between`` (space and 0x09-0x0D), inside one text.
     """
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(offsets), dtype=np.int64)
-    inside = ~SPACE[data]
+    inside = ~between[data]
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offsets] = True
     begins = inside.copy()
