@@ -498,6 +498,29 @@ def test_archives(spark):
     assert arc_warc.archive_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("archive_bytes", "revisit_bytes"), [(1 << 24, 1 << 26), (3_000, 200), (1, 1)])
+def test_archives_of_few_bytes_and_odd_urls(spark, archive_bytes, revisit_bytes):
+    """Records that look like headers, a large page, archives and revisits cut in several places: the same records."""
+    same = "<p>" + "same " * 400 + "</p>"
+    pages = [(i, f"filedesc://{i}.arc" if i % 3 else f"http://x/{i} a\tb", same if i % 2 else f"<p>{i}</p>") for i in range(30)]
+    pages += [(30, "filedesc://9", "y" * (1 << 20)), (31, "WARC/1.1", "WARC/1.1\r\n\r\n\r\n"), (32, "", "1 0 tokenloom\n")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    rows = {r["page_id"]: r for r in arc_warc.archive_pages(frame, archive_bytes=archive_bytes, revisit_bytes=revisit_bytes).collect()}
+    assert len(rows) == len(pages)
+    for page_id, url, html in pages:
+        r = rows[page_id]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(html), hashlib.sha1(html.encode()).hexdigest())
+        revisit = html == same and page_id != 29
+        assert (r["record_type"], r["refers_to"]) == ("revisit" if revisit else "response", 29 if revisit else None)
+        assert r["uri"] == (url.replace(" ", "%20").replace("\t", "%09") or "-")
+
+
+def test_archives_end_before_their_bound():
+    made = [b"x" * n for n in (40, 40, 40, 500, 1, 1)]
+    rows = [b["value"][0].as_py() for b in arc_warc.archives((lambda _, m=m: m for m in made), 100)]
+    assert [len(r) for r in rows] == [81, 40, 500, 3]
+
+
 def test_arc_header_lines():
     body = b"HTTP/1.0 200 OK\r\n\r\nhello"
     one = b"filedesc://a.arc 0.0.0.0 19970101000000 text/plain 8\n1 0 me\n\n\nhttp://x/ 1.2.3.4 19970102030405 text/html %d\n%s\n" % (len(body), body)
@@ -511,3 +534,8 @@ def test_arc_header_lines():
     assert headers["warc-type"] == "resource" and block == b"abcd" and headers["warc-date"] == "1997-01-02T03:04:05Z"
     with pytest.raises(ValueError, match="header line"):
         list(arc_warc.read_arc(b"no length here\nxyz"))
+    with pytest.raises(ValueError, match="unknown ARC version"):
+        list(arc_warc.read_arc(b"filedesc://a.arc 0.0.0.0 1997 text/plain 6\n7 0 me"))
+    for date, full in (("1996", "1996-01-01T00:00:00Z"), ("199607", "1996-07-01T00:00:00Z"), ("19960708091011", "1996-07-08T09:10:11Z")):
+        (r,) = arc_warc.read_arc(b"http://x/ 1.2.3.4 %s text/html 2\nab\n" % date.encode())
+        assert r.warc_date == full

@@ -1,10 +1,11 @@
 """Legacy archives (ARC versions 1 and 2) to WARC: write, convert, read back.
 
-Archives are written by Spark's own text writer, one row per record, so that a
-lost task leaves no half file. A record's length is declared in bytes; readers go
-by declared lengths alone and never search for the next header. Equal payloads are found by
-digest in a small table beside the archives; payloads themselves are not shuffled
-by it.
+Archives are written by Spark's own text writer, one row per archive, so that a
+lost task leaves no half file. An archive ends before it would pass ARCHIVE_BYTES (a
+larger record has one to itself), so that readers may hold one as a whole. A record's length is
+declared in bytes; readers go by declared lengths alone and never search for the next
+header. Equal payloads are found by digest in a small table beside the archives; no
+payload goes through a shuffle.
 """
 
 from __future__ import annotations
@@ -16,16 +17,20 @@ import io
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import join_groups
 from tokenloom.session import materialize, scratch_path
 
-#: Records of one archive file, with its first one.
-FILE_RECORDS = 4_000
+#: Bytes of one archive before it is compressed.
+ARCHIVE_BYTES = 16 << 20
+#: Bytes of the revisits that are broadcast at once; archives with more in all are converted in turns.
+REVISIT_BYTES, ONE_REVISIT = 64 << 20, 200
 #: Smaller payloads are never replaced by a revisit.
 MIN_REVISIT = 1_000
 ARC_DATE = "20240101000000"
@@ -40,46 +45,66 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 RECORD = "record_id string, uri string, page_id long, payload_bytes long, payload_digest string"
 
 
-def write_arc(pages: DataFrame, path: str, date: str = ARC_DATE) -> None:
+def archives(records: Iterator[Callable[[int], bytes]], size: int, opening: Callable[[int], bytes] | None = None, end: bytes = b"\n") -> Iterator[pa.RecordBatch]:
+    """One row per archive: an opening record, then records while they fit; ``end`` stands between two. All are made for the archive's number."""
+    held: list[bytes] = []
+    total, number = 0, 0
+
+    def finished() -> pa.RecordBatch:
+        first = [opening(number)] if opening else []
+        return pa.RecordBatch.from_arrays([pa.array([end.join([*first, *held])], pa.binary())], ["value"])
+
+    for record in records:
+        made = record(number)
+        if held and total + len(made) > size:
+            yield finished()
+            held, total, number = [], 0, number + 1
+            made = record(number)
+        held.append(made)
+        total += len(made) + len(end)
+    if held:
+        yield finished()
+
+
+def write_archives(rows: DataFrame, path: str, end: str) -> None:
+    """One gzipped file per row of ``value``."""
+    writer = rows.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1)
+    writer.option("lineSep", end).option("compression", "gzip").text(path)
+
+
+def write_arc(pages: DataFrame, path: str, date: str = ARC_DATE, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes (page_id, url, html) as gzipped ARC files, versions 1 and 2 in turn by partition.
 
-    A null html is empty, a null url is written as ``-``; white space in a url is
-    percent-encoded. A null page_id has no header of its own. Other columns are
+    A null html is empty, a null or empty url is written as ``-``; white space in a
+    url is percent-encoded. A null page_id has no header of its own. Other columns are
     not archived.
     """
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    html = F.coalesce("html", F.lit(""))
-    url = F.coalesce("url", F.lit("-"))
-    for c in "\t\n\x0b\x0c\r ":
-        url = F.replace(url, F.lit(c), F.lit(f"%{ord(c):02X}"))
-    url = F.when(url == "", "-").otherwise(url)
-    head = F.concat(
-        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
-        F.octet_length(html).cast("string"),
-        F.coalesce(F.concat(F.lit("\r\nX-Page-Id: "), F.col("page_id").cast("string")), F.lit("")),
-        F.lit("\r\n\r\n"),
-    )
-    name = F.format_string("arc-%05d-%05d.arc", F.spark_partition_id(), F.floor(row / (FILE_RECORDS - 1)))
-    prepared = pages.select(row.alias("row"), (F.spark_partition_id() % 2 + 1).alias("version"), name.alias("name"), url.alias("url"), head.alias("head"), html.alias("html"))
-    length = (F.octet_length("head") + F.octet_length("html")).cast("string")
-    first = F.lit(f"0.0.0.0 {date} text/html")
-    line = F.when(
-        F.col("version") == 1, F.concat_ws(" ", "url", first, length)
-    ).otherwise(F.concat_ws(" ", F.col("url"), first, F.lit("200 - - 0"), F.col("name"), length))
-    record = F.concat(line, F.lit("\n"), F.col("head"), F.col("html"))
-
-    def opening(version: str) -> Column:
-        body = f"{version} 0 tokenloom\n{ARC_FIELDS[version]}\n"
-        middle = f" 0.0.0.0 {date} text/plain " + ("" if version == "1" else "200 - - 0 ")
-        named = F.lit("") if version == "1" else F.concat(F.col("name"), F.lit(" "))
-        return F.concat(F.lit("filedesc://"), F.col("name"), F.lit(middle), named, F.lit(f"{len(body) + 1}\n{body}"))
-
-    start = F.when(F.col("version") == 1, opening("1")).otherwise(opening("2"))
-    # The writer starts a file every FILE_RECORDS rows: just there stands the record that opens an archive.
-    lines = F.when(F.col("row") % (FILE_RECORDS - 1) == 0, F.array(start, record)).otherwise(F.array(record))
-    prepared.select(F.explode(lines).alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", "\n").option(
-        "compression", "gzip"
-    ).text(path)
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition = TaskContext.get().partitionId()
+        version = str(partition % 2 + 1)
+
+        def name(number: int) -> str:
+            return f"arc-{partition:05d}-{number:05d}.arc"
+
+        def opening(number: int) -> bytes:
+            body = f"{version} 0 tokenloom\n{ARC_FIELDS[version]}\n"
+            middle = "" if version == "1" else f"200 - - 0 {name(number)} "
+            return f"filedesc://{name(number)} 0.0.0.0 {date} text/plain {middle}{len(body) + 1}\n{body}".encode()
+
+        def record(url: str | None, page_id: int | None, html: bytes | None, number: int) -> bytes:
+            link = re.sub(r"[\t\n\x0b\x0c\r ]", lambda m: f"%{ord(m.group()):02X}", url or "") or "-"
+            body = html or b""
+            own = "" if page_id is None else f"\r\nX-Page-Id: {page_id}"
+            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}{own}\r\n\r\n".encode()
+            middle = "" if version == "1" else f"200 - - 0 {name(number)} "
+            return f"{link} 0.0.0.0 {date} text/html {middle}{len(head) + len(body)}\n".encode() + head + body
+
+        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        yield from archives((partial(record, *row) for row in rows), archive_bytes, opening)
+
+    html = F.col("html").cast("binary")
+    write_archives(pages.select("url", "page_id", html.alias("html")).mapInArrow(written, "value binary"), path, "\n")
 
 
 class ArcRecord:
@@ -101,14 +126,19 @@ class ArcRecord:
 
     @property
     def warc_date(self) -> str:
-        d = (self.date + "0" * 14)[:14]
+        # A date that was written short means its first moment.
+        d = (self.date + "00000101000000"[len(self.date) :])[:14]
         return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
 def read_arc(content: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file, plain or gzipped, by declared lengths; header lines by the version it states."""
+    """The records of an ARC file, plain or gzipped, by declared lengths; header lines by the version it states.
+
+    Only the record at the file's start may be the one that opens an archive: a later
+    one whose url begins with ``filedesc://`` is a record like others.
+    """
     stream = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
-    version, archive, number = "1", "", 0
+    version, archive, number, at_start = "1", "", 0, True
     while line := stream.readline():
         if line == b"\n":
             continue
@@ -117,8 +147,9 @@ def read_arc(content: bytes) -> Iterator[ArcRecord]:
             block = stream.read(int(fields[-1]))
         except ValueError:
             raise ValueError(f"not an ARC header line: {line[:200]!r}") from None
-        if fields[0].startswith("filedesc://"):
-            version, archive, number = block[:1].decode(), fields[0].removeprefix("filedesc://"), 0
+        opens, at_start = at_start and fields[0].startswith("filedesc://"), False
+        if opens:
+            version, archive = block[:1].decode(), fields[0].removeprefix("filedesc://")
             if version not in ARC_FIELDS:
                 raise ValueError(f"unknown ARC version in {fields[0]}")
             continue
@@ -170,7 +201,9 @@ def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    """path and content of the archives below a folder, one row each: of ARCHIVE_BYTES, or one record, before compression."""
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True)
+    return read.load(path).select("path", "content")
 
 
 def in_batches(rows: Iterator[dict], schema: pa.Schema, size: Callable[[dict], int]) -> Iterator[pa.RecordBatch]:
@@ -219,28 +252,51 @@ def revisits(index: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     return joined.where(F.col("original").isNotNull() & (F.col("record_id") != F.col("original.record_id"))).select("path", "record_id", "original")
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = MIN_REVISIT) -> None:
-    """Writes the WARC twin of all ARC files below ``arc_path``."""
-    arcs = files(spark, arc_path)
-    index = materialize(arc_index(arcs), "arc-index")
-    # An archive holds FILE_RECORDS records at most, so that its list of revisits is bounded too.
-    by_file = revisits(index, min_bytes).groupBy("path").agg(F.collect_list(F.struct("record_id", "original")).alias("revisits"))
-    schema = pa.schema([("value", pa.binary())])
+def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES, revisit_bytes: int = REVISIT_BYTES) -> None:
+    """Writes the WARC twin of all ARC files below ``arc_path``.
+
+    The revisits go to the archives, not the archives to the revisits: as many files as
+    have ``revisit_bytes`` of them are converted at a time, against one broadcast.
+    """
+    index = materialize(arc_index(files(spark, arc_path)), "arc-index")
+    listed = materialize(revisits(index, min_bytes), "revisits")
+    sizes = {r["path"]: r["count"] for r in listed.groupBy("path").count().collect()}  # a row per archive
+    turns: list[list[str]] = [[]]
+    room = revisit_bytes
+    for path in sorted(r[0] for r in index.select("path").distinct().collect()):
+        cost = sizes.get(path, 0) * ONE_REVISIT
+        if turns[-1] and cost > room:
+            turns.append([])
+            room = revisit_bytes
+        turns[-1].append(path)
+        room -= cost
+    for turn, paths in enumerate(turns):
+        whole = len(turns) == 1
+        own = listed if whole else listed.join(F.broadcast(spark.createDataFrame([(p,) for p in paths], "path string")), "path")
+        found = files(spark, arc_path) if whole else spark.read.format("binaryFile").load(paths).select("path", "content")
+        _convert_files(found, own, f"{warc_path}/turn={turn}", archive_bytes)
+
+
+def _convert_files(found: DataFrame, listed: DataFrame, path: str, archive_bytes: int) -> None:
+    """The WARC twins of some archives, whose revisits (about REVISIT_BYTES) every executor gets."""
+    by_file: dict[str, dict[str, dict]] = {}
+    for r in listed.collect():
+        by_file.setdefault(r["path"], {})[r["record_id"]] = r["original"].asDict()
+    shared = found.sparkSession.sparkContext.broadcast(by_file)
 
     def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
+        def records() -> Iterator[Callable[[int], bytes]]:
             for batch in batches:
-                for content, listed in zip(batch.column(0), batch.column(1), strict=True):
-                    original = {x["record_id"]: x["original"] for x in listed.as_py() or []}
+                for file, content in zip(batch.column(0), batch.column(1), strict=True):
+                    original = shared.value.get(file.as_py(), {})
                     for r in read_arc(content.as_py()):
-                        yield {"value": warc_record(r, original.get(r.record_id))}
+                        made = warc_record(r, original.get(r.record_id))
+                        yield lambda _, made=made: made
 
-        return in_batches(rows(), schema, lambda x: len(x["value"]))
+        yield from archives(records(), archive_bytes, end=b"\r\n\r\n")
 
-    rows = arcs.join(by_file, "path", "left").select("content", "revisits").mapInArrow(converted, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", "\r\n\r\n").option(
-        "compression", "gzip"
-    ).text(warc_path)
+    write_archives(found.mapInArrow(converted, "value binary"), path, "\r\n\r\n")
+    shared.destroy()
 
 
 def warc_table(spark: SparkSession, warc_path: str) -> DataFrame:
@@ -279,14 +335,15 @@ def warc_table(spark: SparkSession, warc_path: str) -> DataFrame:
     return files(spark, warc_path).mapInArrow(scan, types)
 
 
-def archive_pages(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
+def archive_pages(pages: DataFrame, min_bytes: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Writes pages as ARC, converts them to WARC, and reads the WARC back: one row per input row.
 
-    Repeated rows become records of their own, of which one is the response.
-    An empty table gives an empty result.
+    Repeated rows become records of their own, of which one is the response. The
+    columns are those of the records: what else a page row has is not archived, so
+    names cannot clash. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     arc_path, warc_path = scratch_path(spark, "arc"), scratch_path(spark, "warc")
-    write_arc(pages, arc_path)
-    convert(spark, arc_path, warc_path, min_bytes)
+    write_arc(pages, arc_path, archive_bytes=archive_bytes)
+    convert(spark, arc_path, warc_path, min_bytes, archive_bytes, revisit_bytes)
     return warc_table(spark, warc_path)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import join_groups
-from tokenloom.session import scratch_path
+from tokenloom.session import materialize, scratch_path
 
 #: Tokens of one window, and of the history it may repeat.
 BUDGET, HISTORY = 1024, 256
@@ -175,14 +175,14 @@ def format_chat(
     path = scratch_path(spark, "turns")
     named.write.parquet(path)
     stored = spark.read.schema(named.schema).parquet(path)
-    chosen = window_turns(numbered_turns(stored), budget, history).join(stored.select("row", "cost"), "row")
+    chosen = materialize(window_turns(numbered_turns(stored), budget, history).join(stored.select("row", "cost"), "row"), "window-turns")
     own = chosen.where("rank > 0 or not repeated")
     body = stored.select("row", escaped_role(F.col("role")).alias("head"), escaped(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("learnt"))
     pieces = own.join(body, "row")
     # A system turn goes to all windows of its conversation, which may be a large share of all windows.
     opening = chosen.where("rank = 0 and repeated")
     systems = stored.where("role = 'system'").join(opening.groupBy("row").agg(F.count(F.lit(1)).alias("windows")), "row").select("row", "windows")
-    systems = systems.join(body, "row").select(F.col("row").cast("string").alias("key"), "windows", "head", "body", "learnt")
+    systems = materialize(systems.join(body, "row").select(F.col("row").cast("string").alias("key"), "windows", "head", "body", "learnt"), "system-turns")
     spread = opening.withColumn("key", F.col("row").cast("string"))
     pieces = pieces.unionByName(join_groups(spread, systems, "key", "windows").drop("key", "windows"))
     gathered = pieces.groupBy("conv", "first").agg(
