@@ -129,3 +129,85 @@ def test_two_stages(spark):
     data = (rows.select("doc_id", "ids"), rows.selectExpr("doc_id", "teacher AS embedding"))
     quick = distill.FitSettings(steps=1)
     assert distill.fit_two_stages(data, data, weights, quick, quick).count() == weights.count()
+
+
+def batch_of(spark, rng, sizes, dim, teacher_dim):
+    n = sum(sizes)
+    student, teacher = rng.normal(size=(n, dim)), rng.normal(size=(n, teacher_dim))
+    batch = np.repeat(np.arange(len(sizes)), sizes)
+    order = rng.permutation(n)
+    df = pairs(spark, student[order], teacher[order], batch[order].tolist()).repartition(5)
+    return student, teacher, batch, df
+
+
+@pytest.mark.parametrize("batch_rows", [None, 7])
+def test_many_small_batches_of_several_sizes(spark, batch_rows):
+    """Segments of one table: sizes 1 to 7, batches broken off by Arrow tables, two prefix lengths."""
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 8, 60).tolist()
+    student, teacher, batch, df = batch_of(spark, rng, sizes, 20, 24)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        found = {(r.batch_id, r.dim): r.loss for r in distill.contrastive_loss(df, batch_rows=batch_rows, dims=[16, 20]).collect()}
+        rows = distill.contrastive_rows(df, "batch_id", "doc_id", "student", "teacher", batch_rows=batch_rows).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found) == 2 * len(sizes)
+    for b in range(len(sizes)):
+        own = batch == b
+        for d in (16, 20):
+            assert found[b, d] == pytest.approx(contrastive(student[own][:, :d], teacher[own][:, :d]))
+    assert len(rows) == len(batch) and all(len(r.expected) == 20 for r in rows)
+
+
+def test_large_and_small_batches_together(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    student, teacher, batch, df = batch_of(spark, rng, [70, 5, 1, 40, 12], 6, 6)
+    whole = {r.doc_id: (r.loss, r.expected) for r in distill.contrastive_rows(df, "batch_id", "doc_id", "student", "teacher").collect()}
+    monkeypatch.setattr(distill, "BLOCK_ROWS", 16)
+    cut = {r.doc_id: (r.loss, r.expected) for r in distill.contrastive_rows(df, "batch_id", "doc_id", "student", "teacher").collect()}
+    assert set(whole) == set(cut) and len(cut) == len(batch)
+    for key, (loss, expected) in whole.items():
+        assert cut[key][0] == pytest.approx(loss)
+        np.testing.assert_allclose(cut[key][1], expected, atol=1e-12)
+    by_dim = {(r.batch_id, r.dim): r.loss for r in distill.contrastive_loss(df, dims=[3, 6]).collect()}
+    assert by_dim[0, 3] == pytest.approx(contrastive(student[:70, :3], teacher[:70, :3])) and len(by_dim) == 10
+
+
+def test_a_broken_off_fit_goes_on(spark, tmp_path):
+    *_, rows, weights = training(spark, n=20)
+    tokens, teacher = rows.select("doc_id", "ids"), rows.selectExpr("doc_id", "teacher AS embedding")
+    settings = distill.FitSettings(steps=5, parts=2, lr=0.5)
+    whole, broken = str(tmp_path / "whole"), str(tmp_path / "broken")
+    calls = []
+
+    def measure(table):
+        calls.append(table.count())
+        return {"rows": float(calls[-1]), "largest": table.selectExpr("max(array_max(vec)) AS m").first().m}
+
+    plain = distill.fit_weights(tokens, teacher, weights, settings)
+    unbroken = distill.fit_weights(tokens, teacher, weights, settings, folder=whole, measure=measure)
+    assert len(calls) == 5
+    distill.fit_weights(tokens, teacher, weights, settings, folder=broken, measure=measure, stop_after=2)
+
+    def fails(table):
+        raise RuntimeError("broken off")
+
+    with pytest.raises(RuntimeError, match="broken off"):  # the third step's table is written, but does not count
+        distill.fit_weights(tokens, teacher, weights, settings, folder=broken, measure=fails)
+    assert distill.fit_history(spark, broken).count() == 2
+    resumed = distill.fit_weights(tokens, teacher, weights, settings, folder=broken, measure=measure)
+    tables = [{r.id: np.array(r.vec) for r in t.collect()} for t in (plain, unbroken, resumed)]
+    for other in tables[1:]:
+        assert set(other) == set(tables[0])
+        for key, value in tables[0].items():
+            np.testing.assert_allclose(other[key], value, atol=1e-12)
+    histories = [[(r.step, r.rate, round(r.loss, 9), r.measures["rows"]) for r in distill.fit_history(spark, f).orderBy("step").collect()] for f in (whole, broken)]
+    assert histories[0] == histories[1] and [h[0] for h in histories[0]] == [1, 2, 3, 4, 5]
+    calls.clear()
+    assert distill.fit_weights(tokens, teacher, weights, settings, folder=broken, measure=measure).count() == weights.count()
+    assert not calls  # nothing was left to do
+    with pytest.raises(ValueError, match="other settings"):
+        distill.fit_weights(tokens, teacher, weights, distill.FitSettings(steps=5, parts=3), folder=broken)
+    assert distill.fit_history(spark, str(tmp_path / "none")).count() == 0

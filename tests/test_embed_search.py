@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import vectors
 from tokenloom.operators import embed, evaluate, pieces, search
+from tokenloom.session import materialize
 from tests.conftest import texts
 
 
@@ -17,7 +18,7 @@ def vector_table(spark, matrix, name="doc_id"):
     return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(matrix)], f"{name} bigint, embedding array<double>")
 
 
-@pytest.mark.parametrize("strategy", ["lookup", "join"])
+@pytest.mark.parametrize("strategy", ["lookup", "mapped", "join"])
 def test_static_encode_is_the_mean(spark, vocab, weights, strategy):
     df = texts(spark, "hello world hello", "", "walking", None, "a" * 101)
     table = {r.id: np.array(r.vec) for r in weights.collect()}
@@ -32,9 +33,9 @@ def test_static_encode_is_the_mean(spark, vocab, weights, strategy):
 def test_table_ids_without_a_row_do_not_count(spark, weights):
     df = spark.createDataFrame([(0, [1, 99_999]), (1, [99_999]), (2, [2, 3])], "doc_id bigint, ids array<int>")
     by_route = [
-        [r.embedding for r in embed.pool_ids(df, weights, strategy=s).orderBy("doc_id").collect()] for s in ("lookup", "join")
+        [r.embedding for r in embed.pool_ids(df, weights, strategy=s).orderBy("doc_id").collect()] for s in ("lookup", "mapped", "join")
     ]
-    assert by_route[0] == by_route[1] == [[3.0, 4.0, 5.0], [0.0] * 3, [7.5, 8.5, 9.5]]
+    assert by_route[0] == by_route[1] == by_route[2] == [[3.0, 4.0, 5.0], [0.0] * 3, [7.5, 8.5, 9.5]]
 
 
 def test_filter_after_encoding_does_not_encode_twice(spark, vocab, weights):
@@ -171,8 +172,8 @@ def test_both_routes_agree_on_doubles(spark):
     """Neither route rounds a table of doubles to floats: sums of these numbers are exact, so the results are equal bit by bit."""
     weights = spark.createDataFrame([(i, [1 + i * 2.0**-40, i * 2.0**-30]) for i in range(8)], "id int, vec array<double>")
     rows = spark.createDataFrame([(0, [1, 3]), (1, [0, 2, 5, 7]), (2, [4])], "doc_id long, ids array<int>")
-    a, b = ({r.doc_id: r.embedding for r in embed.pool_ids(rows, weights, strategy=s).collect()} for s in ("lookup", "join"))
-    assert a == b and a[2] == [1 + 4 * 2.0**-40, 4 * 2.0**-30]
+    a, b, c = ({r.doc_id: r.embedding for r in embed.pool_ids(rows, weights, strategy=s).collect()} for s in ("lookup", "mapped", "join"))
+    assert a == b == c and a[2] == [1 + 4 * 2.0**-40, 4 * 2.0**-30]
 
 
 def test_lookup_past_the_bound_is_refused(spark, monkeypatch):
@@ -182,6 +183,63 @@ def test_lookup_past_the_bound_is_refused(spark, monkeypatch):
         embed.pool_ids(spark.createDataFrame([(0, [1])], "doc_id long, ids array<int>"), weights, strategy="lookup")
 
 
+def test_the_bound_counts_every_worker_and_the_tables_own_numbers(spark, monkeypatch):
+    rows = [(i, [1.0, 2.0]) for i in range(8)]
+    workers = spark.sparkContext.defaultParallelism
+    for kind, number in (("float", 4), ("double", 8)):
+        weights = spark.createDataFrame(rows, f"id int, vec array<{kind}>")
+        size = 8 * (2 * number + 8)
+        assert embed.table_bytes(weights) == (2, size)
+        monkeypatch.setattr(embed, "MAX_BROADCAST_BYTES", size * workers)
+        assert embed._choose(weights, "auto")[0] == "lookup"
+        monkeypatch.setattr(embed, "MAX_BROADCAST_BYTES", size * workers - 1)
+        assert embed._choose(weights, "auto")[0] == "mapped"
+        monkeypatch.setattr(embed, "MAX_MAPPED_BYTES", size - 1)
+        assert embed._choose(weights, "auto")[0] == "join"
+        monkeypatch.undo()
+
+
+def random_rows(spark, n_ids, rows, longest):
+    """Rows of ids, one of them long, one empty, one null, some ids unknown."""
+    draw = np.random.default_rng(3)
+    lists = [draw.integers(0, n_ids + n_ids // 50 + 1, draw.integers(1, longest)).tolist() for _ in range(rows)]
+    lists += [[], None, draw.integers(0, n_ids, 20 * longest).tolist()]
+    return spark.createDataFrame(list(enumerate(lists)), "doc_id long, ids array<int>").repartition(4).cache()
+
+
+def test_many_ranges_and_small_steps_agree(spark, monkeypatch):
+    """Rows of a task, ranges of the table and gathers all cut in several places."""
+    for name, value in (("RANGE_BYTES", 400), ("SUM_BYTES", 100), ("GATHER_BYTES", 60)):
+        monkeypatch.setattr(embed, name, value)
+    weights = spark.createDataFrame([(3 * i, [float(i), 0.5, -1.0 / (i + 1)]) for i in range(200)], "id int, vec array<double>")
+    rows = random_rows(spark, 600, 40, 30)
+    by_route = [{r.doc_id: np.array(r.embedding) for r in embed.pool_ids(rows, weights, strategy=s).collect()} for s in ("lookup", "mapped", "join")]
+    assert len(by_route[0]) == 43
+    for key, value in by_route[0].items():
+        np.testing.assert_allclose(by_route[1][key], value, atol=1e-12)
+        np.testing.assert_allclose(by_route[2][key], value, atol=1e-12)
+
+
+def test_a_table_of_the_published_size_encodes_in_place(spark):
+    """107,962 rows of 1,024 floats: past what eight workers may each hold, so mapped range by range, without a shuffle."""
+    n, dim = 107_962, 1_024
+    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: (F.pmod(F.xxhash64("id", k), F.lit(2001)) / 1000 - 1).cast("float"))
+    weights = materialize(spark.range(n).select(F.col("id").cast("int").alias("id"), value.alias("vec")), "published")
+    assert embed._choose(weights, "auto")[0] == "mapped"
+    rows = random_rows(spark, n, 60, 50)
+    pooled = embed.pool_ids(rows, weights)
+    plan = pooled._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" in plan and "Broadcast" not in plan
+    assert embed._SHARED[weights]["mapped"].ranges[0][1].shape[0] * 4 * dim <= 1.2 * embed.RANGE_BYTES
+    assert "Exchange" not in plan.split("InMemoryRelation")[0]
+    found = {r.doc_id: np.array(r.embedding) for r in pooled.collect()}
+    keys, matrix = embed._ids_and_rows(weights, dim)
+    for r in rows.collect():
+        known = [i for i in r.ids or [] if i < n]
+        expected = matrix[known].astype(np.float64).mean(axis=0) if known else np.zeros(dim)
+        np.testing.assert_allclose(found[r.doc_id], expected, atol=1e-9)
+
+
 def test_overlap_of_short_lists(spark):
     hits = spark.createDataFrame([(1, 5), (1, 6)], "query_id long, doc_id long")
     assert evaluate.list_overlap(hits, hits, 10).first().overlap == 1.0

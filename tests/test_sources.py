@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.sources import shards
+from tokenloom.sources import positions, shards
 from tokenloom.streaming import streams
 
 
@@ -51,6 +51,60 @@ def test_bad_writes(spark, rows, tmp_path):
     assert not list((tmp_path / "b").rglob("*.parquet")) or not [p for p in (tmp_path / "b").rglob("*.parquet") if "_temporary" not in str(p)]
     with pytest.raises(ValueError, match="positive"):
         shards.write_shards(rows, str(tmp_path / "c"), 0, model_name="m", dataset_name="d")
+    with pytest.raises(ValueError, match="mode"):
+        shards.write_shards(rows, str(tmp_path / "c"), mode="ignore", model_name="m", dataset_name="d")
+
+
+def test_readers_see_the_old_set_until_the_new_one_is_whole(spark, rows, tmp_path, monkeypatch):
+    out = str(tmp_path / "set")
+    named = {"model_name": "m", "dataset_name": "d"}
+    shards.write_shards(rows.coalesce(1), out, 3, **named)
+    with pytest.raises(FileExistsError):
+        shards.write_shards(rows, out, **named)
+    seen = []
+
+    def look(session, path, content, put=shards.replace_text):
+        # The new data and sidecars are all there; readers do not see them yet.
+        seen.append((shards.read_shards(spark, [out]).count(), shards.shard_row_count(spark, [out]).count(), shards.dataset_model_name(spark, [out])))
+        if len(seen) == 1:
+            raise RuntimeError("broken off")
+        put(session, path, content)
+
+    monkeypatch.setattr(shards, "replace_text", look)
+    more = rows.unionByName(rows).coalesce(1)
+    for _ in range(2):
+        try:
+            shards.write_shards(more, out, 3, mode="overwrite", model_name="other", dataset_name="d")
+        except RuntimeError:
+            assert shards.read_shards(spark, [out]).count() == 10
+    assert seen == [(10, 4, "m")] * 2
+    assert shards.read_shards(spark, [out]).count() == 20 and shards.dataset_model_name(spark, [out]) == "other"
+    # The set that was read until now is kept, what the broken write left is not.
+    assert len(list((tmp_path / "set" / "train").iterdir())) == 2
+    facts = shards.dataset_facts(spark, [out]).first()
+    on_disk = sum(p.stat().st_size for p in (tmp_path / "set" / "train" / json.loads((tmp_path / "set" / shards.MANIFEST).read_text())["versions"][0]["name"]).glob("*.parquet"))
+    assert (facts.n_rows, facts.n_files, facts.n_bytes, facts.dim, facts.model_name) == (20, 7, on_disk, 4, "other")
+    assert facts.columns == "text: string, meta: string, embedding: array<float>"
+    with pytest.raises(FileNotFoundError, match="manifest"):
+        shards.dataset_facts(spark, [str(tmp_path)])
+
+
+def test_appended_versions(spark, rows, tmp_path):
+    out = str(tmp_path / "set")
+    named = {"model_name": "m", "dataset_name": "d", "mode": "append"}
+    for version in ("one", "two", "one"):  # the last one is there already
+        shards.write_shards(rows.coalesce(1), out, 4, version=version, **named)
+    assert shards.read_shards(spark, [out]).count() == 20
+    assert sorted(r.n_rows for r in shards.shard_row_count(spark, [out]).collect()) == [2, 2, 4, 4, 4, 4]
+    assert shards.shard_row_count(spark, [out], 1).collect()[0].n_rows == 4
+    assert "20 rows" in (tmp_path / "set" / "README.md").read_text()
+    with pytest.raises(ValueError, match="length 4, not 2"):
+        shards.write_shards(rows.withColumn("embedding", F.slice("embedding", 1, 2)), out, **named)
+    # A folder of files without a manifest is read by listing it.
+    plain = str(tmp_path / "plain")
+    rows.coalesce(1).write.parquet(f"{plain}/train")
+    assert shards.read_shards(spark, [out, plain]).count() == 30
+    assert shards.shard_row_count(spark, [out, plain]).agg({"n_rows": "sum"}).first()[0] == 30
 
 
 def test_training_view(rows):
@@ -70,6 +124,47 @@ def test_pairs(spark):
         shards.pair_by_position(texts.limit(0), vectors)
 
 
+@pytest.mark.parametrize("split", ["64m", "300"])
+def test_pairs_from_files(spark, tmp_path, split):
+    """Lines of text and vectors that share file names and nothing else, read in one split per file or in many."""
+    texts, vectors = tmp_path / "texts", tmp_path / "vectors"
+    texts.mkdir()
+    held = {}
+    for name, n in (("a", 150), ("b", 1), ("c", 40)):
+        lines = [json.dumps({"text": f"{name} line {i} " + "x" * (i % 17), "meta": i}) for i in range(n)]
+        (texts / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+        held |= {(name, i): float(i) for i in range(n)}
+        values = spark.createDataFrame([([float(i), 0.0],) for i in range(n + 5)], "embedding array<double>")
+        values.coalesce(1).write.parquet(str(vectors / "stage" / name))
+        part = next((vectors / "stage" / name).glob("*.parquet"))
+        (vectors / f"{name}.parquet").write_bytes(part.read_bytes())
+    stems = [str(vectors / f"{name}.parquet") for name in "abc"]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        lines = positions.json_rows(spark, [str(texts)], "text string, meta int")
+        assert split == "64m" or lines.rdd.getNumPartitions() > 3
+        found = positions.pair_files(lines, positions.parquet_rows(spark, stems)).collect()
+        assert {(r.shard, r.row): r.embedding[0] for r in found} == held
+        assert all(r.meta == r.row and r.text.startswith(f"{r.shard} line {r.row} ") for r in found)
+        with pytest.raises(Exception, match="no vector for shard c, row"):
+            positions.pair_files(lines, positions.parquet_rows(spark, stems[:2])).collect()
+        with pytest.raises(ValueError, match="several files are called 'a'"):
+            (texts / "more").mkdir(exist_ok=True)
+            (texts / "more" / "a.jsonl").write_text("{}\n")
+            positions.line_rows(spark, [str(texts)])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_blank_lines_count(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("one\n\n\nfour\n")
+    found = positions.line_rows(spark, [str(tmp_path)]).collect()
+    assert sorted((r.row, r.value) for r in found) == [(0, "one"), (1, ""), (2, ""), (3, "four")]
+
+
 def test_model_name(spark, rows, tmp_path):
     for name, model in [("a", "m"), ("b", "m"), ("c", "other")]:
         shards.write_shards(rows, str(tmp_path / name), model_name=model, dataset_name=name)
@@ -82,7 +177,10 @@ def test_model_name(spark, rows, tmp_path):
 
 def test_profile_and_vocabulary(spark, rows, tmp_path):
     row = shards.dataset_profile(rows).first()
-    assert (row.n_rows, row.min_dim, row.max_dim) == (10, 4, 4)
+    assert (row.n_rows, row.min_dim, row.max_dim, row.n_bytes) == (10, 4, 4, 10 * (9 + 4 + 4 * 8))
+    holes = spark.createDataFrame([(None, None, None), ("é", 1, [1.0])], "text string, meta long, embedding array<float>")
+    assert shards.dataset_profile(holes).first().n_bytes == 2 + 8 + 4
+    assert shards.dataset_profile(holes.limit(0)).first().n_bytes == 0
     assert "embedding: array<double>" in row.columns
     counts = spark.createDataFrame([("a", 2)], "token string, frequency bigint")
     for name in ("x", "y"):
@@ -126,3 +224,82 @@ def test_metadata_missing_beside_named_sets(spark, rows, tmp_path):
     shards.write_shards(rows, str(tmp_path / "named"), model_name="m", dataset_name="d")
     with pytest.warns(UserWarning, match="no metadata"):
         assert shards.dataset_model_name(spark, [str(tmp_path / "named"), str(tmp_path / "bare")]) == "m"
+
+
+def test_rows_wait_in_a_buffer_between_micro_batches(spark, tmp_path):
+    source = tmp_path / "in"
+    for i in range(5):
+        spark.range(20 * i, 20 * i + 20).selectExpr("id", f"{i} AS came").coalesce(1).write.parquet(str(source / f"f{i}"))
+    stream = lambda: streams.stream_shards(spark, str(source), "id bigint, came int", 1)
+    runs = []
+    for name in ("x", "y"):
+        out = str(tmp_path / name)
+        streams.stream_buffer_shuffled(stream(), out, "id", 30)
+        rows = spark.read.schema("id bigint, came int, batch_id string").parquet(out)
+        runs.append({r.id: r.batch_id for r in rows.collect()})
+        assert rows.count() == 100 and len(runs[-1]) == 100
+        sizes = {r.batch_id: r["count"] for r in rows.groupBy("batch_id").count().collect()}
+        assert sorted(sizes.values()) == [10, 20, 20, 20, 30]
+        mixed = rows.groupBy("batch_id").agg(F.count_distinct("came").alias("n"), F.min("came").alias("first")).collect()
+        assert all(r.n > 1 for r in mixed)
+        assert any(r.batch_id.endswith("rest") and r.first < 4 for r in mixed)  # some waited for several batches
+    assert runs[0] == runs[1]
+    # The next micro-batches find an empty buffer and lose nothing.
+    spark.range(100, 110).selectExpr("id", "5 AS came").coalesce(1).write.parquet(str(source / "f5"))
+    streams.stream_buffer_shuffled(stream(), out, "id", 30)
+    rows = spark.read.schema("id bigint, came int, batch_id string").parquet(out)
+    assert rows.count() == 110 and rows.select("id").distinct().count() == 110
+
+
+def test_a_batch_that_runs_again_starts_from_the_same_buffer(spark, tmp_path):
+    out = str(tmp_path / "out")
+    buffer = streams.ShuffleBuffer(spark, out, "id", 10)
+    parts = [spark.range(15 * i, 15 * i + 15) for i in range(3)]
+    for batch in (0, 1, 1, 2, 2):
+        buffer.take(parts[batch], batch)
+    for _ in range(2):
+        buffer.drain()
+    rows = spark.read.schema("id bigint, batch_id string").parquet(out)
+    assert rows.count() == 45 and rows.select("id").distinct().count() == 45
+    with pytest.raises(ValueError, match="room"):
+        streams.ShuffleBuffer(spark, out, "id", 0)
+
+
+def test_equal_rows_all_leave_the_buffer(spark, tmp_path):
+    buffer = streams.ShuffleBuffer(spark, str(tmp_path / "out"), "id", 7)
+    same = spark.range(20).selectExpr("id % 2 AS id", "CAST(NULL AS string) AS text")
+    for batch in range(2):
+        buffer.take(same, batch)
+    buffer.drain()
+    assert spark.read.schema("id bigint, text string").parquet(str(tmp_path / "out")).count() == 40
+
+
+def test_state_that_forgets_levels_off(spark, tmp_path):
+    """Event time goes on by an hour a file: with an end to the state the number of keys in it stops growing."""
+    source = tmp_path / "in"
+    files = 8
+    for i in range(files):
+        rows = spark.range(30).selectExpr(f"concat('k', {i}, '-', id % 15) AS text", f"timestamp_seconds({3600 * i} + id) AS at")
+        rows.coalesce(1).write.parquet(str(source / f"f{i}"))
+    sizes = {}
+    for within in (None, "90 minutes"):
+        stream = streams.stream_shards(spark, str(source), "text string, at timestamp", 1)
+        kept = streams.stream_first_seen(stream, within=within, time_col="at")
+        query = streams.per_batch(kept.select("text"), str(tmp_path / f"out-{within}"), streams._overwrite)
+        query.awaitTermination()
+        sizes[within] = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert spark.read.parquet(str(tmp_path / f"out-{within}")).count() == 15 * files
+    assert max(sizes[None]) == 15 * files
+    assert max(sizes["90 minutes"]) <= 15 * 4
+
+
+def test_repeats_inside_the_time_are_dropped(spark, tmp_path):
+    source = tmp_path / "in"
+    for i, (text, minute) in enumerate([("a", 0), ("a", 30), ("b", 31), ("a", 60)]):
+        spark.range(1).selectExpr(f"'{text}' AS text", f"timestamp_seconds({60 * minute}) AS at").coalesce(1).write.parquet(str(source / f"f{i}"))
+    stream = streams.stream_shards(spark, str(source), "text string, at timestamp", 1)
+    out = streams.drain(streams.stream_first_seen(stream, within="2 hours", time_col="at").select("text"), str(tmp_path / "out"))
+    assert sorted(r.text for r in spark.read.parquet(out).select("text").collect()) == ["a", "b"]
+    arrived = streams.stream_first_seen(streams.stream_shards(spark, str(source), "text string, at timestamp", 1), within="1 day")
+    out = streams.drain(arrived.select("text"), str(tmp_path / "arrived"))
+    assert spark.read.parquet(out).count() == 2

@@ -80,7 +80,7 @@ def test_encoding_equals_the_public_tokenizer(spark, vocab, values):
     tokenizer = reference_tokenizer(vocab)
     expected = [tokenizer.encode(v).ids[:12] for v in values]
     df = texts(spark, *values)
-    for strategy in ("lookup", "join"):
+    for strategy in ("lookup", "mapped", "join"):
         found = column(pieces.encode_ids(df, vocab, 12, strategy=strategy), "ids")
         assert found == expected
 
@@ -103,7 +103,7 @@ def test_missing_unknown_piece_is_an_error(spark, vocab):
         pieces.encode_ids(texts(spark, "a"), vocab, strategy="guess")
 
 
-@pytest.mark.parametrize("strategy", ["lookup", "join"])
+@pytest.mark.parametrize("strategy", ["lookup", "mapped", "join"])
 def test_truncate_pieces(spark, vocab, strategy):
     values = ["hello world", "  walking, hello", "cafés abc", "", "zzz hello", None]
     df = texts(spark, *values)

@@ -1,6 +1,7 @@
 import pytest
 
 from tokenloom.operators import vocab as V
+from tokenloom.session import materialize
 from tests.conftest import texts
 
 
@@ -39,13 +40,13 @@ def test_prune(spark, vocab):
 
 def test_add_top_tokens(spark, vocab):
     size = vocab.count()
-    offered = counts(spark, hello=900, fresh=500, newer=400, third=400).union(
-        spark.createDataFrame([("12345", 1000), ("٣٤", 999), ("newer", 700)], "token string, frequency bigint")
+    offered = counts(spark, hello=61, fresh=26, newer=19, third=19).union(
+        spark.createDataFrame([("40417", 83), ("٣٤", 77), ("newer", 38)], "token string, frequency bigint")
     )
     added = V.add_top_tokens(vocab, offered, size + 2).filter(f"id >= {size}").orderBy("id").collect()
     assert [(r.piece, r.id) for r in added] == [("newer", size), ("fresh", size + 1)]
     with_numbers = V.add_top_tokens(vocab, offered, size + 1, filter_numbers=False)
-    assert with_numbers.filter(f"id = {size}").first().piece == "12345"
+    assert with_numbers.filter(f"id = {size}").first().piece == "40417"
     assert V.add_top_tokens(vocab, offered, size).count() == size
     assert V.add_top_tokens(vocab, counts(spark, **{"7": 2, "1999": 31, "08": 31}), size + 4).count() == size
 
@@ -58,6 +59,21 @@ def test_expand(spark, vocab):
     assert "fresh" in {r.piece for r in grown}
 
 
+def test_pruning_works_the_usage_out_once(spark, vocab):
+    """Numbering reads the rated pieces several times; the words behind them are split once."""
+    split = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            split.add(batch.num_rows)
+            yield batch
+
+    offered = counts(spark, hello=9, walking=7, fresh=5).mapInArrow(seen, "token string, frequency bigint")
+    V.expand_vocab(vocab, materialize(counts(spark, hello=9), "counts"), 5, 9).count()
+    V.prune_vocab(vocab, V.piece_usage(offered, vocab), 5).count()
+    assert split.value == 3
+
+
 def test_lowercase(spark):
     df = spark.createDataFrame([("[UNK]", 0), ("Ab", 1), ("ab", 2), ("C", 3)], "piece string, id int")
     assert sorted(tuple(r) for r in V.lowercase_vocab(df).collect()) == [("[UNK]", 0), ("ab", 1), ("c", 3)]

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import asdict, dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions.vectors import as_lists, as_matrix, cosine, slice_dims, unit_rows
 from tokenloom.operators.embed import pool_ids, release_table, vector_length
-from tokenloom.session import broadcast_if_small, materialize, remove, scratch_path
+from tokenloom.session import broadcast_if_small, materialize, read_text, remove, replace_text, scratch_path
 
 # Loss names and the temperature of the contrastive loss.
 LOSSES = ("cosine", "distillation_cosine")
@@ -23,6 +25,7 @@ TEMPERATURE = 0.07
 
 #: Rows of one batch that meet in one task; larger batches are split.
 BLOCK_ROWS = 4_096
+FIT_MANIFEST = "steps.json"
 #: Bytes of gradient sums a task holds before it passes them on.
 MAX_HELD_BYTES = 128 << 20
 
@@ -39,24 +42,17 @@ def cosine_loss(pairs: DataFrame, student: str = "student", teacher: str = "teac
     return pairs.agg((1 - F.avg(cosine(F.col(student), F.col(teacher)))).alias("loss"))
 
 
-def contrastive_rows(
-    pairs: DataFrame, batch_col: str, id_col: str, student: str, teacher: str, tau: float = TEMPERATURE
-) -> DataFrame:
-    """Per row of a batch: its loss and the teacher vector it expects under the softmax.
+def _grid_rows(rows: DataFrame, tau: float) -> DataFrame:
+    """``batch, id, loss, expected`` of ``rows(batch, id, s, t)`` whose batches are too large for one task.
 
-    A batch larger than a block is cut into blocks; each student block meets
-    each teacher block of its batch in one task. A cosine over ``tau`` is at
-    most ``1 / tau``, so that fixed shift keeps the exponentials in range and
-    the blocks' sums simply add up: exact for batches of any size.
+    A batch is cut into blocks; each student block meets each teacher block of its
+    batch in one task. A cosine over ``tau`` is at most ``1 / tau``, so that fixed
+    shift keeps the exponentials in range and the blocks' sums simply add up: exact
+    for batches of any size.
     """
-    if 2 / tau > 700:
-        raise ValueError(f"tau {tau} is too small for double precision")
     # A batch may be one huge key: the counts go to the rows, not the rows to the counts, as long as they fit.
-    blocks = pairs.groupBy(batch_col).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("__blocks"))
-    blocks = broadcast_if_small(materialize(blocks, "batch-sizes"), 64)
-    rows = pairs.select(
-        F.col(batch_col).alias("batch"), F.col(id_col).alias("id"), F.col(student).alias("s"), F.col(teacher).alias("t")
-    ).join(blocks.withColumnRenamed(batch_col, "batch"), "batch")
+    blocks = rows.groupBy("batch").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("__blocks"))
+    rows = rows.join(broadcast_if_small(materialize(blocks, "batch-sizes"), 64), "batch")
     own = F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("__blocks") - 1)
 
@@ -71,8 +67,7 @@ def contrastive_rows(
     sent = placed.select(
         "batch", "i", "j", "id", F.when(F.col("learns"), F.col("s")).alias("s"), F.when(F.col("teaches"), F.col("t")).alias("t")
     )
-    id_type = pairs.schema[id_col].dataType.simpleString()
-    batch_type = pairs.schema[batch_col].dataType.simpleString()
+    batch_type, id_type = (rows.schema[c].dataType.simpleString() for c in ("batch", "id"))
     schema = f"batch {batch_type}, id {id_type}, total double, expected array<double>, own double"
 
     def cell(table: pa.Table) -> pa.Table:
@@ -102,12 +97,128 @@ def contrastive_rows(
         vector_to_array(Summarizer.sum(array_to_vector("expected"))).alias("expected"),
         F.max("own").alias("own"),
     )
-    return merged.select(
-        F.col("batch").alias(batch_col),
-        F.col("id").alias(id_col),
-        (1 / tau + F.log("total") - F.col("own")).alias("loss"),
-        F.transform("expected", lambda v: v / F.col("total")).alias("expected"),
-    )
+    loss = 1 / tau + F.log("total") - F.col("own")
+    return merged.select("batch", "id", loss.alias("loss"), F.transform("expected", lambda v: v / F.col("total")).alias("expected"))
+
+
+def _segments(batch: pa.Array) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    codes = batch.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1, [len(codes)]])
+
+
+def _stacked(vectors: pa.Array, starts: np.ndarray, rows: int) -> np.ndarray:
+    """The vectors of several runs of ``rows`` each, as (runs, rows, length)."""
+    at = vectors.offsets.to_numpy().astype(np.int64) - vectors.offsets[0].as_py()
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    size = int(at[starts[0] + 1] - at[starts[0]])
+    place = at[starts][:, None] + np.arange(rows * size)
+    return flat[place].astype(np.float64).reshape(len(starts), rows, size)
+
+
+def _softmax(table: pa.Table, dims: Sequence[int] | None, tau: float, expected: bool) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray | None]]:
+    """(places of rows, prefix length, losses, expected teacher vectors) of whole batches that lie one behind the other.
+
+    Batches of one shape are worked out together: their similarities are the blocks of a
+    block-diagonal matrix, and the sums of the softmax run within the blocks.
+    """
+    bounds = _segments(table.column("batch").combine_chunks())
+    columns = [table.column(c).combine_chunks() for c in ("s", "t")]
+    sizes = [np.diff(c.offsets.to_numpy()) for c in columns]
+    for size in sizes:  # as everywhere, vectors of one batch have one length
+        runs = np.repeat(size[bounds[:-1]], np.diff(bounds))
+        if any(c.null_count for c in columns) or (runs != size).any():
+            raise ValueError("vectors of different lengths")
+    shapes = np.stack([np.diff(bounds), *[size[bounds[:-1]] for size in sizes]], axis=1)
+    for shape in np.unique(shapes, axis=0):
+        alike = bounds[:-1][(shapes == shape).all(axis=1)]
+        rows = int(shape[0])
+        step = max(1, BLOCK_ROWS * 64 // (rows * rows))
+        for begin in range(0, len(alike), step):
+            starts = alike[begin : begin + step]
+            s, t = (_stacked(c, starts, rows) for c in columns)
+            for d in dims or [s.shape[2]]:
+                x, y = (unit_rows(v[:, :, :d].reshape(-1, min(d, v.shape[2]))).reshape(len(starts), rows, -1) for v in (s, t[:, :, : s.shape[2]]))
+                sim = x @ y.transpose(0, 2, 1) / tau
+                weight = np.exp(sim - 1 / tau)
+                total = weight.sum(axis=2)
+                loss = 1 / tau + np.log(total) - np.einsum("kii->ki", sim)
+                mean = (weight @ y / total[:, :, None]).reshape(len(starts) * rows, -1) if expected else None
+                yield (starts[:, None] + np.arange(rows)).ravel(), d, loss.ravel(), mean
+
+
+def _segment_rows(rows: DataFrame, tau: float, dims: Sequence[int] | None, expected: bool) -> DataFrame:
+    """``batch, id, dim, loss[, expected]`` of ``rows(batch, id, s, t)`` whose batches fit a task, any number of them per call.
+
+    Rows are put together by batch; a batch that an Arrow table breaks off waits for the next table.
+    """
+    batch_type, id_type = (rows.schema[c].dataType.simpleString() for c in ("batch", "id"))
+    names = ["batch", "id", "dim", "loss", *(["expected"] if expected else [])]
+    schema = f"batch {batch_type}, id {id_type}, dim int, loss double" + (", expected array<double>" if expected else "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def finished(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for place, d, loss, mean in _softmax(table, dims, tau, expected):
+                own = table.take(pa.array(place))
+                parts = [own.column("batch").combine_chunks(), own.column("id").combine_chunks(), pa.array(np.full(len(place), d, dtype=np.int32)), pa.array(loss)]
+                yield pa.RecordBatch.from_arrays([*parts, as_lists(mean)] if expected else parts, names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            last = int(_segments(table.column("batch").combine_chunks())[-2])
+            if last:
+                yield from finished(table.slice(0, last))
+            held = table.slice(last)
+        if held is not None:
+            yield from finished(held)
+
+    return rows.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, schema)
+
+
+def contrastive_rows(
+    pairs: DataFrame,
+    batch_col: str,
+    id_col: str,
+    student: str,
+    teacher: str,
+    tau: float = TEMPERATURE,
+    batch_rows: int | None = None,
+    dims: Sequence[int] | None = None,
+    expected: bool = True,
+) -> DataFrame:
+    """Per row of a batch: its loss and, if wanted, the teacher vector it expects under the softmax.
+
+    Batches that fit a task are worked out whole, many at a time; larger ones are cut
+    into blocks. ``batch_rows`` is the size that the numbering gave the batches, if the
+    caller knows it; otherwise the rows are stored and counted. With ``dims`` there is a
+    row, with its ``dim``, for each of these prefixes of the vectors.
+    """
+    if 2 / tau > 700:
+        raise ValueError(f"tau {tau} is too small for double precision")
+    rows = pairs.select(F.col(batch_col).alias("batch"), F.col(id_col).alias("id"), F.col(student).alias("s"), F.col(teacher).alias("t"))
+    columns = ["batch", "id", *(["dim"] if dims else []), "loss", *(["expected"] if expected else [])]
+    names = [F.col(c).alias({"batch": batch_col, "id": id_col}.get(c, c)) for c in columns]
+    if batch_rows is not None and batch_rows <= BLOCK_ROWS:
+        return _segment_rows(rows, tau, dims, expected).select(*names)
+    rows = materialize(rows, "batches")
+    large = materialize(rows.groupBy("batch").count().filter(F.col("count") > BLOCK_ROWS).select(F.col("batch").alias("__large")), "large-batches")
+    if large.isEmpty():
+        return _segment_rows(rows, tau, dims, expected).select(*names)
+    # A batch of this kind has more than BLOCK_ROWS rows, so there are few of them.
+    marked = rows.join(broadcast_if_small(large, 64), F.col("batch").eqNullSafe(F.col("__large")), "left")
+    cut = marked.filter("__large is not null").drop("__large")
+    for_dims = dims or [None]
+    parts = []
+    for d in for_dims:
+        own = cut if d is None else cut.withColumn("s", slice_dims(F.col("s"), d)).withColumn("t", slice_dims(F.col("t"), d))
+        parts.append(_grid_rows(own, tau).withColumn("dim", F.lit(d).cast("int")).select(*columns))
+    whole = _segment_rows(marked.filter("__large is null").drop("__large"), tau, dims, expected).select(*columns)
+    return reduce(lambda a, b: a.unionByName(b), parts, whole).select(*names)
 
 
 def contrastive_loss(
@@ -117,10 +228,12 @@ def contrastive_loss(
     student: str = "student",
     teacher: str = "teacher",
     tau: float = TEMPERATURE,
+    batch_rows: int | None = None,
+    dims: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Per batch, the cross-entropy of ``cos / tau`` against the row's own teacher vector."""
-    rows = contrastive_rows(pairs, batch_col, id_col, student, teacher, tau)
-    return rows.groupBy(batch_col).agg(F.avg("loss").alias("loss"))
+    """Per batch (and prefix length), the cross-entropy of ``cos / tau`` against the row's own teacher vector."""
+    rows = contrastive_rows(pairs, batch_col, id_col, student, teacher, tau, batch_rows, dims, expected=False)
+    return rows.groupBy(batch_col, *(["dim"] if dims else [])).agg(F.avg("loss").alias("loss"))
 
 
 def matryoshka_dims(dim: int) -> list[int]:
@@ -137,10 +250,11 @@ def matryoshka_loss(
     teacher: str = "teacher",
     batch_col: str = "batch_id",
     id_col: str = "doc_id",
+    batch_rows: int | None = None,
 ) -> DataFrame:
     """D3: the loss of each vector prefix; ``matryoshka_total`` sums them.
 
-    Result: ``dim, loss`` (mean over batches for the contrastive loss).
+    Result: ``dim, loss`` (mean over batches for the contrastive loss). Each row is read once for all prefixes.
     """
     select_loss(loss)
     if dims is None:
@@ -150,15 +264,8 @@ def matryoshka_loss(
         # One scan for all prefixes.
         losses = [F.struct(F.lit(d).alias("dim"), (1 - c).alias("loss")) for d, c in zip(dims, cosines)]
         return pairs.agg(F.array(*losses).alias("__losses")).select(F.inline("__losses"))
-    prefix = F.explode(F.array(*[F.lit(d) for d in dims]))
-    cut = pairs.withColumn("dim", prefix)
-    cut = cut.withColumn("__s", slice_dims(F.col(student), F.col("dim")))
-    cut = cut.withColumn("__t", slice_dims(F.col(teacher), F.col("dim")))
-    # The prefix length is part of the batch key, so vectors of one task have one length.
-    keyed = cut.withColumn("__batch", F.concat_ws(":", "dim", batch_col))
-    per_batch = contrastive_loss(keyed, "__batch", id_col, "__s", "__t")
-    dim_of = F.element_at(F.split("__batch", ":"), 1).cast("int")
-    return per_batch.groupBy(dim_of.alias("dim")).agg(F.avg("loss").alias("loss"))
+    per_batch = contrastive_loss(pairs, batch_col, id_col, student, teacher, batch_rows=batch_rows, dims=dims)
+    return per_batch.groupBy("dim").agg(F.avg("loss").alias("loss"))
 
 
 def matryoshka_total(losses: DataFrame) -> DataFrame:
@@ -277,10 +384,17 @@ def gradient_step(
     dims: Sequence[int] | None = None,
     id_col: str = "doc_id",
     tau: float = TEMPERATURE,
+    seen: Observation | None = None,
 ) -> DataFrame:
-    """One descent step over ``rows(id_col, ids, teacher)``: the new ``id, vec`` table."""
+    """One descent step over ``rows(id_col, ids, teacher)``: the new ``id, vec`` table.
+
+    ``seen`` observes ``loss``, the mean cosine loss of the rows under the table as it was.
+    """
     dims = list(dims) if dims else [vector_length(weights, "vec")]
     pooled = pool_ids(rows.withColumnRenamed("teacher", "__teacher"), weights, id_col)
+    if seen is not None:
+        measured = pooled.withColumn("__loss", 1 - cosine(F.col("embedding"), F.col("__teacher")))
+        pooled = measured.observe(seen, F.avg("__loss").alias("loss")).drop("__loss")
     if select_loss(loss) == "cosine":
         graded = pooled.withColumn("__grad", cosine_gradient(F.col("embedding"), F.col("__teacher"), dims))
     else:
@@ -315,6 +429,9 @@ def fit_weights(
     settings: FitSettings = FitSettings(),
     id_col: str = "doc_id",
     vector_col: str = "embedding",
+    folder: str | None = None,
+    measure: Callable[[DataFrame], dict[str, float]] | None = None,
+    stop_after: int | None = None,
 ) -> DataFrame:
     """Fit the table so that pooled token vectors point the way the teacher's do.
 
@@ -323,33 +440,72 @@ def fit_weights(
     task. Rows are put into shares by a seeded hash of their id, so that no rows need
     numbering. A step ends in a written table - a fixed lineage, and a restart point
     if executors are lost - and the table before it is then removed.
+
+    With ``folder``, a shared one, the rows, the last table and a manifest of the
+    finished steps stay there. A run with the same settings goes on after the last
+    step in the manifest and ends as an unbroken one does; other settings, or another
+    number of rows, are an error. Each step leaves a row for ``fit_history``: its rate,
+    the mean cosine loss of its rows before the step, and what ``measure`` says of
+    the table after it, say M1 and M2. ``stop_after`` ends a run after so many steps in all.
     """
     select_loss(settings.loss)
     spark = weights.sparkSession
     dim = vector_length(weights, "vec")
     dims = matryoshka_dims(dim) if settings.matryoshka else [dim]
-    joined = tokens.select(id_col, "ids").join(teacher.select(id_col, F.col(vector_col).alias("teacher")), id_col)
-    share = F.pmod(F.xxhash64(F.col(id_col), F.lit(settings.seed)), F.lit(settings.parts)).cast("int")
-    rows = materialize(joined.withColumn("__part", share), "fit-rows")
+    done: list[dict] = []
+    state = None if folder is None else read_text(spark, f"{folder}/{FIT_MANIFEST}")
+    if state is None:
+        joined = tokens.select(id_col, "ids").join(teacher.select(id_col, F.col(vector_col).alias("teacher")), id_col)
+        share = F.pmod(F.xxhash64(F.col(id_col), F.lit(settings.seed)), F.lit(settings.parts)).cast("int")
+        place = scratch_path(spark, "fit-rows") if folder is None else f"{folder}/rows"
+        joined.withColumn("__part", share).write.mode("overwrite").parquet(place)
+    else:
+        place, kept, asked = f"{folder}/rows", json.loads(state), tokens.count()
+        if kept["settings"] != asdict(settings) or kept["n_rows"] != asked:
+            raise ValueError(f"the run in {folder} has other settings or rows: {kept['settings']}, {kept['n_rows']} rows")
+        done = kept["steps"]
+    rows = spark.read.parquet(place)
     sizes = {r["__part"]: r["count"] for r in rows.groupBy("__part").count().collect()}  # a row per share
     if not sizes:
         raise ValueError("there are no rows to fit to")
+    if folder is not None and state is None:
+        asked = tokens.count()
+        replace_text(spark, f"{folder}/{FIT_MANIFEST}", json.dumps({"settings": asdict(settings), "n_rows": asked, "steps": []}))
     table = weights.select("id", F.col("vec").cast("array<double>").alias("vec"))
     previous: str | None = None
-    for step in range(settings.steps):
+    if done:
+        previous = f"{folder}/table-{len(done)}"
+        table = spark.read.schema("id bigint, vec array<double>").parquet(previous)
+    for step in range(len(done), settings.steps if stop_after is None else min(stop_after, settings.steps)):
         part = sorted(sizes)[step % len(sizes)]
         rate = learning_rate(step + 1, settings.steps, settings.lr, settings.warmup, settings.floor)
         mine = rows.filter(F.col("__part") == part).drop("__part") if settings.parts > 1 else rows.drop("__part")
-        path = scratch_path(spark, f"fit-step{step}")
-        moved = gradient_step(mine, table, rate, sizes[part], settings.loss, dims, id_col)
-        moved.write.parquet(path)
+        path = scratch_path(spark, f"fit-step{step}") if folder is None else f"{folder}/table-{step + 1}"
+        seen = None if folder is None else Observation()
+        moved = gradient_step(mine, table, rate, sizes[part], settings.loss, dims, id_col, seen=seen)
+        moved.write.mode("overwrite").parquet(path)
         release_table(table)
+        table = spark.read.schema("id bigint, vec array<double>").parquet(path)
+        if folder is not None:
+            loss = seen.get["loss"]
+            measures = {} if measure is None else {k: float(v) for k, v in measure(table).items()}
+            done.append({"step": step + 1, "rate": rate, "loss": loss, "measures": measures})
+            # The step counts from here on: its table is whole, its measures are known.
+            replace_text(spark, f"{folder}/{FIT_MANIFEST}", json.dumps({"settings": asdict(settings), "n_rows": asked, "steps": done}))
         if previous is not None:
             remove(spark, previous)
-        table, previous = spark.read.schema("id bigint, vec array<double>").parquet(path), path
+        previous = path
     return table
 
 
+def fit_history(spark: SparkSession, folder: str) -> DataFrame:
+    """``step, rate, loss, measures`` of the finished steps of a run that keeps its state in ``folder``."""
+    state = read_text(spark, f"{folder}/{FIT_MANIFEST}")
+    steps = [] if state is None else json.loads(state)["steps"]
+    schema = "step int, rate double, loss double, measures map<string,double>"
+    return spark.createDataFrame([(s["step"], s["rate"], s["loss"], s["measures"]) for s in steps], schema)
+
+
 def fit_two_stages(
     documents: tuple[DataFrame, DataFrame],
     queries: tuple[DataFrame, DataFrame],

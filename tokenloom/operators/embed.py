@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -16,12 +17,17 @@ from pyspark.sql import types as T
 
 from tokenloom.functions.text import clean_cut
 from tokenloom.functions.vectors import as_lists, as_matrix, l2_normalize
+from tokenloom.mapped import MappedArray, share
 from tokenloom.operators.corpus import limit_batches as first_batches
 from tokenloom.operators.pieces import CONTINUATION, encode_ids, split_distinct, truncate_pieces
-from tokenloom.session import MAX_BROADCAST_BYTES, fits_broadcast, require_broadcast
+from tokenloom.session import MAX_BROADCAST_BYTES, python_workers, remove, scratch_path
 
 #: Copies of the weight table in the shuffled route; a hot id is spread over this many tasks.
 SALTS = 32
+#: Bytes of one range of a mapped weight table, and the largest table that is put on every node's disk.
+RANGE_BYTES, MAX_MAPPED_BYTES = 64 << 20, 64 << 30
+#: Bytes of table rows gathered at once inside a task, and of the sums it fills.
+GATHER_BYTES, SUM_BYTES = 8 << 20, 64 << 20
 
 
 EmbedFn = Callable[[list[str]], np.ndarray]
@@ -114,77 +120,139 @@ def init_from_teacher(
     return rows.select("id", F.col("embedding").alias("vec"))
 
 
-def _mean_rows(ids: pa.Array, keys: np.ndarray, matrix: np.ndarray) -> pa.Array:
-    """Per list of ids the mean of their rows; ids without a row do not count."""
-    offsets = ids.offsets.to_numpy()
-    offsets = offsets - offsets[0]
-    flat = ids.flatten().to_numpy(zero_copy_only=False)
+def _add_rows(sums: np.ndarray, counts: np.ndarray, flat: np.ndarray, owner: np.ndarray, keys: np.ndarray, matrix: np.ndarray) -> None:
+    """Add the table rows of the ids ``flat`` to the sums of their owners (ascending); ids without a row do not count."""
+    if not len(keys) or not len(flat):
+        return
     at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
     known = keys[at] == flat
-    if not known.all():
-        offsets = np.concatenate([[0], np.cumsum(known)])[offsets]
-        at = at[known]
-    out = np.zeros((len(ids), matrix.shape[1]))
-    # Row by row: one gather of at most ``max_len`` table rows at a time.
-    for row, (begin, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        if end > begin:
-            out[row] = matrix[at[begin:end]].mean(axis=0, dtype=np.float64)
-    return as_lists(out)
+    at, owner = at[known], owner[known]
+    step = max(1, GATHER_BYTES // (8 * sums.shape[1]))
+    for begin in range(0, len(at), step):
+        own = owner[begin : begin + step]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        sums[own[first]] += np.add.reduceat(matrix[at[begin : begin + step]], first, axis=0, dtype=np.float64)
+        counts[own[first]] += np.diff(np.append(first, len(own)))
+
+
+def _mean_rows(ids: pa.Array, ranges: Sequence[tuple[np.ndarray, np.ndarray]], dim: int) -> pa.Array:
+    """Per list of ids the mean of their rows in a table that comes in ranges, each taken in turn."""
+    offsets = ids.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    parts = []
+    step = max(1, SUM_BYTES // (8 * dim))
+    for begin in range(0, max(1, len(ids)), step):
+        bounds = offsets[begin : begin + step + 1]
+        rows = len(bounds) - 1
+        sums, counts = np.zeros((rows, dim)), np.zeros(rows, dtype=np.int64)
+        owner = np.repeat(np.arange(rows), np.diff(bounds))
+        for keys, matrix in ranges:
+            _add_rows(sums, counts, flat[bounds[0] : bounds[-1]], owner, keys, matrix)
+        parts.append(as_lists(sums / np.maximum(counts, 1)[:, None]))
+    return pa.concat_arrays(parts)
+
+
+@dataclass(frozen=True)
+class SharedTable:
+    """A weight table as tasks get it: one range in a broadcast, or several that are mapped from the node's files."""
+
+    dim: int
+    ranges: Broadcast | tuple[tuple[MappedArray, MappedArray], ...]
+
+    def open(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        if isinstance(self.ranges, Broadcast):
+            return [self.ranges.value]
+        return [(keys.open(), matrix.open()) for keys, matrix in self.ranges]
 
 
 #: Weight tables already sent to the executors: a loop over batches that passes the same frame sends it once.
-_SHARED: WeakKeyDictionary[DataFrame, Broadcast] = WeakKeyDictionary()
+_SHARED: WeakKeyDictionary[DataFrame, dict[str, SharedTable]] = WeakKeyDictionary()
 
 
-def shared_table(weights: DataFrame) -> Broadcast:
-    """Ids and vectors, in the table's own number type, on every executor, sent once per table."""
-    if weights not in _SHARED:
-        require_broadcast(weights, (vector_length(weights, "vec") or 0) * 8 + 8, MAX_BROADCAST_BYTES)
-        table = weights.select(F.col("id").cast("bigint"), "vec").toArrow()
-        keys = table.column("id").to_numpy()
-        order = np.argsort(keys)
-        vec = table.column("vec").combine_chunks()
-        matrix = as_matrix(vec)
-        if pa.types.is_float32(vec.type.value_type):
-            matrix = matrix.astype(np.float32)
-        _SHARED[weights] = weights.sparkSession.sparkContext.broadcast((keys[order], matrix[order]))
-    return _SHARED[weights]
+def _ids_and_rows(weights: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table on the driver, by ascending id, in its own number type."""
+    table = weights.select(F.col("id").cast("bigint"), "vec").toArrow()
+    keys, vec = table.column("id").to_numpy(), table.column("vec").combine_chunks()
+    order = np.argsort(keys, kind="stable")
+    matrix = as_matrix(vec) if len(keys) else np.zeros((0, dim))
+    if pa.types.is_float32(vec.type.value_type):
+        matrix = matrix.astype(np.float32)
+    return keys[order], matrix[order]
 
 
-def release_table(weights: DataFrame) -> None:
-    """Take a table that is no longer needed off the executors."""
-    held = _SHARED.pop(weights, None)
-    if held is not None:
-        held.destroy()
+def table_bytes(weights: DataFrame) -> tuple[int, int]:
+    """(vector length, bytes of ids and vectors in the table's own number type)."""
+    dim = vector_length(weights, "vec")
+    if dim is None:
+        raise ValueError("the weight table is empty")
+    number = 4 if isinstance(weights.schema["vec"].dataType.elementType, T.FloatType) else 8
+    return dim, weights.count() * (dim * number + 8)
 
 
-def _lookup_means(ids: Column, weights: DataFrame) -> Column:
-    """Mean of table rows in place, from a size-checked broadcast of the table."""
-    shared = shared_table(weights)
+def shared_table(weights: DataFrame, strategy: str, dim: int, size: int) -> SharedTable:
+    """Ids and vectors on every executor, sent once per table.
 
-    def mean(batch: pa.Array) -> pa.Array:
-        return _mean_rows(batch, *shared.value)
+    ``mapped`` sends the table range by range: the driver holds one of them at a time, a
+    node has one copy of each for all its Python workers, and a task touches them in turn.
+    """
+    sent = _SHARED.setdefault(weights, {})
+    if strategy not in sent:
+        spark = weights.sparkSession
+        if strategy == "lookup":
+            sent[strategy] = SharedTable(dim, spark.sparkContext.broadcast(_ids_and_rows(weights, dim)))
+        else:
+            n = max(1, -(-size // RANGE_BYTES))
+            path = scratch_path(spark, "table-ranges")
+            cut = weights.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("range"))
+            cut.repartition(n, "range").write.partitionBy("range").parquet(path)
+            stored = spark.read.schema(cut.schema).parquet(path)
+            parts = (_ids_and_rows(stored.filter(F.col("range") == r), dim) for r in range(n))
+            sent[strategy] = SharedTable(dim, tuple((share(spark, [keys]), share(spark, [matrix])) for keys, matrix in parts))
+            remove(spark, path)
+    return sent[strategy]
 
-    # Declared non-deterministic so that the planner never evaluates it twice.
-    return F.arrow_udf(mean, "array<double>").asNondeterministic()(ids)
+
+def release_table(weights: DataFrame) -> None:
+    """Take a table that is no longer needed off the executors (files of a mapped one stay until the session ends)."""
+    for held in _SHARED.pop(weights, {}).values():
+        if isinstance(held.ranges, Broadcast):
+            held.ranges.destroy()
+
+
+def _choose(weights: DataFrame, strategy: str) -> tuple[str, int, int]:
+    """(route, vector length, bytes) of a table; an error for a broadcast past the bound."""
+    if strategy not in ("auto", "lookup", "mapped", "join"):
+        raise ValueError(f"unknown strategy {strategy!r}: use 'auto', 'lookup', 'mapped' or 'join'")
+    dim, size = table_bytes(weights)
+    if strategy in ("auto", "lookup"):
+        # Each Python worker holds a broadcast table for itself.
+        workers = python_workers(weights.sparkSession)
+        if size * workers <= MAX_BROADCAST_BYTES:
+            return "lookup", dim, size
+        if strategy == "lookup":
+            raise ValueError(f"{size} bytes in each of {workers} Python workers are past the broadcast bound of {MAX_BROADCAST_BYTES} bytes")
+        strategy = "mapped" if size <= MAX_MAPPED_BYTES else "join"
+    return strategy, dim, size
 
 
 def pool_ids(df: DataFrame, weights: DataFrame, id_col: str = "doc_id", strategy: str = "auto") -> DataFrame:
     """Add ``embedding``: the mean of the table rows of ``ids``; no ids give a zero vector.
 
-    ``lookup`` broadcasts the table and shuffles nothing. ``join`` serves
-    tables past the bound: repeats are counted per row first, and the table is
-    salted because a few ids occur in nearly every row.
+    ``lookup`` broadcasts the table, ``mapped`` puts it on every node range by range;
+    both fill each row's sum in place and shuffle nothing. ``join`` serves tables that no
+    node has room for: repeats are counted per row first, and the table is salted because
+    a few ids occur in nearly every row.
     """
-    dim = vector_length(weights, "vec")
-    if dim is None:
-        raise ValueError("the weight table is empty")
-    if strategy == "auto":
-        strategy = "lookup" if fits_broadcast(weights, dim * 8 + 8, MAX_BROADCAST_BYTES) else "join"
-    if strategy == "lookup":
-        return df.withColumn("embedding", _lookup_means(F.col("ids"), weights))
+    strategy, dim, size = _choose(weights, strategy)
     if strategy != "join":
-        raise ValueError(f"unknown strategy {strategy!r}: use 'auto', 'lookup' or 'join'")
+        shared = shared_table(weights, strategy, dim, size)
+
+        def mean(batch: pa.Array) -> pa.Array:
+            return _mean_rows(batch, shared.open(), dim)
+
+        # Declared non-deterministic so that the planner never evaluates it twice.
+        return df.withColumn("embedding", F.arrow_udf(mean, "array<double>").asNondeterministic()(F.col("ids")))
     counts = (
         df.select(id_col, F.explode_outer("ids").alias("id"))
         .groupBy(id_col, "id")
@@ -194,8 +262,8 @@ def pool_ids(df: DataFrame, weights: DataFrame, id_col: str = "doc_id", strategy
     salted = weights.select("id", array_to_vector("vec").alias("__vec")).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
     )
-    mean = Summarizer.mean(F.col("__vec"), F.col("n"))
-    means = counts.join(salted, ["id", "salt"]).groupBy(id_col).agg(vector_to_array(mean).alias("embedding"))
+    mean_vec = Summarizer.mean(F.col("__vec"), F.col("n"))
+    means = counts.join(salted, ["id", "salt"]).groupBy(id_col).agg(vector_to_array(mean_vec).alias("embedding"))
     zero = F.array_repeat(F.lit(0.0), dim)
     return df.join(means, id_col, "left").withColumn("embedding", F.coalesce("embedding", zero))
 

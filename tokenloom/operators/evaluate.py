@@ -4,53 +4,80 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.vectors import cosine
-from tokenloom.operators.ordering import running_position
+from tokenloom.operators.ordering import RANGE_ROWS
 from tokenloom.operators.search import nearest_k
 from tokenloom.session import broadcast_if_small, materialize
 
 
-def _average_ranks(compact: DataFrame, column: str, name: str) -> DataFrame:
-    """The average rank of each value of ``column``, for rows that stand for ``__w`` rows each.
+def _cuts(compact: DataFrame, columns: Sequence[str]) -> tuple[Row, int]:
+    """In one pass: per column the mean and the values that cut it into ranges of about RANGE_ROWS rows; the number of rows."""
+    spark = compact.sparkSession
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-compact.count() // RANGE_ROWS))
+    shares = [i / n for i in range(1, n)]
+    weight = F.sum("__w")
+    found = []
+    for i, c in enumerate(columns):
+        value = F.col(c).cast("double")
+        found += [(F.sum(F.col("__w") * value) / weight).alias(f"mean{i}"), F.percentile_approx(value, shares, 4 * n).alias(f"cuts{i}")]
+    return compact.agg(weight.alias("n"), *found).first(), n
+
 
-    Ranks the distinct values, each weighted by its count: the values are
-    numbered range by range, not in one task.
+def _average_ranks(compact: DataFrame, columns: Sequence[str], facts: Row) -> DataFrame:
+    """``which, value, rank``: the average rank of each value of each column, for rows that stand for ``__w`` rows each.
+
+    All columns are numbered in one pass: their distinct values, weighted by their
+    counts, are ordered within ranges, and the ranges' totals give the offsets.
     """
-    counts = compact.groupBy(column).agg(F.sum("__w").alias("__n"))
-    placed = running_position(counts, column, weight="__n", name="__before")
-    rank = F.col("__before") + (F.col("__n") + 1) / 2
-    return placed.select(column, rank.alias(name))
+    listed = F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])
+    counts = compact.select("__w", F.inline(listed)).groupBy("which", "value").agg(F.sum("__w").alias("n"))
+    cut = F.lit(0.0)
+    for i in range(len(columns)):
+        splits = [float("-inf"), *sorted(set(facts[f"cuts{i}"] or [0.0])), float("inf")]
+        counts = Bucketizer(splits=splits, inputCol="value", outputCol=f"__cut{i}", handleInvalid="keep").transform(counts)
+        cut = F.when(F.col("which") == i, F.col(f"__cut{i}")).otherwise(cut)
+    counts = counts.select("which", "value", "n", cut.alias("cut"))
+    totals = counts.groupBy("which", "cut").agg(F.sum("n").alias("total"))
+    # A row per RANGE_ROWS values.
+    order = Window.partitionBy("which").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("which", "cut", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("which", "cut").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return counts.join(offsets, ["which", "cut"]).select("which", "value", (before + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def sts_correlation(pairs: DataFrame, score_col: str = "score", gold_col: str = "gold") -> DataFrame:
-    """M1: Pearson and Spearman correlation of two columns, in one row.
+    """M1: Pearson and Spearman correlation of two columns, in one row; pairs with a null do not count.
 
     Equal pairs are counted first, so a value that most rows share is a few
     rows in the joins. The counts are stored: ranking reads them several times,
-    and the scores behind them may be costly.
+    and the scores behind them may be costly. Mean ranks need no pass: they are half of n + 1.
     """
-    compact = materialize(pairs.groupBy(score_col, gold_col).agg(F.count("*").alias("__w")), "scores")
+    columns = (score_col, gold_col)
+    known = pairs.select(*columns).dropna()
+    compact = materialize(known.groupBy(*columns).agg(F.count("*").alias("__w")), "scores")
+    facts, _ = _cuts(compact, columns)
+    ranks = materialize(_average_ranks(compact, columns, facts), "ranks")
     ranked = compact
-    for column, name in ((score_col, "__rank_score"), (gold_col, "__rank_gold")):
-        ranks = _average_ranks(compact, column, name)
+    for i, c in enumerate(columns):
+        own = ranks.filter(F.col("which") == i).select(F.col("value").alias(f"__value{i}"), F.col("rank").alias(f"__rank{i}"))
         # One of the columns may have a handful of values: its ranks go to the rows as long as they fit.
-        ranked = ranked.join(broadcast_if_small(ranks, 64), column)
+        ranked = ranked.join(broadcast_if_small(own, 64), F.col(c).cast("double") == F.col(f"__value{i}"))
 
-    def weighted_corr(x: str, y: str, mean_x: float, mean_y: float):
+    def weighted_corr(x: str, y: str, mean_x: float, mean_y: float) -> Column:
         dx, dy = F.col(x).cast("double") - mean_x, F.col(y).cast("double") - mean_y
         top = F.sum(F.col("__w") * dx * dy)
         return top / F.sqrt(F.sum(F.col("__w") * dx * dx) * F.sum(F.col("__w") * dy * dy))
 
-    weight = F.sum("__w")
-    columns = (score_col, gold_col, "__rank_score", "__rank_gold")
-    means = ranked.agg(*[(F.sum(F.col("__w") * F.col(c)) / weight).alias(c) for c in columns]).first()
-    centre = {c: 0.0 if means[c] is None else float(means[c]) for c in columns}
+    means = [float(facts[f"mean{i}"] or 0.0) for i in range(2)]
+    middle = ((facts["n"] or 0) + 1) / 2
     return ranked.agg(
-        weighted_corr(score_col, gold_col, centre[score_col], centre[gold_col]).alias("pearson"),
-        weighted_corr("__rank_score", "__rank_gold", centre["__rank_score"], centre["__rank_gold"]).alias("spearman"),
+        weighted_corr(score_col, gold_col, *means).alias("pearson"),
+        weighted_corr("__rank0", "__rank1", middle, middle).alias("spearman"),
     )
 
 

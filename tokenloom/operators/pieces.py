@@ -1,17 +1,20 @@
 """Word pieces: greedy longest-match splitting and what builds on it.
 
-Two routes give the same answer:
-
-* ``lookup``: the vocabulary is small enough for every executor, so each row is
-  encoded where it stands: no token is ever shuffled. A batch looks up its
-  *distinct* words only.
-* ``join``: the vocabulary joins the candidate spans of each word. Used for
-  vocabularies past the broadcast bound and for tables of distinct words.
+Three routes give the same answer:
+
+* ``lookup``: the vocabulary, packed into some 30 bytes a piece, is broadcast, so
+  each row is encoded where it stands: no token is ever shuffled. A batch looks up
+  its *distinct* words only, all of them at once.
+* ``mapped``: the same with one file per node, which all Python workers map, for
+  vocabularies too large for a copy in each worker.
+* ``join``: the vocabulary joins the candidate spans of each word. For vocabularies
+  past any node's room, and to hold the other two against.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -21,17 +24,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import lead_length, pretokenize, raw_tokens, truncate_words
-from tokenloom.session import broadcast_if_small, fits_broadcast, require_broadcast
+from tokenloom.mapped import MappedArray, share
+from tokenloom.operators.packed import PIECE_BYTES, PackedPieces, split_words
+from tokenloom.session import MAX_BROADCAST_BYTES, broadcast_if_small, python_workers
 
 # Fixed values of the sub-word model.
 UNKNOWN = "[UNK]"
 CONTINUATION = "##"
 MAX_WORD_CHARS = 100
 
-#: Bytes one vocabulary entry takes as a hash-table entry in a Python worker.
-PIECE_BYTES = 256
-#: Split words a task remembers.
-SEEN_WORDS = 1_000_000
+#: Bytes one vocabulary row takes in a broadcast join.
+ROW_BYTES = 256
+#: Largest packed vocabulary that is put on every node's disk: some hundred million pieces.
+MAX_MAPPED_BYTES = 4 << 30
 
 
 def _vocabulary_facts(vocab: DataFrame) -> tuple[int, int]:
@@ -63,7 +68,7 @@ def wordpiece(
     (``None``: they already are); spans and their groupings then stay in place.
     """
     unknown, longest = _vocabulary_facts(vocab)
-    pieces = broadcast_if_small(vocab.select("piece", F.col("id").cast("int").alias("id")), PIECE_BYTES)
+    pieces = broadcast_if_small(vocab.select("piece", F.col("id").cast("int").alias("id")), ROW_BYTES)
     whole = pieces.select(F.col("piece").alias("word"), F.col("id").alias("__whole"))
     keys = [*carry, "word"]
     base = words.select(*keys)
@@ -112,77 +117,69 @@ def wordpiece(
     return walked.select(*keys, *out)
 
 
-def split_word(word: str, pieces: dict[str, int], unknown: int, longest: int) -> list[tuple[int, int]]:
-    """The same rule for one word: ``(id, characters)`` per piece."""
-    if word in pieces:
-        return [(pieces[word], len(word))]
-    found: list[tuple[int, int]] = []
-    at = 0
-    while at < len(word) <= MAX_WORD_CHARS:
-        prefix = CONTINUATION if at else ""
-        for n in range(min(longest, len(word) - at), 0, -1):
-            piece = pieces.get(prefix + word[at : at + n])
-            if piece is not None:
-                found.append((piece, n))
-                at += n
-                break
-        else:
-            return [(unknown, len(word))]
-    return found or [(unknown, len(word))]
+@dataclass(frozen=True)
+class SharedPieces:
+    """A packed vocabulary as tasks get it: in a broadcast, or mapped from the node's file."""
+
+    arrays: Broadcast | tuple[MappedArray, ...]
+
+    def open(self) -> PackedPieces:
+        if isinstance(self.arrays, Broadcast):
+            return PackedPieces(*self.arrays.value)
+        return PackedPieces(*[a.open() for a in self.arrays])
 
 
 #: Vocabularies already sent to the executors: a loop over batches that passes the same frame sends it once.
-_SHARED: WeakKeyDictionary[DataFrame, Broadcast] = WeakKeyDictionary()
+_SHARED: WeakKeyDictionary[DataFrame, dict[str, SharedPieces]] = WeakKeyDictionary()
 
 
-def shared_pieces(vocab: DataFrame) -> Broadcast:
-    """The vocabulary on every executor, sent once per table; an error past the bound."""
-    if vocab not in _SHARED:
-        require_broadcast(vocab, PIECE_BYTES)
-        rows = vocab.select("piece", F.col("id").cast("int")).collect()
-        _SHARED[vocab] = vocab.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows})
-    return _SHARED[vocab]
+def packed_bytes(vocab: DataFrame) -> int:
+    """What a vocabulary takes when packed."""
+    return vocab.agg(F.sum(F.octet_length("piece") + F.lit(PIECE_BYTES))).first()[0] or 0
+
+
+def shared_pieces(vocab: DataFrame, strategy: str) -> SharedPieces:
+    """The vocabulary on every executor, sent once per table."""
+    sent = _SHARED.setdefault(vocab, {})
+    if strategy not in sent:
+        table = vocab.select("piece", F.col("id").cast("int")).toArrow().combine_chunks()  # its bound was checked
+        packed = PackedPieces.build(table.column("piece").combine_chunks(), table.column("id").to_numpy())
+        spark = vocab.sparkSession
+        if strategy == "lookup":
+            sent[strategy] = SharedPieces(spark.sparkContext.broadcast(packed.arrays()))
+        else:
+            sent[strategy] = SharedPieces(tuple(share(spark, [a]) for a in packed.arrays()))
+    return sent[strategy]
 
 
 def split_distinct(words: DataFrame, vocab: DataFrame, carry: Sequence[str] = (), strategy: str = "auto") -> DataFrame:
     """T4 for a table of distinct words, where they stand: ``carry``, ``word`` and ``ids``.
 
-    Past the broadcast bound of the vocabulary it is the join of ``wordpiece``, which
-    shuffles by word *and* row; distinct words are one row each, so no word is hot.
+    The join route shuffles by word *and* row; distinct words are one row each, so no word is hot.
     """
-    if _choose(vocab, strategy) == "join":
+    strategy = _choose(vocab, strategy)
+    if strategy == "join":
         return wordpiece(words, vocab, carry, cluster=["word", *carry])
     # A word that is null or empty has no piece; it is the unknown one, as in the join.
-    found = words.select(*carry, "word", _lookup(F.array("word"), vocab, 0).alias("ids"))
-    return found
+    return words.select(*carry, "word", _lookup(F.array("word"), vocab, 0, strategy).alias("ids"))
 
 
-def _lookup(words: Column, vocab: DataFrame, part: int, max_len: int | None = None) -> Column:
-    """Pieces of a row's words, from a size-checked broadcast of the vocabulary.
+def _lookup(words: Column, vocab: DataFrame, part: int, strategy: str, max_len: int | None = None) -> Column:
+    """Pieces of a row's words, from the vocabulary on every executor.
 
     Part 0 gives one list of at most ``max_len`` ids per row; part 1 one list of
     piece lengths per word.
     """
-    unknown, longest = _vocabulary_facts(vocab)
-    shared = shared_pieces(vocab)
-    seen: dict[str, list[int]] = {}
-
-    def known(word: str) -> list[int]:
-        found = seen.get(word)
-        if found is None:
-            if len(seen) >= SEEN_WORDS:
-                seen.clear()
-            found = seen[word] = [piece[part] for piece in split_word(word, shared.value, unknown, longest)]
-        return found
+    unknown, _ = _vocabulary_facts(vocab)
+    shared = shared_pieces(vocab, strategy)
 
     def per_word(batch: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """One list per word, and where each row's words begin."""
-        coded = batch.flatten().dictionary_encode()
-        split = [known(w) for w in coded.dictionary.to_pylist()]
-        bounds = np.cumsum([0, *map(len, split)], dtype=np.int32)
-        values = pa.array([v for s in split for v in s], type=pa.int32())
+        coded = batch.flatten().dictionary_encode(null_encoding="encode")
+        *values, bounds = split_words(coded.dictionary, shared.open(), unknown, CONTINUATION, MAX_WORD_CHARS)
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values[part]))
         offsets = batch.offsets.to_numpy()
-        return pa.ListArray.from_arrays(pa.array(bounds), values).take(coded.indices), offsets - offsets[0]
+        return lists.take(coded.indices), offsets - offsets[0]
 
     def ids(batch: pa.Array) -> pa.Array:
         lists, rows_at = per_word(batch)
@@ -206,11 +203,17 @@ def _lookup(words: Column, vocab: DataFrame, part: int, max_len: int | None = No
 
 
 def _choose(vocab: DataFrame, strategy: str) -> str:
-    if strategy == "auto":
-        return "lookup" if fits_broadcast(vocab, PIECE_BYTES) else "join"
-    if strategy not in ("lookup", "join"):
-        raise ValueError(f"unknown strategy {strategy!r}: use 'auto', 'lookup' or 'join'")
-    return strategy
+    """The route for this vocabulary; an error for an unknown one, and for a broadcast past the bound."""
+    if strategy not in ("auto", "lookup", "mapped", "join"):
+        raise ValueError(f"unknown strategy {strategy!r}: use 'auto', 'lookup', 'mapped' or 'join'")
+    if strategy in ("mapped", "join"):
+        return strategy
+    size, workers = packed_bytes(vocab), python_workers(vocab.sparkSession)
+    if size * workers <= MAX_BROADCAST_BYTES:
+        return "lookup"
+    if strategy == "lookup":
+        raise ValueError(f"{size} bytes in each of {workers} Python workers are past the broadcast bound of {MAX_BROADCAST_BYTES} bytes")
+    return "mapped" if size <= MAX_MAPPED_BYTES else "join"
 
 
 def _joined_pieces(df: DataFrame, words: Column, vocab: DataFrame, id_col: str, part: int) -> DataFrame:
@@ -251,8 +254,9 @@ def encode_ids(
     else:
         headed = df.withColumn("__head", _head(F.col(text_col), max_len))
         words = F.slice(pretokenize(F.col("__head")), 1, max_len)
-    if _choose(vocab, strategy) == "lookup":
-        return headed.withColumn("ids", _lookup(words, vocab, 0, max_len)).drop("__head")
+    strategy = _choose(vocab, strategy)
+    if strategy != "join":
+        return headed.withColumn("ids", _lookup(words, vocab, 0, strategy, max_len)).drop("__head")
     pieces = _joined_pieces(headed, words, vocab, id_col, part=0)
     every = F.flatten("__pieces")
     return pieces.withColumn("ids", every if max_len is None else F.slice(every, 1, max_len)).drop("__head", "__pieces")
@@ -278,8 +282,9 @@ def truncate_pieces(
     head = F.col("__head")
     headed = df.withColumn("__head", truncate_words(F.col(text_col), room))
     headed = headed.withColumn("__words", pretokenize(head))
-    if _choose(vocab, strategy) == "lookup":
-        pieces = headed.withColumn("__pieces", _lookup(F.col("__words"), vocab, 1))
+    strategy = _choose(vocab, strategy)
+    if strategy != "join":
+        pieces = headed.withColumn("__pieces", _lookup(F.col("__words"), vocab, 1, strategy))
     else:
         pieces = _joined_pieces(headed, F.col("__words"), vocab, id_col, part=1)
     words = F.arrays_zip(

@@ -81,7 +81,8 @@ def prune_vocab(
     vocab: DataFrame, usage: DataFrame, min_freq: int, protect: Sequence[str] = SPECIAL_PIECES
 ) -> DataFrame:
     """V5: drop pieces used less than ``min_freq`` times; one piece always survives."""
-    rated = vocab.select("piece", "id").join(usage.select("id", "usage"), "id")
+    # Stored, a row per piece: numbering reads the table several times, and the usage behind it is costly.
+    rated = materialize(vocab.select("piece", "id").join(usage.select("id", "usage"), "id"), "rated")
     kept = (F.col("usage") >= min_freq) | F.col("piece").isin(list(protect))
     found = rated.agg(F.max(kept).alias("any"), F.max("id").alias("last")).first()
     return renumber(rated.filter(kept if found["any"] else F.col("id") == found["last"]))

@@ -195,10 +195,18 @@ def all_oracles() -> dict[str, str]:
         "shard_row_count_s2": f"SELECT count(*)::BIGINT AS n_rows, true AS within_limit FROM {embedded}",
         "training_view_s3": long("sha256(text) AS sentence", "embedding", embedded),
         "write_shards_s4": long("doc_id::VARCHAR AS doc_id, lang", "embedding", embedded),
-        "pair_by_position_s5": long("lang AS shard, doc_id AS row, sha256(text) AS text", "embedding", embedded),
+        "pair_by_position_s5": long(
+            "shard, row, sha256(text) AS text",
+            "embedding",
+            f"""(SELECT *, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS row
+              FROM (SELECT doc_id, text, embedding, coalesce(lang, 'none') AS shard FROM {embedded}))""",
+        ),
         "stream_shards_s6": "SELECT doc_id, text, lang FROM documents",
         "dataset_model_name_s7": f"SELECT 'stored-vectors' AS model_name, (2 * count(*))::BIGINT AS n_rows FROM {embedded}",
-        "dataset_profile_s8": "SELECT count(*)::BIGINT AS n_rows, min(len(embedding))::BIGINT AS min_dim, max(len(embedding))::BIGINT AS max_dim FROM embeddings",
+        "dataset_profile_s8": "SELECT count(*)::BIGINT AS n_rows, min(len(embedding))::BIGINT AS min_dim, max(len(embedding))::BIGINT AS max_dim, "
+        "sum(8 + 4 * len(embedding) + 4)::BIGINT AS n_bytes, 'vec_id: bigint, embedding: array<float>, label: int' AS columns FROM embeddings",
+        "dataset_facts_s8": f"""SELECT 'stored-vectors' AS model_name, 'documents' AS dataset_name, count(*)::BIGINT AS n_rows, 64::BIGINT AS dim,
+            'doc_id: string, text: string, lang: string, embedding: array<float>' AS columns, true AS bytes_agree FROM {embedded}""",
         "write_vocabulary_s9": _with(
             "SELECT word AS token, count(*)::BIGINT AS frequency, count(DISTINCT doc_id)::BIGINT AS document_frequency FROM tok GROUP BY word",
             "tok",
@@ -299,6 +307,7 @@ def all_oracles() -> dict[str, str]:
     out["nearest_k_e7"] = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT
         AS rank FROM (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {_r(_cos('q.embedding', 'd.embedding'))} AS score
         FROM embeddings q, embeddings d)) WHERE rank <= 10"""
+    out["cells_search_e7"] = out["nearest_k_e7"]
     turn_tok = f"""SELECT conv_id || '-' || turn AS doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (
         SELECT conv_id, turn, regexp_extract_all({_norm()}, '{TOKEN}') AS t FROM conversations WHERE role = 'user')"""
     out["route_encode_e8"] = _with(
@@ -412,6 +421,23 @@ def all_oracles() -> dict[str, str]:
         "weights",
     )
 
+    out["fit_resumed_d4"] = out["fit_weights_d4"]
+    fit.append("enc3 AS (SELECT doc_id, pos, sum(n * w) / sum(n) AS s FROM used JOIN w2 USING (id) GROUP BY doc_id, pos)")
+    fit.append("pair3 AS (SELECT doc_id, pos, s, t FROM enc3 JOIN teacher USING (doc_id, pos))")
+    for k in (1, 2, 3):
+        fit.append(f"""agreed{k} AS (SELECT avg(c) AS c FROM (SELECT sum(s * t) / (sqrt(sum(s * s)) * sqrt(sum(t * t))) AS c
+          FROM pair{k} GROUP BY doc_id))""")
+    out["fit_history_d4"] = _with(
+        ", sizes AS (SELECT doc_id, sum(n) AS total FROM used GROUP BY doc_id), " + ", ".join(fit)
+        + " UNION ALL ".join(
+            f" SELECT {k}::BIGINT AS step, {STEP_RATE}::DOUBLE AS rate, {_r(f'1 - agreed{k}.c')} AS loss, {_r(f'agreed{k + 1}.c')} AS mean_cosine FROM agreed{k}, agreed{k + 1}"
+            for k in (1, 2)
+        ),
+        "teacher",
+        "used",
+        "weights",
+    )
+
     ranked = """SELECT score, gold, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rs,
         rank() OVER (ORDER BY gold) + (count(*) OVER (PARTITION BY gold) - 1) / 2.0 AS rg FROM p"""
     out["sts_correlation_m1"] = f"""WITH p AS (SELECT round({_cos('a.embedding', 'b.embedding')}, 6) AS score,
@@ -438,6 +464,8 @@ def all_oracles() -> dict[str, str]:
     out["stream_encode_x2"] = encoded
     out["stream_write_shards_x3"] = long("vec_id::VARCHAR AS vec_id", "embedding", "embeddings")
     out["stream_first_seen_x4"] = "SELECT DISTINCT text FROM documents"
+    out["stream_first_seen_within_x4"] = "SELECT DISTINCT user_id, event_type FROM events"
+    out["stream_shuffle_p10"] = "SELECT doc_id, text, true AS mixed FROM documents"
     asked = """(SELECT text, row_number() OVER (ORDER BY text) AS query_id, f[1] AS conv_id, f[2] AS turn FROM (
         SELECT text, min([conv_id, turn]) AS f FROM conversations WHERE role = 'user' GROUP BY text))"""
     ask_tok = f"""SELECT -query_id - 1 AS doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import names, text, vectors
-from tokenloom.operators import corpus, distill, embed, evaluate, pieces, search, vocab
+from tokenloom.operators import cells, corpus, distill, embed, evaluate, pieces, search, vocab
 from tokenloom.session import materialize, scratch_path, spread
-from tokenloom.sources import embed_run, shards
+from tokenloom.sources import embed_run, positions, shards
 from tokenloom.sources.catalog import Catalog
 from tokenloom.streaming import streams
 
@@ -167,11 +167,31 @@ def write_shards_s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(shards.read_shards(spark, [_written(spark, sf_dir)], columns=columns), ["doc_id", "lang"])
 
 
+def _position_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Texts as lines of JSON and vectors as Parquet, written one after the other: a file per language each, by doc_id within it."""
+    texts, vectors = scratch_path(spark, "texts"), scratch_path(spark, "vectors")
+
+    def ordered(df: DataFrame) -> DataFrame:
+        named = df.withColumn("shard", F.coalesce("lang", F.lit("none")))
+        return named.repartition("shard").sortWithinPartitions("shard", "doc_id").drop("lang")
+
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    ordered(documents).select("shard", F.to_json(F.struct("text")).alias("value")).write.partitionBy("shard").text(texts)
+    stored = _teacher_of(spark, sf_dir, documents.select("doc_id", "lang"))
+    ordered(stored).select("shard", "embedding").write.partitionBy("shard").parquet(vectors)
+    return texts, vectors
+
+
 @query
 def pair_by_position_s5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("shard"))
-    stored = _teacher_of(spark, sf_dir, documents.select("doc_id", "shard")).withColumnRenamed("doc_id", "row")
-    paired = shards.pair_by_position(documents.withColumnRenamed("doc_id", "row"), stored)
+    """Texts and vectors that share nothing but file names and line numbers."""
+    texts, vectors = _position_files(spark, sf_dir)
+
+    def shard(path: Column) -> Column:
+        return F.regexp_extract(path, "shard=([^/]*)/", 1)
+
+    lines = positions.json_rows(spark, [texts], "text string", shard, "*.txt")
+    paired = positions.pair_files(lines, positions.parquet_rows(spark, [vectors], shard))
     return _long(paired.select("shard", "row", F.sha2("text", 256).alias("text"), "embedding"), ["shard", "row", "text"])
 
 
@@ -190,7 +210,17 @@ def dataset_model_name_s7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dataset_profile_s8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.dataset_profile(_embeddings(spark, sf_dir)).select("n_rows", "min_dim", "max_dim")
+    return shards.dataset_profile(_embeddings(spark, sf_dir)).select("n_rows", "min_dim", "max_dim", "n_bytes", "columns")
+
+
+@query
+def dataset_facts_s8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of a written set from its manifest; the bytes are held against the files themselves."""
+    out = _written(spark, sf_dir)
+    sizes = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/train").select("_metadata.file_path", "_metadata.file_size").distinct()
+    on_disk = sizes.agg(F.sum("file_size").alias("on_disk"))
+    facts = shards.dataset_facts(spark, [out]).join(on_disk, F.lit(True))  # one row each
+    return facts.select("model_name", "dataset_name", "n_rows", "dim", "columns", (F.col("n_bytes") == F.col("on_disk")).alias("bytes_agree"))
 
 
 @query
@@ -469,6 +499,14 @@ def nearest_k_e7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query
+def cells_search_e7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours from an index that skips documents."""
+    index = cells.build_cells(_as_documents(spark, sf_dir), 16)
+    found, _ = cells.nearest_in_cells(_as_queries(spark, sf_dir), index, 10)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query
 def route_encode_e8(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select(
@@ -516,7 +554,7 @@ def _batched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def contrastive_loss_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    losses = distill.contrastive_loss(_batched_pairs(spark, sf_dir))
+    losses = distill.contrastive_loss(_batched_pairs(spark, sf_dir), batch_rows=BATCH)
     return losses.select("batch_id", _rounded("loss").alias("loss"))
 
 
@@ -528,7 +566,7 @@ def matryoshka_loss_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def matryoshka_contrastive_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    losses = distill.matryoshka_loss(_batched_pairs(spark, sf_dir), "distillation_cosine")
+    losses = distill.matryoshka_loss(_batched_pairs(spark, sf_dir), "distillation_cosine", batch_rows=BATCH)
     return losses.select(F.col("dim").cast("bigint").alias("dim"), _rounded("loss").alias("loss"))
 
 
@@ -554,6 +592,33 @@ def fit_weights_d4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(fitted, ["id"], "vec")
 
 
+def _resumed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The run of ``fit_weights_d4``, broken off after its first step and taken up again."""
+    folder = scratch_path(spark, "fit")
+    tokens = materialize(pieces.encode_ids(_documents(spark, sf_dir), piece_table(spark, sf_dir)).drop("text"), "fit-tokens")
+    teacher = _teacher_of(spark, sf_dir, _table(spark, sf_dir, "documents").select("doc_id"))
+    settings = distill.FitSettings(steps=2, lr=STEP_RATE, warmup=0.0, floor=1.0, matryoshka=False)
+
+    def agreement(table: DataFrame) -> dict[str, float]:
+        return {"mean_cosine": evaluate.mean_agreement(embed.pool_ids(tokens, table), teacher).first()["mean_cosine"]}
+
+    for stop in (1, None):
+        fitted = distill.fit_weights(tokens, teacher, weight_table(spark, sf_dir), settings, folder=folder, measure=agreement, stop_after=stop)
+    return fitted, folder
+
+
+@query
+def fit_resumed_d4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(_resumed(spark, sf_dir)[0], ["id"], "vec")
+
+
+@query
+def fit_history_d4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per step: its rate, the loss before it, the agreement with the teacher after it."""
+    steps = distill.fit_history(spark, _resumed(spark, sf_dir)[1])
+    return steps.select(F.col("step").cast("bigint").alias("step"), "rate", _rounded("loss").alias("loss"), _rounded(F.col("measures")["mean_cosine"]).alias("mean_cosine"))
+
+
 # Evaluation
 
 
@@ -662,6 +727,25 @@ def stream_first_seen_x4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("text string").parquet(out).select("text")
 
 
+@query
+def stream_first_seen_within_x4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's first event of a type, with a state that forgets; the time span covers the table, so none comes twice."""
+    events = _streamed(spark, sf_dir, "events").select("user_id", "event_type", "ts", F.concat_ws("-", "user_id", "event_type").alias("key"))
+    out = streams.drain(streams.stream_first_seen(events, "key", within="3650 days", time_col="ts").drop("key", "ts"))
+    return spark.read.schema("user_id bigint, event_type string").parquet(out).select("user_id", "event_type")
+
+
+@query
+def stream_shuffle_p10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through a shuffle buffer of a tenth of the table: every row once, in an order that mixes micro-batches."""
+    files = _streamed(spark, sf_dir, "documents").select("doc_id", "text", F.col("_metadata.file_path").alias("file"))
+    room = max(1, _table(spark, sf_dir, "documents").count() // 10)
+    out = streams.stream_buffer_shuffled(files, scratch_path(spark, "buffered"), "doc_id", room)
+    rows = spark.read.schema("doc_id bigint, text string, file string, batch_id string").parquet(out)
+    mixed = rows.groupBy("batch_id").agg(F.count_distinct("file").alias("files")).agg((F.max("files") > 1).alias("mixed"))
+    return rows.select("doc_id", "text").join(mixed, F.lit(True))  # one row
+
+
 # The whole chain
 
 

@@ -37,6 +37,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def python_workers(spark: SparkSession) -> int:
+    """How many Python workers, each with its own copy of a broadcast, an executor runs at once: its cores."""
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        return context.defaultParallelism
+    return int(context.getConf().get("spark.executor.cores", "8"))
+
+
 def fits_broadcast(df: DataFrame, row_bytes: int, limit: int | None = None) -> bool:
     """True when ``df`` has few enough rows of ``row_bytes`` to be broadcast.
 
@@ -54,8 +62,7 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int | None = None)
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of this module's own, once nothing reads it any more."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    file_system(spark, path).delete(hadoop_path(spark, path), True)
 
 
 def require_broadcast(df: DataFrame, row_bytes: int, limit: int | None = None) -> None:
@@ -64,6 +71,47 @@ def require_broadcast(df: DataFrame, row_bytes: int, limit: int | None = None) -
         raise ValueError(f"the table is past the broadcast bound of {MAX_BROADCAST_BYTES if limit is None else limit} bytes")
 
 
+def hadoop_path(spark: SparkSession, path: str):  # noqa: ANN201
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def file_system(spark: SparkSession, path: str):  # noqa: ANN201
+    """The Hadoop file system that serves ``path``."""
+    return hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return file_system(spark, path).exists(hadoop_path(spark, path))
+
+
+def write_text(spark: SparkSession, path: str, content: str) -> None:
+    """Write one small file."""
+    stream = file_system(spark, path).create(hadoop_path(spark, path), True)
+    try:
+        stream.write(bytearray(content.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's content, ``None`` where there is none."""
+    if not exists(spark, path):
+        return None
+    return "\n".join(r[0] for r in spark.read.text(path).collect())
+
+
+def replace_text(spark: SparkSession, path: str, content: str) -> None:
+    """Put a small file in the place of the one before in one step: readers see the old one or the new one."""
+    fresh = f"{path}.{uuid.uuid4().hex}"
+    write_text(spark, fresh, content)
+    context = spark.sparkContext
+    rename = context._jvm.org.apache.hadoop.fs.Options.Rename
+    options = context._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(hadoop_path(spark, path).toUri(), context._jsc.hadoopConfiguration())
+    files.rename(hadoop_path(spark, fresh), hadoop_path(spark, path), options)
+
+
 #: The number of tasks small test files are spread over, if the caller sets it; by default rows stay where they are read.
 INPUT_PARTITIONS = "tokenloom.inputPartitions"
 
