@@ -42,7 +42,9 @@ def test_stages(spark, tmp_path):
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
     inputs, columns = [], frame.columns
     for name, stage in corpus_pipeline.STAGES:
-        inputs.append({r["doc_id"]: r for r in frame.collect()})
+        rows = frame.collect()
+        inputs.append({r["doc_id"]: r for r in rows})
+        assert len(inputs[-1]) == len(rows)
         if name != "mixing":
             assert stage(spark, frame, sf_dir).columns == columns
         frame = materialize(stage(spark, frame, sf_dir), name)
@@ -55,15 +57,17 @@ def test_stages(spark, tmp_path):
 
     assert set(exact) == {max(j for j, o in good.items() if lower(o["text"]) == lower(r["text"])) for r in good.values()}
 
+    width, share = corpus_pipeline.NEAR_WIDTH, corpus_pipeline.NEAR_SHARE
+
     def shingles(text):
         w = lower(text).split()
-        return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+        return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
     sets = {i: shingles(r["text"]) for i, r in exact.items()}
     group = {i: i for i in sets}
     for i in sets:
         for j in sets:
-            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]) and group[i] != group[j]:
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j]) and group[i] != group[j]:
                 low, high = sorted((group[i], group[j]))
                 group = {k: low if g == high else g for k, g in group.items()}
     assert set(near) == set(group.values())

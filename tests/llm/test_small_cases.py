@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.llm import arc_warc, context_tree, decontaminate, exact_dedup, html_cut, jaccard_join, mixing, parse_language, pii_semicrf, zstd_quality
-from tokenloom.llm.common import crc_mod
+from tokenloom.llm.common import crc_mod, file_places, numbered
 
 DOC = "doc_id long, text string, lang string, source string, score double, kept boolean, size string"
 PAGE = "page_id long, url string, html string, text string"
@@ -141,22 +141,22 @@ def test_decontamination(spark, docs, none):
     assert cut[1][0]["text"] == "" and cut[6][0]["text"] == LONG and cut[9][0]["text"] == "größe ÄÖ".replace("Ä", "Ä")
 
 
-def naive_groups(rows):
+def naive_groups(rows, width=3, share=90):
     sets = []
     for r in rows:
         w = words(r[1])
-        sets.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
     group = list(range(len(rows)))
     for i, x in enumerate(sets):
         for j in range(i):
-            if x and sets[j] and 100 * len(x & sets[j]) >= 90 * len(x | sets[j]):
+            if x and sets[j] and 100 * len(x & sets[j]) >= share * len(x | sets[j]):
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     return sets, group
 
 
-def check_groups(rows, out):
-    sets, group = naive_groups(rows)
+def check_groups(rows, out, *rule):
+    sets, group = naive_groups(rows, *rule)
     least = {}
     for r, g in zip(rows, group, strict=True):
         if r[0] is not None:
@@ -185,6 +185,50 @@ def test_jaccard_chains_and_large_groups(spark):
     check_groups(rows, jaccard_join.jaccard_groups(frame))
 
 
+@pytest.mark.parametrize(("linear", "few"), [(4, 8), (0, 1)])
+def test_jaccard_buckets_of_texts_that_do_not_link(spark, monkeypatch, linear, few):
+    """Families whose members share most rare n-grams but stay below the share, with a few that link, by five words and 80 %."""
+    import random
+
+    monkeypatch.setattr(jaccard_join, "LINEAR", linear)  # 0: ever more leaders, as for large buckets
+    monkeypatch.setattr(jaccard_join, "FEW", few)  # 1: all buckets go through the rounds
+    rng, rows = random.Random(3), []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(150)]
+        for k in range(40):
+            text = list(base)
+            for at in rng.sample(range(150), rng.choice((1, 3, 5, 9, 12))):
+                text[at] = f"e{family}x{k}x{at}"
+            rows.append((100 * family + k, " ".join(text)))
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows += [(1000 + k, " ".join(f"q{k}x{i}" for i in range(rng.randint(5, 200))) + " " + passage) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = jaccard_join.jaccard_groups(frame, width=5, share=80)
+    check_groups(rows, out, 5, 80)
+    assert 40 < out.select("component_id").distinct().count() < len(rows)
+
+
+def test_one_n_gram_stands_for_those_of_the_same_classes(spark):
+    rows = [(g, r) for r in (1, 2, 3) for g in range(10)] + [(g, r) for r in (1, 2) for g in range(20, 25)] + [(90, 1), (91, 2), (92, 3), (50, 3), (50, 4)]
+    shared = [r for r in rows if r[0] < 90]
+    found = jaccard_join.shared_buckets(spark.createDataFrame(shared, "gram long, rep long")).collect()
+    assert sorted((r["gram"], r["size"], r["weight"]) for r in found) == [(0, 3, 10), (20, 2, 5), (50, 2, 1)]
+
+
+def test_rows_of_files_are_numbered_in_place(spark, docs, tmp_path):
+    path = str(tmp_path / "docs")
+    docs.write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert file_places(stored) is not None
+    for other in (docs, stored.where("doc_id > 3"), stored.unionByName(stored), stored.select(F.explode(F.array(F.lit(1), F.lit(2))), "doc_id")):
+        assert file_places(other) is None
+    numbers = [r["row_number"] for r in numbered(stored, "text", "doc_id").collect()]
+    assert len(set(numbers)) == len(ROWS) and numbers == [r["row_number"] for r in numbered(stored, "text", "doc_id").collect()]
+    for drop in (exact_dedup.drop_copies, jaccard_join.keep_one_of_each):
+        a, b = (sorted(map(str, drop(frame).collect())) for frame in (stored, docs))
+        assert len(a) == len(b)
+
+
 def test_mixing(spark, docs, none):
     out = mixing.mix(docs, block_docs=2, shard_blocks=2)
     rows = out.collect()

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.session import materialize
+from tokenloom.session import materialize, remove, scratch_path
 
 #: A group is hot when it holds more than one in HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot groups.
 HOT_SHARE = 1_000
@@ -51,10 +52,50 @@ def unpack(df: DataFrame, names: list[str], **computed: Column) -> DataFrame:
     return df.select(*kept, *[v.alias(k) for k, v in computed.items()])
 
 
+class Scratch:
+    """Tables of one operator in a folder of its own, each removed once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.held = spark, scratch_path(spark, name), {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back."""
+        path = f"{self.folder}/{len(self.held)}-{name}"
+        df.write.parquet(path)
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(stored)] = (path, stored)  # the frame is kept, so that its id stays its own
+        return stored
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            remove(self.spark, self.held[id(table)][0])
+
+
+def file_places(docs: DataFrame) -> Column | None:
+    """A number of each row made of its Parquet file and its place in it, if ``docs`` holds just the rows of some files; else ``None``."""
+    # Places in a file are below 10^15; two files share a hash as seldom as two digests meet.
+    file = F.xxhash64("_metadata.file_path").cast("decimal(38,0)")
+    number = (file * F.lit(10**15) + F.col("_metadata.row_index")).cast("decimal(38,0)")
+    try:
+        docs.select(number)
+    except AnalysisException:
+        return None
+    files = docs.inputFiles()
+    whole = files and docs.sparkSession.read.parquet(*files).count() == docs.count()  # from the footers
+    return number if whole else None
+
+
 def numbered(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """whole_row (the columns of ``docs``), text, doc_id and row_number, a number of each row; stored, so that no row's number changes."""
+    """whole_row (the columns of ``docs``), text, doc_id and row_number, a number of each row that does not change when it is read again.
+
+    Rows that a Parquet reader knows by file and place keep that as their number; others are stored with one.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row")
-    stored = materialize(docs.select(whole).withColumn("row_number", F.monotonically_increasing_id()), "numbered")
+    place = file_places(docs)
+    if place is not None:
+        stored = docs.select(whole, place.alias("row_number"))
+    else:
+        stored = materialize(docs.select(whole).withColumn("row_number", F.monotonically_increasing_id()), "numbered")
     return stored.select("whole_row", F.col(f"whole_row.`{text}`").alias("text"), F.col(f"whole_row.`{doc_id}`").alias("doc_id"), "row_number")
 
 

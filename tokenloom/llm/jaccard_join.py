@@ -5,9 +5,10 @@ global order; two sets that are similar enough share an n-gram within short
 prefixes, so only prefixes are joined. Length, positional and suffix filters drop
 candidates before the two whole sets meet, once per pair.
 
-Equal sets are one class from the start, so copies are never paired. Large groups
-of near copies are not expanded into all pairs either: the join runs in rounds,
-first of one leader per bucket of classes that share a prefix n-gram, then of ever
+Equal sets are one class from the start, so copies are never paired. Buckets of a
+few classes that share a prefix n-gram are joined outright. Large groups
+of near copies are not expanded into all pairs: over larger buckets the join runs in rounds,
+first of one leader per bucket, then of ever
 more leaders, and a pair is left out when earlier links have already put both
 into one group. The last round joins every pair that could still connect two
 groups, so the groups are exactly those of all links. A parity bitmap of each set
@@ -25,9 +26,9 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import inputs, join_groups, numbered, pack, slices, unpack
+from tokenloom.llm.common import Scratch, inputs, join_groups, numbered, pack, slices, unpack
 from tokenloom.llm.tokens import hashed_words, mix64
-from tokenloom.session import materialize, scratch_path
+from tokenloom.session import fits_broadcast, materialize, remove, scratch_path
 
 WIDTH = 3
 #: Least similarity as a fraction of whole numbers: 100 * shared >= 90 * union. Width and share are defaults, which callers may change.
@@ -38,7 +39,13 @@ COUNTERS, PARTS, SALTS = 1 << 24, 64, 32
 STARS, GROWTH = 3, 8
 #: Until the last round, which looks at everything left, a class shows up in its largest buckets only.
 PICKED = 3
+#: Classes of a bucket whose pairs are all looked at, before any round.
+FEW = 8
+#: Pairs of a round, per row of the prefixes, below which all that is left is looked at at once.
+LINEAR = 4
 SUFFIX_DEPTH = 2
+#: Bytes of a class in a broadcast.
+CLASS_BYTES = 64
 #: Words of the parity bitmap that bounds how much two sets can share.
 BITMAP = 4
 
@@ -221,8 +228,8 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, share: int = SHARE) -
     return pairs.join(left, "a").join(right, "b").where(check.asNondeterministic()("x", "y")).select("a", "b")
 
 
-def merge_groups(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, group) after the links: each group's label is its smallest member.
+def merge_groups(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, group) after the links: each group's label is its smallest member. ``labels``, a scratch table, goes.
 
     Links are lifted to the groups they join; groups then take the least label next to them and
     follow it to that label's own label until nothing changes. Tables between the steps
@@ -230,80 +237,135 @@ def merge_groups(labels: DataFrame, links: DataFrame) -> DataFrame:
     """
     a, b = labels.select(F.col("rep").alias("a"), F.col("group").alias("ga")), labels.select(F.col("rep").alias("b"), F.col("group").alias("gb"))
     lifted = links.join(a, "a").join(b, "b").where("ga <> gb").select(F.least("ga", "gb").alias("u"), F.greatest("ga", "gb").alias("v")).distinct()
-    edges = materialize(lifted, "group-links")
+    edges = scratch.put(lifted, "group-links")
     if edges.isEmpty():
+        scratch.drop(edges)
         return labels
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    nodes = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low")), "group-labels")
-    while True:
+    nodes = scratch.put(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low")), "group-labels")
+    settled = False
+    while not settled:
         # The least label among the neighbours and itself, then that label's own label.
         seen = both.join(nodes.select(F.col("u").alias("v"), F.col("low").alias("next")), "v").select("u", "next")
         own = nodes.select("u", F.col("low").alias("next"))
         least = seen.unionByName(own).groupBy("u").agg(F.min("next").alias("low"))
         jump = least.select(F.col("u").alias("low"), F.col("low").alias("far"))
-        stepped = materialize(
+        stepped = scratch.put(
             least.join(jump, "low", "left").select("u", F.least("low", F.coalesce("far", "low")).alias("low")), "group-labels"
         )
         settled = stepped.join(nodes.withColumnRenamed("low", "was"), "u").where("low <> was").isEmpty()
+        scratch.drop(nodes)
         nodes = stepped
-        if settled:
-            break
     moved = nodes.select(F.col("u").alias("group"), "low")
-    return materialize(labels.join(moved, "group", "left").select("rep", F.coalesce("low", "group").alias("group")), "groups")
+    out = scratch.put(labels.join(moved, "group", "left").select("rep", F.coalesce("low", "group").alias("group")), "groups")
+    scratch.drop(labels, edges, nodes)
+    return out
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` stored in buckets of ``key`` in the shared folder: later joins on the key do not move it again."""
+def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, str, str]:
+    """``df`` stored in buckets of ``key`` in the shared folder: later joins on the key do not move it again. Also its table's name and path."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = path.rsplit("/", 1)[-1].replace("-", "_")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    return spark.table(table), table, path
+
+
+def class_texts(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
+    """(rep, text) of the classes in ``wanted`` (high, low, rep): a text of each.
+
+    Where the wanted classes fit a broadcast, the other texts are left out before any text moves.
+    """
+    made = docs.select(set_column(F.col(text), width).alias("s"), F.col(text).alias("text")).where("s.n > 0")
+    made = made.select(F.col("s.high").alias("high"), F.col("s.low").alias("low"), "text")
+    if fits_broadcast(wanted, CLASS_BYTES):
+        met = made.join(F.broadcast(wanted), ["high", "low"])
+        return met.groupBy("rep").agg(F.first("text").alias("text"))
+    return made.groupBy("high", "low").agg(F.first("text").alias("text")).join(wanted, ["high", "low"]).select("rep", "text")
 
 
-def class_groups(classes: DataFrame, docs: DataFrame, text: str, width: int, share: int = SHARE) -> DataFrame:
+def shared_buckets(shared: DataFrame) -> DataFrame:
+    """(gram, size, weight): of the n-grams that stand in two prefixes or more, one for each set of classes that share some.
+
+    N-grams of one passage mostly stand in the same prefixes. A pair that meets at one of them meets at
+    all, and the filters hold at each of them for a pair that links, so one stands for the others;
+    ``weight`` is how many it stands for. Sets are compared by size and 128 bits.
+    """
+    members = [F.bit_xor(F.xxhash64("rep", F.lit(salt))).alias(f"members{salt}") for salt in (1, 2)]
+    sizes = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), *members)
+    return sizes.groupBy("size", "members1", "members2").agg(F.min("gram").alias("gram"), F.count(F.lit(1)).alias("weight")).select("gram", "size", "weight")
+
+
+def class_groups(classes: DataFrame, docs: DataFrame, text: str, width: int, share: int, scratch: Scratch) -> DataFrame:
     """(rep, group) of every class that may be linked with another; ``classes`` has rep, high, low, n, prefix, bits."""
     prefix = prefix_rows(classes)
-    sizes = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    # Only n-grams in two prefixes or more can make a pair; most are in one.
-    shared = prefix.join(sizes, "gram").join(classes.select("rep", "bits"), "rep")
+    # Most n-grams stand in one prefix: they go before anything else is worked out.
+    often = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram")
+    met_again = scratch.put(prefix.join(often, "gram"), "shared")
+    shared = met_again.join(shared_buckets(met_again), "gram").join(classes.select("rep", "bits"), "rep")
+    # In a bucket of a few classes all pairs are looked at, which is in proportion to its rows. Most buckets are of this
+    # kind, by chance, and most of their pairs fail the filters: such classes need no text.
+    few = shared.where(F.col("size") <= FEW).select("gram", "rep", "n", "pos", "bits", F.col("rep").alias("group"))
+    others = few.select("gram", *[F.col(c).alias(f"l_{c}") for c in ("rep", "n", "pos", "bits", "group")])
+    met = few.join(others, "gram").where((F.col("rep") < F.col("l_rep")) & may_link(share))
+    pairs = scratch.put(met.select(F.col("rep").alias("a"), F.col("l_rep").alias("b")).distinct(), "pairs")
     mine = Window.partitionBy("rep")
     largest_first = F.row_number().over(mine.orderBy(F.desc("size"), "gram"))
     # A class whose n-grams are mostly shared stands in the middle of its group: it comes first as a leader.
-    rows = shared.select(
-        "gram", "rep", "n", "pos", "bits", F.xxhash64("rep").alias("h"), (largest_first <= PICKED).alias("picked"), (-F.count(F.lit(1)).over(mine)).alias("own")
+    rows = shared.where(F.col("size") > FEW).select(
+        "gram", "rep", "n", "pos", "bits", F.xxhash64("rep").alias("h"), (largest_first <= PICKED).alias("picked"), (-F.sum("weight").over(mine)).alias("own")
     )
-    rows = materialize(rows, "prefixes")
-    members = rows.select("rep").distinct()
-    wanted = classes.select("high", "low", "rep").join(members, "rep")
-    made = docs.select(set_column(F.col(text), width).alias("s"), F.col(text).alias("text")).where("s.n > 0")
-    one = made.groupBy(F.col("s.high").alias("high"), F.col("s.low").alias("low")).agg(F.first("text").alias("text"))
-    texts = bucketed(one.join(wanted, ["high", "low"]).select("rep", "text"), "rep", "texts")
-    labels = materialize(members.select("rep", F.col("rep").alias("group")), "groups")
-    tried: DataFrame | None = None
+    rows = scratch.put(rows, "prefixes")
+    scratch.drop(met_again)
+    members = rows.select("rep").unionByName(pairs.select(F.col("a").alias("rep"))).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    wanted = scratch.put(classes.select("high", "low", "rep").join(members, "rep"), "members")
+    texts, table, place = bucketed(class_texts(docs, text, width, wanted), "rep", "texts")
+    labels = scratch.put(wanted.select("rep", F.col("rep").alias("group")), "groups")
+    try:
+        if not pairs.isEmpty():
+            links = scratch.put(verify(pairs, texts, width, share), "links")
+            labels = merge_groups(labels, links, scratch)
+            scratch.drop(links)
+        return _rounds(rows, labels, pairs, texts, width, share, scratch)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(docs.sparkSession, place)
+
+
+def _rounds(rows: DataFrame, labels: DataFrame, tried: DataFrame, texts: DataFrame, width: int, share: int, scratch: Scratch) -> DataFrame:
+    """The groups after all rounds over the larger buckets, ``rows`` (gram, rep, n, pos, bits, h, picked, own); ``tried`` are pairs seen before."""
+    total = rows.count()
     spread, last = 0, False  # spread: how far the number of leaders has grown
     turn = 0
     while True:
         own_rows = rows if last else rows.where("picked")
-        placed = own_rows.join(labels, "rep") if turn else own_rows.withColumn("group", F.col("rep"))
+        placed = own_rows.join(labels, "rep")
         fields = ("rep", "n", "pos", "bits", "group")
         first = F.struct("own", "h", *fields)
         state = placed.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("size"), F.min(first).alias("lead"))
         # A bucket whose members are all in one group is done.
         state = state.where("low <> high").select("gram", "size", "lead")
         open_ = placed.join(state, "gram").select("gram", *fields, "own", "h", "size", "lead")
-        open_ = materialize(open_.withColumn("outside", F.col("group") != F.col("lead.group")), "round")
-        largest = open_.agg(F.max("size")).first()[0] or 0
+        open_ = scratch.put(open_.withColumn("outside", F.col("group") != F.col("lead.group")), "round")
+        facts = open_.agg(F.max("size").alias("largest"), F.sum(F.when(F.col("outside"), F.col("size")).otherwise(0)).alias("work")).first()
+        largest = facts["largest"] or 0
         if not largest:
+            scratch.drop(open_)
             if last:
                 return labels
             last, turn = True, max(turn, STARS)
             continue
+        if turn >= STARS and not last and facts["work"] <= LINEAR * total:
+            # What is left in the picked buckets is in proportion to the rows: no need for ever more leaders.
+            last = True
+            scratch.drop(open_)
+            continue
 
         def led(lead: str) -> list[Column]:
             return [F.col(f"{lead}.{c}").alias(f"l_{c}") for c in fields]  # noqa: B023
 
+        others = [f"l_{c}" for c in fields]
         if turn == 0:  # each bucket against its first member
             met = open_.select(*fields, *led("lead"))
         elif turn < STARS:  # and against the first one outside that member's group
@@ -314,17 +376,18 @@ def class_groups(classes: DataFrame, docs: DataFrame, text: str, width: int, sha
             chosen = F.lit(True) if last else unit < F.lit(float(GROWTH**spread)) / F.col("size")
             leaders = open_.where(chosen).select("gram", *[F.col(c).alias(f"l_{c}") for c in (*fields, "outside")])
             # The group of a bucket's first member may be large; it is never joined with itself.
-            met = leaders.where("l_outside").join(open_, "gram").where(may_link(share)).select(*fields, *[f"l_{c}" for c in fields])
-            met = met.unionByName(
-                leaders.where("not l_outside").join(open_.where("outside"), "gram").where(may_link(share)).select(*fields, *[f"l_{c}" for c in fields])
-            )
+            once = (~F.col("outside") | (F.col("l_rep") < F.col("rep"))) if last else F.lit(True)
+            met = leaders.where("l_outside").join(open_, "gram").where(may_link(share) & once).select(*fields, *others)
+            if not last:  # where all lead, both orders of a pair come up
+                met = met.unionByName(leaders.where("not l_outside").join(open_.where("outside"), "gram").where(may_link(share)).select(*fields, *others))
         pairs = met.where(may_link(share)).select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        pairs = scratch.put(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        scratch.drop(open_)
+        tried = tried.unionByName(pairs)
         if not pairs.isEmpty():
-            labels = merge_groups(labels, materialize(verify(pairs, texts, width, share), "links"))
+            links = scratch.put(verify(pairs, texts, width, share), "links")
+            labels = merge_groups(labels, links, scratch)
+            scratch.drop(links)
         if last:
             return labels
         turn += 1
@@ -365,12 +428,14 @@ def jaccard_groups(
     classes = made.groupBy(F.col("s.high").alias("high"), F.col("s.low").alias("low")).agg(
         F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("s.n").alias("n"), F.first("s.prefix").alias("prefix"), F.first("s.bits").alias("bits")
     )
-    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    groups = class_groups(classes, docs, text, width, share)
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    classes = scratch.put(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    groups = class_groups(classes, docs, text, width, share, scratch)
     named = classes.select("high", "low", "least", "rows", "rep").join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
     ids = named.groupBy("group").agg(F.min("least").alias("least")).select("group", F.col("least.id").alias("component"), F.col("least.row").alias("keep_row"))
     key = F.format_string("%016x%016x", "high", "low")
     named = materialize(named.join(ids, "group").select(key.alias("key"), "component", "keep_row", "rows"), "named-classes")
+    remove(docs.sparkSession, scratch.folder)
     packed = pack(docs, id=F.col(doc_id).cast("long"), row=number, s=set_column(F.col(text), width))
     packed = packed.select(
         *inputs(len(docs.columns)), "id", "row", F.col("s.n").alias("n"), F.format_string("%016x%016x", "s.high", "s.low").alias("key")
