@@ -34,8 +34,10 @@ HEADLINE = [
     "init_weights_e2",
     "embed_corpus_e3",
     "static_encode_e4",
+    "exported_encode_e4",
     "cosine_scores_e6",
     "nearest_k_e7",
+    "cells_search_e7",
     "contrastive_loss_d2",
     "gradient_step_d4",
     "sts_correlation_m1",
@@ -75,6 +77,9 @@ def main() -> None:
         for name in ("token_counts_v1", "encode_ids_t7", "static_encode_e4")
         if name in seconds
     }
+    if "exported_encode_e4" in seconds:  # short texts, as a model's queries are
+        turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").count()
+        rows["exported_encode_e4_turns_per_sec"] = round(turns / seconds["exported_encode_e4"])
     result = {
         "metric": "total_seconds",
         "value": round(sum(seconds.values()), 3),

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.operators import corpus
+from tokenloom.operators import corpus, ordering
 from tokenloom.sources.catalog import Catalog, standard_catalog
 
 
@@ -33,7 +33,13 @@ def test_union_keeps_duplicates(spark):
         corpus.union_subsets([])
 
 
-def test_batches(spark):
+@pytest.fixture(params=[ordering.ONE_RANGE_ROWS, 0])
+def ranges(request, monkeypatch):
+    """Small tables as one range, and cut like large ones."""
+    monkeypatch.setattr(ordering, "ONE_RANGE_ROWS", request.param)
+
+
+def test_batches(spark, ranges):
     df = spark.createDataFrame([(i,) for i in (5, 1, 4, 2, 3)], "n bigint")
     rows = corpus.assign_batches(df, 2, "n").orderBy("n").collect()
     assert [r.batch_id for r in rows] == [0, 0, 1, 1, 2]
@@ -42,7 +48,7 @@ def test_batches(spark):
         corpus.assign_batches(df, 0, "n")
 
 
-def test_batches_with_a_lopsided_key(spark):
+def test_batches_with_a_lopsided_key(spark, ranges):
     # Two thirds of the keys lie close together; every batch is still full.
     keys = spark.range(3_000).select(F.when(F.col("id") < 2_000, F.col("id")).otherwise(F.col("id") * 10**9).alias("n"))
     rows = corpus.assign_batches(keys, 100, "n")
@@ -52,7 +58,7 @@ def test_batches_with_a_lopsided_key(spark):
     assert all(a.high < b.low for a, b in zip(found, found[1:]))
 
 
-def test_limit_batches(spark):
+def test_limit_batches(spark, ranges):
     df = spark.range(50).select(F.col("id").alias("n"))
     assert sorted(r.n for r in corpus.limit_batches(df, 3, 4, "n").collect()) == list(range(12))
     # A limit of nothing still processes one batch.
@@ -61,7 +67,7 @@ def test_limit_batches(spark):
     assert corpus.limit_batches(df.limit(0), 3, 4, "n").count() == 0
 
 
-def test_text_keys_order_too(spark):
+def test_text_keys_order_too(spark, ranges):
     names = [f"key-{i:04d}é" for i in range(500)]
     df = spark.createDataFrame([(n,) for n in reversed(names)], "n string").repartition(4)
     rows = corpus.assign_batches(df, 50, "n").collect()

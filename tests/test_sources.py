@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tokenloom.operators import ordering
 from tokenloom.sources import positions, shards
 from tokenloom.streaming import streams
 
@@ -251,7 +252,9 @@ def test_rows_wait_in_a_buffer_between_micro_batches(spark, tmp_path):
     assert rows.count() == 110 and rows.select("id").distinct().count() == 110
 
 
-def test_a_batch_that_runs_again_starts_from_the_same_buffer(spark, tmp_path):
+@pytest.mark.parametrize("one_range", [ordering.ONE_RANGE_ROWS, 0])
+def test_a_batch_that_runs_again_starts_from_the_same_buffer(spark, tmp_path, monkeypatch, one_range):
+    monkeypatch.setattr(ordering, "ONE_RANGE_ROWS", one_range)
     out = str(tmp_path / "out")
     buffer = streams.ShuffleBuffer(spark, out, "id", 10)
     parts = [spark.range(15 * i, 15 * i + 15) for i in range(3)]

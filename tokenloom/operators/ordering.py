@@ -18,6 +18,8 @@ from tokenloom.session import broadcast_if_small
 
 #: Rows of one range, about; a range is sorted in one task.
 RANGE_ROWS = 1_000_000
+#: A table of no more rows is one range: cutting it would cost more than sorting it.
+ONE_RANGE_ROWS = 100_000
 
 
 def numeric_key(df: DataFrame, order_col: str) -> Column:
@@ -36,8 +38,10 @@ def numeric_key(df: DataFrame, order_col: str) -> Column:
 def with_range(df: DataFrame, order_col: str, name: str = "__range") -> DataFrame:
     """Add the number of the equal-share value range the key falls into."""
     spark = df.sparkSession
-    key = numeric_key(df, order_col)
     n_rows = df.select(order_col).count()
+    if n_rows <= ONE_RANGE_ROWS:
+        return df.withColumn(name, F.lit(0.0))
+    key = numeric_key(df, order_col)
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-n_rows // RANGE_ROWS))
     shares = [i / n for i in range(1, n)]
     row = df.agg(F.percentile_approx(key, shares, 4 * n).alias("cuts")).first()
