@@ -348,7 +348,7 @@ def test_suffix_automaton_accepts_exactly_the_substrings():
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (6, 0, 0), (7, 0, 0), (8, None, 0), (None, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
     out = zstd_quality.classify(docs, labels, F.lit(True))
-    assert out.columns == ["doc_id", "text", "lang", "source", "kept", "size", "score", "predicted"]
+    assert out.columns == ["doc_id", "text", "lang", "source", "kept", "size", "score", "predicted", "size_difference"]
     rows = out.collect()
     assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
     unlabelled = zstd_quality.classify(docs, labels.limit(0), F.lit(True)).collect()
@@ -528,6 +528,64 @@ def test_cut_is_minimal():
         assert abs(cost(html_cut.minimum_cut(odds, edges)) - best) < 1e-9
 
 
+def test_cut_of_a_chain_is_minimal():
+    import random
+
+    rng = random.Random(8)
+    for n in (1, 2, 50, 3000):
+        odds = [rng.uniform(-1, 1) for _ in range(n)]
+        between = [rng.random() for _ in range(n - 1)]
+        # The least cost of a chain whose last node is boilerplate, or content.
+        low, high = max(0.0, odds[0]), max(0.0, -odds[0])
+        for o, w in zip(odds[1:], between, strict=True):
+            low, high = min(low, high + w) + max(0.0, o), min(high, low + w) + max(0.0, -o)
+        labels = html_cut.minimum_cut(odds, [(i, i + 1, w) for i, w in enumerate(between)])
+        cost = sum(max(0.0, -o) if x else max(0.0, o) for o, x in zip(odds, labels, strict=True))
+        cost += sum(w for w, a, b in zip(between, labels, labels[1:], strict=False) if a != b)
+        assert cost == pytest.approx(min(low, high))
+
+
+def without_marks(page):
+    import re
+
+    bare = re.sub(r"""\s(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+    return re.sub(r"<(/?)(?:nav|footer|header|article|aside|main|section)\b[^>]*>", r"<\1div>", bare)
+
+
+def test_the_cut_labels_pages_that_say_nothing_of_themselves(spark):
+    """Learned on pages with their marks; then blocks of other pages, with and without their marks, by terminals alone and by the cut."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    weights = html_cut.fit(pages)
+    sample = {r[0] for r in pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(html_cut.SAMPLE_PAGES).collect()}
+    moved = alone = cut = total = 0
+    for r in pages.collect():
+        if r["page_id"] in sample:
+            continue
+        marked, bare = html_cut.parse(r["html"]), html_cut.parse(without_marks(r["html"]))
+        article = [bool(b.node.flags & html_cut.ARTICLE and not b.node.flags & html_cut.NEGATIVE) for b in marked]
+        assert html_cut.minimum_cut(*html_cut.graph(marked, weights))[: len(marked)] == article
+        odds, edges = html_cut.graph(bare, weights)
+        assert len(odds) == len(bare) == len(marked)  # no element says what it is
+        found = html_cut.minimum_cut(odds, edges)
+        moved += sum(f != (o > 0) for f, o in zip(found, odds, strict=True))
+        alone += sum(a != (o > 0) for a, o in zip(article, odds, strict=True))
+        cut += sum(a != f for a, f in zip(article, found, strict=True))
+        total += len(bare)
+    print(total, moved, alone, cut)
+    assert moved > 0 and cut < alone < 0.001 * total
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        page, begin = "<div>a</div><p>b c</p>" * n, time.perf_counter()
+        html_cut.main_text(page, html_cut.PRIOR)
+        return time.perf_counter() - begin
+
+    assert min(seconds(5_000) for _ in range(2)) < 2
+
+
 def test_archives(spark):
     pages = spark.createDataFrame(PAGES, PAGE).repartition(2)
     rows = arc_warc.archive_pages(pages).collect()

@@ -1,10 +1,15 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a list of text blocks. A logistic classifier's log odds become
-each block's capacity to the content or the boilerplate terminal; edges between
+A page becomes a list of text blocks. A logistic classifier over text and
+structure alone (words, links, punctuation, the element's share of the page; no
+names of classes, no sectioning elements) gives log odds, which become each
+block's capacity to the content or the boilerplate terminal. Edges between
 neighbours on the page, and between a block and the last one under the same
 parent, resist a different label the more the closer the two are in the document
-tree. The minimum cut, found by maximum flow, labels all blocks of a page at once.
+tree. An element that says what it is (article, nav, a class name) is a node of
+its own: what it says is its capacity to a terminal, and edges tie it to the blocks
+in it. The minimum cut, found by maximum flow, labels all of a page at once, so a
+page that says nothing about itself is labelled too.
 """
 
 from __future__ import annotations
@@ -18,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The classifier learns from at most so many pages of at most so many bytes.
-SAMPLE_PAGES, SAMPLE_PAGE_BYTES = 300, 1 << 16
+#: The classifier learns from at most so many pages, and of a longer page from its first so many characters.
+SAMPLE_PAGES, SAMPLE_PAGE_CHARS = 300, 1 << 16
 SMOOTHNESS = 0.8
-MAX_LOG_ODDS = 8.0
+MAX_LOG_ODDS = 4.0
+#: Capacity of the edge between a block and the element that says what it is.
+TIE = 12.0
 
 RAW = frozenset("script style noscript template iframe svg title textarea select option canvas object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,11 +63,13 @@ LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 class Node:
     """An open block element: parent, depth and inherited flags."""
 
-    __slots__ = ("tag", "parent", "depth", "flags", "last_block")
+    __slots__ = ("tag", "parent", "depth", "flags", "region", "last_block")
 
     def __init__(self, tag: str, parent: Node | None, flags: int):
         self.tag, self.parent, self.flags = tag, parent, flags
         self.depth = parent.depth + 1 if parent else 0
+        # The nearest element, itself included, that says something new about what it holds.
+        self.region = self if flags != (parent.flags if parent else 0) else parent.region if parent else None
         self.last_block = -1
 
 
@@ -184,25 +193,51 @@ def parse(page: str) -> list[Block]:
     return blocks
 
 
-FEATURES = 17
-#: Where learning starts, and what it is drawn to: log odds of content for each feature.
-PRIOR = np.array([-0.6, 3.0, -7.0, -5.0, -6.0, -7.0, -7.0, -7.0, -8.0, 1.5, -8.0, -3.0, 0.6, 0.6, 0.5, 0.8, -0.4])
-
-
-def features(block: Block) -> list[float]:
-    flags, text = block.node.flags, block.text
-    words = text.count(" ") + 1
-    tag = block.node.tag
-    return [
-        1.0,
-        *[float(bool(flags & f)) for f in (ARTICLE, NAV, HEADER, FOOTER, ASIDE, FORM, BOILER, COMMENTS, CONTENT, HIDDEN)],
-        min(1.0, block.link_chars / len(text)),
-        min(4.0, float(np.log1p(words))),
-        float(text[-1] in ".!?\"'…"),
-        float(tag in ("h1", "h2", "h3")),
-        float(tag in ("p", "blockquote", "pre", "td")),
-        float(tag == "li"),
-    ]
+#: Where learning starts, and what it is drawn to: log odds of content for each feature of ``features``.
+PRIOR = np.array([-0.6, -3.0, 0.6, 0.6, 0.5, 0.8, -0.4, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0])
+#: Log odds of content, a block, in an element with the mark; any mark of boilerplate outweighs those of content.
+CONTENT_ODDS = {ARTICLE: 7.0, CONTENT: 1.5}
+BOILER_ODDS = {NAV: -7.0, HEADER: -5.0, FOOTER: -6.0, ASIDE: -7.0, FORM: -7.0, BOILER: -7.0, COMMENTS: -8.0, HIDDEN: -8.0}
+
+
+def features(blocks: list[Block]) -> np.ndarray:
+    """A row per block of what its text and its place in the tree look like; nothing that names the block's kind."""
+    page = sum(len(b.text) for b in blocks)
+    holders: dict[int, list[int]] = {}
+    for b in blocks:
+        of = holders.setdefault(id(b.node.parent or b.node), [0, 0, 0])
+        of[0] += 1
+        of[1] += len(b.text)
+        of[2] += b.text.count(" ") + 1
+    rows = []
+    for i, b in enumerate(blocks):
+        text, tag = b.text, b.node.tag
+        words = text.count(" ") + 1
+        count, chars, held = holders[id(b.node.parent or b.node)]
+        place = (i + 0.5) / len(blocks)
+        rows.append([
+            1.0,
+            min(1.0, b.link_chars / len(text)),
+            min(6.0, float(np.log1p(words))),
+            float(text[-1] in ".!?\"'…"),
+            float(tag in ("h1", "h2", "h3")),
+            float(tag in ("p", "blockquote", "pre", "td")),
+            float(tag == "li"),
+            min(4.0, float(np.log1p(count))),
+            chars / page,
+            min(6.0, float(np.log1p(held / count))),
+            min(1.0, (text.count(".") + text.count(",")) / words),
+            min(b.node.depth, 12) / 12,
+            4 * place * (1 - place),
+        ])
+    return np.asarray(rows).reshape(len(blocks), len(PRIOR))
+
+
+def region_odds(flags: int) -> float:
+    """What an element says of itself by its marks, per block that it holds."""
+    if flags & NEGATIVE:
+        return max(-8.0, sum(w for f, w in BOILER_ODDS.items() if flags & f))
+    return min(8.0, sum(w for f, w in CONTENT_ODDS.items() if flags & f))
 
 
 def distance(a: Node, b: Node, most: int = 6) -> int:
@@ -231,96 +266,131 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     return [(i, j, w) for (i, j), w in out.items()]
 
 
+def graph(blocks: list[Block], weights: np.ndarray) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Terminal log odds and edges: the blocks of a page first, then the elements that say what they are."""
+    odds = np.clip(features(blocks) @ weights, -MAX_LOG_ODDS, MAX_LOG_ODDS).tolist()
+    edges = edges_of(blocks)
+    place: dict[int, int] = {}
+    for i, block in enumerate(blocks):
+        region = block.node.region
+        if region is None:
+            continue
+        j = place.setdefault(id(region), len(odds))
+        if j == len(odds):
+            odds.append(0.0)
+        odds[j] += region_odds(region.flags)
+        edges.append((i, j, TIE))
+    return odds, edges
+
+
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """True for blocks on the content side of a minimum cut; ties are boilerplate.
+    """True for nodes on the content side of a minimum cut; ties are boilerplate.
 
-    A block whose terminal outweighs all its undecided edges is decided at once and its
+    A node whose terminal outweighs all its undecided edges is decided at once and its
     edges move to the neighbours' terminals, which leaves the cut as it is. What
-    remains is solved by augmenting along shortest paths.
+    remains is solved by maximum flow: what the flow's sources still reach is content.
     """
     n = len(odds)
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for i, j, w in edges:
         near[i][j] = near[i].get(j, 0.0) + w
         near[j][i] = near[j].get(i, 0.0) + w
-    terminal = list(odds)
+    terminal, load = list(odds), [sum(e.values()) for e in near]
     label: list[bool | None] = [None] * n
     waiting = deque(range(n))
     while waiting:
         i = waiting.popleft()
-        if label[i] is not None or abs(terminal[i]) <= sum(near[i].values()) + 1e-12:
+        if label[i] is not None or abs(terminal[i]) <= load[i] + 1e-9:
             continue
         label[i] = terminal[i] > 0
         for j, w in near[i].items():
             del near[j][i]
+            load[j] -= w
             terminal[j] += w if label[i] else -w
             waiting.append(j)
         near[i] = {}
     left = [i for i in range(n) if label[i] is None]
-    if not left:
-        return [bool(x) for x in label]
-    supply = {i: max(0.0, terminal[i]) for i in left}
-    drain = {i: max(0.0, -terminal[i]) for i in left}
-    flow = {i: near[i] for i in left}  # residual capacities
+    reached = maximum_flow({i: max(0.0, terminal[i]) for i in left}, {i: max(0.0, -terminal[i]) for i in left}, near)
+    return [i in reached if x is None else bool(x) for i, x in enumerate(label)]
+
+
+def maximum_flow(supply: dict[int, float], drain: dict[int, float], flow: list[dict[int, float]]) -> dict[int, int]:
+    """Send all that can flow from the supplies to the drains; what is reached from supplies that still have some.
+
+    ``flow`` holds what each edge can still take and is changed. In each phase nodes get levels, their
+    distance from a supply, and paths go from level to level until none is left; an edge that has been
+    found useless is not looked at again in that phase.
+    """
+    least = 1e-12
     while True:
-        came: dict[int, int | None] = {i: None for i in left if supply[i] > 1e-12}
-        queue, found = deque(came), -1
+        level = {i: 0 for i, s in supply.items() if s > least}
+        queue, ends = deque(level), False
         while queue:
             i = queue.popleft()
-            if drain[i] > 1e-12:
-                found = i
-                break
+            ends = ends or drain[i] > least
             for j, w in flow[i].items():
-                if w > 1e-12 and j not in came:
-                    came[j] = i
+                if w > least and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if found < 0:
-            break
-        path = [found]
-        while came[path[-1]] is not None:
-            path.append(came[path[-1]])
-        path.reverse()
-        push = min([supply[path[0]], drain[path[-1]], *[flow[a][b] for a, b in zip(path, path[1:], strict=False)]])
-        supply[path[0]] -= push
-        drain[path[-1]] -= push
-        for a, b in zip(path, path[1:], strict=False):
-            flow[a][b] -= push
-            flow[b][a] += push
-    for i in left:
-        label[i] = i in came
-    return [bool(x) for x in label]
+        if not ends:
+            return level
+        onward = {i: iter([j for j, w in flow[i].items() if w > least and level[j] == level[i] + 1]) for i in level}
+        at: dict[int, int | None] = {i: next(onward[i], None) for i in level}
+        for source in [i for i, d in level.items() if d == 0]:
+            path = [source]
+            while path and supply[source] > least:
+                i = path[-1]
+                if drain[i] > least:
+                    steps = list(zip(path, path[1:], strict=False))
+                    push = min([supply[source], drain[i], *[flow[a][b] for a, b in steps]])
+                    supply[source] -= push
+                    drain[i] -= push
+                    full = len(path) - 1
+                    for k in range(len(steps) - 1, -1, -1):
+                        a, b = steps[k]
+                        flow[a][b] -= push
+                        flow[b][a] += push
+                        if flow[a][b] <= least:
+                            at[a] = next(onward[a], None)
+                            full = k
+                    del path[full + 1 :]
+                elif at[i] is not None:
+                    path.append(at[i])
+                else:
+                    path.pop()
+                    if path:
+                        at[path[-1]] = next(onward[path[-1]], None)
 
 
 def main_text(page: str, weights: np.ndarray) -> str:
     blocks = parse(page)
     if not blocks:
         return ""
-    odds = np.clip(np.asarray([features(b) for b in blocks]) @ weights, -MAX_LOG_ODDS, MAX_LOG_ODDS)
-    keep = minimum_cut(odds.tolist(), edges_of(blocks))
-    return " ".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    keep = minimum_cut(*graph(blocks, weights))
+    return " ".join(b.text for b, k in zip(blocks, keep, strict=False) if k)
+
+
+def learned_blocks(page: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and kind (1 content) of the blocks whose elements say what they are: inside an article and no mark of boilerplate, or the other way round."""
+    blocks = parse(page)
+    good, bad = [np.array([bool(b.node.flags & f) for b in blocks], dtype=bool) for f in (ARTICLE, NEGATIVE)]
+    return features(blocks)[good != bad], good[good != bad].astype(np.float64)
 
 
 def fit(pages: DataFrame, html: str = "html", page_id: str = "page_id") -> np.ndarray:
-    """Weights by logistic regression, drawn to PRIOR, on the blocks of a bounded sample that say what they are.
+    """Weights of the text features by logistic regression, drawn to PRIOR, on the blocks of a bounded sample that say what they are.
 
-    Blocks inside an article or main element and nothing that marks boilerplate count as content, blocks
-    under boilerplate marks and no article as boilerplate.
+    Sampled are SAMPLE_PAGES ids in hash order; a page counts with its first SAMPLE_PAGE_CHARS characters.
     """
-    small = pages.where((F.octet_length(html) <= SAMPLE_PAGE_BYTES) & F.col(page_id).isNotNull())
-    first = small.select(page_id).distinct().orderBy(F.xxhash64(page_id), page_id).limit(SAMPLE_PAGES)
+    known = pages.where((F.octet_length(html) > 0) & F.col(page_id).isNotNull())
+    first = known.select(page_id).distinct().orderBy(F.xxhash64(page_id), page_id).limit(SAMPLE_PAGES)
     # Of rows that repeat an id the least page, so that the bound holds for rows as well.
-    rows = small.join(F.broadcast(first), page_id).groupBy(page_id).agg(F.min(html)).collect()
-    x, y = [], []
-    for _, page in sorted(((r[0], r[1]) for r in rows)):
-        for b in parse(page):
-            good, bad = b.node.flags & ARTICLE, b.node.flags & NEGATIVE
-            if bool(good) != bool(bad):
-                x.append(features(b))
-                y.append(float(bool(good)))
+    rows = known.join(F.broadcast(first), page_id).groupBy(page_id).agg(F.min(F.substring(html, 1, SAMPLE_PAGE_CHARS))).collect()
+    seen = [learned_blocks(page) for _, page in sorted((r[0], r[1]) for r in rows)]
     w = PRIOR.copy()
-    if not x:
+    if not sum(len(y) for _, y in seen):
         return w
-    xs, ys, pull = np.asarray(x), np.asarray(y), 2.0
+    xs, ys, pull = np.concatenate([x for x, _ in seen]), np.concatenate([y for _, y in seen]), 2.0
     for _ in range(20):
         p = 1 / (1 + np.exp(-np.clip(xs @ w, -30, 30)))
         grad = xs.T @ (p - ys) + pull * (w - PRIOR)
