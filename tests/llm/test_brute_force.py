@@ -107,24 +107,75 @@ def test_quality_scores(spark):
     for value in (0, 1):
         wanted = [t.encode() for i, t in rows[:400] if i % 2 == value and zlib.crc32(str(i).encode()) % 4 != 2]
         assert sorted(zstd_quality.labelled_sample(docs, marked, usable, value)) == sorted(wanted)
-    params = zstandard.ZstdCompressionParameters.from_level(zstd_quality.LEVEL, source_size=zstd_quality.BLOCK, write_content_size=False, write_dict_id=False)
+    assert len(model["good"]) == len(model["bad"]) <= zstd_quality.DICTIONARY_BYTES
 
-    def size(text, dictionary):
-        total = 0
-        for begin in range(0, len(text), zstd_quality.BLOCK):
-            fresh = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), compression_params=params)
-            total += len(fresh.compress(text[begin : begin + zstd_quality.BLOCK]))
-        return total
+    def size(block, dictionary):
+        params = zstandard.ZstdCompressionParameters.from_level(
+            zstd_quality.LEVEL, source_size=zstd_quality.BLOCK, dict_size=len(dictionary), write_content_size=False, write_dict_id=False
+        )
+        known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(compression_params=params)
+        fresh = zstandard.ZstdCompressor(dict_data=known, compression_params=params)
+        return len(fresh.compress(block)) - len(zstandard.ZstdCompressor(dict_data=known, compression_params=params).compress(b""))
 
     found = {r["doc_id"]: r for r in zstd_quality.classify(docs, marked, usable).collect()}
     assert len(found) == len(rows)
     right = 0
     for i, text in rows[::7] + rows[-3:]:
         raw = (text or "").encode()
-        a, b = size(raw, model["good"]), size(raw, model["bad"])
-        ratio = np.log((min(a, b) + 16) / (len(raw) + 16))
-        odds = np.dot(model["weights"], [1, (b - a) / (a + b + 64), ratio, ratio * ratio])
-        assert found[i]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(odds, -30, 30))), abs=1e-3)
+        parts = [raw[at : at + zstd_quality.BLOCK] for at in range(0, len(raw), zstd_quality.BLOCK)]
+        sizes = [(size(p, model["good"]), size(p, model["bad"])) for p in parts]
+        difference = (sum((b - a) / (a + b + 64) for a, b in sizes) + 5 * model["centre"]) / (len(parts) + 5)
+        assert found[i]["size_difference"] == pytest.approx(difference, abs=1e-12)
+        odds = model["weights"][0] + model["weights"][1] * difference
+        assert found[i]["score"] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-9)
         assert found[i]["predicted"] == int(found[i]["score"] >= 0.7)
         right += i < 1000 and found[i]["predicted"] == i % 2
     assert right >= 0.95 * len(rows[::7]) - 3
+
+
+def test_dictionaries_take_pieces_in_turn(monkeypatch):
+    monkeypatch.setattr(zstd_quality, "PIECE", 3)
+    assert zstd_quality.build_dictionary([b"abcdefgh", b"xy", b"123456"], 100) == b"abcxy123def456gh"
+    assert zstd_quality.build_dictionary([b"abcdefgh", b"xy"], 4) == b"abcx" and zstd_quality.build_dictionary([], 4) == b""
+    good, bad = zstd_quality.build_dictionaries([b"a" * 50], [b"b" * 7, b"c" * 2])
+    assert len(good) == len(bad) == 9
+
+
+def test_logistic_is_least_and_weighs_rows():
+    x, y = np.array([-1.0, -0.4, 0.1, 0.3, 0.9, 0.2]), np.array([0.0, 0, 1, 0, 1, 1])
+    weight = np.array([1.0, 2, 1, 3, 1, 1])
+    fitted = zstd_quality.logistic(x, y, weight)
+
+    def loss(a, b):
+        z = a + b * x
+        return weight @ (np.logaddexp(0, z) - y * z) + 5e-4 * (a * a + b * b)
+
+    grid = [(fitted[0] + da, fitted[1] + db) for da in np.linspace(-2, 2, 41) for db in np.linspace(-2, 2, 41)]
+    assert loss(*fitted) <= min(loss(*g) for g in grid) + 1e-12
+    # A row of weight 2 is two rows.
+    twice = zstd_quality.logistic(np.repeat(x, weight.astype(int)), np.repeat(y, weight.astype(int)), np.ones(9))
+    assert np.allclose(fitted, twice)
+
+
+def test_quality_on_held_out_labels_whatever_the_sample_holds(spark, monkeypatch):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held = crc_mod(F.col("doc_id"), 4) == 2
+    tested = docs.join(labels.where(held).select("doc_id", "quality"), "doc_id")
+
+    def with_all_documents():
+        model = zstd_quality.fit(docs, labels, ~held)
+        intercept, slope = model["weights"]
+        score = 1 / (1 + F.exp(-(intercept + slope * zstd_quality.size_difference(F.col("text"), model))))
+        return [(r["quality"], int(r["score"] >= 0.7), r["score"]) for r in tested.select("quality", score.alias("score")).collect()]
+
+    full = with_all_documents()
+    good, bad = [r for r in full if r[0] == 1], [r for r in full if r[0] == 0]
+    print(len(good), sum(1 - p for _, p, _ in good), len(bad), sum(p for _, p, _ in bad))
+    assert sum(1 - p for _, p, _ in good) <= 0.02 * len(good) and sum(p for _, p, _ in bad) <= 0.1 * len(bad)
+    monkeypatch.setattr(zstd_quality, "SAMPLE_ROWS", 400)
+    capped = with_all_documents()
+    print(np.mean([s for _, _, s in full]), np.mean([s for _, _, s in capped]))
+    assert abs(np.mean([s for _, _, s in full]) - np.mean([s for _, _, s in capped])) < 0.01
