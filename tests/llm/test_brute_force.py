@@ -9,7 +9,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from tokenloom.llm import parse_language, pii_semicrf, zstd_quality
+from tokenloom.llm import context_tree, parse_language, pii_semicrf, zstd_quality
 from tokenloom.llm.common import crc_mod
 
 # --- the semi-Markov field: every segmentation written out ----------------------------------------------------------
@@ -179,3 +179,16 @@ def test_quality_on_held_out_labels_whatever_the_sample_holds(spark, monkeypatch
     capped = with_all_documents()
     print(np.mean([s for _, _, s in full]), np.mean([s for _, _, s in capped]))
     assert abs(np.mean([s for _, _, s in full]) - np.mean([s for _, _, s in capped])) < 0.01
+
+
+@pytest.mark.parametrize("steps", [2, 7, 1_024])
+def test_the_broadcast_bound_binds_for_counts_of_any_size(spark, steps):
+    rng = random.Random(4)
+    tables = [[rng.randint(200_000, 2**40) for _ in range(60)], [5] * 40 + [9] * 3, [300_000] * 20, []]
+    for counts in tables:
+        rows = spark.createDataFrame([(c,) for c in counts], "n long").repartition(2).cache()
+        for most in (0, 10, 45):
+            wanted = next(n for n in sorted({0, *counts, *[c + 1 for c in counts]}) if sum(c >= n for c in counts) <= most)
+            found = context_tree.least_count(rows, most, steps)
+            assert found == wanted and sum(c >= found for c in counts) <= most
+        rows.unpersist()

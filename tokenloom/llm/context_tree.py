@@ -128,15 +128,26 @@ def count_corpus(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
 
 
-def least_count(counts: DataFrame, most: int) -> int:
-    """The least n such that no more than ``most`` rows have a count of n or above."""
-    steps = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()  # 100,000 rows at most
-    total = 0
-    for r in sorted(steps, key=lambda r: -r["n"]):
-        total += r["rows"]
-        if total > most:
-            return int(r["n"]) + 1
-    return 0
+def least_count(counts: DataFrame, most: int, steps: int = 1_024) -> int:
+    """The least n such that no more than ``most`` rows have a count of n or above.
+
+    Rows are counted by ranges of n, then by narrower ranges inside the one where the sum passes ``most``;
+    each turn sends ``steps`` rows to the driver at most, whatever the counts are.
+    """
+    low, high, above = 0, (counts.agg(F.max("n")).first()[0] or 0) + 1, 0  # ``above`` rows, no more than ``most``, have ``high`` or more
+    while True:
+        width = -(-(high - low) // steps)
+        inside = counts.where((F.col("n") >= low) & (F.col("n") < high))
+        ranges = inside.groupBy(F.expr(f"(n - {low}L) div {width}L").alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()  # steps rows at most
+        for r in sorted(ranges, key=lambda r: -r["step"]):
+            if above + r["rows"] > most:
+                low, high = low + r["step"] * width, min(high, low + (r["step"] + 1) * width)
+                break
+            above += r["rows"]
+        else:
+            return low
+        if high - low == 1:
+            return high
 
 
 def log_gamma_half(n: np.ndarray) -> np.ndarray:
