@@ -245,3 +245,45 @@ def test_overlap_of_short_lists(spark):
     assert evaluate.list_overlap(hits, hits, 10).first().overlap == 1.0
     other = spark.createDataFrame([(2, 5)], "query_id long, doc_id long")
     assert {r.query_id: r.overlap for r in evaluate.list_overlap(hits, other, 10).collect()} == {1: 0.0, 2: 0.0}
+
+
+def test_best_scores_few_pairs(monkeypatch):
+    """Documents that single precision rules out are not scored in double precision; copies and near ties are ranked as by brute force."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(400, 24))
+    documents = search.unit_rows(np.vstack([base, base[:50], base[:50] + 1e-7, rng.normal(size=(7_500, 24))]))
+    queries, ids = search.unit_rows(base[:80]), rng.permutation(8_000).astype(np.int64)
+    scored = []
+
+    def counted(q, d, plain=search._scores):
+        scored.append(len(q) * len(d))
+        return plain(q, d)
+
+    monkeypatch.setattr(search, "_scores", counted)
+    best = search.Best(queries, 5)
+    for begin in range(0, len(ids), search.CHUNK_ROWS):
+        part = slice(begin, begin + search.CHUNK_ROWS)
+        best.add(ids[part], documents[part])
+    every = np.round(queries @ documents.T, search.SCORE_DIGITS) + 0.0
+    order = np.lexsort((np.broadcast_to(ids, every.shape), -every), axis=1)[:, :5]
+    assert (best.ids == ids[order]).all()
+    assert np.array_equal(best.scores, np.take_along_axis(every, order, axis=1))
+    assert sum(scored) < every.size / 4
+
+
+def test_blocks_work_documents_out_once(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK_BYTES", 400)
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    plain = spark.createDataFrame(rows, "doc_id bigint, embedding array<double>")
+    queries = plain.limit(40).withColumnRenamed("doc_id", "query_id")
+    found = search.nearest_k(queries, plain.mapInArrow(counting, plain.schema), 3)
+    assert {(r.query_id, r.doc_id, r.rank) for r in found.collect()} >= {(i, i, 1) for i in range(40)}
+    assert read.value == 60

@@ -1,8 +1,8 @@
 """Cosine scores and exact nearest neighbours.
 
 Vectors meet in blocks: a task holds a block of queries as one matrix and
-multiplies batches of documents with it. Nothing pairs single rows up, and for
-top-k only k candidates per query leave a task.
+multiplies batches of documents with it. For top-k, pairs that single precision
+rules out are scored no further, and only k candidates per query leave a task.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tokenloom.functions.vectors import as_matrix, cosine, unit_rows
 from tokenloom.operators.embed import vector_length
-from tokenloom.session import broadcast_if_small, materialize
+from tokenloom.session import broadcast_if_small, materialize, scratch_path
 
 #: Scores are compared at this precision, so that ties break by id on every run.
 SCORE_DIGITS = 6
@@ -27,7 +27,9 @@ SCORE_DIGITS = 6
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 #: Document rows multiplied at once.
 CHUNK_ROWS = 1_024
-QUERY_CHUNK = 4_096
+QUERY_CHUNK = 1_024
+#: Candidates per query from which all of a chunk's scores are worked out, and bytes of the vectors gathered at once below that.
+DENSE, PAIR_BYTES = 64, 8 << 20
 
 
 def _prepare(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -58,38 +60,88 @@ def _emit(names: list[str], query_ids: np.ndarray, doc_ids: np.ndarray, scores:
     return pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(doc_ids), pa.array(scores)], [*names, "score"])
 
 
-class _TopK:
-    """The best k documents of each query seen so far by one task."""
+class Best:
+    """The best ``k`` documents of each query seen so far by one task.
 
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> None:
-        self.query_ids, self.queries, self.k = query_ids, queries, k
-        self.ids = np.zeros((len(query_ids), 0), dtype=np.int64)
-        self.scores = np.zeros((len(query_ids), 0))
+    Single-precision scores sieve: only documents that could reach a query's k-th best
+    score, by more than the error of such a score, are scored in double precision.
+    ``least`` holds scores that a query's results are known to reach.
+    """
 
-    def add(self, doc_ids: np.ndarray, documents: np.ndarray) -> None:
-        by_id = np.argsort(doc_ids)
+    def __init__(self, queries: np.ndarray, k: int, least: np.ndarray | None = None) -> None:
+        self.queries, self.k = queries, k
+        self.fast = queries.astype(np.float32)
+        self.floor = np.full(len(queries), -np.inf) if least is None else least.copy()
+        self.ids = np.zeros((len(queries), 0), dtype=np.int64)
+        self.scores = np.zeros((len(queries), 0))
+        # Rounding of scores, and of sums of single-precision products of unit vectors.
+        self.slack = 2 * 10.0**-SCORE_DIGITS + (queries.shape[1] + 16) * 2.0**-23
+
+    def add(self, doc_ids: np.ndarray, documents: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Show unit vectors to the queries ``rows`` (ascending; all of them by default)."""
+        wider = min(self.k - self.ids.shape[1], len(doc_ids))
+        if wider > 0:
+            self.ids = np.pad(self.ids, ((0, 0), (0, wider)), constant_values=np.iinfo(np.int64).max)
+            self.scores = np.pad(self.scores, ((0, 0), (0, wider)), constant_values=-np.inf)
+        by_id = np.argsort(doc_ids, kind="stable")
         doc_ids, documents = doc_ids[by_id], documents[by_id]
-        width = min(self.k, self.ids.shape[1] + len(doc_ids))
-        best_ids = np.empty((len(self.query_ids), width), dtype=np.int64)
-        best_scores = np.empty((len(self.query_ids), width))
-        for begin in range(0, len(self.query_ids), QUERY_CHUNK):
-            rows = slice(begin, begin + QUERY_CHUNK)
-            new = _scores(self.queries[rows], documents)
-            # One integer orders by score, then by position, which is id order here.
-            key = np.rint(new * 10**SCORE_DIGITS).astype(np.int64) * -CHUNK_ROWS + np.arange(len(doc_ids))
-            if len(doc_ids) > self.k:
-                picked = np.argpartition(key, self.k - 1, axis=1)[:, : self.k]
+        fast = documents.astype(np.float32).T
+        for begin in range(0, len(self.queries) if rows is None else len(rows), QUERY_CHUNK):
+            if rows is None:
+                own = np.arange(begin, min(begin + QUERY_CHUNK, len(self.queries)))
+                near = self.fast[begin : begin + QUERY_CHUNK] @ fast
             else:
-                picked = np.broadcast_to(np.arange(len(doc_ids)), new.shape)
-            scores = np.hstack([self.scores[rows], np.take_along_axis(new, picked, axis=1)])
-            ids = np.hstack([self.ids[rows], doc_ids[picked]])
-            order = np.lexsort((ids, -scores), axis=1)[:, :width]
-            best_ids[rows] = np.take_along_axis(ids, order, axis=1)
-            best_scores[rows] = np.take_along_axis(scores, order, axis=1)
-        self.ids, self.scores = best_ids, best_scores
+                own = rows[begin : begin + QUERY_CHUNK]
+                near = self.fast[own] @ fast
+            asked = (self.floor[own] - self.slack).astype(np.float32)
+            hit = np.flatnonzero(near.max(axis=1) >= asked)
+            if not len(hit):
+                continue
+            own = own[hit]
+            i, j = np.divmod(np.flatnonzero(near[hit] >= asked[hit, None]), len(doc_ids))
+            if len(i) > DENSE * len(own):
+                i, j, scores = self._dense(own, documents)
+            else:
+                scores = self._sparse(own[i], j, documents)
+            self._keep(own, i, doc_ids[j], scores)
 
-    def rows(self, names: list[str]) -> pa.RecordBatch:
-        return _emit(names, np.repeat(self.query_ids, self.ids.shape[1]), self.ids.ravel(), self.scores.ravel())
+    def _dense(self, own: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best of all documents for each of a few queries: places of query and document, scores."""
+        new, n = _scores(self.queries[own], documents), len(documents)
+        if n > self.k:
+            # One integer orders by score, then by position, which is id order here.
+            key = np.rint(new * 10**SCORE_DIGITS).astype(np.int64) * -n + np.arange(n)
+            j = np.argpartition(key, self.k - 1, axis=1)[:, : self.k]
+        else:
+            j = np.broadcast_to(np.arange(n), new.shape)
+        return np.repeat(np.arange(len(own)), j.shape[1]), j.ravel(), np.take_along_axis(new, j, axis=1).ravel()
+
+    def _sparse(self, rows: np.ndarray, places: np.ndarray, documents: np.ndarray) -> np.ndarray:
+        """Scores of single pairs."""
+        scores = np.empty(len(rows))
+        step = max(1, PAIR_BYTES // (8 * documents.shape[1]))
+        for begin in range(0, len(rows), step):
+            part = slice(begin, begin + step)
+            scores[part] = np.einsum("ij,ij->i", self.queries[rows[part]], documents[places[part]])
+        return np.round(scores, SCORE_DIGITS) + 0.0
+
+    def _keep(self, own: np.ndarray, i: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merge candidates of the queries ``own[i]`` into what these have."""
+        width = self.ids.shape[1]
+        place = np.concatenate([np.repeat(np.arange(len(own)), width), i])
+        ids = np.concatenate([self.ids[own].ravel(), ids])
+        scores = np.concatenate([self.scores[own].ravel(), scores])
+        order = np.lexsort((ids, -scores, place))
+        place = place[order]
+        first = np.searchsorted(place, np.arange(len(own)))
+        order = order[np.arange(len(place)) - first[place] < width]
+        self.ids[own], self.scores[own] = ids[order].reshape(-1, width), scores[order].reshape(-1, width)
+        if width == self.k:
+            self.floor[own] = np.maximum(self.floor[own], self.scores[own, -1])
+
+    def rows(self, names: list[str], query_ids: np.ndarray) -> pa.RecordBatch:
+        known = self.scores > -np.inf
+        return _emit(names, np.repeat(query_ids, known.sum(axis=1)), self.ids[known], self.scores[known])
 
 
 def _score(documents: DataFrame, names: list[str], shared: Broadcast, k: int | None, min_score: float | None) -> DataFrame:
@@ -99,11 +151,10 @@ def _score(documents: DataFrame, names: list[str], shared: Broadcast, k: int | N
         query_ids, queries = shared.value
         chunks = (c for b in batches for c in _chunks(b.column("id").to_numpy(), b.column("vec")))
         if k is not None:
-            best = _TopK(query_ids, queries, k)
+            best = Best(queries, k)
             for doc_ids, vectors in chunks:
                 best.add(doc_ids, vectors)
-            if best.ids.shape[1]:
-                yield best.rows(names)
+            yield best.rows(names, query_ids)
             return
         for doc_ids, vectors in chunks:
             for begin in range(0, len(query_ids), QUERY_CHUNK):
@@ -118,17 +169,22 @@ def _pair_up(q_df: DataFrame, d_df: DataFrame, names: list[str], k: int | None,
     """Scores of each task's best ``k`` documents per query, or all of at least ``min_score``.
 
     The documents never move. Queries go to them in blocks of QUERY_BLOCK_BYTES, one
-    broadcast at a time; with several blocks each block's result is stored and its broadcast
-    dropped before the next.
+    broadcast at a time; with several blocks both sides are stored first, so that no block
+    works them out again, and each block's result is stored and its broadcast dropped before the next.
     """
     spark = q_df.sparkSession
     dim = q_df.agg(F.max(F.size("vec")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
     if not dim["rows"]:
         return spark.createDataFrame([], _score_schema(*names))
     n_blocks = max(1, -(-dim["rows"] * (dim["n"] * 8 + 8) // QUERY_BLOCK_BYTES))
+    if n_blocks > 1:
+        blocks = scratch_path(spark, "queries")
+        q_df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).write.partitionBy("block").parquet(blocks)
+        stored = spark.read.schema("id bigint, vec array<double>, block int").parquet(blocks)
+        d_df = materialize(d_df, "documents")
     parts = []
     for block in range(n_blocks):
-        own = q_df if n_blocks == 1 else q_df.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block)
+        own = q_df if n_blocks == 1 else stored.filter(F.col("block") == block).drop("block")
         table = own.toArrow().combine_chunks()  # about QUERY_BLOCK_BYTES
         if not table.num_rows:
             continue
