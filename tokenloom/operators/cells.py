@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.vectors import as_matrix, unit_rows
-from tokenloom.operators.search import QUERY_BLOCK_BYTES, SCORE_DIGITS, _prepare, _ranked, _score_schema, _scores
+from tokenloom.operators.search import QUERY_BLOCK_BYTES, SCORE_DIGITS, Best, _prepare, _ranked, _score_schema
 from tokenloom.session import scratch_path
 
 #: Rows the centres are fitted on, at most.
@@ -90,33 +90,13 @@ def _most(distance: np.ndarray, low: np.ndarray | float, high: np.ndarray | floa
     return 1 - gap * gap / 2
 
 
-class _Best:
-    """The best ``k`` documents of each query, from documents that not all queries look at."""
-
-    def __init__(self, queries: int, k: int) -> None:
-        self.k = k
-        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
-        self.scores = np.full((queries, k), -np.inf)
-
-    def add(self, rows: np.ndarray, doc_ids: np.ndarray, scores: np.ndarray) -> None:
-        ids = np.hstack([self.ids[rows], np.broadcast_to(doc_ids, scores.shape)])
-        scores = np.hstack([self.scores[rows], scores])
-        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
-        self.ids[rows] = np.take_along_axis(ids, order, axis=1)
-        self.scores[rows] = np.take_along_axis(scores, order, axis=1)
-
-    def found(self, query_ids: np.ndarray) -> list[np.ndarray]:
-        known = self.scores > -np.inf
-        return [np.repeat(query_ids, known.sum(axis=1)), self.ids[known], self.scores[known]]
-
-
 def _visit(cells: Cells, names: list[str], shared: Broadcast, k: int, wanted: np.ndarray) -> DataFrame:
     """Best ``k`` of the wanted cells' documents per query and task, and one row without a query: the number of scores worked out."""
     table = cells.table.filter(F.col("cell").isin([int(c) for c in np.flatnonzero(wanted)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries, distance, visits, least, blank = shared.value
-        best, floor, scored = _Best(len(query_ids), k), least.copy(), 0
+        best, scored = Best(queries, k, least), 0
         for batch in batches:
             cell = batch.column("cell").to_numpy()
             far, doc_ids = batch.column("distance").to_numpy(), batch.column("id").to_numpy()
@@ -125,15 +105,13 @@ def _visit(cells: Cells, names: list[str], shared: Broadcast, k: int, wanted: np
                 for at in range(begin, end, STRETCH):
                     stop = min(at + STRETCH, end)
                     c = int(cell[at])
-                    reached = _most(distance[:, c], far[at:stop].min(), far[at:stop].max()) >= floor - SLACK
+                    reached = _most(distance[:, c], far[at:stop].min(), far[at:stop].max()) >= best.floor - SLACK
                     rows = np.flatnonzero((reached | blank) & visits[:, c])
                     if len(rows):
                         scored += len(rows) * (stop - at)
-                        documents = unit_rows(as_matrix(batch.column("vec").slice(at, stop - at)))
-                        best.add(rows, doc_ids[at:stop], _scores(queries[rows], documents))
-                        floor[rows] = np.maximum(floor[rows], best.scores[rows, -1])
+                        best.add(doc_ids[at:stop], unit_rows(as_matrix(batch.column("vec").slice(at, stop - at))), rows)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([scored], pa.int64()), pa.array([None], pa.float64())], [*names, "score"])
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in best.found(query_ids)], [*names, "score"])
+        yield best.rows(names, query_ids)
 
     return table.mapInArrow(run, _score_schema(*names))
 
