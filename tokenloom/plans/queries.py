@@ -30,11 +30,13 @@ BATCH = 64
 STEP_RATE = 0.5
 MIN_SCORE = 0.25
 STREAM_FILES = 4
+#: Bytes of one file of a streamed table.
+STREAM_FILE_BYTES = 8 << 20
 DROPPED_PIECES = ("##a", "##e")
 
 _QUERIES: dict[str, Query] = {}
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
-_PATHS: dict[tuple[str, str, str], str] = {}
+_PATHS: dict[tuple[str, str, str], tuple[str, int]] = {}
 
 
 def query(fn: Query) -> Query:
@@ -686,13 +688,24 @@ def list_overlap_m4(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streaming
 
 
-def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of several files, one in each micro-batch."""
-    key = (spark.sparkContext.applicationId, sf_dir, f"{name}-files")
+def _stream_files(rows: DataFrame) -> int:
+    """Files per micro-batch: one for every STREAM_FILE_BYTES of the batch's share of a stored table."""
+    files = rows.select("_metadata.file_path", "_metadata.file_size").distinct()
+    n_bytes = files.agg(F.sum("file_size")).first()[0] or 0
+    return max(1, -(-n_bytes // (STREAM_FILES * STREAM_FILE_BYTES)))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str, one_file: bool = False) -> DataFrame:
+    """A table as a stream in STREAM_FILES micro-batches, each of so many files that all cores read it; or of one file each."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"{name}-files-{one_file}")
+    table = _table(spark, sf_dir, name)
     if key not in _PATHS:
-        _PATHS[key] = scratch_path(spark, f"{name}-files")
-        _table(spark, sf_dir, name).repartition(STREAM_FILES).write.parquet(_PATHS[key])
-    return streams.stream_shards(spark, _PATHS[key], _table(spark, sf_dir, name).schema, max_files=1)
+        per_batch = 1 if one_file else _stream_files(table)
+        path = scratch_path(spark, f"{name}-files")
+        table.repartition(STREAM_FILES * per_batch).write.parquet(path)
+        _PATHS[key] = path, per_batch
+    path, per_batch = _PATHS[key]
+    return streams.stream_shards(spark, path, table.schema, max_files=per_batch)
 
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -738,7 +751,8 @@ def stream_first_seen_within_x4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_shuffle_p10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through a shuffle buffer of a tenth of the table: every row once, in an order that mixes micro-batches."""
-    files = _streamed(spark, sf_dir, "documents").select("doc_id", "text", F.col("_metadata.file_path").alias("file"))
+    # A file stands for its micro-batch.
+    files = _streamed(spark, sf_dir, "documents", one_file=True).select("doc_id", "text", F.col("_metadata.file_path").alias("file"))
     room = max(1, _table(spark, sf_dir, "documents").count() // 10)
     out = streams.stream_buffer_shuffled(files, scratch_path(spark, "buffered"), "doc_id", room)
     rows = spark.read.schema("doc_id bigint, text string, file string, batch_id string").parquet(out)
