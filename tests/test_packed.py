@@ -2,13 +2,15 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tokenloom.operators import pieces
+from tokenloom.operators import embed, pieces
 from tokenloom.operators.packed import PIECE_BYTES, PackedPieces, split_words
 from tokenloom.session import materialize
+from tests.conftest import texts
 
 UNKNOWN = 999
 
@@ -64,3 +66,21 @@ def test_five_million_pieces_stay_on_the_map_only_route(spark):
     shared = pieces._SHARED[vocab]["mapped"].arrays
     held = sum(int(np.prod(a.shape)) * np.dtype(a.dtype).itemsize for a in shared)
     assert held <= size + 64 and PIECE_BYTES <= 22
+
+
+def test_encoding_takes_one_worker(spark, vocab):
+    """Words become vectors in one Python node, which gives the rows of the joins."""
+    table = spark.createDataFrame([(r.id, [float(r.id), 1.0]) for r in vocab.collect()], "id int, vec array<double>")
+    rows = texts(spark, "hello walking world", "", None, "zebra a1!", "walk " * 300)
+    found = embed.static_encode(rows, vocab, table, normalize=True, one_worker=True)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    joined = embed.static_encode(rows, vocab, table, normalize=True, strategy="join")
+    expected = {r.doc_id: r.embedding for r in joined.collect()}
+    for r in found.collect():
+        assert r.embedding == pytest.approx(expected[r.doc_id])
+
+
+def test_slices_of_rows():
+    lists = pa.array([[1, 2], [], [3, 4, 5, 6], [7], [8], []], pa.list_(pa.int32())).slice(1)
+    parts = list(pieces.row_slices(lists, 2))
+    assert [p.to_pylist() for p in parts] == [[[]], [[3, 4, 5, 6]], [[7], [8], []]]

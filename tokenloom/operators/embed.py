@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions.text import clean_cut
-from tokenloom.functions.vectors import as_lists, as_matrix, l2_normalize
+from tokenloom.functions.vectors import as_lists, as_matrix, l2_normalize, unit_rows
 from tokenloom.mapped import MappedArray, share
 from tokenloom.operators.corpus import limit_batches as first_batches
-from tokenloom.operators.pieces import CONTINUATION, encode_ids, split_distinct, truncate_pieces
+from tokenloom.operators.pieces import CONTINUATION, encode_ids, headed_words, id_lists, split_distinct, truncate_pieces
+from tokenloom.operators.pieces import _choose as _choose_pieces
 from tokenloom.session import MAX_BROADCAST_BYTES, python_workers, remove, scratch_path
 
 #: Copies of the weight table in the shuffled route; a hot id is spread over this many tasks.
@@ -28,6 +29,8 @@ SALTS = 32
 RANGE_BYTES, MAX_MAPPED_BYTES = 64 << 20, 64 << 30
 #: Bytes of table rows gathered at once inside a task, and of the sums it fills.
 GATHER_BYTES, SUM_BYTES = 8 << 20, 64 << 20
+#: Ids of a batch pooled at once inside a task.
+IDS_AT_ONCE = 1_000_000
 
 
 EmbedFn = Callable[[list[str]], np.ndarray]
@@ -140,11 +143,14 @@ def _mean_rows(ids: pa.Array, ranges: Sequence[tuple[np.ndarray, np.ndarray]], d
     offsets = ids.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
     flat = ids.flatten().to_numpy(zero_copy_only=False)
-    parts = []
+    parts, begin = [as_lists(np.zeros((0, dim)))], 0
     step = max(1, SUM_BYTES // (8 * dim))
-    for begin in range(0, max(1, len(ids)), step):
-        bounds = offsets[begin : begin + step + 1]
+    while begin < len(ids):
+        # A few rows at once, and of them no more than have IDS_AT_ONCE ids; a longer row stands alone.
+        stop = int(np.searchsorted(offsets, offsets[begin] + IDS_AT_ONCE, side="right")) - 1
+        bounds = offsets[begin : max(begin + 1, min(stop, begin + step)) + 1]
         rows = len(bounds) - 1
+        begin += rows
         sums, counts = np.zeros((rows, dim)), np.zeros(rows, dtype=np.int64)
         owner = np.repeat(np.arange(rows), np.diff(bounds))
         for keys, matrix in ranges:
@@ -268,6 +274,25 @@ def pool_ids(df: DataFrame, weights: DataFrame, id_col: str = "doc_id", strategy
     return df.join(means, id_col, "left").withColumn("embedding", F.coalesce("embedding", zero))
 
 
+def _encode_in_place(
+    df: DataFrame, of: Callable[[pa.Array], Iterator[pa.Array]], weights: DataFrame, table: tuple[str, int, int], max_len: int | None, text_col: str, normalize: bool
+) -> DataFrame:
+    """Words to vectors in one Python worker per task: no ids go back and forth."""
+    headed, words = headed_words(df, max_len, text_col)
+    strategy, dim, size = table
+    shared = shared_table(weights, strategy, dim, size)
+
+    def encode(batch: pa.Array) -> pa.Array:
+        ranges, parts = shared.open(), [as_lists(np.zeros((0, dim)))]
+        for ids in of(batch):
+            means = _mean_rows(ids, ranges, dim)
+            parts.append(as_lists(unit_rows(as_matrix(means))) if normalize else means)
+        return pa.concat_arrays(parts)
+
+    # Declared non-deterministic so that the planner never evaluates it twice.
+    return headed.withColumn("embedding", F.arrow_udf(encode, "array<double>").asNondeterministic()(words)).drop("__head")
+
+
 def static_encode(
     df: DataFrame,
     vocab: DataFrame,
@@ -277,12 +302,17 @@ def static_encode(
     id_col: str = "doc_id",
     strategy: str = "auto",
     normalize: bool = False,
+    one_worker: bool = False,
 ) -> DataFrame:
     """Add ``embedding``, the mean of the whole text's token vectors (repeats count).
 
     ``max_len`` cuts the text as training does; ``normalize`` gives vectors of length 1, as
-    the finished model does.
+    the finished model does. ``one_worker`` goes from words to vectors in one Python worker
+    per task, instead of one for each step, where no route is a join.
     """
+    route = _choose_pieces(vocab, strategy) if one_worker else "join"
+    if route != "join" and (table := _choose(weights, strategy))[0] != "join":
+        return _encode_in_place(df, id_lists(vocab, route, max_len), weights, table, max_len, text_col, normalize)
     encoded = encode_ids(df, vocab, max_len, text_col, id_col, strategy)
     pooled = pool_ids(encoded, weights, id_col, strategy).drop("ids")
     return pooled.withColumn("embedding", l2_normalize(F.col("embedding"))) if normalize else pooled

@@ -13,7 +13,7 @@ Three routes give the same answer:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from weakref import WeakKeyDictionary
 
@@ -37,6 +37,8 @@ MAX_WORD_CHARS = 100
 ROW_BYTES = 256
 #: Largest packed vocabulary that is put on every node's disk: some hundred million pieces.
 MAX_MAPPED_BYTES = 4 << 30
+#: Words of a batch encoded at once inside a task, whatever the length of its texts.
+WORDS_AT_ONCE = 500_000
 
 
 def _vocabulary_facts(vocab: DataFrame) -> tuple[int, int]:
@@ -164,41 +166,69 @@ def split_distinct(words: DataFrame, vocab: DataFrame, carry: Sequence[str] = ()
     return words.select(*carry, "word", _lookup(F.array("word"), vocab, 0, strategy).alias("ids"))
 
 
+def row_slices(lists: pa.Array, most: int) -> Iterator[pa.Array]:
+    """The rows of a list array in slices of at most ``most`` elements; a longer list stands alone."""
+    ends, begin = lists.offsets.to_numpy().astype(np.int64), 0
+    while begin < len(lists):
+        stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, side="right")) - 1)
+        yield lists.slice(begin, stop - begin)
+        begin = stop
+
+
+def _per_word(batch: pa.Array, packed: PackedPieces, unknown: int, part: int) -> tuple[pa.Array, np.ndarray]:
+    """One list per word, of ids (part 0) or piece lengths (part 1), and where each row's words begin."""
+    coded = batch.flatten().dictionary_encode(null_encoding="encode")
+    *values, bounds = split_words(coded.dictionary, packed, unknown, CONTINUATION, MAX_WORD_CHARS)
+    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values[part]))
+    offsets = batch.offsets.to_numpy()
+    return lists.take(coded.indices), offsets - offsets[0]
+
+
+def id_lists(vocab: DataFrame, strategy: str, max_len: int | None = None) -> Callable[[pa.Array], Iterator[pa.Array]]:
+    """What turns rows of words into rows of at most ``max_len`` ids, WORDS_AT_ONCE words at a time, by the vocabulary on every executor."""
+    unknown, _ = _vocabulary_facts(vocab)
+    shared = shared_pieces(vocab, strategy)
+
+    def ids(batch: pa.Array) -> Iterator[pa.Array]:
+        packed = shared.open()
+        for part in row_slices(batch, WORDS_AT_ONCE):
+            lists, rows_at = _per_word(part, packed, unknown, 0)
+            starts = lists.offsets.to_numpy()[rows_at]
+            sizes = np.diff(starts)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            if max_len is not None:
+                place = np.arange(len(flat)) - np.repeat(starts[:-1], sizes)
+                flat, sizes = flat[place < max_len], np.minimum(sizes, max_len)
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, type=pa.int32()))
+
+    return ids
+
+
 def _lookup(words: Column, vocab: DataFrame, part: int, strategy: str, max_len: int | None = None) -> Column:
     """Pieces of a row's words, from the vocabulary on every executor.
 
     Part 0 gives one list of at most ``max_len`` ids per row; part 1 one list of
     piece lengths per word.
     """
+    # Declared non-deterministic so that the planner never evaluates it twice.
+    if part == 0:
+        of = id_lists(vocab, strategy, max_len)
+
+        def ids(batch: pa.Array) -> pa.Array:
+            return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *of(batch)])
+
+        return F.arrow_udf(ids, "array<int>").asNondeterministic()(words)
     unknown, _ = _vocabulary_facts(vocab)
     shared = shared_pieces(vocab, strategy)
 
-    def per_word(batch: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """One list per word, and where each row's words begin."""
-        coded = batch.flatten().dictionary_encode(null_encoding="encode")
-        *values, bounds = split_words(coded.dictionary, shared.open(), unknown, CONTINUATION, MAX_WORD_CHARS)
-        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values[part]))
-        offsets = batch.offsets.to_numpy()
-        return lists.take(coded.indices), offsets - offsets[0]
-
-    def ids(batch: pa.Array) -> pa.Array:
-        lists, rows_at = per_word(batch)
-        starts = lists.offsets.to_numpy()[rows_at]
-        sizes = np.diff(starts)
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        place = np.arange(len(flat)) - np.repeat(starts[:-1], sizes)
-        if max_len is not None:
-            flat, sizes = flat[place < max_len], np.minimum(sizes, max_len)
-        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, type=pa.int32()))
-
     def lengths(batch: pa.Array) -> pa.Array:
-        lists, rows_at = per_word(batch)
-        return pa.ListArray.from_arrays(pa.array(rows_at), lists)
+        packed, parts = shared.open(), [pa.array([], pa.list_(pa.list_(pa.int32())))]
+        for rows in row_slices(batch, WORDS_AT_ONCE):
+            lists, rows_at = _per_word(rows, packed, unknown, 1)
+            parts.append(pa.ListArray.from_arrays(pa.array(rows_at), lists))
+        return pa.concat_arrays(parts)
 
-    # Declared non-deterministic so that the planner never evaluates it twice.
-    if part == 0:
-        return F.arrow_udf(ids, "array<int>").asNondeterministic()(words)
     return F.arrow_udf(lengths, "array<array<int>>").asNondeterministic()(words)
 
 
@@ -236,6 +266,13 @@ def _head(text: Column, n: int) -> Column:
     return F.when(F.length(text) > 8 * n, truncate_words(text, n)).otherwise(F.coalesce(text, F.lit("")))
 
 
+def headed_words(df: DataFrame, max_len: int | None, text_col: str) -> tuple[DataFrame, Column]:
+    """``df`` with ``__head``, the text that is looked at, and the words of it."""
+    if max_len is None:
+        return df.withColumn("__head", F.coalesce(F.col(text_col), F.lit(""))), pretokenize(F.col("__head"))
+    return df.withColumn("__head", _head(F.col(text_col), max_len)), F.slice(pretokenize(F.col("__head")), 1, max_len)
+
+
 def encode_ids(
     df: DataFrame,
     vocab: DataFrame,
@@ -248,12 +285,7 @@ def encode_ids(
 
     Every word gives at least one id, so words past ``max_len`` are never looked at.
     """
-    if max_len is None:
-        headed = df.withColumn("__head", F.coalesce(F.col(text_col), F.lit("")))
-        words = pretokenize(F.col("__head"))
-    else:
-        headed = df.withColumn("__head", _head(F.col(text_col), max_len))
-        words = F.slice(pretokenize(F.col("__head")), 1, max_len)
+    headed, words = headed_words(df, max_len, text_col)
     strategy = _choose(vocab, strategy)
     if strategy != "join":
         return headed.withColumn("ids", _lookup(words, vocab, 0, strategy, max_len)).drop("__head")

@@ -442,7 +442,7 @@ def embed_corpus_e3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.static_encode(_documents(spark, sf_dir), piece_table(spark, sf_dir), weight_table(spark, sf_dir)).drop("text")
+    return embed.static_encode(_documents(spark, sf_dir), piece_table(spark, sf_dir), weight_table(spark, sf_dir), one_worker=True).drop("text")
 
 
 @query
@@ -455,7 +455,7 @@ def exported_encode_e4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The finished model: mean over the whole text, then length 1; over the short conversation turns."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.concat_ws("-", "conv_id", "turn").alias("key"))
     rows = embed.static_encode(
-        turns, piece_table(spark, sf_dir), weight_table(spark, sf_dir), id_col="key", normalize=True
+        turns, piece_table(spark, sf_dir), weight_table(spark, sf_dir), id_col="key", normalize=True, one_worker=True
     )
     return _long(rows, ["conv_id", "turn"])
 
@@ -516,7 +516,7 @@ def route_encode_e8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     def student(rows: DataFrame) -> DataFrame:
-        return embed.static_encode(rows, piece_table(spark, sf_dir), weight_table(spark, sf_dir), id_col="key")
+        return embed.static_encode(rows, piece_table(spark, sf_dir), weight_table(spark, sf_dir), id_col="key", one_worker=True)
 
     def teacher(rows: DataFrame) -> DataFrame:
         return _teacher_of(spark, sf_dir, rows, "conv_id")
@@ -721,7 +721,7 @@ def stream_token_counts_x1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_encode_x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "encoded")
     known, weights = piece_table(spark, sf_dir), weight_table(spark, sf_dir)
-    streams.stream_encode(_document_stream(spark, sf_dir), known, weights, out).awaitTermination()
+    streams.stream_encode(_document_stream(spark, sf_dir), known, weights, out, one_worker=True).awaitTermination()
     rows = spark.read.schema("doc_id bigint, embedding array<double>").parquet(out)
     return _long(rows, ["doc_id"])
 
@@ -769,7 +769,7 @@ def nearest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     known, weights = piece_table(spark, sf_dir), weight_table(spark, sf_dir)
     turns = _table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     asked = materialize(turns.groupBy("text").agg(F.min(F.struct("conv_id", "turn")).alias("first")).withColumn("query_id", F.monotonically_increasing_id()), "asked")
-    queries = embed.static_encode(asked, known, weights, id_col="query_id")
+    queries = embed.static_encode(asked, known, weights, id_col="query_id", one_worker=True)
     found = search.nearest_k(queries, _encoded(spark, sf_dir), 10)
     named = found.join(asked.select("query_id", "first.conv_id", "first.turn"), "query_id")
     return named.select("conv_id", "turn", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
@@ -785,7 +785,7 @@ def _routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = turns.filter(F.col("role") == "user").unionByName(documents, allowMissingColumns=True)
 
     def student(part: DataFrame) -> DataFrame:
-        return embed.static_encode(part, piece_table(spark, sf_dir), weight_table(spark, sf_dir), id_col="key", normalize=True)
+        return embed.static_encode(part, piece_table(spark, sf_dir), weight_table(spark, sf_dir), id_col="key", normalize=True, one_worker=True)
 
     encoded = embed.route_encode(rows, "role", "user", student, lambda part: _teacher_of(spark, sf_dir, part, "key"))
     queries = encoded.filter(F.col("role") == "user").withColumnRenamed("key", "query_id")
