@@ -1,10 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -641,3 +643,41 @@ def test_arc_header_lines():
     for date, full in (("1996", "1996-01-01T00:00:00Z"), ("199607", "1996-07-01T00:00:00Z"), ("19960708091011", "1996-07-08T09:10:11Z")):
         (r,) = arc_warc.read_arc(b"http://x/ 1.2.3.4 %s text/html 2\nab\n" % date.encode())
         assert r.warc_date == full
+
+
+def test_jaccard_family_of_texts_that_share_seven_tenths(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for i in range(30):  # each has words of its own in 14 places, which break 70 of some 400 n-grams
+        own = list(base)
+        for k in range(14):
+            own[20 + 26 * k + rng.randrange(20)] = f"own{i}x{k}"
+        texts.append(" ".join(own))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    looked_at, verify = [], jaccard_join.verify
+
+    def counted(pairs, *rest):
+        looked_at.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "verify", counted)
+    found = jaccard_join.jaccard_groups(frame, width=5, share=80).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in found)
+    assert sum(looked_at) < 30  # of 435 pairs
+
+
+def test_bitmaps_of_different_widths(spark):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (300, 300, 280, 2000)]
+    frame = []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            maps = [jaccard_join.bitmaps(s, np.zeros(len(s), dtype=np.int64), 1, w).ravel() for s, w in ((a, (4, 16, 8, 64)[i]), (b, (4, 16, 8, 64)[j]))]
+            least = min(len(m) for m in maps)
+            own = [jaccard_join.bitmaps(s, np.zeros(len(s), dtype=np.int64), 1, least).ravel() for s in (a, b)]
+            apart = int(np.unpackbits((own[0] ^ own[1]).view(np.uint8)).sum())
+            assert apart <= len(np.setxor1d(a, b))
+            frame.append(([int(v) for v in maps[0]], [int(v) for v in maps[1]], apart))
+    rows = spark.createDataFrame(frame, "x array<long>, y array<long>, apart int")
+    assert rows.where(jaccard_join.bits_apart("x", "y") != rows["apart"]).count() == 0

@@ -12,7 +12,8 @@ first of one leader per bucket, then of ever
 more leaders, and a pair is left out when earlier links have already put both
 into one group. The last round joins every pair that could still connect two
 groups, so the groups are exactly those of all links. A parity bitmap of each set
-stands beside its prefix, so that most false candidates never leave the join.
+stands beside its prefix, so that most false candidates never leave the join; in the
+larger buckets its width is in proportion to the set.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ SUFFIX_DEPTH = 2
 CLASS_BYTES = 64
 #: Words of the parity bitmap that bounds how much two sets can share.
 BITMAP = 4
+#: In the larger buckets a set has so many bits per n-gram, in a power of two of words, and this many words at most.
+WIDE_BITS, WIDE_WORDS = 4, 64
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -133,12 +136,13 @@ def frequency_sketch(texts: DataFrame, width: int, counters: int = COUNTERS) ->
     return out
 
 
-def bitmaps(values: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
-    """Per set 64 * BITMAP bits, each the parity of the n-grams that hash there.
+def bitmaps(values: np.ndarray, owner: np.ndarray, texts: int, words: int = BITMAP) -> np.ndarray:
+    """Per set 64 * ``words`` bits, each the parity of the n-grams that hash there.
 
-    Two bitmaps differ in no more bits than their sets differ in n-grams.
+    Two bitmaps differ in no more bits than their sets differ in n-grams. With half as many words
+    (a power of two) a bitmap is the exclusive or of its halves.
     """
-    width = 64 * BITMAP
+    width = 64 * words
     place = (mix64(values ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(width - 1)).astype(np.int64)
     parity = np.bincount(owner * width + place, minlength=texts * width) & 1
     return np.packbits(parity.astype(np.uint8).reshape(texts, width), axis=1).view(np.int64)
@@ -175,6 +179,25 @@ def set_column(text: Column, width: int, levels: Broadcast | None = None, share:
     return made.asNondeterministic()(text)
 
 
+def wide_bits(text: Column, width: int) -> Column:
+    """A bitmap in proportion to the text's set: sets of hundreds of n-grams that share seven tenths of them fill a narrow one up."""
+
+    @F.arrow_udf("array<bigint>")
+    def made(column: pa.Array) -> pa.Array:
+        out: list[np.ndarray] = []
+        for a, b in slices(column):
+            values, at = shingle_sets(column.slice(a, b - a), width)
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                words = BITMAP
+                while words < WIDE_WORDS and 64 * words < WIDE_BITS * (j - i):
+                    words *= 2
+                out.append(bitmaps(values[i:j], np.zeros(j - i, dtype=np.int64), 1, words).ravel())
+        ends = np.cumsum([0, *[len(o) for o in out]]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *out])))
+
+    return made.asNondeterministic()(text)
+
+
 def rare_first(values: np.ndarray, owner: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The order of n-grams within their sets: rare first by the sketch, then by hash."""
     return np.lexsort((values, levels[(values & np.uint64(len(levels) - 1)).astype(np.int64)], owner))
@@ -321,6 +344,9 @@ def class_groups(classes: DataFrame, docs: DataFrame, text: str, width: int, sha
     members = rows.select("rep").unionByName(pairs.select(F.col("a").alias("rep"))).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     wanted = scratch.put(classes.select("high", "low", "rep").join(members, "rep"), "members")
     texts, table, place = bucketed(class_texts(docs, text, width, wanted), "rep", "texts")
+    # Members of one family of texts meet in many buckets and pass a narrow bitmap: here it is worth a wide one.
+    narrow, rows = rows, scratch.put(rows.drop("bits").join(texts.select("rep", wide_bits(F.col("text"), width).alias("bits")), "rep"), "prefixes")
+    scratch.drop(narrow)
     labels = scratch.put(wanted.select("rep", F.col("rep").alias("group")), "groups")
     try:
         if not pairs.isEmpty():
@@ -404,8 +430,22 @@ def may_link(share: int = SHARE) -> Column:
     need = F.expr(f"({share} * (cast(n as bigint) + l_n) + {OF + share - 1}) div {OF + share}")
     # At this shared n-gram: what both may share before it, itself, and what either has behind it.
     most = F.least("pos", "l_pos") + F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos"))
-    apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("l_bits", F.lit(i)))) for i in range(BITMAP)), F.lit(0))
-    return (F.col("group") != F.col("l_group")) & long_enough & (most >= need) & (n + m - apart >= 2 * need)
+    return (F.col("group") != F.col("l_group")) & long_enough & (most >= need) & (n + m - bits_apart("bits", "l_bits") >= 2 * need)
+
+
+def bits_apart(a: str, b: str) -> Column:
+    """In how many bits two bitmaps differ; the wider one is folded to the other's words."""
+
+    def folded(bits: str, other: str) -> Column:
+        words = F.size(other)
+        parity = F.transform(
+            F.sequence(F.lit(0), words - 1),
+            lambda i: F.aggregate(F.sequence(i, F.size(bits) - 1, words), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(bits, j))),
+        )
+        return F.when(F.size(bits) <= words, F.col(bits)).otherwise(parity)
+
+    both = F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(both, F.lit(0), lambda total, x: total + x)
 
 
 def jaccard_groups(
