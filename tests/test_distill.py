@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 
 from tokenloom.operators import distill, embed
 
@@ -211,3 +212,30 @@ def test_a_broken_off_fit_goes_on(spark, tmp_path):
     with pytest.raises(ValueError, match="other settings"):
         distill.fit_weights(tokens, teacher, weights, distill.FitSettings(steps=5, parts=3), folder=broken)
     assert distill.fit_history(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_step_in_one_worker_equals_the_step_by_columns(spark, monkeypatch):
+    """Ids that repeat, ids without a vector, a row without ids; by counts and by gathering."""
+    rng = np.random.default_rng(11)
+    ids = [rng.integers(0, 12, size=rng.integers(1, 60)).tolist() for _ in range(40)] + [[]]
+    table, teacher = rng.normal(size=(9, 20)), rng.normal(size=(41, 24))
+    rows = spark.createDataFrame([(i, ids[i], teacher[i].tolist()) for i in range(41)], "doc_id bigint, ids array<int>, teacher array<double>")
+    weights = spark.createDataFrame([(2 * i, r.tolist()) for i, r in enumerate(table)], "id int, vec array<double>")
+    found = []
+
+    def refused(*a):
+        raise AssertionError("the ids left the JVM a second time")
+
+    for cells, held in ((16, 128 << 20), (0, 128 << 20), (16, 0)):
+        monkeypatch.setattr(embed, "CELLS_AN_ID", cells)
+        monkeypatch.setattr(distill, "MAX_HELD_BYTES", held)
+        with monkeypatch.context() as m:
+            if held:
+                m.setattr(distill, "_token_sums", refused)
+            seen = Observation()
+            moved = distill.gradient_step(rows, weights, 1.0, len(ids), dims=[16, 20], seen=seen)
+            found.append(({r.id: np.array(r.vec) for r in moved.collect()}, seen.get["loss"]))
+    for other, loss in found[:2]:
+        assert loss == pytest.approx(found[2][1]) and set(other) == set(found[2][0])
+        for key, value in found[2][0].items():
+            np.testing.assert_allclose(other[key], value, atol=1e-9)

@@ -15,8 +15,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.functions.vectors import as_lists, as_matrix, cosine, slice_dims, unit_rows
-from tokenloom.operators.embed import pool_ids, release_table, vector_length
+from tokenloom.functions.vectors import COSINE_FLOOR, as_lists, as_matrix, cosine, slice_dims, unit_rows
+from tokenloom.operators.embed import _choose, _mean_rows, counted_blocks, pool_ids, release_table, shared_table, vector_length
+from tokenloom.operators.pieces import row_slices
 from tokenloom.session import broadcast_if_small, materialize, read_text, remove, replace_text, scratch_path
 
 # Loss names and the temperature of the contrastive loss.
@@ -28,6 +29,8 @@ BLOCK_ROWS = 4_096
 FIT_MANIFEST = "steps.json"
 #: Bytes of gradient sums a task holds before it passes them on.
 MAX_HELD_BYTES = 128 << 20
+#: Ids of rows whose gradients a task works out at once.
+IDS_OF_A_STEP = 250_000
 
 
 def select_loss(name: str) -> str:
@@ -375,6 +378,64 @@ def _token_sums(rows: DataFrame) -> DataFrame:
     return partial.groupBy("id").agg(vector_to_array(total).alias("step"))
 
 
+def _step_in_place(rows: DataFrame, weights: DataFrame, dims: Sequence[int], table: tuple[str, int, int], seen: Observation | None) -> DataFrame:
+    """``id, step`` of the cosine loss from ``rows(ids, __teacher)``: means, gradients and their sums in one Python worker per task.
+
+    For tables whose gradient sums a task can hold. What a row's ids count is worked out as a matrix of counts
+    where the vocabulary is small beside the texts; the ids leave the JVM once.
+    """
+    strategy, dim, size = table
+    shared = shared_table(weights, strategy, dim, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ((keys, matrix),) = shared.open()
+        sums, met = np.zeros((len(keys), dim)), np.zeros(len(keys), dtype=bool)
+        loss, n = 0.0, 0
+        for batch in batches:
+            done = 0
+            for ids in row_slices(batch.column("ids"), IDS_OF_A_STEP):
+                m = as_matrix(_mean_rows(ids, [(keys, matrix)], dim))
+                t = as_matrix(batch.column("__teacher").slice(done, len(ids)))
+                done += len(ids)
+                d = min(dim, t.shape[1])
+                norms = np.linalg.norm(m[:, :d], axis=1) * np.linalg.norm(t[:, :d], axis=1)
+                loss += float((1 - np.einsum("ij,ij->i", m[:, :d], t[:, :d]) / np.maximum(norms, COSINE_FLOOR)).sum())
+                n += len(ids)
+                grad = np.zeros_like(m)
+                for d in dims:
+                    grad[:, :d] -= _projected(m[:, :d], unit_rows(t[:, :d]))
+                sizes = np.diff(ids.offsets.to_numpy())
+                grad /= np.maximum(sizes, 1)[:, None]
+                flat = ids.flatten().to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+                known = keys[at] == flat
+                at, owner = at[known], np.repeat(np.arange(len(ids)), sizes)[known]
+                met[at] = True
+                blocks = counted_blocks(at, owner, len(ids), len(keys))
+                if blocks is not None:
+                    for begin, end, used, times in blocks:
+                        sums[used] += times.T @ grad[begin:end]
+                    continue
+                order = np.argsort(at, kind="stable")
+                for part in np.array_split(order, max(1, len(order) // 50_000)):
+                    if len(part):
+                        tokens, first = np.unique(at[part], return_index=True)
+                        sums[tokens] += np.add.reduceat(grad[owner[part]], first, axis=0)
+        if n:  # a row without an id has the loss of the task
+            found = np.flatnonzero(met)
+            steps = pa.concat_arrays([as_lists(sums[found]), pa.array([None], pa.list_(pa.float64()))])
+            names = ["id", "step", "loss", "n"]
+            none = [None] * len(found)
+            columns = [pa.array([*keys[found].tolist(), None], pa.int64()), steps, pa.array([*none, loss], pa.float64()), pa.array([*none, n], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    partial = rows.select("ids", "__teacher").mapInArrow(run, "id bigint, step array<double>, loss double, n bigint")
+    if seen is not None:
+        partial = partial.observe(seen, (F.sum("loss") / F.sum("n")).alias("loss"))
+    partial = partial.filter("id is not null")
+    return partial.groupBy("id").agg(vector_to_array(Summarizer.sum(array_to_vector("step"))).alias("step"))
+
+
 def gradient_step(
     rows: DataFrame,
     weights: DataFrame,
@@ -391,15 +452,19 @@ def gradient_step(
     ``seen`` observes ``loss``, the mean cosine loss of the rows under the table as it was.
     """
     dims = list(dims) if dims else [vector_length(weights, "vec")]
-    pooled = pool_ids(rows.withColumnRenamed("teacher", "__teacher"), weights, id_col)
-    if seen is not None:
-        measured = pooled.withColumn("__loss", 1 - cosine(F.col("embedding"), F.col("__teacher")))
-        pooled = measured.observe(seen, F.avg("__loss").alias("loss")).drop("__loss")
-    if select_loss(loss) == "cosine":
-        graded = pooled.withColumn("__grad", cosine_gradient(F.col("embedding"), F.col("__teacher"), dims))
+    rows, table = rows.withColumnRenamed("teacher", "__teacher"), _choose(weights, "auto")
+    if select_loss(loss) == "cosine" and table[0] == "lookup" and weights.count() * table[1] * 8 <= MAX_HELD_BYTES:
+        steps = _step_in_place(rows, weights, dims, table, seen)
     else:
-        graded = pooled.join(_contrastive_gradient(pooled, dims, id_col, tau), id_col)
-    steps = _token_sums(graded)
+        pooled = pool_ids(rows, weights, id_col)
+        if seen is not None:
+            measured = pooled.withColumn("__loss", 1 - cosine(F.col("embedding"), F.col("__teacher")))
+            pooled = measured.observe(seen, F.avg("__loss").alias("loss")).drop("__loss")
+        if loss == "cosine":
+            graded = pooled.withColumn("__grad", cosine_gradient(F.col("embedding"), F.col("__teacher"), dims))
+        else:
+            graded = pooled.join(_contrastive_gradient(pooled, dims, id_col, tau), id_col)
+        steps = _token_sums(graded)
     moved = F.zip_with(
         F.col("vec"), F.col("step"), lambda w, g: w.cast("double") - F.lit(lr / n_rows) * g
     )
@@ -498,6 +563,11 @@ def fit_weights(
     return table
 
 
+def fit_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of a run that keeps its state in ``folder``, ids beside the teacher's vector: a measure that reads them joins nothing."""
+    return spark.read.parquet(f"{folder}/rows")
+
+
 def fit_history(spark: SparkSession, folder: str) -> DataFrame:
     """``step, rate, loss, measures`` of the finished steps of a run that keeps its state in ``folder``."""
     state = read_text(spark, f"{folder}/{FIT_MANIFEST}")

@@ -31,6 +31,8 @@ RANGE_BYTES, MAX_MAPPED_BYTES = 64 << 20, 64 << 30
 GATHER_BYTES, SUM_BYTES = 8 << 20, 64 << 20
 #: Ids of a batch pooled at once inside a task.
 IDS_AT_ONCE = 1_000_000
+#: Cells of a matrix of counts (rows by table rows in use), and how many cells an id may cost before gathering its row is cheaper.
+COUNT_CELLS, CELLS_AN_ID = 2_000_000, 16
 
 
 EmbedFn = Callable[[list[str]], np.ndarray]
@@ -123,6 +125,28 @@ def init_from_teacher(
     return rows.select("id", F.col("embedding").alias("vec"))
 
 
+def counted_blocks(at: np.ndarray, owner: np.ndarray, rows: int, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]] | None:
+    """The ids of ``rows`` rows as matrices of counts: (first row, row behind the last, table rows in use, counts of them by row).
+
+    ``at`` are places in a table of ``size`` rows, ``owner`` their rows, ascending. ``None`` where few of the cells would be filled.
+    """
+    used = np.flatnonzero(np.bincount(at, minlength=size)) if size <= COUNT_CELLS else np.unique(at)
+    if not len(used) or rows * len(used) > CELLS_AN_ID * len(at):
+        return None
+    code = np.searchsorted(used, at)
+    step = max(1, COUNT_CELLS // len(used))
+
+    def blocks() -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for begin in range(0, rows, step):
+            end = min(rows, begin + step)
+            i, j = np.searchsorted(owner, [begin, end])
+            cells = (owner[i:j] - begin) * len(used) + code[i:j]
+            counts = np.bincount(cells, minlength=(end - begin) * len(used)).reshape(end - begin, len(used))
+            yield begin, end, used, counts.astype(np.float64)
+
+    return blocks()
+
+
 def _add_rows(sums: np.ndarray, counts: np.ndarray, flat: np.ndarray, owner: np.ndarray, keys: np.ndarray, matrix: np.ndarray) -> None:
     """Add the table rows of the ids ``flat`` to the sums of their owners (ascending); ids without a row do not count."""
     if not len(keys) or not len(flat):
@@ -130,6 +154,12 @@ def _add_rows(sums: np.ndarray, counts: np.ndarray, flat: np.ndarray, owner: np.
     at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
     known = keys[at] == flat
     at, owner = at[known], owner[known]
+    blocks = counted_blocks(at, owner, len(sums), len(keys))
+    if blocks is not None:
+        for begin, end, used, times in blocks:
+            sums[begin:end] += times @ matrix[used].astype(np.float64)
+            counts[begin:end] += times.sum(axis=1).astype(np.int64)
+        return
     step = max(1, GATHER_BYTES // (8 * sums.shape[1]))
     for begin in range(0, len(at), step):
         own = owner[begin : begin + step]

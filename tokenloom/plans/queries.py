@@ -602,7 +602,8 @@ def _resumed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     settings = distill.FitSettings(steps=2, lr=STEP_RATE, warmup=0.0, floor=1.0, matryoshka=False)
 
     def agreement(table: DataFrame) -> dict[str, float]:
-        return {"mean_cosine": evaluate.mean_agreement(embed.pool_ids(tokens, table), teacher).first()["mean_cosine"]}
+        pooled = embed.pool_ids(distill.fit_rows(spark, folder), table)
+        return {"mean_cosine": pooled.agg(F.avg(vectors.cosine(F.col("embedding"), F.col("teacher"))).alias("c")).first()["c"]}
 
     for stop in (1, None):
         fitted = distill.fit_weights(tokens, teacher, weight_table(spark, sf_dir), settings, folder=folder, measure=agreement, stop_after=stop)
