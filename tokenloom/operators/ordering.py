@@ -35,14 +35,14 @@ def numeric_key(df: DataFrame, order_col: str) -> Column:
     return F.conv(F.rpad(digits, 12, "0"), 16, 10).cast("double")
 
 
-def with_range(df: DataFrame, order_col: str, name: str = "__range") -> DataFrame:
-    """Add the number of the equal-share value range the key falls into."""
+def with_range(df: DataFrame, order_col: str, name: str = "__range", range_rows: int | None = None) -> DataFrame:
+    """Add the number of the equal-share value range the key falls into; ``range_rows``: about how many rows a range has."""
     spark = df.sparkSession
     n_rows = df.select(order_col).count()
-    if n_rows <= ONE_RANGE_ROWS:
+    if n_rows <= (ONE_RANGE_ROWS if range_rows is None else range_rows):
         return df.withColumn(name, F.lit(0.0))
     key = numeric_key(df, order_col)
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-n_rows // RANGE_ROWS))
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-n_rows // RANGE_ROWS)) if range_rows is None else -(-n_rows // range_rows)
     shares = [i / n for i in range(1, n)]
     row = df.agg(F.percentile_approx(key, shares, 4 * n).alias("cuts")).first()
     cuts = sorted(set(row["cuts"] or []))

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import names, text, vectors
-from tokenloom.operators import cells, corpus, distill, embed, evaluate, pieces, search, vocab
-from tokenloom.session import materialize, scratch_path, spread
+from tokenloom.operators import cells, corpus, distill, embed, evaluate, ordering, pieces, search, vocab
+from tokenloom.session import broadcast_if_small, materialize, scratch_path, spread
 from tokenloom.sources import embed_run, positions, shards
 from tokenloom.sources.catalog import Catalog
 from tokenloom.streaming import streams
@@ -30,6 +30,8 @@ BATCH = 64
 STEP_RATE = 0.5
 MIN_SCORE = 0.25
 STREAM_FILES = 4
+#: Rows of all languages that share the number of a positional file.
+POSITION_ROWS = 20_000
 #: Bytes of one file of a streamed table.
 STREAM_FILE_BYTES = 8 << 20
 DROPPED_PIECES = ("##a", "##e")
@@ -170,17 +172,19 @@ def write_shards_s4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _position_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """Texts as lines of JSON and vectors as Parquet, written one after the other: a file per language each, by doc_id within it."""
+    """Texts as lines of JSON and vectors as Parquet, written one after the other: files per language, numbered by ranges of doc_id, by doc_id within them."""
     texts, vectors = scratch_path(spark, "texts"), scratch_path(spark, "vectors")
 
     def ordered(df: DataFrame) -> DataFrame:
         named = df.withColumn("shard", F.coalesce("lang", F.lit("none")))
-        return named.repartition("shard").sortWithinPartitions("shard", "doc_id").drop("lang")
+        return named.repartition("shard", "part").sortWithinPartitions("shard", "part", "doc_id").drop("lang")
 
     documents = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    ordered(documents).select("shard", F.to_json(F.struct("text")).alias("value")).write.partitionBy("shard").text(texts)
-    stored = _teacher_of(spark, sf_dir, documents.select("doc_id", "lang"))
-    ordered(stored).select("shard", "embedding").write.partitionBy("shard").parquet(vectors)
+    # The ranges are numbers in the plan: both sides are cut at the same ids.
+    documents = ordering.with_range(documents, "doc_id", "part", POSITION_ROWS).withColumn("part", F.format_string("%06d", F.col("part").cast("int")))
+    ordered(documents).select("shard", "part", F.to_json(F.struct("text")).alias("value")).write.partitionBy("shard", "part").text(texts)
+    stored = _teacher_of(spark, sf_dir, documents.select("doc_id", "lang", "part"))
+    ordered(stored).select("shard", "part", "embedding").write.partitionBy("shard", "part").parquet(vectors)
     return texts, vectors
 
 
@@ -190,11 +194,19 @@ def pair_by_position_s5(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, vectors = _position_files(spark, sf_dir)
 
     def shard(path: Column) -> Column:
-        return F.regexp_extract(path, "shard=([^/]*)/", 1)
+        return F.regexp_extract(path, "(shard=[^/]*/part=[^/]*)/", 1)
 
     lines = positions.json_rows(spark, [texts], "text string", shard, "*.txt")
-    paired = positions.pair_files(lines, positions.parquet_rows(spark, [vectors], shard))
-    return _long(paired.select("shard", "row", F.sha2("text", 256).alias("text"), "embedding"), ["shard", "row", "text"])
+    stored = positions.parquet_rows(spark, [vectors], shard)
+    paired = positions.pair_files(lines, stored)
+    # A language's rows go on from file to file; a row per file.
+    language = F.regexp_extract("shard", "shard=([^/]*)/", 1)
+    before = Window.partitionBy("language").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    files = stored.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).withColumn("language", language)
+    offsets = files.select("shard", "language", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    placed = paired.join(broadcast_if_small(offsets, 512), "shard")
+    rows = placed.select(F.col("language").alias("shard"), (F.col("row") + F.col("offset")).alias("row"), F.sha2("text", 256).alias("text"), "embedding")
+    return _long(rows, ["shard", "row", "text"])
 
 
 @query
