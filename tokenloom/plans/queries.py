@@ -563,7 +563,13 @@ def cosine_loss_d1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _batched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.assign_batches(_pairs(spark, sf_dir), BATCH, "doc_id")
+    # Numbering reads its rows several times: the vectors are stored, or every text would be encoded for each of them.
+    return corpus.assign_batches(materialize(_pairs(spark, sf_dir), "pairs"), BATCH, "doc_id")
+
+
+def _prefixes(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The prefix lengths of a student's vector, which is as long as the table's: no text is encoded to find out."""
+    return distill.matryoshka_dims(embed.vector_length(weight_table(spark, sf_dir), "vec"))
 
 
 @query
@@ -574,13 +580,13 @@ def contrastive_loss_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def matryoshka_loss_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    losses = distill.matryoshka_loss(_pairs(spark, sf_dir))
+    losses = distill.matryoshka_loss(_pairs(spark, sf_dir), dims=_prefixes(spark, sf_dir))
     return losses.select(F.col("dim").cast("bigint").alias("dim"), _rounded("loss").alias("loss"))
 
 
 @query
 def matryoshka_contrastive_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    losses = distill.matryoshka_loss(_batched_pairs(spark, sf_dir), "distillation_cosine", batch_rows=BATCH)
+    losses = distill.matryoshka_loss(_batched_pairs(spark, sf_dir), "distillation_cosine", _prefixes(spark, sf_dir), batch_rows=BATCH)
     return losses.select(F.col("dim").cast("bigint").alias("dim"), _rounded("loss").alias("loss"))
 
 
