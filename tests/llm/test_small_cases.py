@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -681,3 +682,38 @@ def test_bitmaps_of_different_widths(spark):
             frame.append(([int(v) for v in maps[0]], [int(v) for v in maps[1]], apart))
     rows = spark.createDataFrame(frame, "x array<long>, y array<long>, apart int")
     assert rows.where(jaccard_join.bits_apart("x", "y") != rows["apart"]).count() == 0
+
+
+@pytest.mark.parametrize("share", [80, 90])
+def test_jaccard_family_meets_at_first_common_n_grams(spark, share):
+    """Members of a family meet at many n-grams and pass at few of them; a pair that links passes at its first one, merged buckets or not."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for i in range(40):  # most break some 55 n-grams of 300; a few next to none
+        own = list(base)
+        for k in range(1 if i % 8 == 0 else 11):
+            own[15 + 25 * k + rng.randrange(20)] = f"own{i}x{k}"
+        texts.append(" ".join(own))
+    values, at = jaccard_join.shingle_sets(pa.array(texts), 5)
+    sets, sizes = [set(values[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)], np.diff(at)
+    levels = np.minimum(np.bincount((values & np.uint64((1 << 20) - 1)).astype(np.int64), minlength=1 << 20), 255).astype(np.uint8)
+    ordered = values[jaccard_join.rare_first(values, np.repeat(np.arange(40), sizes), levels)]
+    rows = []
+    for i, (a, n) in enumerate(zip(at[:-1], sizes, strict=True)):
+        prefix = ordered[a : a + int(jaccard_join.prefix_length(n, share))].view(np.int64)
+        rows += [(int(g), i, int(n), p, [0] * 4, i) for p, g in enumerate(prefix)]
+    frame = spark.createDataFrame(rows, "gram long, rep long, n int, pos int, bits array<long>, group long").cache()
+    links = {(i, j) for i in range(40) for j in range(i) if 100 * len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j])}
+    assert links
+    for placed in (frame, frame.join(jaccard_join.shared_buckets(frame, "pos").select("gram"), "gram")):
+        others = placed.select("gram", *[F.col(c).alias(f"l_{c}") for c in ("rep", "n", "pos", "bits", "group")])
+        met = [(r["rep"], r["l_rep"]) for r in placed.join(others, "gram").where(F.col("rep") > F.col("l_rep")).where(jaccard_join.may_link(share)).collect()]
+        assert links <= set(met)
+        assert len(met) < 780  # of 780 pairs, most of which meet at five n-grams or more
+
+
+def test_the_rarest_n_gram_stands_for_those_of_the_same_classes(spark):
+    rows = [(5, 1, 0), (1, 1, 3), (5, 2, 1), (1, 2, 4), (3, 2, 0), (3, 3, 0)]
+    found = jaccard_join.shared_buckets(spark.createDataFrame(rows, "gram long, rep long, pos int"), "pos").collect()
+    assert sorted((r["gram"], r["size"], r["weight"]) for r in found) == [(3, 2, 1), (5, 2, 2)]

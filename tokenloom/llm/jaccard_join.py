@@ -3,7 +3,9 @@
 A document is the set of its word n-grams. Sets are ordered rare first by one
 global order; two sets that are similar enough share an n-gram within short
 prefixes, so only prefixes are joined. Length, positional and suffix filters drop
-candidates before the two whole sets meet, once per pair.
+candidates before the two whole sets meet, once per pair. The positional filter asks
+that a shared n-gram could be the first one that two sets have in common: a pair is
+found there, and its later meetings in other buckets mostly fail.
 
 Equal sets are one class from the start, so copies are never paired. Buckets of a
 few classes that share a prefix n-gram are joined outright. Large groups
@@ -308,16 +310,19 @@ def class_texts(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> Da
     return made.groupBy("high", "low").agg(F.first("text").alias("text")).join(wanted, ["high", "low"]).select("rep", "text")
 
 
-def shared_buckets(shared: DataFrame) -> DataFrame:
+def shared_buckets(shared: DataFrame, order: str = "gram") -> DataFrame:
     """(gram, size, weight): of the n-grams that stand in two prefixes or more, one for each set of classes that share some.
 
     N-grams of one passage mostly stand in the same prefixes. A pair that meets at one of them meets at
-    all, and the filters hold at each of them for a pair that links, so one stands for the others;
-    ``weight`` is how many it stands for. Sets are compared by size and 128 bits.
+    all, and the filters hold at the first of them for a pair that links and has no rarer n-gram in common,
+    so it stands for the others; ``weight`` is how many it stands for. The first is the one with the least
+    ``order``: places in the prefixes follow one global order, so all classes agree on it. Sets are compared
+    by size and 128 bits.
     """
     members = [F.bit_xor(F.xxhash64("rep", F.lit(salt))).alias(f"members{salt}") for salt in (1, 2)]
-    sizes = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), *members)
-    return sizes.groupBy("size", "members1", "members2").agg(F.min("gram").alias("gram"), F.count(F.lit(1)).alias("weight")).select("gram", "size", "weight")
+    sizes = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("place"), *members)
+    first = F.min_by("gram", "place").alias("gram")
+    return sizes.groupBy("size", "members1", "members2").agg(first, F.count(F.lit(1)).alias("weight")).select("gram", "size", "weight")
 
 
 def class_groups(classes: DataFrame, docs: DataFrame, text: str, width: int, share: int, scratch: Scratch) -> DataFrame:
@@ -326,7 +331,7 @@ def class_groups(classes: DataFrame, docs: DataFrame, text: str, width: int, sha
     # Most n-grams stand in one prefix: they go before anything else is worked out.
     often = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram")
     met_again = scratch.put(prefix.join(often, "gram"), "shared")
-    shared = met_again.join(shared_buckets(met_again), "gram").join(classes.select("rep", "bits"), "rep")
+    shared = met_again.join(shared_buckets(met_again, "pos"), "gram").join(classes.select("rep", "bits"), "rep")
     # In a bucket of a few classes all pairs are looked at, which is in proportion to its rows. Most buckets are of this
     # kind, by chance, and most of their pairs fail the filters: such classes need no text.
     few = shared.where(F.col("size") <= FEW).select("gram", "rep", "n", "pos", "bits", F.col("rep").alias("group"))
@@ -424,12 +429,16 @@ def _rounds(rows: DataFrame, labels: DataFrame, tried: DataFrame, texts: DataFra
 
 
 def may_link(share: int = SHARE) -> Column:
-    """The length, positional and bitmap filters for two classes that meet at an n-gram of both prefixes."""
+    """The length, positional and bitmap filters for two classes that meet at an n-gram of both prefixes.
+
+    They hold for classes that link at the first n-gram the two have in common, and need not hold at later ones:
+    a pair of a family of texts meets at many n-grams and is looked at, if at all, at few.
+    """
     n, m = F.col("n").cast("long"), F.col("l_n").cast("long")
     long_enough = F.least(n, m) * OF >= F.greatest(n, m) * share
     need = F.expr(f"({share} * (cast(n as bigint) + l_n) + {OF + share - 1}) div {OF + share}")
-    # At this shared n-gram: what both may share before it, itself, and what either has behind it.
-    most = F.least("pos", "l_pos") + F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos"))
+    # At the first shared n-gram there is none before it: itself, and what either has behind it.
+    most = F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos"))
     return (F.col("group") != F.col("l_group")) & long_enough & (most >= need) & (n + m - bits_apart("bits", "l_bits") >= 2 * need)
 
 
@@ -470,6 +479,7 @@ def jaccard_groups(
     )
     scratch = Scratch(docs.sparkSession, "near-copies")
     classes = scratch.put(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    levels.destroy()  # nothing orders n-grams any more
     groups = class_groups(classes, docs, text, width, share, scratch)
     named = classes.select("high", "low", "least", "rows", "rep").join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
     ids = named.groupBy("group").agg(F.min("least").alias("least")).select("group", F.col("least.id").alias("component"), F.col("least.row").alias("keep_row"))
