@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tokenloom import session
 from tokenloom.llm import arc_warc, context_tree, decontaminate, exact_dedup, html_cut, jaccard_join, mixing, parse_language, pii_semicrf, zstd_quality
 from tokenloom.llm.common import crc_mod, file_places, numbered
 
@@ -717,3 +719,92 @@ def test_the_rarest_n_gram_stands_for_those_of_the_same_classes(spark):
     rows = [(5, 1, 0), (1, 1, 3), (5, 2, 1), (1, 2, 4), (3, 2, 0), (3, 3, 0)]
     found = jaccard_join.shared_buckets(spark.createDataFrame(rows, "gram long, rep long, pos int"), "pos").collect()
     assert sorted((r["gram"], r["size"], r["weight"]) for r in found) == [(3, 2, 1), (5, 2, 2)]
+
+
+def test_n_grams_are_counted_in_bounded_memory(monkeypatch):
+    """Beside its two bytes a counter a task needs little, however much text a batch holds."""
+
+    class Texts:
+        def mapInArrow(self, count, schema):
+            self.count = count
+            return self
+
+        def groupBy(self, *keys):
+            return self
+
+        def applyInArrow(self, add, schema):
+            return self
+
+        def collect(self):
+            return []
+
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(30_000)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(2_000)]  # 7 MB
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    monkeypatch.setattr(jaccard_join, "TaskContext", Task)
+    frame = Texts()
+    jaccard_join.frequency_sketch(frame, 3)
+    tracemalloc.start()
+    try:
+        sent = sum(b.num_rows for b in frame.count(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sent == jaccard_join.PARTS
+    assert peak < 2 * jaccard_join.COUNTERS + (40 << 20)
+
+
+def test_n_grams_beyond_two_bytes_are_counted(spark):
+    counters, often = 1 << 10, 150_000
+    texts = spark.range(often, numPartitions=1).select(F.when(F.col("id") < often - 5, "a b c").otherwise("d e f").alias("text"))
+    levels = jaccard_join.frequency_sketch(texts, 3, counters)
+    (abc, def_), _ = jaccard_join.shingle_sets(pa.array(["a b c", "d e f"]), 3)
+    expected = np.zeros(counters, dtype=np.uint8)
+    for gram, times in ((abc, often - 5), (def_, 5)):
+        expected[int(gram) & (counters - 1)] = 1 + int(4 * np.log2(times))
+    assert levels.tolist() == expected.tolist()
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    texts = spark.range(4_000, numPartitions=1).select(F.repeat(F.lit("some words "), 400).alias("text"))  # 17 MB
+    setting = session.BATCH_SETTING
+    before = spark.conf.get(setting, None)
+    with session.small_batches(spark):
+        inside = texts.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in inside) == 4_000
+    assert max(r["bytes"] for r in inside) < 1.5 * session.BATCH_BYTES
+    assert spark.conf.get(setting, None) == before
+    spark.conf.set(setting, "1m")  # a caller's own bound stays
+    try:
+        with session.small_batches(spark):
+            assert spark.conf.get(setting) == "1m"
+        assert spark.conf.get(setting) == "1m"
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_near_copies_are_sought_over_small_batches(spark, monkeypatch):
+    seen, sketch = [], jaccard_join.frequency_sketch
+
+    def looked(*args):
+        seen.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None))
+        return sketch(*args)
+
+    monkeypatch.setattr(jaccard_join, "frequency_sketch", looked)
+    frame = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_groups(frame).collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert int(seen[0]) <= 16 << 20

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import Scratch, inputs, join_groups, numbered, pack, slices, unpack
 from tokenloom.llm.tokens import hashed_words, mix64
-from tokenloom.session import fits_broadcast, materialize, remove, scratch_path
+from tokenloom.session import fits_broadcast, materialize, remove, scratch_path, small_batches
 
 WIDTH = 3
 #: Least similarity as a fraction of whole numbers: 100 * shared >= 90 * union. Width and share are defaults, which callers may change.
@@ -53,6 +53,10 @@ CLASS_BYTES = 64
 BITMAP = 4
 #: In the larger buckets a set has so many bits per n-gram, in a power of two of words, and this many words at most.
 WIDE_BITS, WIDE_WORDS = 4, 64
+#: Text that a worker hashes at once; the arrays over its bytes take some fifty times that. A longer single text is hashed alone.
+TEXT_BYTES = 1 << 19
+#: A task counts n-grams in two bytes each; counters that have come so far are emptied into a list.
+FULL = 1 << 15
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +93,17 @@ def prefix_length(n: np.ndarray, share: int = SHARE) -> np.ndarray:
     return n - -(-share * n // OF) + 1
 
 
+def tally(total: np.ndarray, at: np.ndarray, full: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Adds one to the two-byte counters ``at``, once for each time they are named; (counters, counts) that reach FULL go to ``full``."""
+    for i in range(0, len(at), FULL):  # all counters are below FULL, so that none overflows
+        part = at[i : i + FULL]
+        np.add.at(total, part, np.uint16(1))
+        reached = np.unique(part[total[part] >= FULL])
+        if len(reached):
+            full.append((reached, total[reached].astype(np.int64)))
+            total[reached] = 0
+
+
 def frequency_sketch(texts: DataFrame, width: int, counters: int = COUNTERS) -> np.ndarray:
     """How often n-grams occur, by hash, over all rows: for each counter a rounded logarithm of its count.
 
@@ -103,14 +118,17 @@ def frequency_sketch(texts: DataFrame, width: int, counters: int = COUNTERS) ->
         return {"wide": [wide], "counts": [zstandard.ZstdCompressor(level=1).compress(counts.astype(kinds[wide]).tobytes())]}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(counters, dtype=np.uint32)
+        total, full = np.zeros(counters, dtype=np.uint16), [(np.zeros(0, dtype=np.int64),) * 2]
         for batch in batches:
-            for a, b in slices(batch.column(0)):
+            for a, b in slices(batch.column(0), TEXT_BYTES):
                 values, _ = shingle_sets(batch.column(0).slice(a, b - a), width)
-                np.add.at(total, (values & np.uint64(counters - 1)).astype(np.int64), np.uint32(1))
+                tally(total, (values & np.uint64(counters - 1)).astype(np.int64), full)
         salt = TaskContext.get().partitionId() % SALTS
+        places, counts = (np.concatenate(x) for x in zip(*full, strict=True))
         for p in range(PARTS):
-            own = total[p * step : (p + 1) * step]
+            own = total[p * step : (p + 1) * step].astype(np.int64)
+            inside = places // step == p
+            np.add.at(own, places[inside] - p * step, counts[inside])
             if own.any():
                 yield pa.RecordBatch.from_pydict({"part": [p], "salt": [salt]} | squeezed(own))
 
@@ -158,7 +176,7 @@ def set_column(text: Column, width: int, levels: Broadcast | None = None, share:
     @F.arrow_udf("struct<n:int,high:bigint,low:bigint" + (",prefix:binary,bits:array<bigint>>" if levels else ">"))
     def made(column: pa.Array) -> pa.Array:
         outs = []
-        for a, b in slices(column):
+        for a, b in slices(column, TEXT_BYTES):
             values, at = shingle_sets(column.slice(a, b - a), width)
             sizes = np.diff(at)
             fields = [pa.array(sizes.astype(np.int32))]
@@ -187,7 +205,7 @@ def wide_bits(text: Column, width: int) -> Column:
     @F.arrow_udf("array<bigint>")
     def made(column: pa.Array) -> pa.Array:
         out: list[np.ndarray] = []
-        for a, b in slices(column):
+        for a, b in slices(column, TEXT_BYTES):
             values, at = shingle_sets(column.slice(a, b - a), width)
             for i, j in zip(at[:-1], at[1:], strict=True):
                 words = BITMAP
@@ -242,7 +260,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, share: int = SHARE) -
     @F.arrow_udf("boolean")
     def check(x: pa.Array, y: pa.Array) -> pa.Array:
         out = np.zeros(len(x), dtype=bool)
-        for a, b in slices(x, 1 << 20):
+        for a, b in slices(x, TEXT_BYTES // 2):
             u, at = shingle_sets(x.slice(a, b - a), width)
             v, bt = shingle_sets(y.slice(a, b - a), width)
             out[a:b] = [linked(u[at[i] : at[i + 1]], v[bt[i] : bt[i + 1]], share) for i in range(b - a)]
@@ -472,20 +490,21 @@ def jaccard_groups(
     of each group, of its smallest id (null ids come last).
     """
     number = F.col(row) if row else F.lit(0).cast("long")
-    levels = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs.select(text), width))  # COUNTERS bytes
-    made = docs.select(F.col(doc_id).cast("long").alias("id"), number.alias("row"), set_column(F.col(text), width, levels, share).alias("s")).where("s.n > 0")
-    classes = made.groupBy(F.col("s.high").alias("high"), F.col("s.low").alias("low")).agg(
-        F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("s.n").alias("n"), F.first("s.prefix").alias("prefix"), F.first("s.bits").alias("bits")
-    )
-    scratch = Scratch(docs.sparkSession, "near-copies")
-    classes = scratch.put(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    levels.destroy()  # nothing orders n-grams any more
-    groups = class_groups(classes, docs, text, width, share, scratch)
-    named = classes.select("high", "low", "least", "rows", "rep").join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
-    ids = named.groupBy("group").agg(F.min("least").alias("least")).select("group", F.col("least.id").alias("component"), F.col("least.row").alias("keep_row"))
-    key = F.format_string("%016x%016x", "high", "low")
-    named = materialize(named.join(ids, "group").select(key.alias("key"), "component", "keep_row", "rows"), "named-classes")
-    remove(docs.sparkSession, scratch.folder)
+    with small_batches(docs.sparkSession):
+        levels = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs.select(text), width))  # COUNTERS bytes
+        made = docs.select(F.col(doc_id).cast("long").alias("id"), number.alias("row"), set_column(F.col(text), width, levels, share).alias("s")).where("s.n > 0")
+        classes = made.groupBy(F.col("s.high").alias("high"), F.col("s.low").alias("low")).agg(
+            F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("s.n").alias("n"), F.first("s.prefix").alias("prefix"), F.first("s.bits").alias("bits")
+        )
+        scratch = Scratch(docs.sparkSession, "near-copies")
+        classes = scratch.put(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+        levels.destroy()  # nothing orders n-grams any more
+        groups = class_groups(classes, docs, text, width, share, scratch)
+        named = classes.select("high", "low", "least", "rows", "rep").join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+        ids = named.groupBy("group").agg(F.min("least").alias("least")).select("group", F.col("least.id").alias("component"), F.col("least.row").alias("keep_row"))
+        key = F.format_string("%016x%016x", "high", "low")
+        named = materialize(named.join(ids, "group").select(key.alias("key"), "component", "keep_row", "rows"), "named-classes")
+        remove(docs.sparkSession, scratch.folder)
     packed = pack(docs, id=F.col(doc_id).cast("long"), row=number, s=set_column(F.col(text), width))
     packed = packed.select(
         *inputs(len(docs.columns)), "id", "row", F.col("s.n").alias("n"), F.format_string("%016x%016x", "s.high", "s.low").alias("key")

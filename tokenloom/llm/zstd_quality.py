@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm.common import slices
+
 #: The fit reads at most so many labelled rows, and so many bytes, of each class.
 SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 8 << 20
 #: A longer labelled text is learned from by its first so many characters, so that no single one fills the sample. It is scored whole.
@@ -169,7 +171,8 @@ def size_difference(text: Column, model: dict) -> Column:
     def measured(column: pa.Array) -> pa.Array:
         if "d" not in state:
             state["d"] = Difference(model["good"], model["bad"])
-        x = np.asarray([state["d"](t or b"") for t in column.cast(pa.large_binary()).to_pylist()], dtype=np.float64).reshape(-1, 2)
+        parts = (column.slice(a, b - a).cast(pa.large_binary()).to_pylist() for a, b in slices(column))  # not all texts twice
+        x = np.asarray([state["d"](t or b"") for part in parts for t in part], dtype=np.float64).reshape(-1, 2)
         return pa.array(mean_difference(x[:, 0], x[:, 1], model["centre"]))
 
     return measured.asNondeterministic()(text)

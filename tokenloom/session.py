@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest table that may be shipped to every executor. Larger ones take the shuffle route.
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+#: The session setting for the bytes of an Arrow batch on its way to Python, and its value inside ``small_batches``.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -37,6 +41,22 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, queries hand texts to Python in Arrow batches of BATCH_BYTES (one row at least), not of ten thousand rows.
+
+    A batch is held by the executor and by the Python worker at once. A bound that the caller has set stays.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+
+
 def python_workers(spark: SparkSession) -> int:
     """How many Python workers, each with its own copy of a broadcast, an executor runs at once: its cores."""
     context = spark.sparkContext
