@@ -175,7 +175,7 @@ def _take_apart(col: Column) -> Column:
     return F.when(col.rlike(_beyond_ascii(_rare_ranges() + _PRIVATE)), parts).otherwise(col)
 
 
-def _fold(text: Column) -> Column:
+def folded(text: Column) -> Column:
     """Deleted characters removed, accents stripped, lower case. White space is left as it is.
 
     One character table does both: characters without a counterpart vanish.
@@ -186,14 +186,14 @@ def _fold(text: Column) -> Column:
 
 def bert_normalize(col: Column) -> Column:
     """Drop control characters, space out CJK, strip accents, lower-case."""
-    folded = _fold(F.coalesce(col, F.lit("")))
-    blanks = F.regexp_replace(F.translate(folded, "\t\n\r", "   "), _beyond_ascii("\\p{Z}"), " ")
+    clean = folded(F.coalesce(col, F.lit("")))
+    blanks = F.regexp_replace(F.translate(clean, "\t\n\r", "   "), _beyond_ascii("\\p{Z}"), " ")
     return F.regexp_replace(blanks, _beyond_ascii(_CJK), " $0 ")
 
 
 def pretokenize(col: Column) -> Column:
     """Words, single punctuation marks and single CJK characters of the normalised text."""
-    return F.regexp_extract_all(_fold(F.coalesce(col, F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))
+    return F.regexp_extract_all(folded(F.coalesce(col, F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def raw_tokens(col: Column) -> Column:

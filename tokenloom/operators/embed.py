@@ -19,7 +19,7 @@ from tokenloom.functions.text import clean_cut
 from tokenloom.functions.vectors import as_lists, as_matrix, l2_normalize, unit_rows
 from tokenloom.mapped import MappedArray, share
 from tokenloom.operators.corpus import limit_batches as first_batches
-from tokenloom.operators.pieces import CONTINUATION, encode_ids, headed_words, id_lists, split_distinct, truncate_pieces
+from tokenloom.operators.pieces import CONTINUATION, encode_ids, headed_words, id_lists, split_distinct, text_id_lists, truncate_pieces
 from tokenloom.operators.pieces import _choose as _choose_pieces
 from tokenloom.session import MAX_BROADCAST_BYTES, python_workers, remove, scratch_path
 
@@ -125,6 +125,20 @@ def init_from_teacher(
     return rows.select("id", F.col("embedding").alias("vec"))
 
 
+def places(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``asked`` first stands in ``keys`` (ascending), and whether it does at all."""
+    low, span = int(keys[0]), int(keys[-1]) - int(keys[0]) + 1
+    if span > 4 * len(keys) or span > len(asked):
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return at, keys[at] == asked
+    # Dense keys asked for many times: a table of them.
+    table = np.full(span, -1, dtype=np.int64)
+    table[keys[::-1] - low] = np.arange(len(keys))[::-1]  # of equal keys the first one counts
+    inside = (asked >= low) & (asked < low + span)
+    at = table[np.where(inside, asked - low, 0)]
+    return np.maximum(at, 0), inside & (at >= 0)
+
+
 def counted_blocks(at: np.ndarray, owner: np.ndarray, rows: int, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]] | None:
     """The ids of ``rows`` rows as matrices of counts: (first row, row behind the last, table rows in use, counts of them by row).
 
@@ -133,7 +147,7 @@ def counted_blocks(at: np.ndarray, owner: np.ndarray, rows: int, size: int) -> I
     used = np.flatnonzero(np.bincount(at, minlength=size)) if size <= COUNT_CELLS else np.unique(at)
     if not len(used) or rows * len(used) > CELLS_AN_ID * len(at):
         return None
-    code = np.searchsorted(used, at)
+    code, _ = places(used, at)
     step = max(1, COUNT_CELLS // len(used))
 
     def blocks() -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -151,8 +165,7 @@ def _add_rows(sums: np.ndarray, counts: np.ndarray, flat: np.ndarray, owner: np.
     """Add the table rows of the ids ``flat`` to the sums of their owners (ascending); ids without a row do not count."""
     if not len(keys) or not len(flat):
         return
-    at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-    known = keys[at] == flat
+    at, known = places(keys, flat)
     at, owner = at[known], owner[known]
     blocks = counted_blocks(at, owner, len(sums), len(keys))
     if blocks is not None:
@@ -307,8 +320,9 @@ def pool_ids(df: DataFrame, weights: DataFrame, id_col: str = "doc_id", strategy
 def _encode_in_place(
     df: DataFrame, of: Callable[[pa.Array], Iterator[pa.Array]], weights: DataFrame, table: tuple[str, int, int], max_len: int | None, text_col: str, normalize: bool
 ) -> DataFrame:
-    """Words to vectors in one Python worker per task: no ids go back and forth."""
+    """Words to vectors in one Python worker per task: no ids go back and forth, and of whole texts no words either."""
     headed, words = headed_words(df, max_len, text_col)
+    words = F.col("__head") if max_len is None else words
     strategy, dim, size = table
     shared = shared_table(weights, strategy, dim, size)
 
@@ -342,7 +356,8 @@ def static_encode(
     """
     route = _choose_pieces(vocab, strategy) if one_worker else "join"
     if route != "join" and (table := _choose(weights, strategy))[0] != "join":
-        return _encode_in_place(df, id_lists(vocab, route, max_len), weights, table, max_len, text_col, normalize)
+        of = text_id_lists(vocab, route) if max_len is None else id_lists(vocab, route, max_len)
+        return _encode_in_place(df, of, weights, table, max_len, text_col, normalize)
     encoded = encode_ids(df, vocab, max_len, text_col, id_col, strategy)
     pooled = pool_ids(encoded, weights, id_col, strategy).drop("ids")
     return pooled.withColumn("embedding", l2_normalize(F.col("embedding"))) if normalize else pooled

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.text import lead_length, pretokenize, raw_tokens, truncate_words
 from tokenloom.mapped import MappedArray, share
 from tokenloom.operators.packed import PIECE_BYTES, PackedPieces, split_words
+from tokenloom.operators.tokens import Characters, shared_characters, stretch_tokens, text_slices
 from tokenloom.session import MAX_BROADCAST_BYTES, broadcast_if_small, python_workers
 
 # Fixed values of the sub-word model.
@@ -205,6 +206,25 @@ def id_lists(vocab: DataFrame, strategy: str, max_len: int | None = None) -> Cal
     return ids
 
 
+def text_id_lists(vocab: DataFrame, strategy: str) -> Callable[[pa.Array], Iterator[pa.Array]]:
+    """What turns texts into rows of all their ids; of a slice of texts only the distinct stretches are cut into words and pieces."""
+    unknown, _ = _vocabulary_facts(vocab)
+    shared, known = shared_pieces(vocab, strategy), shared_characters(vocab.sparkSession)
+
+    def ids(batch: pa.Array) -> Iterator[pa.Array]:
+        packed, characters = shared.open(), Characters(*known.value)
+        for stretches, rows_at in text_slices(batch):
+            tokens, tokens_at = stretch_tokens(stretches.dictionary, characters)
+            words = tokens.dictionary_encode()
+            flat, _, bounds = split_words(words.dictionary, packed, unknown, CONTINUATION, MAX_WORD_CHARS)
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat)).take(words.indices)
+            of_stretch = pa.ListArray.from_arrays(lists.offsets.take(pa.array(tokens_at)), lists.flatten())
+            taken = of_stretch.take(stretches.indices)
+            yield pa.ListArray.from_arrays(taken.offsets.take(pa.array(rows_at)), taken.flatten())
+
+    return ids
+
+
 def _lookup(words: Column, vocab: DataFrame, part: int, strategy: str, max_len: int | None = None) -> Column:
     """Pieces of a row's words, from the vocabulary on every executor.
 

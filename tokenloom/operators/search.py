@@ -165,12 +165,12 @@ def _score(documents: DataFrame, names: list[str], shared: Broadcast, k: int | N
     return documents.mapInArrow(run, _score_schema(*names))
 
 
-def _pair_up(q_df: DataFrame, d_df: DataFrame, names: list[str], k: int | None, min_score: float | None = None) -> DataFrame:
+def _pair_up(q_df: DataFrame, d_df: DataFrame, names: list[str], k: int | None, min_score: float | None = None, stored: bool = False) -> DataFrame:
     """Scores of each task's best ``k`` documents per query, or all of at least ``min_score``.
 
     The documents never move. Queries go to them in blocks of QUERY_BLOCK_BYTES, one
-    broadcast at a time; with several blocks both sides are stored first, so that no block
-    works them out again, and each block's result is stored and its broadcast dropped before the next.
+    broadcast at a time; with several blocks both sides are stored first (the documents where
+    they are not ``stored`` yet), so that no block works them out again, and each block's result is stored and its broadcast dropped before the next.
     """
     spark = q_df.sparkSession
     dim = q_df.agg(F.max(F.size("vec")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
@@ -180,11 +180,11 @@ def _pair_up(q_df: DataFrame, d_df: DataFrame, names: list[str], k: int | None,
     if n_blocks > 1:
         blocks = scratch_path(spark, "queries")
         q_df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).write.partitionBy("block").parquet(blocks)
-        stored = spark.read.schema("id bigint, vec array<double>, block int").parquet(blocks)
-        d_df = materialize(d_df, "documents")
+        dealt = spark.read.schema("id bigint, vec array<double>, block int").parquet(blocks)
+        d_df = d_df if stored else materialize(d_df, "documents")
     parts = []
     for block in range(n_blocks):
-        own = q_df if n_blocks == 1 else stored.filter(F.col("block") == block).drop("block")
+        own = q_df if n_blocks == 1 else dealt.filter(F.col("block") == block).drop("block")
         table = own.toArrow().combine_chunks()  # about QUERY_BLOCK_BYTES
         if not table.num_rows:
             continue
@@ -237,9 +237,13 @@ def nearest_k(
     query_id: str = "query_id",
     doc_id: str = "doc_id",
     vector_col: str = "embedding",
+    stored: bool = False,
 ) -> DataFrame:
-    """The best ``k`` documents per query, ties by document id, with their ``rank``."""
+    """The best ``k`` documents per query, ties by document id, with their ``rank``.
+
+    ``stored`` tells that the documents are a stored table, cheap to read again for each block of queries.
+    """
     if k < 1:
         raise ValueError("k must be positive")
     names = [query_id, doc_id]
-    return _ranked(_pair_up(_prepare(q_df, query_id, vector_col), _prepare(d_df, doc_id, vector_col), names, k), names, k)
+    return _ranked(_pair_up(_prepare(q_df, query_id, vector_col), _prepare(d_df, doc_id, vector_col), names, k, stored=stored), names, k)

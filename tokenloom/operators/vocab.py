@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import pretokenize
 from tokenloom.operators.ordering import running_position
 from tokenloom.operators.pieces import split_distinct
+from tokenloom.operators.tokens import Characters, shared_characters, slice_counts
 from tokenloom.session import materialize
 
 #: Pieces that pruning keeps.
@@ -20,10 +22,18 @@ SPECIAL_PIECES = ("[UNK]", "[PAD]")
 def token_counts(df: DataFrame, text_col: str = "text", ordered: bool = True) -> DataFrame:
     """V1: occurrences of every pre-token, most frequent first.
 
-    Counting combines before the shuffle, so a hot token costs one row per task.
+    Slices of texts are counted by their distinct stretches and combined before the shuffle, so a
+    hot token costs one row per task.
     """
-    tokens = df.select(F.explode(pretokenize(F.col(text_col))).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("frequency"))
+    known = shared_characters(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        characters = Characters(*known.value)
+        for batch in batches:
+            yield from (pa.RecordBatch.from_arrays([*c], ["token", "n"]) for c in slice_counts(batch.column(0), characters))
+
+    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counts = texts.mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("frequency"))
     return counts.orderBy(F.desc("frequency"), "token") if ordered else counts
 
 

@@ -788,8 +788,9 @@ def nearest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     known, weights = piece_table(spark, sf_dir), weight_table(spark, sf_dir)
     turns = _table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     asked = materialize(turns.groupBy("text").agg(F.min(F.struct("conv_id", "turn")).alias("first")).withColumn("query_id", F.monotonically_increasing_id()), "asked")
-    queries = embed.static_encode(asked, known, weights, id_col="query_id", one_worker=True)
-    found = search.nearest_k(queries, _encoded(spark, sf_dir), 10)
+    # Both are read several times: stored vectors are also dealt to a few large tasks, which look up less and hand on fewer candidates.
+    queries = materialize(embed.static_encode(asked, known, weights, id_col="query_id", one_worker=True).select("query_id", "embedding"), "queries")
+    found = search.nearest_k(queries, materialize(_encoded(spark, sf_dir), "documents"), 10, stored=True)
     named = found.join(asked.select("query_id", "first.conv_id", "first.turn"), "query_id")
     return named.select("conv_id", "turn", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
